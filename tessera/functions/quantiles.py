@@ -27,10 +27,12 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_BINS = 4096
 DEFAULT_COLLECT_LIMIT = 50_000
 _MAX_PASSES = 64
+_CASE_LIMIT = 64
 
 
 @dataclass
@@ -59,6 +61,7 @@ def kth_smallest(long_df: DataFrame, ranks: dict[str, list[int]],
     """Exact k-th smallest ``x`` (0-based) per group ``g`` of ``long_df``.
 
     ``bounds[g]`` is ``(min, max)`` of the group; ``ranks[g]`` the wanted ranks.
+    Returns ``{(g, rank): value}``.
     """
     spark = long_df.sparkSession
     result: dict[tuple[str, int], float] = {}
@@ -74,9 +77,21 @@ def kth_smallest(long_df: DataFrame, ranks: dict[str, list[int]],
             open_windows.append(_Window(g, float(lo), float(hi), 0, sorted(set(rs))))
 
     def in_window(windows: list[_Window]) -> DataFrame:
-        # Windows of one group never overlap, so a CASE over the (few, bounded
-        # by the number of requested ranks) windows labels every row with at
-        # most one window id; no join and no row duplication.
+        # Windows of one group never overlap, so every row lands in at most
+        # one window.  Few windows: a CASE labels rows (no join, no row
+        # duplication).  Many windows (per-group quantiles): a broadcast
+        # equi-join on the group, then the range filter; the window table has
+        # one row per open window, bounded by the number of requested ranks.
+        if len(windows) > _CASE_LIMIT:
+            probes = spark.createDataFrame(
+                [(i, w.group, w.lo, w.hi) for i, w in enumerate(windows)],
+                T.StructType([T.StructField("wid", T.IntegerType()),
+                              T.StructField("g", long_df.schema["g"].dataType),
+                              T.StructField("lo", T.DoubleType()),
+                              T.StructField("hi", T.DoubleType())]))
+            return (long_df.join(F.broadcast(probes), "g")
+                    .where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
+                    .select("wid", "x", "lo", "hi"))
         wid = None
         for i, w in enumerate(windows):
             cond = ((F.col("g") == F.lit(w.group)) & (F.col("x") >= F.lit(w.lo))
@@ -225,3 +240,38 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float],
     if exact:
         return exact_quantiles(df, columns, probs, stats=stats)
     return approx_quantiles(df, columns, probs)
+
+
+def group_quantiles(df: DataFrame, group: str, value: str, probs: list[float]) -> dict[object, tuple[int, list[float]]]:
+    """Exact quantiles of ``value`` per non-null ``group``:
+    ``{group: (count, [q per prob])}``.
+
+    Per-group count/min/max come from one ``groupBy`` (one row per group);
+    the ranks are then refined for all groups together, so a group holding a
+    third of the rows is still split across every task of each pass.
+    """
+    x = F.col(value).cast("double")
+    long_df = (df.select(F.col(group).alias("g"), x.alias("x"))
+               .where(F.col("g").isNotNull() & F.col("x").isNotNull() & ~F.isnan("x")))
+    stats = long_df.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"),
+                                     F.max("x").alias("hi")).collect()
+    ranks, bounds, counts = {}, {}, {}
+    for r in stats:
+        n = int(r["n"])
+        counts[r["g"]] = n
+        bounds[r["g"]] = (r["lo"], r["hi"])
+        rs: set[int] = set()
+        for p in probs:
+            k, k2, _ = _rank_plan(n, p)
+            rs.update((k, k2))
+        ranks[r["g"]] = sorted(rs)
+    found = kth_smallest(long_df, ranks, bounds) if ranks else {}
+    out = {}
+    for g, n in counts.items():
+        qs = []
+        for p in probs:
+            k, k2, frac = _rank_plan(n, p)
+            lo, hi = found[(g, k)], found[(g, k2)]
+            qs.append(lo + (hi - lo) * frac if frac > 0 else lo)
+        out[g] = (n, qs)
+    return out

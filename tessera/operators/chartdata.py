@@ -1,0 +1,174 @@
+"""The data behind the charts (the drawing itself is not built).
+
+Grouped aggregates (A18-A21, V5-V8), box/violin statistics (V2/V3),
+missing-value matrix (V10), deterministic samples (T1, V12) and ordered
+heads (T3).  Sampling uses a keyed MD5 hash order so that the same rows are
+chosen on every run, on any number of partitions, and by SQL engines that
+share the formula; ``orderBy(hash).limit(n)`` plans as a TakeOrdered (each
+task keeps n rows), never a full sort.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.functions.quantiles import group_quantiles
+from tessera.functions.schema import col
+from tessera.operators.relations import bin_edges, bin_index
+
+MAX_SCATTER_ROWS = 5000
+MAX_MISSING_HEATMAP_ROWS = 500
+MAX_MISSING_HEATMAP_COLUMNS = 40
+MAX_PAIR_COLUMNS = 6
+SEED = 42
+
+_AGGS = {
+    "mean": F.avg, "sum": F.sum, "count": F.count, "max": F.max, "min": F.min,
+}
+
+
+def hash_bucket(keys: list[str], seed: int = SEED) -> Column:
+    """32-bit bucket from MD5 of ``'<seed>|k1|k2…'`` (same formula in SQL)."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
+def sample_rows(df: DataFrame, keys: list[str], n: int = MAX_SCATTER_ROWS,
+                columns: list[str] | None = None, seed: int = SEED) -> DataFrame:
+    """Exactly ``min(n, rows)`` rows chosen by hash order of ``keys``."""
+    out = df.withColumn("_h", hash_bucket(keys, seed)).orderBy("_h", *keys).limit(n).drop("_h")
+    return out.select(*columns) if columns else out
+
+
+def grouped_agg(df: DataFrame, x: str, y: str, aggregation: str = "mean") -> DataFrame:
+    """``aggregation`` of y by x, largest first (null keys dropped)."""
+    fn = _AGGS[aggregation]
+    return (df.where(col(x).isNotNull()).groupBy(col(x).alias(x)).agg(fn(col(y)).alias(y))
+            .orderBy(F.col(y).desc_nulls_last(), F.col(x)))
+
+
+def trend(df: DataFrame, x: str, y: str, group: str | None = None) -> DataFrame:
+    """Mean of y per x (and group), ordered by x."""
+    keys = [x] + ([group] if group else [])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & col(k).isNotNull()
+    return (df.where(cond).groupBy(*[col(k).alias(k) for k in keys]).agg(F.avg(col(y)).alias(y))
+            .orderBy(*keys))
+
+
+def value_counts(df: DataFrame, column: str, top_n: int = 20) -> DataFrame:
+    """Most frequent values of a column, ties by value."""
+    return (df.where(col(column).isNotNull()).groupBy(col(column).alias(column))
+            .agg(F.count(F.lit(1)).alias("count"))
+            .orderBy(F.col("count").desc(), F.col(column)).limit(top_n))
+
+
+def pie_share(df: DataFrame, column: str, value: str | None = None, top_n: int = 10) -> DataFrame:
+    """Top categories by count (or by sum of ``value``) with their
+    share of the shown total."""
+    if value is None:
+        top = value_counts(df, column, top_n).withColumnRenamed("count", "amount")
+    else:
+        top = (df.where(col(column).isNotNull()).groupBy(col(column).alias(column))
+               .agg(F.sum(col(value)).alias("amount"))
+               .orderBy(F.col("amount").desc_nulls_last(), F.col(column)).limit(top_n))
+    rows = top.collect()           # ≤ top_n rows
+    total = sum(r["amount"] or 0 for r in rows)
+    schema = T.StructType([df.schema[column], T.StructField("amount", top.schema["amount"].dataType),
+                           T.StructField("share", T.DoubleType())])
+    data = [(r[column], r["amount"], (float(r["amount"]) / total) if total else None) for r in rows]
+    return df.sparkSession.createDataFrame(data, schema)
+
+
+BOX_SCHEMA_FIELDS = ["n", "min", "q1", "median", "q3", "max", "lower_fence", "upper_fence",
+                     "whisker_low", "whisker_high", "outliers"]
+
+
+def box_stats(df: DataFrame, column: str, group_by: str | None = None) -> DataFrame:
+    """V2: box-plot numbers per group: quartiles (linear interpolation),
+    1.5·IQR fences, whiskers = most extreme values inside the fences, and
+    the number of points outside."""
+    g = group_by or "_all"
+    src = df if group_by else df.withColumn("_all", F.lit("all"))
+    qs = group_quantiles(src, g, column, [0.25, 0.5, 0.75])
+    fence_rows = []
+    for key, (n, (q1, q2, q3)) in qs.items():
+        iqr = q3 - q1
+        fence_rows.append((key, int(n), q1, q2, q3, q1 - 1.5 * iqr, q3 + 1.5 * iqr))
+    gtype = src.schema[g].dataType
+    fences = df.sparkSession.createDataFrame(fence_rows, T.StructType([
+        T.StructField(g, gtype), T.StructField("n", T.LongType()), T.StructField("q1", T.DoubleType()),
+        T.StructField("median", T.DoubleType()), T.StructField("q3", T.DoubleType()),
+        T.StructField("lower_fence", T.DoubleType()), T.StructField("upper_fence", T.DoubleType())]))
+    x = col(column).cast("double")
+    # one row per group: broadcasting it is bounded by the number of groups
+    joined = src.select(col(g).alias(g), x.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x")) \
+        .join(F.broadcast(fences), g)
+    inside = (F.col("_x") >= F.col("lower_fence")) & (F.col("_x") <= F.col("upper_fence"))
+    out = joined.groupBy(g, "n", "q1", "median", "q3", "lower_fence", "upper_fence").agg(
+        F.min("_x").alias("min"), F.max("_x").alias("max"),
+        F.min(F.when(inside, F.col("_x"))).alias("whisker_low"),
+        F.max(F.when(inside, F.col("_x"))).alias("whisker_high"),
+        F.sum((~inside).cast("long")).alias("outliers"))
+    cols = ([g] if group_by else []) + BOX_SCHEMA_FIELDS
+    return out.select(*cols)
+
+
+def violin_density(df: DataFrame, column: str, group_by: str, bins: int = 20) -> DataFrame:
+    """V3: per-group density histogram on shared edges (the violin outline);
+    density = count / (group rows × bin width)."""
+    x = col(column).cast("double")
+    r = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).collect()[0]
+    if r["lo"] is None:
+        return df.sparkSession.createDataFrame([], f"{group_by} string, bin int, bin_start double, "
+                                               "bin_end double, count long, density double")
+    edges = bin_edges(r["lo"], r["hi"], bins)
+    e = F.array(*[F.lit(v) for v in edges])
+    counted = (df.select(col(group_by).alias(group_by), bin_index(x, edges).alias("bin"))
+               .where(F.col(group_by).isNotNull() & F.col("bin").isNotNull())
+               .groupBy(group_by, "bin").agg(F.count(F.lit(1)).alias("count")))
+    totals = F.sum("count").over(_group_window(group_by))
+    return counted.select(
+        group_by, "bin",
+        F.element_at(e, F.col("bin") + 1).alias("bin_start"),
+        F.element_at(e, F.col("bin") + 2).alias("bin_end"),
+        "count",
+        (F.col("count") / (totals * (F.element_at(e, F.col("bin") + 2) - F.element_at(e, F.col("bin") + 1))))
+        .alias("density"))
+
+
+def _group_window(group_by: str):
+    # window over the already aggregated (group, bin) rows: ≤ bins rows per group
+    from pyspark.sql import Window
+    return Window.partitionBy(group_by)
+
+
+def missing_matrix(df: DataFrame, keys: list[str], n: int = MAX_MISSING_HEATMAP_ROWS,
+                   max_columns: int = MAX_MISSING_HEATMAP_COLUMNS, seed: int = SEED) -> DataFrame:
+    """0/1 missing flags of the first ``max_columns`` columns for a
+    deterministic sample of ``n`` rows."""
+    cols = df.columns[:max_columns]
+    types = {f.name: f.dataType for f in df.schema.fields}
+    flags = []
+    for c in cols:
+        miss = col(c).isNull()
+        if isinstance(types[c], (T.FloatType, T.DoubleType)):
+            miss = miss | F.isnan(col(c))
+        flags.append(miss.cast("int").alias(f"{c}_missing"))
+    picked = sample_rows(df, keys, n, seed=seed)
+    return picked.select(*[col(k).alias(k) for k in keys], *flags)
+
+
+def pair_sample(df: DataFrame, keys: list[str], columns: list[str],
+                n: int = MAX_SCATTER_ROWS, seed: int = SEED) -> DataFrame:
+    """Up to six numeric columns on a deterministic sample."""
+    return sample_rows(df, keys, n, columns=list(keys) + list(columns[:MAX_PAIR_COLUMNS]), seed=seed)
+
+
+def head_rows(df: DataFrame, order_by: list[str], n: int = 150, descending: bool = False) -> DataFrame:
+    """First (or last) ``n`` rows by an explicit order."""
+    order = [col(k).desc() if descending else col(k) for k in order_by]
+    return df.orderBy(*order).limit(n)

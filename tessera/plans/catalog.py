@@ -38,7 +38,7 @@ def q_describe(spark, sf):
     return profile.describe(read_table(spark, sf, "customer"))
 
 
-def queries() -> dict[str, Query]:
+def _profile() -> dict[str, Query]:
     return {
         "column_statistics": q_column_statistics,
         "dataset_summary": q_dataset_summary,
@@ -47,3 +47,78 @@ def queries() -> dict[str, Query]:
         "dtype_report": q_dtype_report,
         "describe": q_describe,
     }
+
+
+# --- relations and chart data ----------------------------------------------
+from tessera.operators import chartdata, relations  # noqa: E402
+
+
+def q_correlation_matrix(spark, sf):
+    return relations.correlation_matrix(read_table(spark, sf, "lineitem"))
+
+
+def q_data_distribution(spark, sf):
+    return relations.data_distribution(read_table(spark, sf, "lineitem"), n_bins=10)
+
+
+def q_value_counts_topn(spark, sf):
+    return chartdata.value_counts(read_table(spark, sf, "part"), "p_brand", top_n=20)
+
+
+def q_grouped_agg(spark, sf):
+    return chartdata.grouped_agg(read_table(spark, sf, "orders"), "o_orderpriority", "o_totalprice", "mean")
+
+
+def q_trend_line(spark, sf):
+    return chartdata.trend(read_table(spark, sf, "orders"), "o_orderdate", "o_totalprice", "o_orderstatus")
+
+
+def q_pie_share(spark, sf):
+    return chartdata.pie_share(read_table(spark, sf, "part"), "p_type", "p_retailprice", top_n=10)
+
+
+def q_box_stats(spark, sf):
+    return chartdata.box_stats(read_table(spark, sf, "events"), "value", "event_type")
+
+
+def q_violin_density(spark, sf):
+    return chartdata.violin_density(read_table(spark, sf, "events"), "value", "event_type", bins=20)
+
+
+def q_ols_trend(spark, sf):
+    return relations.ols_trend(read_table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice")
+
+
+def q_sample_rows(spark, sf):
+    return chartdata.sample_rows(read_table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], 5000)
+
+
+def q_missing_matrix(spark, sf):
+    return chartdata.missing_matrix(fixtures.dirty_orders(spark, sf), ["o_orderkey"], 500)
+
+
+def q_head_rows(spark, sf):
+    return chartdata.head_rows(fixtures.scored_events(spark, sf), ["event_id"], 150)
+
+
+_CHART = {
+    "correlation_matrix": q_correlation_matrix,
+    "data_distribution": q_data_distribution,
+    "value_counts_topn": q_value_counts_topn,
+    "grouped_agg": q_grouped_agg,
+    "trend_line": q_trend_line,
+    "pie_share": q_pie_share,
+    "box_stats": q_box_stats,
+    "violin_density": q_violin_density,
+    "ols_trend": q_ols_trend,
+    "sample_rows": q_sample_rows,
+    "missing_matrix": q_missing_matrix,
+    "head_rows": q_head_rows,
+}
+
+
+def queries() -> dict[str, Query]:
+    out: dict[str, Query] = {}
+    out.update(_profile())
+    out.update(_CHART)
+    return out

@@ -125,7 +125,7 @@ def dataset_summary_sql(table: str, cols: list[str], n_num: int, n_cat: int, n_d
         f"CAST({n_dt} AS BIGINT) AS datetime_columns FROM {table}")
 
 
-def oracle_sql() -> dict[str, str]:
+def profile_sql() -> dict[str, str]:
     dirty = with_(DIRTY_ORDERS)
     return {
         "column_statistics": column_statistics_sql("lineitem", LINEITEM_NUMERIC),
@@ -135,3 +135,133 @@ def oracle_sql() -> dict[str, str]:
         "dtype_report": dtype_report_sql("events", EVENTS_COLUMNS, "event_id"),
         "describe": describe_sql("customer", ["c_custkey", "c_nationkey", "c_acctbal"], ["c_name", "c_mktsegment"]),
     }
+
+
+# ---------------------------------------------------------------------------
+# relations and chart data
+# ---------------------------------------------------------------------------
+def correlation_sql(table: str, cols: list[str]) -> str:
+    parts = []
+    for i, a in enumerate(cols):
+        for b in cols[i:]:
+            parts.append(f"SELECT '{a}' AS col1, '{b}' AS col2, corr({_d(a)}, {_d(b)}) AS correlation FROM {table}")
+    return union_all(parts)
+
+
+def _bin_sql(x: str, n: int) -> str:
+    """numpy bin index of x given lo/hi/step columns in scope (see relations.bin_index)."""
+    def edge(k: str) -> str:
+        return f"(CASE WHEN {k} >= {n} THEN hi ELSE {k} * step + lo END)"
+    i0 = f"least(CAST(floor(({x} - lo) * (CAST({n} AS DOUBLE) / (hi - lo))) AS INTEGER), {n - 1})"
+    i1 = f"(CASE WHEN {x} < {edge('i0')} THEN i0 - 1 ELSE i0 END)"
+    i2 = f"(CASE WHEN i1 <> {n - 1} AND {x} >= {edge('(i1 + 1)')} THEN i1 + 1 ELSE i1 END)"
+    return i0, i1, i2
+
+
+def _bounds_cte(name: str, table: str, x: str, n: int) -> str:
+    return (f"{name} AS (SELECT lo, hi, (hi - lo) / CAST({n} AS DOUBLE) AS step FROM ("
+            f"SELECT CASE WHEN mn = mx THEN mn - 0.5 ELSE mn END AS lo, "
+            f"CASE WHEN mn = mx THEN mx + 0.5 ELSE mx END AS hi FROM ("
+            f"SELECT min({x}) AS mn, max({x}) AS mx FROM {table})))")
+
+
+def _binned(table: str, x: str, bounds: str, n: int, keep: str = "") -> str:
+    i0, i1, i2 = _bin_sql("x", n)
+    keep_sel = f"{keep}, " if keep else ""
+    return (f"SELECT {keep_sel}{i2} AS bin FROM (SELECT {keep_sel}x, lo, hi, step, {i1} AS i1 FROM ("
+            f"SELECT {keep_sel}x, lo, hi, step, {i0} AS i0 FROM (SELECT {keep_sel}{x} AS x FROM {table} "
+            f"WHERE {x} IS NOT NULL), {bounds}))")
+
+
+def distribution_sql(table: str, cols: list[str], n: int = 10) -> str:
+    parts = []
+    for k, c in enumerate(cols):
+        x = _d(c)
+        b = f"bd{k}"
+        grid = (f"SELECT i, i * step + lo AS e0, CASE WHEN i = {n - 1} THEN hi ELSE (i + 1) * step + lo END AS e1 "
+                f"FROM range({n}) t(i), {b}")
+        counts = f"SELECT bin, count(*) AS cnt FROM ({_binned(table, x, b, n)}) GROUP BY bin"
+        parts.append(
+            f"SELECT '{c.lower()}' AS column_name, e0 AS bin_start, e1 AS bin_end, "
+            f"printf('%.2f – %.2f', e0, e1) AS bin_label, CAST(coalesce(cnt, 0) AS BIGINT) AS \"count\" "
+            f"FROM ({grid}) g LEFT JOIN ({counts}) h ON g.i = h.bin")
+    ctes = ",\n".join(_bounds_cte(f"bd{k}", table, _d(c), n) for k, c in enumerate(cols))
+    return f"WITH {ctes}\n" + union_all(parts)
+
+
+def box_stats_sql(table: str, value: str, group: str) -> str:
+    return f"""
+WITH q AS (
+  SELECT {group}, count(*) AS n, quantile_cont({value}, 0.25) AS q1, quantile_cont({value}, 0.5) AS median,
+         quantile_cont({value}, 0.75) AS q3
+  FROM {table} WHERE {group} IS NOT NULL AND {value} IS NOT NULL GROUP BY {group}),
+f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence FROM q)
+SELECT f.{group}, f.n, min(t.{value}) AS "min", f.q1, f.median, f.q3, max(t.{value}) AS "max",
+       f.lower_fence, f.upper_fence,
+       min(CASE WHEN t.{value} >= f.lower_fence AND t.{value} <= f.upper_fence THEN t.{value} END) AS whisker_low,
+       max(CASE WHEN t.{value} >= f.lower_fence AND t.{value} <= f.upper_fence THEN t.{value} END) AS whisker_high,
+       CAST(sum(CASE WHEN t.{value} < f.lower_fence OR t.{value} > f.upper_fence THEN 1 ELSE 0 END) AS BIGINT) AS outliers
+FROM {table} t JOIN f ON t.{group} = f.{group} WHERE t.{value} IS NOT NULL
+GROUP BY f.{group}, f.n, f.q1, f.median, f.q3, f.lower_fence, f.upper_fence"""
+
+
+def violin_sql(table: str, value: str, group: str, n: int = 20) -> str:
+    x = _d(value)
+    binned = _binned(table, x, "bd", n, keep=group)
+    return f"""
+WITH {_bounds_cte('bd', table, x, n)},
+c AS (SELECT {group}, bin, count(*) AS cnt FROM ({binned}) WHERE {group} IS NOT NULL GROUP BY {group}, bin),
+e AS (SELECT c.*, bin * step + lo AS e0, CASE WHEN bin = {n - 1} THEN hi ELSE (bin + 1) * step + lo END AS e1 FROM c, bd)
+SELECT {group}, CAST(bin AS INTEGER) AS bin, e0 AS bin_start, e1 AS bin_end, CAST(cnt AS BIGINT) AS "count",
+       cnt / (sum(cnt) OVER (PARTITION BY {group}) * (e1 - e0)) AS density FROM e"""
+
+
+def md5_bucket_sql(keys: list[str], seed: int = 42) -> str:
+    text = " || '|' || ".join([f"'{seed}'"] + [f"CAST({k} AS VARCHAR)" for k in keys])
+    return f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT)"
+
+
+def sample_sql(table: str, keys: list[str], n: int, select: str = "*") -> str:
+    order = ", ".join(["_h"] + keys)
+    return (f"SELECT {select} FROM (SELECT *, {md5_bucket_sql(keys)} AS _h FROM {table}) "
+            f"ORDER BY {order} LIMIT {n}")
+
+
+def missing_matrix_sql(table: str, keys: list[str], cols: list[str], n: int, prefix: str) -> str:
+    flags = ", ".join(f"CAST({c} IS NULL AS INTEGER) AS {c}_missing" for c in cols)
+    inner = sample_sql(table, keys, n)
+    return prefix + f"SELECT {', '.join(keys)}, {flags} FROM ({inner})"
+
+
+def chart_sql() -> dict[str, str]:
+    dirty = with_(DIRTY_ORDERS)
+    return {
+        "correlation_matrix": correlation_sql("lineitem", LINEITEM_NUMERIC),
+        "data_distribution": distribution_sql("lineitem", LINEITEM_NUMERIC, 10),
+        "value_counts_topn": ("SELECT p_brand, count(*) AS \"count\" FROM part WHERE p_brand IS NOT NULL "
+                              "GROUP BY p_brand ORDER BY \"count\" DESC, p_brand LIMIT 20"),
+        "grouped_agg": ("SELECT o_orderpriority, avg(o_totalprice) AS o_totalprice FROM orders "
+                        "WHERE o_orderpriority IS NOT NULL GROUP BY o_orderpriority"),
+        "trend_line": ("SELECT o_orderdate, o_orderstatus, avg(o_totalprice) AS o_totalprice FROM orders "
+                       "WHERE o_orderdate IS NOT NULL AND o_orderstatus IS NOT NULL GROUP BY ALL"),
+        "pie_share": ("WITH t AS (SELECT p_type, sum(p_retailprice) AS amount FROM part WHERE p_type IS NOT NULL "
+                      "GROUP BY p_type ORDER BY amount DESC, p_type LIMIT 10) "
+                      "SELECT p_type, amount, amount / (SELECT sum(amount) FROM t) AS share FROM t"),
+        "box_stats": box_stats_sql("events", "value", "event_type"),
+        "violin_density": violin_sql("events", "value", "event_type", 20),
+        "ols_trend": ("SELECT regr_slope(l_extendedprice, l_quantity) AS slope, "
+                      "regr_intercept(l_extendedprice, l_quantity) AS intercept, "
+                      "regr_r2(l_extendedprice, l_quantity) AS r2, "
+                      "CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n FROM lineitem"),
+        "sample_rows": sample_sql("lineitem", ["l_orderkey", "l_linenumber"], 5000, select="* EXCLUDE (_h)"),
+        "missing_matrix": missing_matrix_sql("dirty_orders", ["o_orderkey"], [c for c, _ in DIRTY_COLUMNS],
+                                             500, dirty),
+        "head_rows": with_(SCORED_EVENTS) + "SELECT * FROM scored_events ORDER BY event_id LIMIT 150",
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    out: dict[str, str] = {}
+    for part in (profile_sql, chart_sql):
+        out.update(part())
+    return out
