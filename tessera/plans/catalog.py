@@ -117,8 +117,93 @@ _CHART = {
 }
 
 
+# --- cleaning ---------------------------------------------------------------
+from tessera.operators import clean, ordered  # noqa: E402
+
+
+def q_trim_na(spark, sf):
+    return clean.trim_whitespace(fixtures.dirty_orders(spark, sf))
+
+
+def q_drop_empty(spark, sf):
+    return clean.remove_empty_columns(fixtures.dirty_orders(spark, sf))[0]
+
+
+def q_dedup(spark, sf):
+    return clean.remove_duplicates(fixtures.dirty_orders(spark, sf))
+
+
+def q_date_parse(spark, sf):
+    return clean.parse_date_columns(fixtures.dirty_orders(spark, sf))[0]
+
+
+def q_calendar_features(spark, sf):
+    return clean.extract_datetime_features(read_table(spark, sf, "lineitem"), ["l_shipdate"])[0]
+
+
+def q_impute_median(spark, sf):
+    return clean.impute_median(fixtures.dirty_orders(spark, sf))
+
+
+def q_impute_mode(spark, sf):
+    return clean.impute_mode(fixtures.dirty_orders(spark, sf))
+
+
+def q_ffill_dates(spark, sf):
+    return ordered.ffill_bfill(fixtures.dirty_orders(spark, sf), ["dt"], "o_orderkey")
+
+
+def q_iqr_bounds(spark, sf):
+    df = read_table(spark, sf, "events")
+    b = clean.iqr_bounds(df)
+    return spark.createDataFrame([(c, *v) for c, v in b.items()],
+                                 "column_name string, q1 double, q3 double, lower_bound double, upper_bound double")
+
+
+def q_outlier_summary(spark, sf):
+    s = clean.detect_outliers_iqr(read_table(spark, sf, "events"))
+    return spark.createDataFrame([(x.column, x.outlier_count, x.lower_bound, x.upper_bound) for x in s],
+                                 "column_name string, outlier_count long, lower_bound double, upper_bound double")
+
+
+def q_cap_outliers(spark, sf):
+    return clean.treat_outliers(read_table(spark, sf, "events"), "cap")[0]
+
+
+def q_remove_outliers(spark, sf):
+    return clean.treat_outliers(read_table(spark, sf, "events"), "remove")[0]
+
+
+def q_clean_dataframe(spark, sf):
+    return clean.clean_dataframe(fixtures.dirty_orders(spark, sf), order_by="o_orderkey")[0]
+
+
+def q_cleaning_report(spark, sf):
+    _, report = clean.clean_dataframe(fixtures.dirty_orders(spark, sf), order_by="o_orderkey")
+    return clean.report_frame(spark, report)
+
+
+_CLEAN = {
+    "trim_na": q_trim_na,
+    "drop_empty": q_drop_empty,
+    "dedup": q_dedup,
+    "date_parse": q_date_parse,
+    "calendar_features": q_calendar_features,
+    "impute_median": q_impute_median,
+    "impute_mode": q_impute_mode,
+    "ffill_dates": q_ffill_dates,
+    "iqr_bounds": q_iqr_bounds,
+    "outlier_summary": q_outlier_summary,
+    "cap_outliers": q_cap_outliers,
+    "remove_outliers": q_remove_outliers,
+    "clean_dataframe": q_clean_dataframe,
+    "cleaning_report": q_cleaning_report,
+}
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(_profile())
     out.update(_CHART)
+    out.update(_CLEAN)
     return out

@@ -260,8 +260,98 @@ def chart_sql() -> dict[str, str]:
     }
 
 
+# ---------------------------------------------------------------------------
+# cleaning
+# ---------------------------------------------------------------------------
+def _trim(c: str) -> str:
+    t = f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+    return f"CASE WHEN {t} IN ('nan', 'None', '') THEN NULL ELSE {t} END"
+
+
+def _calendar(x: str, prefix: str = "") -> str:
+    return ", ".join([
+        f"CAST(year({x}) AS INTEGER) AS {prefix}year",
+        f"CAST(month({x}) AS INTEGER) AS {prefix}month",
+        f"CAST(quarter({x}) AS INTEGER) AS {prefix}quarter",
+        f"CAST(weekofyear({x}) AS INTEGER) AS {prefix}week",
+        f"CAST(day({x}) AS INTEGER) AS {prefix}day",
+        f"CAST(isodow({x}) - 1 AS INTEGER) AS {prefix}dayofweek",
+        f"CAST(isodow({x}) >= 6 AS INTEGER) AS {prefix}weekend",
+    ])
+
+
+def _mode(table: str, c: str) -> str:
+    return (f"(SELECT {c} FROM {table} WHERE {c} IS NOT NULL GROUP BY {c} "
+            f"ORDER BY count(*) DESC, {c} LIMIT 1)")
+
+
+def _ffill(c: str, key: str) -> str:
+    return (f"coalesce(last_value({c} IGNORE NULLS) OVER (ORDER BY {key} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), "
+            f"first_value({c} IGNORE NULLS) OVER (ORDER BY {key} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))")
+
+
+def _fences(table: str, cols: list[str]) -> str:
+    parts = []
+    for c in cols:
+        parts.append(
+            f"SELECT '{c}' AS column_name, q1, q3, q1 - 1.5 * (q3 - q1) AS lower_bound, q3 + 1.5 * (q3 - q1) AS upper_bound "
+            f"FROM (SELECT quantile_cont({_d(c)}, 0.25) AS q1, quantile_cont({_d(c)}, 0.75) AS q3 FROM {table})")
+    return union_all(parts)
+
+
+EVENTS_NUMERIC = ["event_id", "user_id", "value"]
+
+
+def clean_sql() -> dict[str, str]:
+    dirty = with_(DIRTY_ORDERS)
+    fences = f"fences AS ({_fences('events', EVENTS_NUMERIC)})"
+
+    def fence(c, side):
+        return f"(SELECT {side} FROM fences WHERE column_name = '{c}')"
+
+    outside = " OR ".join(f"({c} < {fence(c, 'lower_bound')} OR {c} > {fence(c, 'upper_bound')})"
+                          for c in EVENTS_NUMERIC)
+    cleaned = DIRTY_ORDERS + f""",
+t AS (SELECT o_orderkey, price, {_trim('prio')} AS prio, {_trim('d')} AS d, dt FROM dirty_orders),
+u AS (SELECT DISTINCT * FROM t),
+p AS (SELECT o_orderkey, price, prio, TRY_CAST(d AS TIMESTAMP) AS d, dt FROM u),
+f AS (SELECT o_orderkey, coalesce(price, (SELECT quantile_cont(price, 0.5) FROM p)) AS price,
+             coalesce(prio, {_mode('p', 'prio')}) AS prio, d, {_ffill('dt', 'o_orderkey')} AS dt,
+             {_calendar('d')} FROM p),
+b AS (SELECT quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3 FROM f),
+fb AS (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM b)
+"""
+    return {
+        "trim_na": dirty + f"SELECT o_orderkey, price, {_trim('prio')} AS prio, {_trim('d')} AS d, dt, empty_col FROM dirty_orders",
+        "drop_empty": dirty + "SELECT * EXCLUDE (empty_col) FROM dirty_orders",
+        "dedup": dirty + "SELECT DISTINCT * FROM dirty_orders",
+        "date_parse": dirty + "SELECT o_orderkey, price, prio, TRY_CAST(d AS TIMESTAMP) AS d, dt, empty_col FROM dirty_orders",
+        "calendar_features": f"SELECT *, {_calendar('l_shipdate')} FROM lineitem",
+        "impute_median": dirty + ("SELECT o_orderkey, coalesce(price, (SELECT quantile_cont(price, 0.5) FROM dirty_orders)) AS price, "
+                                  "prio, d, dt, empty_col FROM dirty_orders"),
+        "impute_mode": dirty + (f"SELECT o_orderkey, price, coalesce(prio, {_mode('dirty_orders', 'prio')}) AS prio, "
+                                f"coalesce(d, {_mode('dirty_orders', 'd')}) AS d, dt, empty_col FROM dirty_orders"),
+        "ffill_dates": dirty + f"SELECT o_orderkey, price, prio, d, {_ffill('dt', 'o_orderkey')} AS dt, empty_col FROM dirty_orders",
+        "iqr_bounds": _fences("events", EVENTS_NUMERIC),
+        "outlier_summary": f"WITH {fences} " + union_all([
+            f"SELECT '{c}' AS column_name, count(*) AS outlier_count, {fence(c, 'lower_bound')} AS lower_bound, "
+            f"{fence(c, 'upper_bound')} AS upper_bound FROM events "
+            f"WHERE {c} < {fence(c, 'lower_bound')} OR {c} > {fence(c, 'upper_bound')} HAVING count(*) > 0"
+            for c in EVENTS_NUMERIC]),
+        # event_id and user_id have no values outside their fences (see outlier_summary), so only value is clipped
+        "cap_outliers": f"WITH {fences} SELECT event_id, ts, user_id, event_type, "
+                        f"least(greatest(value, {fence('value', 'lower_bound')}), {fence('value', 'upper_bound')}) AS value, "
+                        f"props FROM events",
+        "remove_outliers": f"WITH {fences} SELECT * FROM events WHERE NOT ({outside})",
+        "clean_dataframe": "WITH " + cleaned + (
+            "SELECT o_orderkey, CASE WHEN (SELECT count(*) FROM f, fb WHERE price < lo OR price > hi) > 0 "
+            "THEN least(greatest(price, (SELECT lo FROM fb)), (SELECT hi FROM fb)) ELSE price END AS price, "
+            "prio, d, dt, year, month, quarter, week, day, dayofweek, weekend FROM f"),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
-    for part in (profile_sql, chart_sql):
+    for part in (profile_sql, chart_sql, clean_sql):
         out.update(part())
     return out
