@@ -97,3 +97,29 @@ def row_index(df: DataFrame, order_by: list[str] | str, name: str = "row_idx",
     return blocked.select(
         (F.row_number().over(w) + F.element_at(off, F.col(_BLOCK) + 1)).cast("long").alias(name),
         *[col(c) for c in df.columns])
+
+
+def dense_index(df: DataFrame, key: str, name: str = "index") -> DataFrame:
+    """``(key, index)`` with index 0..k-1 over the sorted distinct keys.
+
+    The distinct keys are range-partitioned and sorted by ``orderBy`` (a
+    distributed sort); each row's position inside its sorted partition comes
+    from ``monotonically_increasing_id`` (partition id in the upper bits),
+    and the partition offsets — one number per partition — are summed on the
+    driver.  No single task ever sees more than one partition of keys.
+    """
+    from pyspark import StorageLevel
+    ordered = (df.select(col(key).alias(key)).where(col(key).isNotNull()).distinct().orderBy(key)
+               .withColumn("_mid", F.monotonically_increasing_id())
+               .persist(StorageLevel.MEMORY_AND_DISK))
+    counts = {int(r["pid"]): int(r["n"]) for r in
+              ordered.groupBy(F.shiftright("_mid", 33).alias("pid")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    offsets, acc = {}, 0
+    for pid in sorted(counts):
+        offsets[pid] = acc
+        acc += counts[pid]
+    off = F.create_map(*[x for pid, o in offsets.items() for x in (F.lit(pid), F.lit(o).cast("long"))]) \
+        if offsets else F.create_map(F.lit(0), F.lit(0).cast("long"))
+    pid = F.shiftright("_mid", 33)
+    local = F.col("_mid") - F.shiftleft(pid, 33)
+    return ordered.select(col(key).alias(key), (F.element_at(off, pid.cast("int")) + local).alias(name))

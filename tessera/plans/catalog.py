@@ -201,9 +201,64 @@ _CLEAN = {
 }
 
 
+# --- features ----------------------------------------------------------------
+from tessera.operators import features  # noqa: E402
+
+
+def q_id_columns(spark, sf):
+    return features.id_report(read_table(spark, sf, "orders"), exact=True)
+
+
+def q_suggest_target(spark, sf):
+    return spark.createDataFrame([(features.suggest_target(read_table(spark, sf, "orders")),)], "target string")
+
+
+def q_problem_type(spark, sf):
+    li = read_table(spark, sf, "lineitem")
+    cols = ["l_returnflag", "l_linenumber", "l_quantity", "l_extendedprice"]
+    return spark.createDataFrame([(c, features.detect_problem_type(li, c)) for c in cols],
+                                 "column_name string, problem_type string")
+
+
+def q_encoding_plan(spark, sf):
+    return features.encoding_plan(read_table(spark, sf, "part"), "p_retailprice")
+
+
+def q_label_encode(spark, sf):
+    part = read_table(spark, sf, "part")
+    return features.apply_label(part, features.fit_label(part, "p_name"))
+
+
+def q_onehot(spark, sf):
+    orders = read_table(spark, sf, "orders")
+    return features.apply_onehot(orders, features.fit_onehot(orders, "o_orderpriority"))
+
+
+def q_target_encode(spark, sf):
+    part = read_table(spark, sf, "part")
+    return features.apply_target(part, features.fit_target(part, "p_brand", "p_retailprice"))
+
+
+def q_engineer_features(spark, sf):
+    return features.engineer_features(read_table(spark, sf, "orders"), "o_totalprice")[0]
+
+
+_FEATURES = {
+    "id_columns": q_id_columns,
+    "suggest_target": q_suggest_target,
+    "problem_type": q_problem_type,
+    "encoding_plan": q_encoding_plan,
+    "label_encode": q_label_encode,
+    "onehot": q_onehot,
+    "target_encode": q_target_encode,
+    "engineer_features": q_engineer_features,
+}
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(_profile())
     out.update(_CHART)
     out.update(_CLEAN)
+    out.update(_FEATURES)
     return out

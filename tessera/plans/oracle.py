@@ -350,8 +350,70 @@ fb AS (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM b)
     }
 
 
+# ---------------------------------------------------------------------------
+# features
+# ---------------------------------------------------------------------------
+ORDERS_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+PART_COLUMNS = [("p_partkey", "num"), ("p_name", "cat"), ("p_brand", "cat"), ("p_type", "cat"),
+                ("p_size", "num"), ("p_retailprice", "num")]
+
+
+def _ratio_rows(table: str, cols: list[str]) -> str:
+    return union_all([
+        f"SELECT {i} AS pos, '{c}' AS column_name, count({c}) AS non_null, count(DISTINCT {c}) AS unique_values, "
+        f"CAST(count(DISTINCT {c}) AS DOUBLE) / CAST(count({c}) AS DOUBLE) AS unique_ratio FROM {table}"
+        for i, c in enumerate(cols)])
+
+
+def _strategy(u: str) -> str:
+    return f"CASE WHEN {u} <= 10 THEN 'onehot' WHEN {u} <= 50 THEN 'target' ELSE 'label' END"
+
+
+def features_sql() -> dict[str, str]:
+    part_all = "p_partkey, p_name, p_brand, p_type, p_size, p_retailprice"
+    prio = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    prio_cols = ", ".join(f"CAST(coalesce(o_orderpriority, 'nan') = '{v}' AS INTEGER) AS \"o_orderpriority_{v}\""
+                          for v in prio)
+    status_cols = ", ".join(f"CAST(coalesce(o_orderstatus, 'nan') = '{v}' AS INTEGER) AS \"o_orderstatus_{v}\""
+                            for v in ("F", "O", "P"))
+    feat_cols = [c for c, _ in PART_COLUMNS if c != "p_retailprice"]
+    cats = {c for c, k in PART_COLUMNS if k == "cat"}
+    plan_parts = []
+    for c in feat_cols:
+        if c in cats:
+            plan_parts.append(f"SELECT column_name, unique_values, CASE WHEN unique_ratio >= 0.9 THEN "
+                              f"'excluded (id-like)' ELSE {_strategy('unique_values')} END AS strategy "
+                              f"FROM r WHERE column_name = '{c}'")
+        else:
+            plan_parts.append(f"SELECT column_name, unique_values, 'excluded (id-like)' AS strategy "
+                              f"FROM r WHERE column_name = '{c}' AND unique_ratio >= 0.9")
+    return {
+        "id_columns": (f"SELECT column_name, non_null, unique_values, unique_ratio, unique_ratio >= 0.9 AS is_id "
+                       f"FROM ({_ratio_rows('orders', ORDERS_COLUMNS)})"),
+        "suggest_target": (f"SELECT column_name AS target FROM ({_ratio_rows('orders', ['o_orderkey', 'o_custkey', 'o_totalprice'])}) "
+                           f"WHERE unique_ratio < 0.9 ORDER BY pos LIMIT 1"),
+        "problem_type": union_all([
+            "SELECT 'l_returnflag' AS column_name, 'classification' AS problem_type"] + [
+            f"SELECT '{c}', CASE WHEN count(DISTINCT {c}) <= 20 THEN 'classification' ELSE 'regression' END FROM lineitem"
+            for c in ("l_linenumber", "l_quantity", "l_extendedprice")]),
+        "encoding_plan": f"WITH r AS ({_ratio_rows('part', feat_cols)}) " + union_all(plan_parts),
+        "label_encode": ("SELECT p_partkey, dense_rank() OVER (ORDER BY coalesce(p_name, 'nan')) - 1 AS p_name, "
+                         "p_brand, p_type, p_size, p_retailprice FROM part"),
+        "onehot": f"SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, {prio_cols} FROM orders",
+        "target_encode": (
+            "WITH g AS (SELECT avg(p_retailprice) AS gm FROM part), "
+            "s AS (SELECT coalesce(p_brand, 'nan') AS k, avg(p_retailprice) AS m, count(p_retailprice) AS n "
+            "FROM part GROUP BY 1) "
+            "SELECT p_partkey, p_name, p_type, p_size, p_retailprice, "
+            "coalesce((s.n * s.m + 10.0 * g.gm) / (s.n + 10.0), g.gm) AS p_brand_target_enc "
+            "FROM part LEFT JOIN s ON coalesce(part.p_brand, 'nan') = s.k, g"),
+        "engineer_features": (f"SELECT o_custkey, {_calendar('o_orderdate')}, {status_cols}, {prio_cols}, o_totalprice "
+                              f"FROM orders"),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
-    for part in (profile_sql, chart_sql, clean_sql):
+    for part in (profile_sql, chart_sql, clean_sql, features_sql):
         out.update(part())
     return out
