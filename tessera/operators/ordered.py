@@ -123,3 +123,23 @@ def dense_index(df: DataFrame, key: str, name: str = "index") -> DataFrame:
     pid = F.shiftright("_mid", 33)
     local = F.col("_mid") - F.shiftleft(pid, 33)
     return ordered.select(col(key).alias(key), (F.element_at(off, pid.cast("int")) + local).alias(name))
+
+
+def running_total(df: DataFrame, order_by: str, value: str, name: str = "running",
+                  inclusive: bool = False, blocks: int | None = None) -> DataFrame:
+    """Sum of ``value`` over all rows before (``inclusive``: up to and
+    including) each row in ``order_by`` order, with per-block totals carried
+    across blocks instead of one global window."""
+    blocked, nblocks = with_blocks(df, order_by, blocks)
+    sums = {r[_BLOCK]: r["s"] for r in blocked.groupBy(_BLOCK).agg(F.sum(col(value)).alias("s")).collect()}
+    offsets, acc = [], 0
+    for b in range(nblocks):
+        offsets.append(acc)
+        acc += sums.get(b) or 0
+    off = F.array(*[F.lit(v) for v in offsets])
+    frame_end = Window.currentRow if inclusive else -1
+    w = (Window.partitionBy(_BLOCK).orderBy(F.col(_KEYD))
+         .rowsBetween(Window.unboundedPreceding, frame_end))
+    within = F.coalesce(F.sum(col(value)).over(w), F.lit(0))
+    return blocked.select(*[col(c) for c in df.columns],
+                          (within + F.element_at(off, F.col(_BLOCK) + 1)).alias(name))

@@ -90,7 +90,7 @@ def q_ols_trend(spark, sf):
 
 
 def q_sample_rows(spark, sf):
-    return chartdata.sample_rows(read_table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], 5000)
+    return chartdata.sample_rows(read_table(spark, sf, "lineitem"), LINE_KEYS, 5000)
 
 
 def q_missing_matrix(spark, sf):
@@ -255,10 +255,84 @@ _FEATURES = {
 }
 
 
+# --- split, scaling, evaluation ----------------------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from tessera.operators import evaluate, split_scale  # noqa: E402
+
+SCALE_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+# (l_orderkey, l_linenumber) repeats in the given data; these four identify a row
+LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+def q_stratified_split(spark, sf):
+    return split_scale.split_labels(read_table(spark, sf, "lineitem"), LINE_KEYS, stratify="l_returnflag")
+
+
+def q_random_split(spark, sf):
+    return split_scale.split_labels(read_table(spark, sf, "orders"), ["o_orderkey"])
+
+
+def _scaled(spark, sf, kind):
+    li = read_table(spark, sf, "lineitem").select(*LINE_KEYS, *SCALE_COLUMNS)
+    return split_scale.fit_scaler(li, SCALE_COLUMNS, kind).transform(li)
+
+
+def q_standard_scale(spark, sf):
+    return _scaled(spark, sf, "standard")
+
+
+def q_minmax_scale(spark, sf):
+    return _scaled(spark, sf, "minmax")
+
+
+def q_robust_scale(spark, sf):
+    return _scaled(spark, sf, "robust")
+
+
+def q_regression_metrics(spark, sf):
+    return evaluate.regression_metrics(fixtures.scored_events(spark, sf))
+
+
+def q_classification_metrics(spark, sf):
+    s = fixtures.scored_events(spark, sf).withColumn("prediction", (F.col("predicted") > 50).cast("int"))
+    return evaluate.classification_metrics(s, "label", "prediction")
+
+
+def q_roc_auc(spark, sf):
+    return evaluate.roc_auc_frame(fixtures.scored_events(spark, sf), "label", "score")
+
+
+def q_residuals(spark, sf):
+    return evaluate.prediction_residuals(fixtures.scored_events(spark, sf), "event_id")
+
+
+def q_metrics_detail(spark, sf):
+    s = fixtures.scored_events(spark, sf).join(
+        read_table(spark, sf, "events").select("event_id", "event_type"), "event_id")
+    per_segment = evaluate.regression_metrics(s, group="event_type").withColumnRenamed("event_type", "model")
+    return evaluate.metrics_detail(per_segment)
+
+
+_EVAL = {
+    "stratified_split": q_stratified_split,
+    "random_split": q_random_split,
+    "standard_scale": q_standard_scale,
+    "minmax_scale": q_minmax_scale,
+    "robust_scale": q_robust_scale,
+    "regression_metrics": q_regression_metrics,
+    "classification_metrics": q_classification_metrics,
+    "roc_auc": q_roc_auc,
+    "residuals": q_residuals,
+    "metrics_detail": q_metrics_detail,
+}
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(_profile())
     out.update(_CHART)
     out.update(_CLEAN)
     out.update(_FEATURES)
+    out.update(_EVAL)
     return out

@@ -36,6 +36,8 @@ scored_events AS (
   FROM events
 )"""
 
+# (l_orderkey, l_linenumber) repeats in the given data; these four identify a row
+LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 LINEITEM_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                     "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 DIRTY_COLUMNS = [("o_orderkey", "bigint"), ("price", "double"), ("prio", "string"),
@@ -253,7 +255,7 @@ def chart_sql() -> dict[str, str]:
                       "regr_intercept(l_extendedprice, l_quantity) AS intercept, "
                       "regr_r2(l_extendedprice, l_quantity) AS r2, "
                       "CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n FROM lineitem"),
-        "sample_rows": sample_sql("lineitem", ["l_orderkey", "l_linenumber"], 5000, select="* EXCLUDE (_h)"),
+        "sample_rows": sample_sql("lineitem", LINE_KEYS, 5000, select="* EXCLUDE (_h)"),
         "missing_matrix": missing_matrix_sql("dirty_orders", ["o_orderkey"], [c for c, _ in DIRTY_COLUMNS],
                                              500, dirty),
         "head_rows": with_(SCORED_EVENTS) + "SELECT * FROM scored_events ORDER BY event_id LIMIT 150",
@@ -412,8 +414,86 @@ def features_sql() -> dict[str, str]:
     }
 
 
+# ---------------------------------------------------------------------------
+# split, scaling, evaluation
+# ---------------------------------------------------------------------------
+SCALE_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def split_sql(table: str, cols: list[str], keys: list[str], stratify: str | None) -> str:
+    part = f"PARTITION BY {stratify} " if stratify else ""
+    order = ", ".join(["_h"] + keys)
+    return (f"WITH h AS (SELECT *, {md5_bucket_sql(keys)} AS _h FROM {table}), "
+            f"r AS (SELECT *, row_number() OVER ({part}ORDER BY {order}) AS _rn, "
+            f"count(*) OVER ({part.strip()}) AS _cnt FROM h) "
+            f"SELECT {', '.join(cols)}, CASE WHEN _rn <= ceil(_cnt * CAST(0.2 AS DOUBLE)) THEN 'test' ELSE 'train' END "
+            f"AS split FROM r")
+
+
+def scale_sql(kind: str) -> str:
+    sel = []
+    for c in SCALE_COLUMNS:
+        if kind == "standard":
+            center, spread = f"avg({c}) OVER ()", f"stddev_pop({c}) OVER ()"
+        elif kind == "minmax":
+            center, spread = f"min({c}) OVER ()", f"(max({c}) OVER () - min({c}) OVER ())"
+        else:
+            center = f"(SELECT quantile_cont({c}, 0.5) FROM lineitem)"
+            spread = (f"((SELECT quantile_cont({c}, 0.75) FROM lineitem) - "
+                      f"(SELECT quantile_cont({c}, 0.25) FROM lineitem))")
+        sel.append(f"({c} - {center}) / (CASE WHEN {spread} = 0 OR {spread} IS NULL THEN 1 ELSE {spread} END) AS {c}")
+    return f"SELECT {', '.join(LINE_KEYS)}, {', '.join(sel)} FROM lineitem"
+
+
+def eval_sql() -> dict[str, str]:
+    se = with_(SCORED_EVENTS)
+    valid = "actual IS NOT NULL AND predicted IS NOT NULL"
+    reg = ("avg(abs(actual - predicted)) AS mae, sqrt(avg((actual - predicted) * (actual - predicted))) AS rmse, "
+           "CASE WHEN var_pop(actual) > 0 THEN 1 - sum((actual - predicted) * (actual - predicted)) / "
+           "(var_pop(actual) * count(*)) END AS r2, count(*) AS n")
+    li_cols = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+               "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+    return {
+        "stratified_split": split_sql("lineitem", li_cols, LINE_KEYS, "l_returnflag"),
+        "random_split": split_sql("orders", ORDERS_COLUMNS, ["o_orderkey"], None),
+        "standard_scale": scale_sql("standard"),
+        "minmax_scale": scale_sql("minmax"),
+        "robust_scale": scale_sql("robust"),
+        "regression_metrics": se + f"SELECT {reg} FROM scored_events WHERE {valid}",
+        "classification_metrics": se + """,
+s AS (SELECT CAST(label AS VARCHAR) AS a, CAST(CASE WHEN predicted > 50 THEN 1 ELSE 0 END AS VARCHAR) AS p FROM scored_events),
+c AS (SELECT a, p, count(*) AS n FROM s GROUP BY a, p),
+sup AS (SELECT a AS k, sum(n) AS s FROM c GROUP BY a),
+pr AS (SELECT p AS k, sum(n) AS pn FROM c GROUP BY p),
+tp AS (SELECT a AS k, sum(n) AS t FROM c WHERE a = p GROUP BY a),
+per AS (SELECT sup.k, CAST(sup.s AS DOUBLE) AS s, CAST(coalesce(tp.t, 0) AS DOUBLE) AS t,
+               CAST(coalesce(pr.pn, 0) AS DOUBLE) AS pn
+        FROM sup LEFT JOIN tp ON sup.k = tp.k LEFT JOIN pr ON sup.k = pr.k),
+m AS (SELECT s, t, CASE WHEN pn > 0 THEN t / pn ELSE 0 END AS pc, t / s AS rc FROM per)
+SELECT sum(t) / sum(s) AS accuracy, sum(s * pc) / sum(s) AS "precision", sum(s * rc) / sum(s) AS recall,
+       sum(s * CASE WHEN pc + rc > 0 THEN 2 * pc * rc / (pc + rc) ELSE 0 END) / sum(s) AS f1,
+       CAST(sum(s) AS BIGINT) AS n FROM m""",
+        "roc_auc": se + """,
+g AS (SELECT score AS s, CAST(sum(label) AS DOUBLE) AS pos, CAST(sum(1 - label) AS DOUBLE) AS neg
+      FROM scored_events GROUP BY score),
+r AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM g)
+SELECT sum(pos * (nb + neg * 0.5)) / (sum(pos) * sum(neg)) AS roc_auc FROM r""",
+        "residuals": se + ("SELECT row_number() OVER (ORDER BY event_id) AS row_idx, actual, predicted, "
+                           "actual - predicted AS residual, abs(actual - predicted) AS abs_residual "
+                           f"FROM scored_events WHERE {valid}"),
+        "metrics_detail": se + f""",
+m AS (SELECT e.event_type AS model, {reg} FROM scored_events s JOIN events e USING (event_id)
+      WHERE {valid} GROUP BY e.event_type)
+SELECT model, metric, value FROM (
+  SELECT model, 'mae' AS metric, mae AS value FROM m UNION ALL
+  SELECT model, 'rmse', rmse FROM m UNION ALL
+  SELECT model, 'r2', r2 FROM m UNION ALL
+  SELECT model, 'n', CAST(n AS DOUBLE) FROM m) WHERE value IS NOT NULL""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
-    for part in (profile_sql, chart_sql, clean_sql, features_sql):
+    for part in (profile_sql, chart_sql, clean_sql, features_sql, eval_sql):
         out.update(part())
     return out
