@@ -337,13 +337,16 @@ def encode_categorical_columns(df: DataFrame, fit_df: DataFrame, categorical: li
 
 def engineer_features(df: DataFrame, target: str, *, use_target_encoding: bool = True,
                       add_datetime_features: bool = True, exclude_ids: bool = True,
-                      fit_on: DataFrame | None = None) -> tuple[DataFrame, FeatureModel]:
+                      fit_on: DataFrame | None = None,
+                      carry: list[str] | None = None) -> tuple[DataFrame, FeatureModel]:
     """E5: parse dates → calendar features → choose features → encode.
 
     Returns the processed DataFrame (features + target column) and the fitted
     model.  ``fit_on`` (default: ``df``) is the data the encoders are fitted
-    on — pass the training split to avoid target leakage.
+    on — pass the training split to avoid target leakage.  ``carry`` columns
+    (row keys) are passed through unchanged and are never features.
     """
+    carry = [c for c in (carry or []) if c != target]
     if target not in df.columns:
         raise ValueError(f"Target column '{target}' not found in dataframe.")
     dates = get_datetime_columns(df)
@@ -356,15 +359,15 @@ def engineer_features(df: DataFrame, target: str, *, use_target_encoding: bool =
         fit_df, _ = parse_date_columns(fit_on, dates)
         if add_datetime_features and parsed:
             fit_df, _ = extract_datetime_features(fit_df, parsed)
-    features, _, excluded = select_feature_columns(fit_df, target, exclude_ids=exclude_ids)
-    dropped = [c for c in working.columns if c not in features and c != target]
+    features, _, excluded = select_feature_columns(fit_df.drop(*carry), target, exclude_ids=exclude_ids)
+    dropped = [c for c in working.columns if c not in features and c != target and c not in carry]
     cats = [c for c in classify_columns(working.select(*[col(c) for c in features])).categorical]
-    selected = working.select(*[col(c) for c in features], col(target))
+    selected = working.select(*[col(c) for c in features], col(target), *[col(c) for c in carry])
     fit_sel = fit_df.select(*[col(c) for c in features], col(target))
     encoded, details, labels, onehots, targets = encode_categorical_columns(
         selected, fit_sel, cats, target, use_target_encoding)
-    names = [c for c in encoded.columns if c != target]
-    processed = encoded.select(*[col(c) for c in names], col(target))
+    names = [c for c in encoded.columns if c != target and c not in carry]
+    processed = encoded.select(*[col(c) for c in carry], *[col(c) for c in names], col(target))
     model = FeatureModel(target, parsed, added, features, excluded, dropped, names,
                          labels, onehots, targets, details)
     return processed, model

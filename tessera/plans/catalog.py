@@ -328,6 +328,63 @@ _EVAL = {
 }
 
 
+# --- training (rows-only checks: model numbers have no SQL equivalent) --------
+from tessera.operators import train  # noqa: E402
+
+
+_TRAINED: dict = {}
+
+
+def _once(kind, spark, sf, build):
+    """Reuse one fitted leaderboard per (application, input) within a process."""
+    key = (kind, spark.sparkContext.applicationId, sf)
+    if key not in _TRAINED:
+        _TRAINED[key] = build()
+    return _TRAINED[key]
+
+
+def orders_training(spark, sf, cv_folds=train.DEFAULT_CV_FOLDS):
+    return _once(("orders", cv_folds), spark, sf, lambda: _orders_training(spark, sf, cv_folds))
+
+
+def documents_training(spark, sf, cv_folds=train.DEFAULT_CV_FOLDS):
+    return _once(("documents", cv_folds), spark, sf, lambda: _documents_training(spark, sf, cv_folds))
+
+
+def _orders_training(spark, sf, cv_folds):
+    orders = read_table(spark, sf, "orders")
+    processed, fmodel = features.engineer_features(orders, "o_totalprice", carry=["o_orderkey"])
+    prep = train.prepare(processed, "o_totalprice", ["o_orderkey"], problem_type="regression")
+    return train.train_all_models(prep, cv_folds=cv_folds), fmodel, prep
+
+
+def _documents_training(spark, sf, cv_folds):
+    docs = read_table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    labeled = docs.join(read_table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    processed, fmodel = features.engineer_features(labeled, "quality", carry=["doc_id"])
+    prep = train.prepare(processed, "quality", ["doc_id"], problem_type="classification")
+    return train.train_all_models(prep, cv_folds=cv_folds), fmodel, prep
+
+
+def q_train_regression(spark, sf):
+    return orders_training(spark, sf)[0].results
+
+
+def q_train_classification(spark, sf):
+    return documents_training(spark, sf)[0].results
+
+
+def q_feature_importance(spark, sf):
+    return train.top_importance(orders_training(spark, sf)[0], 15)
+
+
+_TRAIN = {
+    "train_regression": q_train_regression,
+    "train_classification": q_train_classification,
+    "feature_importance": q_feature_importance,
+}
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(_profile())
@@ -335,4 +392,5 @@ def queries() -> dict[str, Query]:
     out.update(_CLEAN)
     out.update(_FEATURES)
     out.update(_EVAL)
+    out.update(_TRAIN)
     return out
