@@ -373,10 +373,13 @@ def engineer_features(df: DataFrame, target: str, *, use_target_encoding: bool =
     return processed, model
 
 
-def transform_features(df: DataFrame, model: FeatureModel, unseen_label: int = 0) -> DataFrame:
+def transform_features(df: DataFrame, model: FeatureModel, unseen_label: int = 0,
+                       carry: list[str] | None = None) -> DataFrame:
     """Apply a fitted model to new rows (unseen label → class 0,
     unseen one-hot → all zeros, unseen target category → training mean);
-    missing inputs are added as nulls, features missing at the end are 0."""
+    missing inputs are added as nulls, features missing at the end are 0.
+    ``carry`` columns pass through unchanged."""
+    carry = [c for c in (carry or []) if c in df.columns]
     working = df
     for c in model.raw_features + model.date_columns:
         if c not in working.columns:
@@ -384,8 +387,9 @@ def transform_features(df: DataFrame, model: FeatureModel, unseen_label: int = 0
     working, _ = parse_date_columns(working, model.date_columns)
     if model.datetime_features:
         working, _ = extract_datetime_features(working, model.date_columns)
-    keep = [col(c) for c in model.raw_features] + ([col(model.target)] if model.target in working.columns else [])
-    out = working.select(*keep)
+    tail = [model.target] if model.target in working.columns and model.target not in carry else []
+    out = working.select(*[col(c) for c in carry], *[col(c) for c in model.raw_features if c not in carry],
+                         *[col(c) for c in tail])
     for c in model.raw_features:
         if c in model.onehots:
             out = apply_onehot(out, model.onehots[c])
@@ -393,5 +397,6 @@ def transform_features(df: DataFrame, model: FeatureModel, unseen_label: int = 0
             out = apply_target(out, model.targets[c])
         elif c in model.labels:
             out = apply_label(out, model.labels[c], unseen=unseen_label)
-    tail = [col(model.target)] if model.target in out.columns else []
-    return out.select(*[col(c) if c in out.columns else F.lit(0).alias(c) for c in model.feature_names], *tail)
+    return out.select(*[col(c) for c in carry],
+                      *[col(c) if c in out.columns else F.lit(0).alias(c) for c in model.feature_names],
+                      *[col(c) for c in tail])

@@ -338,3 +338,43 @@ __all__ = [
     "dataset_summary", "missing_summary", "missing_report", "dtype_report", "column_statistics",
     "describe", "distinct_counts", "column_modes", "value_pairs", "summary_numbers", "group_of",
 ]
+
+
+# ---------------------------------------------------------------------------
+# P22 tighten schema
+# ---------------------------------------------------------------------------
+_INT_RANGES = ((T.ByteType(), -(2 ** 7), 2 ** 7 - 1), (T.ShortType(), -(2 ** 15), 2 ** 15 - 1),
+               (T.IntegerType(), -(2 ** 31), 2 ** 31 - 1), (T.LongType(), -(2 ** 63), 2 ** 63 - 1))
+
+
+def tighten_schema(df: DataFrame) -> DataFrame:
+    """Narrowest integral type that holds each integer column's range, and
+    float for double columns whose every value survives the round trip; one
+    aggregate decides all columns.  (Text needs no categorical type: Parquet
+    dictionary-encodes repeated strings by itself.)"""
+    ints = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.ByteType, T.ShortType,
+                                                                         T.IntegerType, T.LongType))]
+    dbls = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
+    if not ints and not dbls:
+        return df
+    aggs = []
+    for i, c in enumerate(ints):
+        aggs += [F.min(col(c)).alias(f"lo{i}"), F.max(col(c)).alias(f"hi{i}")]
+    for i, c in enumerate(dbls):
+        x = col(c)
+        lossy = F.when(x.isNotNull() & ~F.isnan(x) & (x.cast("float").cast("double") != x), 1).otherwise(0)
+        aggs.append(F.max(lossy).alias(f"lossy{i}"))
+    row = df.agg(*aggs).collect()[0]
+    target = {}
+    for i, c in enumerate(ints):
+        lo, hi = row[f"lo{i}"], row[f"hi{i}"]
+        if lo is None:
+            continue
+        for t, a, b in _INT_RANGES:
+            if a <= lo and hi <= b:
+                target[c] = t
+                break
+    for i, c in enumerate(dbls):
+        if not row[f"lossy{i}"]:
+            target[c] = T.FloatType()
+    return df.select(*[col(c).cast(target[c]).alias(c) if c in target else col(c) for c in df.columns])

@@ -385,6 +385,76 @@ _TRAIN = {
 }
 
 
+# --- scoring, persistence, publishing, sources ---------------------------------
+from tessera.operators import score  # noqa: E402
+from tessera.sources import artifacts, csv as csv_source, sinks  # noqa: E402
+
+
+def _orders_config(spark, sf):
+    result, fmodel, prep = orders_training(spark, sf)
+    cfg = score.build_prediction_config(result, fmodel, prep)
+    # S9 → S10 round trip through the shared checkpoint folder
+    path = artifacts.save_training_artifacts(cfg, artifacts.artifact_dir(spark))
+    return artifacts.load_prediction_config(spark, path), prep
+
+
+def q_predict_orders(spark, sf):
+    cfg, _ = _orders_config(spark, sf)
+    return score.predict_dataframe(read_table(spark, sf, "orders"), cfg, ["o_orderkey"])
+
+
+def q_predict_test_split(spark, sf):
+    result, fmodel, prep = orders_training(spark, sf)
+    return score.predict_test_split(prep, score.build_prediction_config(result, fmodel, prep))
+
+
+def q_bulk_evaluation(spark, sf):
+    return score.bulk_evaluation(q_predict_orders(spark, sf), "o_totalprice")
+
+
+def q_predict_classes(spark, sf):
+    result, _, prep = documents_training(spark, sf)
+    return score.predict_with_best_model(result, prep)
+
+
+def q_publish_dashboard(spark, sf):
+    orders = read_table(spark, sf, "orders")
+    result, fmodel, prep = orders_training(spark, sf)
+    cleaned, _ = clean.clean_dataframe(orders, order_by="o_orderkey")
+    processed, _ = features.engineer_features(orders, "o_totalprice", carry=["o_orderkey"])
+    preds = q_predict_orders(spark, sf)
+    tables = sinks.dashboard_tables(raw=orders, cleaned=cleaned, processed=processed, predictions=preds,
+                                    results=result.results, importance=result.importance, order_by="o_orderkey",
+                                    extra={"target_column": "o_totalprice", "best_model": result.best_model_name})
+    return sinks.publish(tables, sinks.Target(path=artifacts.artifact_dir(spark, "published")))
+
+
+def q_pipeline_metadata(spark, sf):
+    meta = sinks.pipeline_metadata(fixtures.dirty_orders(spark, sf), {"has_raw": True})
+    return spark.createDataFrame([(k, str(v)) for k, v in meta.items()], "key string, value string")
+
+
+def q_tighten_schema(spark, sf):
+    return profile.tighten_schema(read_table(spark, sf, "lineitem"))
+
+
+def q_csv_roundtrip(spark, sf):
+    path = sinks.to_csv(read_table(spark, sf, "customer"), artifacts.artifact_dir(spark, "csv"))
+    return csv_source.load_csv(spark, path).df
+
+
+_SCORE = {
+    "predict_orders": q_predict_orders,
+    "predict_test_split": q_predict_test_split,
+    "bulk_evaluation": q_bulk_evaluation,
+    "predict_classes": q_predict_classes,
+    "publish_dashboard": q_publish_dashboard,
+    "pipeline_metadata": q_pipeline_metadata,
+    "tighten_schema": q_tighten_schema,
+    "csv_roundtrip": q_csv_roundtrip,
+}
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(_profile())
@@ -393,4 +463,5 @@ def queries() -> dict[str, Query]:
     out.update(_FEATURES)
     out.update(_EVAL)
     out.update(_TRAIN)
+    out.update(_SCORE)
     return out

@@ -492,8 +492,33 @@ SELECT model, metric, value FROM (
     }
 
 
+# ---------------------------------------------------------------------------
+# sources, sinks
+# ---------------------------------------------------------------------------
+def sources_sql() -> dict[str, str]:
+    cols = [c for c, _ in DIRTY_COLUMNS]
+    miss = " + ".join(f"(count(*) - count({c}))" for c in cols)
+    meta = DIRTY_ORDERS + f""",
+s AS (SELECT count(*) AS r, {miss} AS m,
+             count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty_orders)) AS d FROM dirty_orders),
+p AS (SELECT r, (CAST(m AS DOUBLE) / CAST(r * {len(cols)} AS DOUBLE)) * 100 AS mp,
+             (CAST(d AS DOUBLE) / CAST(r AS DOUBLE)) * 100 AS dp FROM s)
+"""
+    rows = [("total_rows", "CAST(r AS VARCHAR)"), ("total_columns", f"'{len(cols)}'"),
+            ("missing_percentage", "CAST(mp AS VARCHAR)"), ("duplicate_percentage", "CAST(dp AS VARCHAR)"),
+            ("numeric_count", "'3'"), ("categorical_count", "'3'"),
+            ("data_quality_score", "CAST(round(greatest(0.0, least(100.0, 100.0 - mp - dp)), 2) AS VARCHAR)"),
+            ("has_raw", "'1'"), ("has_cleaned", "'0'"), ("has_processed", "'0'"), ("has_predictions", "'0'"),
+            ("has_model_results", "'0'")]
+    return {
+        "pipeline_metadata": "WITH " + meta + union_all([f"SELECT '{k}' AS key, {v} AS value FROM p" for k, v in rows]),
+        "tighten_schema": "SELECT * FROM lineitem",
+        "csv_roundtrip": "SELECT * FROM customer",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
-    for part in (profile_sql, chart_sql, clean_sql, features_sql, eval_sql):
+    for part in (profile_sql, chart_sql, clean_sql, features_sql, eval_sql, sources_sql):
         out.update(part())
     return out
