@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.quantiles import group_quantiles
 from tessera.functions.schema import col
-from tessera.operators.relations import bin_edges, bin_index
+from tessera.operators.relations import bin_edges, with_bins
 
 MAX_SCATTER_ROWS = 5000
 MAX_MISSING_HEATMAP_ROWS = 500
@@ -127,8 +127,8 @@ def violin_density(df: DataFrame, column: str, group_by: str, bins: int = 20) ->
                                                "bin_end double, count long, density double")
     edges = bin_edges(r["lo"], r["hi"], bins)
     e = F.array(*[F.lit(v) for v in edges])
-    counted = (df.select(col(group_by).alias(group_by), bin_index(x, edges).alias("bin"))
-               .where(F.col(group_by).isNotNull() & F.col("bin").isNotNull())
+    binned = with_bins(df, {"bin": F.when(~F.isnan(x), x)}, {"bin": edges}, keep=[group_by])
+    counted = (binned.where(F.col(group_by).isNotNull() & F.col("bin").isNotNull())
                .groupBy(group_by, "bin").agg(F.count(F.lit(1)).alias("count")))
     totals = F.sum("count").over(_group_window(group_by))
     return counted.select(

@@ -80,18 +80,41 @@ def bin_edges(lo: float, hi: float, n_bins: int) -> list[float]:
     return edges
 
 
-def bin_index(x: Column, edges: list[float]) -> Column:
-    """Bin of ``x`` for the given edges, with numpy's edge corrections
-    (last bin right-closed; values left of their computed bin's start move
-    down, values at/after the next edge move up).  Values outside → null."""
-    n = len(edges) - 1
-    lo, hi = edges[0], edges[-1]
-    e = F.array(*[F.lit(float(v)) for v in edges])
-    norm = n / (hi - lo)
-    i0 = F.least(F.floor((x - F.lit(lo)) * F.lit(norm)).cast("int"), F.lit(n - 1))
-    i1 = F.when(x < F.element_at(e, i0 + 1), i0 - 1).otherwise(i0)
-    i2 = F.when((i1 != n - 1) & (x >= F.element_at(e, i1 + 2)), i1 + 1).otherwise(i1)
-    return F.when((x >= F.lit(lo)) & (x <= F.lit(hi)), i2)
+def with_bins(df: DataFrame, values: dict[str, Column], edges_by_name: dict[str, list[float]],
+              keep: list[str] | None = None) -> DataFrame:
+    """Project ``keep`` columns plus one bin column per entry of ``values``
+    (name → value expression), with numpy's edge corrections: last bin
+    right-closed; a value left of its computed bin's start moves down, one
+    at/after the next edge moves up; values outside the edges → null.
+
+    The three steps are separate projections so each intermediate is
+    computed once per row (a single nested expression would repeat the
+    floor/lookup work nine times)."""
+    keep = list(keep or [])
+    names = list(values)
+    x = {n: f"_x{i}" for i, n in enumerate(names)}
+    i0 = {n: f"_a{i}" for i, n in enumerate(names)}
+    i1 = {n: f"_b{i}" for i, n in enumerate(names)}
+    arr = {n: F.array(*[F.lit(float(v)) for v in edges_by_name[n]]) for n in names}
+    s1 = df.select(*[col(k) for k in keep], *[values[n].alias(x[n]) for n in names])
+    step = []
+    for n in names:
+        e = edges_by_name[n]
+        nb, lo, hi = len(e) - 1, e[0], e[-1]
+        step.append(F.least(F.floor((F.col(x[n]) - F.lit(lo)) * F.lit(nb / (hi - lo))).cast("int"),
+                            F.lit(nb - 1)).alias(i0[n]))
+    s2 = s1.select("*", *step)
+    s3 = s2.select(*[col(k) for k in keep], *[F.col(x[n]) for n in names], *[
+        F.when(F.col(x[n]) < F.element_at(arr[n], F.col(i0[n]) + 1), F.col(i0[n]) - 1)
+         .otherwise(F.col(i0[n])).alias(i1[n]) for n in names])
+    out = []
+    for n in names:
+        e = edges_by_name[n]
+        nb = len(e) - 1
+        b = F.when((F.col(i1[n]) != nb - 1) & (F.col(x[n]) >= F.element_at(arr[n], F.col(i1[n]) + 2)),
+                   F.col(i1[n]) + 1).otherwise(F.col(i1[n]))
+        out.append(F.when((F.col(x[n]) >= F.lit(e[0])) & (F.col(x[n]) <= F.lit(e[-1])), b).alias(n))
+    return s3.select(*[col(k) for k in keep], *out)
 
 
 def histogram_grid(spark, edges_by_column: dict[str, list[float]]) -> DataFrame:
@@ -103,16 +126,13 @@ def histogram_grid(spark, edges_by_column: dict[str, list[float]]) -> DataFrame:
 
 
 def histogram_counts(df: DataFrame, edges_by_column: dict[str, list[float]]) -> DataFrame:
-    """``(column_name, bin, count)`` for every non-empty bin: the columns are
-    unpivoted with their bin index computed in the same projection, then a
-    single ``groupBy(column, bin)`` (partial aggregation keeps the shuffle
-    at ≤ columns × bins rows per task)."""
+    """``(column_name, bin, count)`` for every non-empty bin: bin indices are
+    computed column-wise in a projection, unpivoted, and counted by one
+    ``groupBy(column, bin)`` (partial aggregation keeps the shuffle at
+    ≤ columns × bins rows per task)."""
     cols = list(edges_by_column)
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), bin_index(_num(c), edges_by_column[c]).alias("bin"))
-        for c in cols
-    ]))
-    return (df.select(pairs.alias("p")).select("p.column_name", "p.bin")
+    binned = with_bins(df, {c: _num(c) for c in cols}, edges_by_column)
+    return (binned.unpivot([], cols, "column_name", "bin")
             .where(F.col("bin").isNotNull())
             .groupBy("column_name", "bin").agg(F.count(F.lit(1)).alias("count")))
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,10 @@ def split_labels(df: DataFrame, keys: list[str], stratify: str | None = None,
     """Add ``split`` = ``'test'`` / ``'train'`` (U1: one DataFrame, a label
     column, instead of two copies)."""
     g = col(stratify) if stratify else F.lit("all")
-    base = df.withColumn("_h", hash_bucket(keys, seed)).withColumn("_g", g.cast("string"))
+    # the fitting passes read a narrow, persisted (keys, class, bucket)
+    # projection: MD5 is computed once for them, and once more for the output
+    full = df.withColumn("_h", hash_bucket(keys, seed)).withColumn("_g", g.cast("string"))
+    base = full.select(*[col(k) for k in keys], "_g", "_h").persist(StorageLevel.MEMORY_AND_DISK)
     stats = base.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.min("_h").alias("lo"),
                                    F.max("_h").alias("hi")).collect()
     want = {r["_g"]: math.ceil(r["n"] * test_size) for r in stats}
@@ -42,6 +46,7 @@ def split_labels(df: DataFrame, keys: list[str], stratify: str | None = None,
     long_df = base.select(F.col("_g").alias("g"), F.col("_h").cast("double").alias("x"))
     cut = {g_: int(v) for (g_, _), v in kth_smallest(long_df, ranks, bounds).items()}
     if not cut:
+        base.unpersist(blocking=False)
         return df.withColumn(name, F.lit("train"))
     # settle ties on the cut-off bucket by key (few rows: equal 32-bit buckets)
     cut_h = F.create_map(*[x for g_, h in cut.items() for x in (F.lit(g_), F.lit(h).cast("long"))])
@@ -61,8 +66,9 @@ def split_labels(df: DataFrame, keys: list[str], stratify: str | None = None,
         lit_struct = F.struct(*[F.lit(v).cast(df.schema[k].dataType).alias(k) for k, v in zip(keys, kc)])
         is_test = is_test | ((F.col("_g") == F.lit(g_)) &
                              (below | (at_cut & (key_struct <= lit_struct))))
-    return base.select(*[col(c) for c in df.columns],
-                       F.when(is_test, "test").otherwise("train").alias(name))
+    out = full.select(*[col(c) for c in df.columns], F.when(is_test, "test").otherwise("train").alias(name))
+    base.unpersist(blocking=False)
+    return out
 
 
 # ---------------------------------------------------------------------------

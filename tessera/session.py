@@ -19,6 +19,10 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # wide single-pass profiles (per-column moments, all-pairs correlation)
+    # carry a few hundred aggregation-buffer fields; above this limit Spark
+    # silently drops whole-stage code generation (≈6x slower aggregates)
+    "spark.sql.codegen.maxFields": "1000",
 }
 
 
