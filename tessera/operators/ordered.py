@@ -38,8 +38,10 @@ def with_blocks(df: DataFrame, order_by: str, blocks: int | None = None) -> Data
         qs = base.agg(F.percentile_approx(_KEYD, probs, 10_000).alias("q")).collect()[0]["q"] or []
         inner = sorted({float(v) for v in qs if v is not None})
         splits = [float("-inf")] + inner + [float("inf")]
+    if len(splits) < 3:                      # one block: nothing to bucketize
+        return base.withColumn(_BLOCK, F.lit(0)), 1
     out = Bucketizer(splits=splits, inputCol=_KEYD, outputCol=_BLOCK, handleInvalid="keep").transform(base)
-    return out.withColumn(_BLOCK, F.col(_BLOCK).cast("int")), len(splits) - 1
+    return out.withColumn(_BLOCK, F.col(_BLOCK).cast("int")), len(splits)
 
 
 def _is_time(df: DataFrame, c: str) -> bool:
