@@ -349,6 +349,23 @@ fb AS (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM b)
             "SELECT o_orderkey, CASE WHEN (SELECT count(*) FROM f, fb WHERE price < lo OR price > hi) > 0 "
             "THEN least(greatest(price, (SELECT lo FROM fb)), (SELECT hi FROM fb)) ELSE price END AS price, "
             "prio, d, dt, year, month, quarter, week, day, dayofweek, weekend FROM f"),
+        "cleaning_report": "WITH " + cleaned + f""",
+ko AS (SELECT quantile_cont(o_orderkey, 0.25) AS q1, quantile_cont(o_orderkey, 0.75) AS q3 FROM f),
+kf AS (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM ko),
+final_missing AS (SELECT {' + '.join(f'(count(*) - count({c}))' for c in
+                  ['o_orderkey', 'price', 'prio', 'd', 'dt', 'year', 'month', 'quarter', 'week', 'day',
+                   'dayofweek', 'weekend'])} AS m FROM f)
+SELECT CAST((SELECT count(*) FROM dirty_orders) AS BIGINT) AS rows_before,
+       CAST((SELECT count(*) FROM f) AS BIGINT) AS rows_after,
+       CAST(6 AS BIGINT) AS columns_before, CAST(12 AS BIGINT) AS columns_after,
+       CAST((SELECT count(*) FROM dirty_orders) - (SELECT count(*) FROM u) AS BIGINT) AS duplicates_removed,
+       CAST((SELECT {' + '.join(f'(count(*) - count({c}))' for c, _ in DIRTY_COLUMNS)} FROM dirty_orders) AS BIGINT)
+           AS missing_values_before,
+       CAST((SELECT m FROM final_missing) AS BIGINT) AS missing_values_after,
+       CAST((SELECT count(*) > 0 FROM f, fb WHERE price < lo OR price > hi) AS BIGINT)
+         + CAST((SELECT count(*) > 0 FROM f, kf WHERE o_orderkey < lo OR o_orderkey > hi) AS BIGINT)
+           AS outlier_columns,
+       CAST(0 AS BIGINT) AS outlier_rows_removed""",
     }
 
 
