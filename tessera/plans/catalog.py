@@ -455,6 +455,22 @@ _SCORE = {
 }
 
 
+# --- streaming -----------------------------------------------------------------
+import os as _os  # noqa: E402
+
+from tessera.streaming import refresh  # noqa: E402
+
+
+def q_streaming_profile(spark, sf):
+    schema = spark.read.parquet(_os.path.join(sf, "events.parquet")).schema
+    # a file stream watches a folder; the glob picks the events file(s) in it
+    source = _os.path.join(sf, "{events.parquet}")
+    return refresh.refresh_once(spark, source, schema, ["event_id", "user_id", "value"])
+
+
+_STREAM = {"streaming_profile": q_streaming_profile}
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(_profile())
@@ -464,4 +480,5 @@ def queries() -> dict[str, Query]:
     out.update(_EVAL)
     out.update(_TRAIN)
     out.update(_SCORE)
+    out.update(_STREAM)
     return out

@@ -531,6 +531,11 @@ p AS (SELECT r, (CAST(m AS DOUBLE) / CAST(r * {len(cols)} AS DOUBLE)) * 100 AS m
         "pipeline_metadata": "WITH " + meta + union_all([f"SELECT '{k}' AS key, {v} AS value FROM p" for k, v in rows]),
         "tighten_schema": "SELECT * FROM lineitem",
         "csv_roundtrip": "SELECT * FROM customer",
+        "streaming_profile": union_all([
+            f"SELECT '{c}' AS column_name, count(*) AS \"rows\", count({c}) AS non_null, avg({_d(c)}) AS mean, "
+            f"stddev_samp({_d(c)}) AS std, min({_d(c)}) AS min_val, max({_d(c)}) AS max_val, "
+            f"skewness({_d(c)}) AS skewness, kurtosis({_d(c)}) AS kurtosis FROM events"
+            for c in ("event_id", "user_id", "value")]),
     }
 
 
