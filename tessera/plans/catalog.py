@@ -471,6 +471,39 @@ def q_streaming_profile(spark, sf):
 _STREAM = {"streaming_profile": q_streaming_profile}
 
 
+# --- remaining chart tables ----------------------------------------------------
+def q_correlation_heatmap(spark, sf):
+    return relations.correlation_wide(read_table(spark, sf, "lineitem"))
+
+
+def q_histogram(spark, sf):
+    return relations.histogram(read_table(spark, sf, "events"), "value", bins=30)
+
+
+def q_pair_sample(spark, sf):
+    return chartdata.pair_sample(read_table(spark, sf, "lineitem"), LINE_KEYS,
+                                 ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+
+
+def q_outlier_comparison(spark, sf):
+    events = read_table(spark, sf, "events")
+    capped, _ = clean.treat_outliers(events, "cap", ["value"])
+    return relations.outlier_comparison(events, capped, "value", bins=30)
+
+
+def q_encoding_summary(spark, sf):
+    return features.engineer_features(read_table(spark, sf, "part"), "p_retailprice")[1].encoding_summary(spark)
+
+
+_CHART_MORE = {
+    "correlation_heatmap": q_correlation_heatmap,
+    "histogram": q_histogram,
+    "pair_sample": q_pair_sample,
+    "outlier_comparison": q_outlier_comparison,
+    "encoding_summary": q_encoding_summary,
+}
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(_profile())
@@ -481,4 +514,5 @@ def queries() -> dict[str, Query]:
     out.update(_TRAIN)
     out.update(_SCORE)
     out.update(_STREAM)
+    out.update(_CHART_MORE)
     return out

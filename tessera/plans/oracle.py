@@ -539,8 +539,47 @@ p AS (SELECT r, (CAST(m AS DOUBLE) / CAST(r * {len(cols)} AS DOUBLE)) * 100 AS m
     }
 
 
+def chart_more_sql() -> dict[str, str]:
+    cols = LINEITEM_NUMERIC
+    heat = union_all([
+        f"SELECT '{a}' AS column_name, " + ", ".join(f"corr({_d(a)}, {_d(b)}) AS {b}" for b in cols)
+        + " FROM lineitem" for a in cols])
+    hist = distribution_sql("events", ["value"], 30)
+    # The shared edges span both inputs; capping keeps values inside the
+    # original range, so they are the edges of the original column
+    f = _fences("events", ["value"])
+    capped = (f"capped AS (SELECT least(greatest(value, (SELECT lower_bound FROM ({f}))), "
+              f"(SELECT upper_bound FROM ({f}))) AS value FROM events)")
+    n = 30
+    grid = (f"SELECT i, i * step + lo AS e0, CASE WHEN i = {n - 1} THEN hi ELSE (i + 1) * step + lo END AS e1 "
+            f"FROM range({n}) t(i), bd")
+
+    def side(table, stage):
+        counts = f"SELECT bin, count(*) AS cnt FROM ({_binned(table, 'value', 'bd', n)}) GROUP BY bin"
+        return (f"SELECT 'value' AS column_name, e0 AS bin_start, e1 AS bin_end, "
+                f"printf('%.2f – %.2f', e0, e1) AS bin_label, CAST(coalesce(cnt, 0) AS BIGINT) AS \"count\", "
+                f"'{stage}' AS stage FROM ({grid}) g LEFT JOIN ({counts}) h ON g.i = h.bin")
+    comparison = (f"WITH {_bounds_cte('bd', 'events', 'value', n)}, {capped}\n"
+                  + union_all([side("events", "before"), side("capped", "after")]))
+    summary = ("WITH r AS (SELECT count(DISTINCT p_name) AS u_name, count(DISTINCT p_brand) AS u_brand, "
+               "count(DISTINCT p_type) AS u_type FROM part) "
+               f"SELECT 'p_name' AS column_name, {_strategy('u_name')} AS strategy, u_name AS unique_values, "
+               "CASE WHEN u_name <= 10 THEN u_name ELSE 1 END AS output_columns FROM r UNION ALL "
+               f"SELECT 'p_brand', {_strategy('u_brand')}, u_brand, CASE WHEN u_brand <= 10 THEN u_brand ELSE 1 END "
+               "FROM r UNION ALL "
+               f"SELECT 'p_type', {_strategy('u_type')}, u_type, CASE WHEN u_type <= 10 THEN u_type ELSE 1 END FROM r")
+    return {
+        "correlation_heatmap": heat,
+        "histogram": hist,
+        "pair_sample": sample_sql("lineitem", LINE_KEYS, 5000,
+                                  select=", ".join(LINE_KEYS + ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])),
+        "outlier_comparison": comparison,
+        "encoding_summary": summary,
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
-    for part in (profile_sql, chart_sql, clean_sql, features_sql, eval_sql, sources_sql):
+    for part in (profile_sql, chart_sql, clean_sql, features_sql, eval_sql, sources_sql, chart_more_sql):
         out.update(part())
     return out
