@@ -22,11 +22,20 @@ DATE_FORMATS = (
 )
 
 
-def parse_timestamp(x: Column) -> Column:
-    """Text → timestamp trying every layout; unparsable → null (never raises,
-    also under ANSI mode)."""
+def parse_timestamp(x: Column, formats: list[str] | tuple[str, ...] | None = None) -> Column:
+    """Text → timestamp trying every layout (``formats`` first: a column's
+    own layout, found on a sample, so most rows stop at the first try);
+    unparsable → null (never raises, also under ANSI mode)."""
+    order = list(formats or [])
+    order += [f for f in DATE_FORMATS if f not in order]
     s = F.trim(x.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in DATE_FORMATS])
+    return F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in order])
+
+
+def format_shares(x: Column) -> list[Column]:
+    """Per layout: 1.0 when the value parses with it (for averaging on a sample)."""
+    s = F.trim(x.cast("string"))
+    return [F.try_to_timestamp(s, F.lit(fmt)).isNotNull().cast("double") for fmt in DATE_FORMATS]
 
 
 def calendar_columns(x: Column) -> dict[str, Column]:
