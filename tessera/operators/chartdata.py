@@ -83,6 +83,7 @@ def pie_share(df: DataFrame, column: str, value: str | None = None, top_n: int =
     return df.sparkSession.createDataFrame(data, schema)
 
 
+MAX_EXACT_GROUPS = 10_000
 BOX_SCHEMA_FIELDS = ["n", "min", "q1", "median", "q3", "max", "lower_fence", "upper_fence",
                      "whisker_low", "whisker_high", "outliers"]
 
@@ -93,7 +94,9 @@ def box_stats(df: DataFrame, column: str, group_by: str | None = None) -> DataFr
     the number of points outside."""
     g = group_by or "_all"
     src = df if group_by else df.withColumn("_all", F.lit("all"))
-    qs = group_quantiles(src, g, column, [0.25, 0.5, 0.75])
+    qs = group_quantiles(src, g, column, [0.25, 0.5, 0.75], max_groups=MAX_EXACT_GROUPS)
+    if qs is None:
+        return _box_stats_many_groups(src, column, g, group_by is not None)
     fence_rows = []
     for key, (n, (q1, q2, q3)) in qs.items():
         iqr = q3 - q1
@@ -117,6 +120,28 @@ def box_stats(df: DataFrame, column: str, group_by: str | None = None) -> DataFr
     return out.select(*cols)
 
 
+def _box_stats_many_groups(src: DataFrame, column: str, g: str, keep_group: bool) -> DataFrame:
+    """Box numbers for very many groups: one ``groupBy`` with exact
+    per-group ``percentile`` (each group's values meet in one task, which is
+    what many small groups need), then fences and whiskers by a join on the
+    group (a shuffle join: the per-group table grows with the groups)."""
+    x = col(column).cast("double")
+    base = src.select(col(g).alias(g), x.alias("_x")).where(
+        F.col(g).isNotNull() & F.col("_x").isNotNull() & ~F.isnan("_x"))
+    q = (base.groupBy(g).agg(F.count(F.lit(1)).alias("n"),
+                             F.percentile("_x", [0.25, 0.5, 0.75]).alias("_q"))
+         .select(g, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3")))
+    iqr = F.col("q3") - F.col("q1")
+    fences = q.select("*", (F.col("q1") - 1.5 * iqr).alias("lower_fence"), (F.col("q3") + 1.5 * iqr).alias("upper_fence"))
+    inside = (F.col("_x") >= F.col("lower_fence")) & (F.col("_x") <= F.col("upper_fence"))
+    out = base.join(fences, g).groupBy(g, "n", "q1", "median", "q3", "lower_fence", "upper_fence").agg(
+        F.min("_x").alias("min"), F.max("_x").alias("max"),
+        F.min(F.when(inside, F.col("_x"))).alias("whisker_low"),
+        F.max(F.when(inside, F.col("_x"))).alias("whisker_high"),
+        F.sum((~inside).cast("long")).alias("outliers"))
+    return out.select(*(([g] if keep_group else []) + BOX_SCHEMA_FIELDS))
+
+
 def violin_density(df: DataFrame, column: str, group_by: str, bins: int = 20) -> DataFrame:
     """V3: per-group density histogram on shared edges (the violin outline);
     density = count / (group rows × bin width)."""

@@ -141,9 +141,23 @@ def choose_encoding_strategy(unique_count: int) -> str:
     return "label"
 
 
+PLAN_RECHECK = 200
+
+
 def plan_encodings(df: DataFrame, categorical: list[str]) -> dict[str, tuple[str, int]]:
-    """``{column: (strategy, distinct count)}`` from one distinct-count job."""
-    counts = distinct_counts(df, categorical, exact=True) if categorical else {}
+    """``{column: (strategy, distinct count)}``.
+
+    The thresholds are small (10 / 50), so one HyperLogLog++ aggregate
+    estimates every column and only the columns estimated at ≤ 200 distinct
+    values — far below the estimator's error band around the thresholds —
+    are counted exactly (a cheap shuffle of few values).  A free-text column
+    with billions of values is never shuffled value by value."""
+    if not categorical:
+        return {}
+    approx = distinct_counts(df, categorical, exact=False)
+    small = [c for c in categorical if approx[c] <= PLAN_RECHECK]
+    counts = dict(approx)
+    counts.update(distinct_counts(df, small, exact=True) if small else {})
     return {c: (choose_encoding_strategy(counts[c]), counts[c]) for c in categorical}
 
 

@@ -7,8 +7,12 @@ the key range is cut into blocks at approximate quantiles of the key (one
 partitioned window, and what crosses block borders (the last non-null value
 of each block, or each block's row count) is a table with one row per block
 — bounded by the block count, not by the data — turned into carries on the
-driver and applied with a literal lookup.  The order key must identify the
-row order (unique, or ties only between interchangeable rows).
+driver and applied with a lookup (a literal array for a few blocks, a
+broadcast join of the one-row-per-block table beyond that).  The number of
+blocks follows the input size (one per input split, at least one per
+shuffle partition, at most ``MAX_BLOCKS``), so blocks stay split-sized as
+data grows.  The order key must identify the row order (unique, or ties
+only between interchangeable rows).
 """
 
 from __future__ import annotations
@@ -21,10 +25,43 @@ from tessera.functions.schema import col
 
 _BLOCK = "_blk"
 _KEYD = "_key_d"
+MAX_BLOCKS = 20_000
+LITERAL_BLOCKS = 256
 
 
 def _default_blocks(df: DataFrame) -> int:
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    try:
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - planning only; fall back to the shuffle width
+        splits = shuffle
+    return max(1, min(MAX_BLOCKS, max(shuffle, splits)))
+
+
+def _with_carries(blocked: DataFrame, nblocks: int, carries: dict[str, tuple[list, object]]):
+    """Attach per-block values: ``carries[name] = (value per block, type)``.
+    Returns the frame and a Column per name."""
+    from pyspark.sql import types as T
+    if nblocks <= LITERAL_BLOCKS:
+        cols = {n: F.element_at(F.array(*[F.lit(v).cast(t) for v in vals]), F.col(_BLOCK) + 1)
+                for n, (vals, t) in carries.items()}
+        return blocked, cols
+    names = list(carries)
+    schema = T.StructType([T.StructField(_BLOCK, T.IntegerType())] +
+                          [T.StructField(f"_c_{n}", carries[n][1]) for n in names])
+    def coerce(v, t):
+        if v is None:
+            return None
+        if isinstance(t, (T.DoubleType, T.FloatType)):
+            return float(v)
+        if isinstance(t, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+            return int(v)
+        return v
+    rows = [(b, *[coerce(carries[n][0][b], carries[n][1]) for n in names]) for b in range(nblocks)]
+    table = blocked.sparkSession.createDataFrame(rows, schema)
+    # one row per block, and blocks are capped at MAX_BLOCKS: a bounded broadcast
+    joined = blocked.join(F.broadcast(table), _BLOCK, "left")
+    return joined, {n: F.col(f"_c_{n}") for n in names}
 
 
 def with_blocks(df: DataFrame, order_by: str, blocks: int | None = None) -> DataFrame:
@@ -35,7 +72,8 @@ def with_blocks(df: DataFrame, order_by: str, blocks: int | None = None) -> Data
     splits = [float("-inf"), float("inf")]
     if blocks > 1:
         probs = [i / blocks for i in range(1, blocks)]
-        qs = base.agg(F.percentile_approx(_KEYD, probs, 10_000).alias("q")).collect()[0]["q"] or []
+        accuracy = max(10_000, 4 * blocks)
+        qs = base.agg(F.percentile_approx(_KEYD, probs, accuracy).alias("q")).collect()[0]["q"] or []
         inner = sorted({float(v) for v in qs if v is not None})
         splits = [float("-inf")] + inner + [float("inf")]
     if len(splits) < 3:                      # one block: nothing to bucketize
@@ -65,7 +103,7 @@ def ffill_bfill(df: DataFrame, columns: list[str], order_by: str, blocks: int |
     w = (Window.partitionBy(_BLOCK).orderBy(F.col(_KEYD))
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     dtypes = {f.name: f.dataType for f in df.schema.fields}
-    filled = {}
+    carries, firsts = {}, {}
     for i, c in enumerate(columns):
         carry, seen = [], None
         first_any = None
@@ -76,10 +114,11 @@ def ffill_bfill(df: DataFrame, columns: list[str], order_by: str, blocks: int |
                 seen = r[f"last{i}"]
                 if first_any is None:
                     first_any = r[f"first{i}"]
-        carry_arr = F.array(*[F.lit(v).cast(dtypes[c]) for v in carry])
-        filled[c] = F.coalesce(F.last(col(c), ignorenulls=True).over(w),
-                               F.element_at(carry_arr, F.col(_BLOCK) + 1),
-                               F.lit(first_any).cast(dtypes[c])).alias(c)
+        carries[c] = (carry, dtypes[c])
+        firsts[c] = first_any
+    blocked, carry_cols = _with_carries(blocked, nblocks, carries)
+    filled = {c: F.coalesce(F.last(col(c), ignorenulls=True).over(w), carry_cols[c],
+                            F.lit(firsts[c]).cast(dtypes[c])).alias(c) for c in columns}
     return blocked.select(*[filled.get(n, col(n)) for n in names])
 
 
@@ -94,10 +133,11 @@ def row_index(df: DataFrame, order_by: list[str] | str, name: str = "row_idx",
     for b in range(nblocks):
         offsets.append(acc)
         acc += counts.get(b, 0)
-    off = F.array(*[F.lit(v).cast("long") for v in offsets])
+    from pyspark.sql import types as T
+    blocked, carry = _with_carries(blocked, nblocks, {"off": (offsets, T.LongType())})
     w = Window.partitionBy(_BLOCK).orderBy(F.col(_KEYD), *[col(k) for k in keys[1:]])
     return blocked.select(
-        (F.row_number().over(w) + F.element_at(off, F.col(_BLOCK) + 1)).cast("long").alias(name),
+        (F.row_number().over(w) + carry["off"]).cast("long").alias(name),
         *[col(c) for c in df.columns])
 
 
@@ -138,10 +178,11 @@ def running_total(df: DataFrame, order_by: str, value: str, name: str = "running
     for b in range(nblocks):
         offsets.append(acc)
         acc += sums.get(b) or 0
-    off = F.array(*[F.lit(v) for v in offsets])
+    from pyspark.sql import types as T
+    vtype = blocked.schema[value].dataType
+    blocked, carry = _with_carries(blocked, nblocks, {"off": (offsets, vtype)})
     frame_end = Window.currentRow if inclusive else -1
     w = (Window.partitionBy(_BLOCK).orderBy(F.col(_KEYD))
          .rowsBetween(Window.unboundedPreceding, frame_end))
     within = F.coalesce(F.sum(col(value)).over(w), F.lit(0))
-    return blocked.select(*[col(c) for c in df.columns],
-                          (within + F.element_at(off, F.col(_BLOCK) + 1)).alias(name))
+    return blocked.select(*[col(c) for c in df.columns], (within + carry["off"]).alias(name))

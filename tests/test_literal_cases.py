@@ -143,3 +143,15 @@ def test_adjusted_skew_matches_pandas(spark):
     assert math.isclose(r["kurtosis"], s.kurt(), rel_tol=1e-9)
     assert math.isclose(r["std"], s.std(), rel_tol=1e-9)
     assert r["median"] == s.median()
+
+
+def test_box_stats_many_groups_path_matches_exact(spark, monkeypatch):
+    from tessera.operators import chartdata
+    from tessera.sources.tables import read_table
+    e = read_table(spark, "/root/testdata/sf0.001", "events")
+    exact = sorted(map(tuple, chartdata.box_stats(e, "value", "event_type").collect()))
+    monkeypatch.setattr(chartdata, "MAX_EXACT_GROUPS", 2)
+    many = sorted(map(tuple, chartdata.box_stats(e, "value", "event_type").collect()))
+    assert len(exact) == len(many)
+    for a, b in zip(exact, many):
+        assert a[0] == b[0] and all(abs(x - y) < 1e-9 for x, y in zip(a[1:], b[1:]))
