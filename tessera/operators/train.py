@@ -151,6 +151,35 @@ def classification_estimator(name: str, features_col: str, n_classes: int, n_tra
     raise ValueError(name)
 
 
+def get_scaler(kind: str, input_col: str = RAW, output_col: str = SCALED):
+    """M2 as a Spark ML stage on a feature vector (the column-expression
+    scalers in ``split_scale`` are used by ``prepare``): standard (population
+    spread is obtained by ``prepare``'s own scaler; this stage uses Spark's
+    sample std), minmax, robust, or None for no scaling."""
+    from pyspark.ml.feature import MinMaxScaler, RobustScaler, StandardScaler
+    if kind == "standard":
+        return StandardScaler(inputCol=input_col, outputCol=output_col, withMean=True, withStd=True)
+    if kind == "minmax":
+        return MinMaxScaler(inputCol=input_col, outputCol=output_col)
+    if kind == "robust":
+        return RobustScaler(inputCol=input_col, outputCol=output_col, withCentering=True, withScaling=True)
+    if kind == "none":
+        return None
+    raise ValueError(f"unknown scaler {kind!r}")
+
+
+def build_model_pipeline(feature_columns: list[str], estimator, scaler: str = "none") -> Pipeline:
+    """M4: assemble → (scale) → estimator as one ``pyspark.ml.Pipeline``."""
+    stages = [VectorAssembler(inputCols=feature_columns, outputCol=RAW, handleInvalid="keep")]
+    scale = get_scaler(scaler)
+    if scale is not None:
+        stages.append(scale)
+        estimator = estimator.copy({estimator.featuresCol: SCALED})
+    else:
+        estimator = estimator.copy({estimator.featuresCol: RAW})
+    return Pipeline(stages=stages + [estimator])
+
+
 def features_col_for(name: str) -> str:
     return SCALED if model_requires_scaling(name) else RAW
 

@@ -135,6 +135,24 @@ def dashboard_tables(*, raw: DataFrame | None = None, cleaned: DataFrame | None
     return tables
 
 
+def executive_summary(meta: dict, results: DataFrame | None = None, importance: DataFrame | None = None,
+                      top_n: int = 5) -> DataFrame:
+    """The headline numbers of a run as (item, value) rows: dataset
+    size and quality, the best model and its metrics, the top features."""
+    spark = SparkSession.getActiveSession()
+    rows = [(k, str(meta[k])) for k in ("total_rows", "total_columns", "missing_percentage",
+                                         "duplicate_percentage", "data_quality_score") if k in meta]
+    if results is not None:
+        best = results.limit(1).collect()            # results are ranked, best first
+        if best:
+            for k, v in best[0].asDict().items():
+                rows.append(("best_model" if k == "Model" else f"best_{k.lower().replace(' ', '_')}", str(v)))
+    if importance is not None:
+        top = importance.orderBy(F.col("importance").desc(), F.col("feature")).limit(top_n).collect()
+        rows += [(f"top_feature_{i + 1}", r["feature"]) for i, r in enumerate(top)]
+    return spark.createDataFrame(rows, "item string, value string")
+
+
 def publish(tables: dict[str, DataFrame], target: Target, if_exists: str = "replace") -> DataFrame:
     """S8 (how): write every table; one failing table does not stop the
     others.  Returns ``(table, ok, error)`` rows for all 13 names."""
