@@ -31,6 +31,7 @@ from tessera.functions.schema import col
 from tessera.operators import evaluate
 from tessera.operators.chartdata import hash_bucket
 from tessera.operators.features import detect_problem_type
+from tessera.session import cut_lineage
 from tessera.operators.split_scale import (ColumnScaler, fit_scaler, model_requires_scaling,
                                            recommend_scaler, split_labels)
 
@@ -66,6 +67,10 @@ class Prepared:
     def test(self) -> DataFrame:
         return self.data.where(F.col("split") == "test")
 
+    def release(self) -> None:
+        """Drop the cached copy (the checkpoint files stay until the folder is cleaned)."""
+        self.data.unpersist(blocking=False)
+
 
 def prepare(processed: DataFrame, target: str, keys: list[str], *, problem_type: str | None = None,
             scaler: str | None = None, test_size: float = 0.2, seed: int = SEED,
@@ -103,7 +108,11 @@ def prepare(processed: DataFrame, target: str, keys: list[str], *, problem_type:
     assembled = VectorAssembler(inputCols=[f + "__s" for f in features], outputCol=SCALED).transform(assembled)
     data = assembled.select(*[col(k) for k in keys], RAW, SCALED, LABEL, "_y", "split", "fold", "_val")
     if persist:
-        data = data.persist(StorageLevel.MEMORY_AND_DISK)
+        # Training reads this many times (every boosting round of every
+        # model and fold); a reliable checkpoint in the shared checkpoint
+        # folder cuts the lineage, so a lost executor costs a re-read of
+        # checkpoint files, not a re-run of cleaning and feature engineering.
+        data = cut_lineage(data).persist(StorageLevel.MEMORY_AND_DISK)
     n_train = data.where(F.col("split") == "train").count()
     return Prepared(data, features, problem_type, target, keys, fitted, classes, n_train)
 

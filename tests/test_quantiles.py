@@ -39,3 +39,16 @@ def test_empty_and_null_columns(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 2.0)], "a double, b double")
     got = Q.exact_quantiles(df, ["a", "b"], [0.5])
     assert got["a"] == [None] and got["b"] == [1.5]
+
+
+from hypothesis import given, settings, strategies as st  # noqa: E402
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.floats(min_value=-1e6, max_value=1e6, allow_nan=False), min_size=1, max_size=60),
+       st.sampled_from([0.0, 0.1, 0.5, 0.9, 1.0]))
+def test_exact_quantile_property(spark, values, p):
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = Q.exact_quantiles(df, ["x"], [p], bins=3, collect_limit=4)["x"][0]
+    want = float(np.quantile(np.array(values), p))
+    assert abs(got - want) <= 1e-9 * max(1.0, abs(want))
