@@ -57,10 +57,13 @@ def long_values(df: DataFrame, columns: list[str]) -> DataFrame:
 def kth_smallest(long_df: DataFrame, ranks: dict[str, list[int]],
                  bounds: dict[str, tuple[float, float]],
                  bins: int = DEFAULT_BINS,
-                 collect_limit: int = DEFAULT_COLLECT_LIMIT) -> dict[tuple[str, int], float]:
+                 collect_limit: int = DEFAULT_COLLECT_LIMIT,
+                 counts: dict[str, int] | None = None) -> dict[tuple[str, int], float]:
     """Exact k-th smallest ``x`` (0-based) per group ``g`` of ``long_df``.
 
-    ``bounds[g]`` is ``(min, max)`` of the group; ``ranks[g]`` the wanted ranks.
+    ``bounds[g]`` is ``(min, max)`` of the group; ``ranks[g]`` the wanted ranks;
+    ``counts[g]`` (optional) the group's size — groups of at most
+    ``collect_limit`` values skip straight to the fetch.
     Returns ``{(g, rank): value}``.
     """
     spark = long_df.sparkSession
@@ -104,8 +107,26 @@ def kth_smallest(long_df: DataFrame, ranks: dict[str, list[int]],
                         F.element_at(los, F.col("wid") + 1).alias("lo"),
                         F.element_at(his, F.col("wid") + 1).alias("hi")))
 
+    def _fetch(windows: list[_Window]) -> None:
+        # every window here holds at most collect_limit values
+        fetched = in_window(windows).select("wid", "x").collect()
+        values: dict[int, list[float]] = defaultdict(list)
+        for row in fetched:
+            values[row["wid"]].append(float(row["x"]))
+        for wid, w in enumerate(windows):
+            vs = sorted(values[wid])
+            for r in w.ranks:
+                result[(w.group, r)] = vs[r - w.below]
+
+    small = [w for w in open_windows if counts is not None and counts.get(w.group, collect_limit + 1) <= collect_limit]
+    open_windows = [w for w in open_windows if w not in small]
+    pending_fetch: list[_Window] = small
+
     passes = 0
-    while open_windows:
+    while open_windows or pending_fetch:
+        if not open_windows:
+            _fetch(pending_fetch)
+            break
         passes += 1
         if passes > _MAX_PASSES:
             raise RuntimeError("quantile refinement did not converge")
@@ -149,15 +170,9 @@ def kth_smallest(long_df: DataFrame, ranks: dict[str, list[int]],
                 else:
                     next_windows.append(child)
 
-        if to_fetch:
-            fetched = (in_window(to_fetch).select("wid", "x").collect())
-            values: dict[int, list[float]] = defaultdict(list)
-            for row in fetched:
-                values[row["wid"]].append(float(row["x"]))
-            for wid, w in enumerate(to_fetch):
-                vs = sorted(values[wid])
-                for r in w.ranks:
-                    result[(w.group, r)] = vs[r - w.below]
+        if to_fetch or pending_fetch:
+            _fetch(pending_fetch + to_fetch)
+            pending_fetch = []
         open_windows = next_windows
     return result
 
@@ -208,7 +223,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
             rs.update((k, k2))
         ranks[c] = sorted(rs)
     wanted = [c for c in columns if c in ranks]
-    found = kth_smallest(long_values(df, wanted), ranks, bounds, bins, collect_limit) if wanted else {}
+    found = kth_smallest(long_values(df, wanted), ranks, bounds, bins, collect_limit,
+                         counts={c: counts[c] for c in wanted}) if wanted else {}
     out: dict[str, list[float | None]] = {}
     for c in columns:
         n = counts[c]
@@ -275,7 +291,7 @@ def group_quantiles(df: DataFrame, group: str, value: str, probs: list[float],
             k, k2, _ = _rank_plan(n, p)
             rs.update((k, k2))
         ranks[r["g"]] = sorted(rs)
-    found = kth_smallest(long_df, ranks, bounds) if ranks else {}
+    found = kth_smallest(long_df, ranks, bounds, counts=counts) if ranks else {}
     out = {}
     for g, n in counts.items():
         qs = []

@@ -44,7 +44,8 @@ def split_labels(df: DataFrame, keys: list[str], stratify: str | None = None,
     ranks = {g_: [t - 1] for g_, t in want.items() if t > 0}
     bounds = {r["_g"]: (float(r["lo"]), float(r["hi"])) for r in stats}
     long_df = base.select(F.col("_g").alias("g"), F.col("_h").cast("double").alias("x"))
-    cut = {g_: int(v) for (g_, _), v in kth_smallest(long_df, ranks, bounds).items()}
+    sizes = {r["_g"]: int(r["n"]) for r in stats}
+    cut = {g_: int(v) for (g_, _), v in kth_smallest(long_df, ranks, bounds, counts=sizes).items()}
     if not cut:
         base.unpersist(blocking=False)
         return df.withColumn(name, F.lit("train"))
