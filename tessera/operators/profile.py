@@ -169,6 +169,25 @@ def column_modes(df: DataFrame, columns: list[str]) -> dict[str, tuple[str | Non
     return out
 
 
+def distinct_and_modes(df: DataFrame, columns: list[str]) -> tuple[dict[str, int], dict[str, tuple]]:
+    """Exact distinct count and mode per column from ONE shuffle of
+    ``(column, value)`` counts (both are reductions of the same table)."""
+    if not columns:
+        return {}, {}
+    res = (value_pairs(df, columns).groupBy("column", "value").count()
+           .groupBy("column")
+           .agg(F.count(F.lit(1)).alias("unique"),
+                F.min(F.struct((-F.col("count")).alias("neg"), F.col("value").alias("value"))).alias("m"))
+           .select("column", "unique", F.col("m.value").alias("value"), (-F.col("m.neg")).alias("freq"))
+           .collect())
+    uniq = {c: 0 for c in columns}
+    modes: dict[str, tuple] = {c: (None, 0) for c in columns}
+    for r in res:
+        uniq[r["column"]] = int(r["unique"])
+        modes[r["column"]] = (r["value"], int(r["freq"]))
+    return uniq, modes
+
+
 # ---------------------------------------------------------------------------
 # A2 dtype report
 # ---------------------------------------------------------------------------
@@ -303,8 +322,7 @@ def describe(df: DataFrame, exact: bool = True) -> DataFrame:
     row = df.agg(*aggs).collect()[0]
     stats = {c: (int(row[f"n{i}"]), row[f"min{i}"], row[f"max{i}"]) for i, c in enumerate(num)}
     qs = quantiles(df, num, [0.25, 0.5, 0.75], exact=exact, stats=stats)
-    uniq = distinct_counts(df, cat)
-    modes = column_modes(df, cat)
+    uniq, modes = distinct_and_modes(df, cat)
     rows = []
     for i, c in enumerate(num):
         q = qs[c]
