@@ -48,9 +48,11 @@ def is_utf8(spark: SparkSession, path: str) -> bool:
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", sep: str = ",",
-             multiline: bool = False) -> DataFrame:
-    """Header CSV with pandas-like type inference.  ``multiline`` allows
-    quoted line breaks but stops Spark from splitting one file across tasks."""
+             multiline: bool = True) -> DataFrame:
+    """Header CSV with pandas-like type inference.  ``multiline`` (on by
+    default, as quoted line breaks are legal CSV) reads each file in one
+    task; for a few very large single files that are known to hold no quoted
+    line breaks, ``multiline=False`` lets Spark split them."""
     raw = (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
            .option("multiLine", multiline).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path))
     cleaned = raw.select(*[F.when(~col(c).isin(*PANDAS_NA_TOKENS), col(c)).alias(c) for c in raw.columns])
