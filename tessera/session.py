@@ -48,8 +48,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared (distributed) folder there; we read it from the
-    session.  Only when nothing is configured (local tests) do we create a
-    fresh scratch folder and register it.
+    session.  Only when nothing is configured AND the master is local (tests,
+    single-machine runs) do we create a fresh scratch folder; on a cluster a
+    missing setting is an error rather than a silent machine-local folder.
     """
     sc = spark.sparkContext
     configured = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -57,6 +58,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
+    if not sc.master.startswith("local"):
+        # a machine-local folder is not visible to executors on other hosts
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster file system)")
     local = tempfile.mkdtemp(prefix="tessera-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
