@@ -185,31 +185,128 @@ def _rank_plan(n: int, p: float) -> tuple[int, int, float]:
     return k, k2, frac
 
 
-def column_bounds(df: DataFrame, columns: list[str]) -> dict[str, tuple[int, float, float]]:
-    """``{column: (non-null count, min, max)}`` in one aggregate."""
+APPROX_ACCURACY = 10_000
+# percentile_approx returns a value whose rank is within n/accuracy of the
+# requested one; two error widths on each side bracket the exact rank
+BRACKET = 2.0 / APPROX_ACCURACY
+
+
+def bracket_aggs(columns: list[str], probs: list[float], prefix: str = "br") -> list:
+    """Aggregates (bounded-memory sketches) to add to a caller's own
+    aggregate: per column, values bracketing every wanted probability."""
+    ps = []
+    for p in probs:
+        ps += [max(0.0, p - BRACKET), min(1.0, p + BRACKET)]
+    out = []
+    for i, c in enumerate(columns):
+        x = F.col(c).cast("double")
+        out.append(F.percentile_approx(F.when(~F.isnan(x), x), ps, APPROX_ACCURACY).alias(f"{prefix}{i}"))
+    return out
+
+
+def parse_brackets(row, columns: list[str], prefix: str = "br") -> dict[str, list[float]]:
+    return {c: (list(row[f"{prefix}{i}"]) if row[f"{prefix}{i}"] is not None else None)
+            for i, c in enumerate(columns)}
+
+
+def column_bounds(df: DataFrame, columns: list[str],
+                  probs: list[float] | None = None) -> dict[str, tuple]:
+    """``{column: (non-null count, min, max[, brackets])}`` in one aggregate
+    (brackets only when ``probs`` are given)."""
     aggs = []
     for i, c in enumerate(columns):
         x = F.col(c).cast("double")
         x = F.when(~F.isnan(x), x)
         aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+    if probs:
+        aggs += bracket_aggs(columns, probs)
     row = df.agg(*aggs).collect()[0]
-    return {c: (int(row[f"n{i}"]), row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(columns)}
+    br = parse_brackets(row, columns) if probs else {}
+    return {c: (int(row[f"n{i}"]), row[f"lo{i}"], row[f"hi{i}"]) + ((br[c],) if probs else ())
+            for i, c in enumerate(columns)}
+
+
+def _bracketed(long_df: DataFrame, plan: dict[str, list[tuple[float, float, list[int]]]],
+               ) -> tuple[dict[tuple[str, int], float], dict[str, list[int]]]:
+    """Resolve ranks inside small value brackets with ONE job.
+
+    Per column the brackets are merged and sorted; every value then falls in
+    exactly one segment (a gap before a bracket, a bracket, or the tail).  A
+    ``groupBy(segment, value-inside-a-bracket)`` count gives, in one pass,
+    the number of values left of each bracket and the values inside it with
+    their multiplicities.  Ranks that turn out not to lie inside their
+    bracket are returned unresolved (the caller refines them the long way).
+    """
+    windows: dict[str, list[list]] = {}
+    for g, items in plan.items():
+        merged: list[list] = []
+        for a, b, rs in sorted(items, key=lambda t: t[0]):
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+                merged[-1][2] = sorted(set(merged[-1][2]) | set(rs))
+            else:
+                merged.append([a, b, list(rs)])
+        windows[g] = merged
+    seg = None
+    base, bases = 0, {}
+    for g, ws in windows.items():
+        bases[g] = base
+        conds = []
+        for i, (a, b, _) in enumerate(ws):
+            conds.append((F.col("x") < F.lit(a), base + 2 * i))
+            conds.append((F.col("x") <= F.lit(b), base + 2 * i + 1))
+        conds.append((F.lit(True), base + 2 * len(ws)))
+        for cond, sid in conds:
+            full = (F.col("g") == F.lit(g)) & cond
+            seg = F.when(full, F.lit(sid)) if seg is None else seg.when(full, F.lit(sid))
+        base += 2 * len(ws) + 2          # keep every base even: odd ids are brackets
+    inside = F.when(F.col("_seg") % 2 == 1, F.col("x"))
+    counted = (long_df.select(seg.alias("_seg"), "x").select("_seg", inside.alias("_v"))
+               .groupBy("_seg", "_v").agg(F.count(F.lit(1)).alias("n")).collect())
+    by_seg: dict[int, list] = defaultdict(list)
+    for r in counted:
+        by_seg[r["_seg"]].append(r)
+    found: dict[tuple[str, int], float] = {}
+    unresolved: dict[str, list[int]] = defaultdict(list)
+    for g, ws in windows.items():
+        below = 0
+        for i, (_, _, rs) in enumerate(ws):
+            gap = bases[g] + 2 * i
+            below += sum(int(r["n"]) for r in by_seg.get(gap, []))
+            vals = sorted(((r["_v"], int(r["n"])) for r in by_seg.get(gap + 1, [])), key=lambda t: t[0])
+            total = sum(n for _, n in vals)
+            for rank in rs:
+                local = rank - below
+                if not 0 <= local < total:
+                    unresolved[g].append(rank)
+                    continue
+                acc = 0
+                for v, n in vals:
+                    acc += n
+                    if local < acc:
+                        found[(g, rank)] = float(v)
+                        break
+            below += total
+    return found, dict(unresolved)
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                     bins: int = DEFAULT_BINS,
                     collect_limit: int = DEFAULT_COLLECT_LIMIT,
-                    stats: dict[str, tuple[int, float, float]] | None = None) -> dict[str, list[float | None]]:
+                    stats: dict[str, tuple] | None = None) -> dict[str, list[float | None]]:
     """Exact quantiles with linear interpolation (pandas ``quantile`` / SQL
     ``percentile_cont``), nulls and NaN ignored.  ``{column: [q per prob]}``.
 
-    ``stats`` (count, min, max per column) can be passed when the caller's own
-    aggregate already computed them, saving one pass.
+    ``stats`` (count, min, max[, brackets] per column) can be passed when the
+    caller's own aggregate already computed them, saving one pass.  With
+    brackets (``bracket_aggs`` in that aggregate) and columns small enough
+    that a bracket holds a bounded number of values, the exact values come
+    from a single further job; otherwise histogram refinement.
     """
     if not columns:
         return {}
     if stats is None:
-        stats = column_bounds(df, columns)
+        stats = column_bounds(df, columns, probs)
     counts = {c: stats[c][0] for c in columns}
     bounds = {c: (stats[c][1], stats[c][2]) for c in columns}
     ranks: dict[str, list[int]] = {}
@@ -223,8 +320,28 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
             rs.update((k, k2))
         ranks[c] = sorted(rs)
     wanted = [c for c in columns if c in ranks]
-    found = kth_smallest(long_values(df, wanted), ranks, bounds, bins, collect_limit,
-                         counts={c: counts[c] for c in wanted}) if wanted else {}
+    found: dict[tuple[str, int], float] = {}
+    # bracket path: a bracket spans ~4n/accuracy ranks; use it while that is small
+    plan = {}
+    for c in wanted:
+        br = stats[c][3] if len(stats[c]) > 3 else None
+        if not br or counts[c] <= collect_limit or 8 * counts[c] * BRACKET > collect_limit:
+            continue
+        items = []
+        for j, p in enumerate(probs):
+            a, b = br[2 * j], br[2 * j + 1]
+            k, k2, _ = _rank_plan(counts[c], p)
+            items.append((a, b, sorted({k, k2})))
+        plan[c] = items
+    rest = {c: ranks[c] for c in wanted if c not in plan}
+    if plan:
+        got, unresolved = _bracketed(long_values(df, list(plan)), plan)
+        found.update(got)
+        for c, rs in unresolved.items():
+            rest[c] = sorted(set(rest.get(c, [])) | set(rs))
+    if rest:
+        found.update(kth_smallest(long_values(df, list(rest)), rest, {c: bounds[c] for c in rest}, bins,
+                                  collect_limit, counts={c: counts[c] for c in rest}))
     out: dict[str, list[float | None]] = {}
     for c in columns:
         n = counts[c]
