@@ -376,28 +376,25 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float],
 
 
 def group_quantiles(df: DataFrame, group: str, value: str, probs: list[float],
-                    max_groups: int | None = None) -> dict[object, tuple[int, list[float]]] | None:
+                    max_groups: int = 10_000) -> dict[object, tuple[int, list[float]]] | None:
     """Exact quantiles of ``value`` per non-null ``group``:
     ``{group: (count, [q per prob])}``.
 
     Per-group count/min/max come from one ``groupBy`` (one row per group);
     the ranks are then refined for all groups together, so a group holding a
-    third of the rows is still split across every task of each pass.  With
-    ``max_groups`` set, returns None when there are more groups than that
-    (the caller then uses a per-group aggregate instead).
+    third of the rows is still split across every task of each pass.  The
+    per-group table comes to the driver, so it returns None when there are
+    more than ``max_groups`` groups (the caller then splits the work).
     """
     x = F.col(value).cast("double")
     long_df = (df.select(F.col(group).alias("g"), x.alias("x"))
                .where(F.col("g").isNotNull() & F.col("x").isNotNull() & ~F.isnan("x")))
     per_group = long_df.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"),
                                          F.max("x").alias("hi"))
-    if max_groups is not None:
-        # the per-group table comes to the driver: refuse (None) beyond the bound
-        stats = per_group.limit(max_groups + 1).collect()
-        if len(stats) > max_groups:
-            return None
-    else:
-        stats = per_group.collect()
+    # the per-group table comes to the driver: refuse (None) beyond the bound
+    stats = per_group.limit(max_groups + 1).collect()
+    if len(stats) > max_groups:
+        return None
     ranks, bounds, counts = {}, {}, {}
     for r in stats:
         n = int(r["n"])

@@ -41,3 +41,30 @@ def test_split_with_dominant_class(spark):
     for cls in ("A", "B"):
         n = sum(1 for r in rows if r[3] == cls)
         assert per[(cls, "test")] == math.ceil(n * 0.2)
+
+
+def _box_brute(xs):
+    q1, med, q3 = np.quantile(xs, [0.25, 0.5, 0.75])
+    lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+    inside = xs[(xs >= lo) & (xs <= hi)]
+    return (len(xs), xs.min(), q1, med, q3, xs.max(), lo, hi, inside.min(), inside.max(),
+            int(((xs < lo) | (xs > hi)).sum()))
+
+
+def test_box_stats_hot_group_split(spark, monkeypatch):
+    """More groups than the exact bound, one group with a third of the rows:
+    the hot group goes through the distributed refinement, the rest through
+    per-group percentiles; every number equals the brute-force answer."""
+    from tessera.operators import chartdata
+    df, rows = _skewed(spark)
+    monkeypatch.setattr(chartdata, "MAX_EXACT_GROUPS", 10)
+    monkeypatch.setattr(chartdata, "HOT_GROUP_ROWS", 50)
+    got = {r["k"]: tuple(r)[1:] for r in chartdata.box_stats(df, "x", "k").collect()}
+    by_key: dict = {}
+    for r in rows:
+        by_key.setdefault(r[1], []).append(r[2])
+    assert set(got) == set(by_key)
+    for k, xs in by_key.items():
+        want = _box_brute(np.array(xs))
+        assert got[k][0] == want[0] and got[k][-1] == want[-1]
+        assert np.allclose(got[k][1:-1], want[1:-1]), k
