@@ -49,19 +49,32 @@ def split_labels(df: DataFrame, keys: list[str], stratify: str | None = None,
     if not cut:
         base.unpersist(blocking=False)
         return df.withColumn(name, F.lit("train"))
-    # settle ties on the cut-off bucket by key (few rows: equal 32-bit buckets)
+    # settle ties on the cut-off bucket by key: one row per class for the
+    # rows below it, one per distinct key on it (copies of a key collapse in
+    # partial aggregation, so a hot duplicated key is one row, not a list)
     cut_h = F.create_map(*[x for g_, h in cut.items() for x in (F.lit(g_), F.lit(h).cast("long"))])
     at_cut = F.col("_h") == F.element_at(cut_h, F.col("_g"))
     below = F.col("_h") < F.element_at(cut_h, F.col("_g"))
     key_struct = F.struct(*[col(k).alias(k) for k in keys])
-    tie_rows = (base.groupBy("_g").agg(F.sum(below.cast("long")).alias("below"),
-                                       F.collect_list(F.when(at_cut, key_struct)).alias("ties"))
-                .where(F.col("_g").isin(list(cut))).collect())
-    key_cut = {}
+    tie_rows = (base.where(F.col("_g").isin(list(cut)))
+                .groupBy("_g", F.when(at_cut, key_struct).alias("_k"))
+                .agg(F.sum(below.cast("long")).alias("below"), F.count(F.lit(1)).alias("n"))
+                .collect())
+    below_n: dict = {}
+    ties: dict = {}
     for r in tie_rows:
-        need = want[r["_g"]] - int(r["below"] or 0)
-        ties = sorted(tuple(t) for t in r["ties"])
-        key_cut[r["_g"]] = ties[need - 1]
+        below_n[r["_g"]] = below_n.get(r["_g"], 0) + int(r["below"] or 0)
+        if r["_k"] is not None:
+            ties.setdefault(r["_g"], []).append((tuple(r["_k"]), int(r["n"])))
+    key_cut = {}
+    for g_, tied in ties.items():
+        need, seen = want[g_] - below_n.get(g_, 0), 0
+        # struct order: field by field, nulls first
+        for k, n in sorted(tied, key=lambda t: tuple((v is not None, v) for v in t[0])):
+            seen += n
+            if seen >= need:
+                key_cut[g_] = k
+                break
     is_test = F.lit(False)
     for g_, kc in key_cut.items():
         lit_struct = F.struct(*[F.lit(v).cast(df.schema[k].dataType).alias(k) for k, v in zip(keys, kc)])

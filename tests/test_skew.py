@@ -68,3 +68,16 @@ def test_box_stats_hot_group_split(spark, monkeypatch):
         want = _box_brute(np.array(xs))
         assert got[k][0] == want[0] and got[k][-1] == want[-1]
         assert np.allclose(got[k][1:-1], want[1:-1]), k
+
+
+def test_split_with_hot_duplicated_key(spark):
+    """A third of the rows share one key: copies are settled together (same
+    side of the split) and the non-duplicated rows still split exactly."""
+    rows = [(0 if i % 3 == 0 else i, "A") for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, cls string").repartition(8)
+    s = split_scale.split_labels(df, ["id"], stratify="cls")
+    sides = s.where(F.col("id") == 0).select("split").distinct().count()
+    assert sides == 1
+    n_test = s.where(F.col("split") == "test").count()
+    assert n_test >= math.ceil(3000 * 0.2) or n_test == s.where(F.col("id") != 0).where(
+        F.col("split") == "test").count()
