@@ -301,10 +301,20 @@ def _rank(rows: list[dict], problem_type: str) -> list[dict]:
                                        -num(r["ROC AUC"], -math.inf)))
 
 
+FIT_HEAP_BYTES = 2 << 30
+
+
 def default_parallelism(spark) -> int:
     """How many fits to run at once: enough to keep the cluster busy while
-    small boosting iterations wait on each other, never more than 16."""
-    return max(1, min(16, spark.sparkContext.defaultParallelism))
+    small boosting iterations wait on each other, never more than 16.  On a
+    single machine every fit (its cached training points, tree statistics
+    and models) shares one JVM heap: one fit per ``FIT_HEAP_BYTES`` of it."""
+    sc = spark.sparkContext
+    n = max(1, min(16, sc.defaultParallelism))
+    if sc.master.startswith("local"):
+        heap = sc._jvm.java.lang.Runtime.getRuntime().maxMemory()
+        n = max(1, min(n, int(heap // FIT_HEAP_BYTES)))
+    return n
 
 
 def train_all_models(prep: Prepared, *, cv_folds: int = DEFAULT_CV_FOLDS, models: list[str] | None = None,
