@@ -2,8 +2,7 @@
 
 Regression (M8): MAE, RMSE, R² from one aggregate of residuals.
 Classification (M9): accuracy and support-weighted precision / recall / F1
-(zero when undefined) from the confusion counts ``groupBy(label, pred)``,
-a table of at most k² rows.  ROC AUC: exact rank-sum form computed from
+(zero when undefined) from per-class counts, distributed end to end.  ROC AUC: exact rank-sum form computed from
 ``groupBy(score)`` counts and a blocked running total of negatives (ties
 count one half), so neither the rows nor the distinct scores meet in one
 task.
@@ -42,41 +41,39 @@ def confusion_counts(df: DataFrame, actual: str, predicted: str) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-CLS_SCHEMA = T.StructType([T.StructField(n, t) for n, t in (
-    ("accuracy", T.DoubleType()), ("precision", T.DoubleType()), ("recall", T.DoubleType()),
-    ("f1", T.DoubleType()), ("n", T.LongType()))])
+def classification_metrics(df: DataFrame, actual: str = "label", predicted: str = "prediction") -> DataFrame:
+    """accuracy, support-weighted precision / recall / F1 (a class never
+    predicted scores 0), n — one row.
+
+    Every row adds one count to its actual class (support, and a true
+    positive when the prediction matches) and one to its predicted class,
+    so per-class counts come from one shuffle whose partial aggregation
+    collapses a hot class; the weighted sums are a second, one-row
+    aggregate.  Nothing proportional to the number of classes reaches the
+    driver."""
+    a, p = col(actual).cast("string"), col(predicted).cast("string")
+    hit = (a == p).cast("long")
+    sides = (df.where(col(actual).isNotNull() & col(predicted).isNotNull())
+             .select(F.explode(F.array(
+                 F.struct(a.alias("c"), F.lit(1).cast("long").alias("s"), F.lit(0).cast("long").alias("pn"),
+                          hit.alias("tp")),
+                 F.struct(p.alias("c"), F.lit(0).cast("long").alias("s"), F.lit(1).cast("long").alias("pn"),
+                          F.lit(0).cast("long").alias("tp")))).alias("r"))
+             .select("r.*"))
+    per_class = sides.groupBy("c").agg(F.sum("s").alias("s"), F.sum("pn").alias("pn"), F.sum("tp").alias("tp"))
+    s_, pn, tp = F.col("s").cast("double"), F.col("pn"), F.col("tp").cast("double")
+    pc = F.when(pn > 0, tp / pn).otherwise(F.lit(0.0))
+    rc = F.when(s_ > 0, tp / s_).otherwise(F.lit(0.0))
+    fc = F.when(pc + rc > 0, F.lit(2.0) * pc * rc / (pc + rc)).otherwise(F.lit(0.0))
+    total = F.sum("s")
+    return per_class.agg(
+        (F.sum("tp") / total).alias("accuracy"), (F.sum(s_ * pc) / total).alias("precision"),
+        (F.sum(s_ * rc) / total).alias("recall"), (F.sum(s_ * fc) / total).alias("f1"),
+        F.coalesce(total, F.lit(0).cast("long")).alias("n"))
 
 
 def classification_scores(df: DataFrame, actual: str = "label", predicted: str = "prediction") -> dict[str, float]:
-    cells = confusion_counts(df, actual, predicted).collect()      # ≤ k² rows
-    support, predicted_n, tp = {}, {}, {}
-    total = 0
-    for r in cells:
-        a, p, n = r["actual"], r["predicted"], int(r["n"])
-        total += n
-        support[a] = support.get(a, 0) + n
-        predicted_n[p] = predicted_n.get(p, 0) + n
-        if a == p:
-            tp[a] = tp.get(a, 0) + n
-    if total == 0:
-        return {"accuracy": None, "precision": None, "recall": None, "f1": None, "n": 0}
-    prec = rec = f1 = 0.0
-    for c, s in support.items():
-        t = tp.get(c, 0)
-        pc = t / predicted_n[c] if predicted_n.get(c) else 0.0
-        rc = t / s if s else 0.0
-        fc = 2 * pc * rc / (pc + rc) if (pc + rc) else 0.0
-        prec += s * pc
-        rec += s * rc
-        f1 += s * fc
-    return {"accuracy": sum(tp.values()) / total, "precision": prec / total, "recall": rec / total,
-            "f1": f1 / total, "n": total}
-
-
-def classification_metrics(df: DataFrame, actual: str = "label", predicted: str = "prediction") -> DataFrame:
-    m = classification_scores(df, actual, predicted)
-    return df.sparkSession.createDataFrame([(m["accuracy"], m["precision"], m["recall"], m["f1"], m["n"])],
-                                           CLS_SCHEMA)
+    return classification_metrics(df, actual, predicted).collect()[0].asDict()
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score", positive=1) -> float | None:

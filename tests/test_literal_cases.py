@@ -155,3 +155,35 @@ def test_box_stats_many_groups_path_matches_exact(spark, monkeypatch):
     assert len(exact) == len(many)
     for a, b in zip(exact, many):
         assert a[0] == b[0] and all(abs(x - y) < 1e-9 for x, y in zip(a[1:], b[1:]))
+
+
+def _weighted_prf(pairs):
+    """Brute force: support-weighted precision / recall / F1, 0 when undefined."""
+    classes = {a for a, _ in pairs}
+    n = len(pairs)
+    prec = rec = f1 = 0.0
+    for c in classes:
+        tp = sum(1 for a, p in pairs if a == c and p == c)
+        s = sum(1 for a, _ in pairs if a == c)
+        pn = sum(1 for _, p in pairs if p == c)
+        pc = tp / pn if pn else 0.0
+        rc = tp / s if s else 0.0
+        fc = 2 * pc * rc / (pc + rc) if pc + rc else 0.0
+        prec, rec, f1 = prec + s * pc, rec + s * rc, f1 + s * fc
+    acc = sum(1 for a, p in pairs if a == p) / n
+    return acc, prec / n, rec / n, f1 / n
+
+
+def test_classification_metrics_unpredicted_and_phantom_classes(spark):
+    """'c' is never predicted (precision 0), 'z' is predicted but never
+    actual (no support, no weight); null sides are skipped."""
+    from tessera.operators.evaluate import classification_metrics
+    pairs = [("a", "a")] * 5 + [("a", "b")] * 2 + [("b", "b")] * 3 + [("c", "a"), ("c", "z"), ("b", "z")]
+    df = spark.createDataFrame(pairs + [(None, "a"), ("a", None)], "label string, prediction string")
+    r = classification_metrics(df).collect()[0]
+    acc, p, rc, f1 = _weighted_prf(pairs)
+    assert r["n"] == len(pairs)
+    for got, want in zip((r["accuracy"], r["precision"], r["recall"], r["f1"]), (acc, p, rc, f1)):
+        assert math.isclose(got, want, rel_tol=1e-12)
+    empty = classification_metrics(df.where(F.lit(False))).collect()[0]
+    assert empty["n"] == 0 and empty["accuracy"] is None
