@@ -52,3 +52,32 @@ def test_exact_quantile_property(spark, values, p):
     got = Q.exact_quantiles(df, ["x"], [p], bins=3, collect_limit=4)["x"][0]
     want = float(np.quantile(np.array(values), p))
     assert abs(got - want) <= 1e-9 * max(1.0, abs(want))
+
+
+@pytest.mark.parametrize("values", [
+    [1.0, 2.0, 2.0, 2.0, 9.0, None, None, None],               # ties at the median, odd n
+    [5.0, 1.0, 3.0, 8.0, None],                                 # even n, interpolated median
+    [4.0, 4.0, 4.0, 4.0, None, None],                           # constant column
+    [1.0, 2.0, 3.0, 4.0, 100.0],                                # nothing to fill
+    [float(i % 13) for i in range(97)] + [None] * 41,           # many gaps
+    [None, None, None],                                         # nothing to fill from
+])
+def test_filled_quartiles_match_quartiles_of_filled_column(spark, values):
+    """The fences found with the medians equal the quartiles of the column
+    after it is median-filled (brute force with numpy)."""
+    import numpy as np
+    from tessera.operators import clean
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(3)
+    plan = clean.fit_fill(df, quartiles_for=["x"])
+    known = [v for v in values if v is not None]
+    if not known:
+        assert "x" not in plan.filled_quartiles and "x" not in plan.numeric
+        return
+    med = float(np.median(known))
+    if len(known) < len(values):
+        assert plan.numeric["x"] == pytest.approx(med, rel=0, abs=0)
+    else:
+        assert "x" not in plan.numeric
+    filled = np.array([med if v is None else v for v in values])
+    q1, q3 = np.quantile(filled, [0.25, 0.75])
+    assert plan.filled_quartiles["x"] == pytest.approx((q1, q3), rel=1e-12, abs=1e-12)
