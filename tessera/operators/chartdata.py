@@ -4,8 +4,8 @@ Grouped aggregates (A18-A21, V5-V8), box/violin statistics (V2/V3),
 missing-value matrix (V10), deterministic samples (T1, V12) and ordered
 heads (T3).  Sampling uses a keyed MD5 hash order so that the same rows are
 chosen on every run, on any number of partitions, and by SQL engines that
-share the formula; ``orderBy(hash).limit(n)`` plans as a TakeOrdered (each
-task keeps n rows), never a full sort.
+share the formula; the ordered limit only sees the rows under a bucket
+threshold chosen by one counting pass, never n rows from every split.
 """
 
 from __future__ import annotations
@@ -37,13 +37,83 @@ def hash_bucket(keys: list[str], seed: int = SEED) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
+# the ordered limit of a sample receives at most this many candidate rows
+# (× n, plus the slack); beyond it the cut-off is found exactly instead
+SAMPLE_CANDIDATE_FACTOR = 8
+SAMPLE_CANDIDATE_SLACK = 4096
+
+
 def sample_rows(df: DataFrame, keys: list[str], n: int = MAX_SCATTER_ROWS,
                 columns: list[str] | None = None, seed: int = SEED) -> DataFrame:
-    """Exactly ``min(n, rows)`` rows chosen by hash order of ``keys``."""
-    out = df.withColumn("_h", hash_bucket(keys, seed)).orderBy("_h", *keys).limit(n).drop("_h")
+    """Exactly ``min(n, rows)`` rows, the smallest by (hash bucket, keys).
+
+    A bare ``orderBy(hash).limit(n)`` merges n rows from every input split
+    in one task.  Here one aggregate counts the rows under a ladder of bucket
+    thresholds (2^32 halved 32 times); only the rows under the lowest
+    threshold that still holds n rows — about 2n when keys are distinct —
+    reach the ordered limit.  When copies of some key crowd that band, the
+    cut-off is found exactly instead (``_sample_by_cut``)."""
+    base = df.withColumn("_h", hash_bucket(keys, seed))
+    row = base.agg(F.count(F.lit(1)).alias("c0"),
+                   *[F.sum((F.col("_h") < F.lit(1 << (32 - j))).cast("long")).alias(f"c{j}")
+                     for j in range(1, 33)]).collect()[0]
+    below = [int(row[f"c{j}"] or 0) for j in range(33)]       # below[j]: rows with bucket < 2^(32-j)
+    m = min(n, below[0])
+    if m == 0:
+        out = base.limit(0).drop("_h")
+        return out.select(*columns) if columns else out
+    j = max(i for i in range(33) if below[i] >= m)
+    cand = base.where(F.col("_h") < F.lit(1 << (32 - j))) if j else base
+    if below[j] <= SAMPLE_CANDIDATE_FACTOR * m + SAMPLE_CANDIDATE_SLACK:
+        out = cand.orderBy("_h", *keys).limit(m).drop("_h")
+    else:
+        out = _sample_by_cut(cand, keys, m, float((1 << (32 - j)) - 1), below[j]).drop("_h")
     return out.select(*columns) if columns else out
 
 
+def _sample_by_cut(cand: DataFrame, keys: list[str], m: int, hi: float, size: int) -> DataFrame:
+    """The m smallest rows of ``cand`` by (``_h``, keys) when copies of a key
+    make the band too large for one ordered merge: the m-th bucket is an
+    exact order statistic (distributed refinement), buckets below it are
+    taken whole, keys on it are settled from one count per distinct key, and
+    of the cut-off key's copies (interchangeable in this order) each input
+    partition contributes a quota of its first rows."""
+    from tessera.functions.quantiles import kth_smallest
+    long_df = cand.select(F.lit("all").alias("g"), F.col("_h").cast("double").alias("x"))
+    cut = int(kth_smallest(long_df, {"all": [m - 1]}, {"all": (0.0, hi)}, counts={"all": size})[("all", m - 1)])
+    key_struct = F.struct(*[col(k).alias(k) for k in keys])
+    at_cut, below = F.col("_h") == F.lit(cut), F.col("_h") < F.lit(cut)
+    tied = (cand.where(F.col("_h") <= F.lit(cut))
+            .groupBy(F.when(at_cut, key_struct).alias("_k"))
+            .agg(F.sum(below.cast("long")).alias("below"), F.count(F.lit(1)).alias("n")).collect())
+    need = m - sum(int(r["below"] or 0) for r in tied)
+    seen, cut_key, quota = 0, None, 0
+    for k, c in sorted(((tuple(r["_k"]), int(r["n"])) for r in tied if r["_k"] is not None),
+                       key=lambda t: tuple((v is not None, v) for v in t[0])):
+        if seen + c >= need:
+            cut_key, quota = k, need - seen
+            break
+        seen += c
+    types = {f.name: f.dataType for f in cand.schema.fields}
+    lit_key = F.struct(*[F.lit(v).cast(types[k]).alias(k) for k, v in zip(keys, cut_key)])
+    whole = cand.where(below | (at_cut & (key_struct < lit_key)))
+    copies = cand.where(at_cut & (key_struct == lit_key)).withColumn("_mid", F.monotonically_increasing_id())
+    pid = F.shiftright("_mid", 33)
+    per_part = sorted((int(r["pid"]), int(r["n"])) for r in
+                      copies.groupBy(pid.alias("pid")).agg(F.count(F.lit(1)).alias("n")).collect())
+    quotas, left = [], quota
+    for p, c in per_part:              # at most `quota` partitions get a share
+        if left <= 0:
+            break
+        quotas.append((p, min(c, left)))
+        left -= quotas[-1][1]
+    q = cand.sparkSession.createDataFrame(quotas, "_pid long, _quota long")
+    local = F.col("_mid") - F.shiftleft(pid, 33)
+    taken = (copies.join(F.broadcast(q), pid == F.col("_pid"))
+             .where(local < F.col("_quota")).drop("_mid", "_pid", "_quota"))
+    return whole.unionByName(taken)
+
+
 def grouped_agg(df: DataFrame, x: str, y: str, aggregation: str = "mean") -> DataFrame:
     """``aggregation`` of y by x, largest first (null keys dropped)."""
     fn = _AGGS[aggregation]

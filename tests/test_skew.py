@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import quantiles as Q
@@ -81,3 +82,39 @@ def test_split_with_hot_duplicated_key(spark):
     n_test = s.where(F.col("split") == "test").count()
     assert n_test >= math.ceil(3000 * 0.2) or n_test == s.where(F.col("id") != 0).where(
         F.col("split") == "test").count()
+
+
+def _bucket(seed, *key):
+    import hashlib
+    text = "|".join([str(seed)] + [str(k) for k in key])
+    return int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
+
+
+@pytest.mark.parametrize("hot_rank", [0, 3])
+def test_sample_with_hot_duplicated_key(spark, monkeypatch, hot_rank):
+    """A third of the rows are copies of one key whose bucket is among the
+    smallest: the candidate band is crowded by copies, so the exact cut-off
+    path runs.  The sample still has exactly n rows, and its keys are the
+    first n of the (bucket, key) order (copies of a key are identical)."""
+    from tessera.operators import chartdata
+    monkeypatch.setattr(chartdata, "SAMPLE_CANDIDATE_SLACK", 0)
+    calls = []
+    exact_path = chartdata._sample_by_cut
+    monkeypatch.setattr(chartdata, "_sample_by_cut", lambda *a: calls.append(1) or exact_path(*a))
+    ids = list(range(1, 2001))
+    by_bucket = sorted(ids, key=lambda i: (_bucket(42, i), i))
+    hot = by_bucket[hot_rank]
+    rows = [(i, i * 10) for i in ids] + [(hot, hot * 10)] * 1000
+    df = spark.createDataFrame(rows, "id long, v long").repartition(7)
+    n = 50
+    got = sorted(r["id"] for r in chartdata.sample_rows(df, ["id"], n).collect())
+    want = sorted(sorted((r for r in rows), key=lambda r: (_bucket(42, r[0]), r[0]))[i][0] for i in range(n))
+    assert calls and len(got) == n
+    assert got == want
+
+
+def test_sample_small_and_empty(spark):
+    from tessera.operators import chartdata
+    df = spark.createDataFrame([(i, i) for i in range(30)], "id long, v long")
+    assert chartdata.sample_rows(df, ["id"], 100).count() == 30
+    assert chartdata.sample_rows(df.where(F.lit(False)), ["id"], 100).count() == 0
