@@ -40,20 +40,39 @@ def header_names(spark: SparkSession, path: str, sep: str = ",", encoding: str =
     return next(_csv.reader(io.StringIO(first[0]["value"]), delimiter=sep))
 
 
+def _odd_quotes(line):
+    """A physical line with an odd number of quote characters ends inside a
+    quoted field (a doubled quote toggles twice), i.e. a quoted line break."""
+    return ((F.length(line) - F.length(F.regexp_replace(line, '"', ""))) % 2) == 1
+
+
+def scan_text(spark: SparkSession, path: str) -> tuple[bool, bool]:
+    """(every line is valid UTF-8, some quoted field spans lines) from one
+    splittable pass over the raw lines (the quote byte is the same in UTF-8
+    and Latin-1)."""
+    row = spark.read.text(path).agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("ok"),
+        F.bool_or(_odd_quotes(F.col("value"))).alias("spans")).collect()[0]
+    return row["ok"] is not False, bool(row["spans"])
+
+
 def is_utf8(spark: SparkSession, path: str) -> bool:
     """True when every line of the file is valid UTF-8 (one distributed check)."""
-    lines = spark.read.text(path)
-    ok = lines.agg(F.bool_and(F.is_valid_utf8("value")).alias("ok")).collect()[0]["ok"]
-    return ok is not False
+    return scan_text(spark, path)[0]
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", sep: str = ",",
-             multiline: bool = True) -> DataFrame:
-    """Header CSV with pandas-like type inference.  ``multiline`` (on by
-    default, as quoted line breaks are legal CSV) reads each file in one
-    task; for a few very large single files that are known to hold no quoted
-    line breaks, ``multiline=False`` lets Spark split them."""
+             multiline: bool | None = None) -> DataFrame:
+    """Header CSV with pandas-like type inference and quoting (a quote
+    inside a quoted field is doubled, a backslash is plain text).
+
+    ``multiline``: whether quoted fields may hold line breaks.  A multi-line
+    read cannot split a file (one task per file), so by default it is used
+    only when a splittable scan finds such a field (``scan_text``)."""
+    if multiline is None:
+        multiline = scan_text(spark, path)[1]
     raw = (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
+           .option("quote", '"').option("escape", '"')
            .option("multiLine", multiline).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path))
     cleaned = raw.select(*[F.when(~col(c).isin(*PANDAS_NA_TOKENS), col(c)).alias(c) for c in raw.columns])
     return infer_types(cleaned)
@@ -106,9 +125,11 @@ def validate_dataframe(spark: SparkSession, df: DataFrame, path: str, sep: str =
 
 
 def load_csv_with_fallback_encoding(spark: SparkSession, path: str, sep: str = ",") -> tuple[DataFrame, str]:
-    """UTF-8 when the bytes are valid UTF-8, else Latin-1."""
-    encoding = "UTF-8" if is_utf8(spark, path) else FALLBACK_ENCODING
-    return read_csv(spark, path, encoding, sep), encoding
+    """UTF-8 when the bytes are valid UTF-8, else Latin-1 (the same pass
+    decides whether the read must be multi-line)."""
+    utf8, spans = scan_text(spark, path)
+    encoding = "UTF-8" if utf8 else FALLBACK_ENCODING
+    return read_csv(spark, path, encoding, sep, multiline=spans), encoding
 
 
 @dataclass

@@ -43,7 +43,9 @@ def lower_names(df: DataFrame) -> DataFrame:
 def to_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """UTF-8 CSV with header (one file per partition, written in parallel)."""
     lower = df
-    lower.write.mode(mode).option("header", True).option("encoding", "UTF-8").csv(path)
+    # quotes inside quoted fields are doubled, as pandas writes them
+    lower.write.mode(mode).option("header", True).option("encoding", "UTF-8") \
+        .option("quote", '"').option("escape", '"').csv(path)
     return path
 
 
