@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -252,12 +253,18 @@ def fit_target(df: DataFrame, column: str, target: str, smoothing: float = TARGE
     y = col(target).cast("double") if not isinstance(df.schema[target].dataType, T.StringType) \
         else F.expr(f"try_cast(`{target}` AS DOUBLE)")
     y = F.when(~F.isnan(y), y)
-    base = df.select(_text(column).alias("value"), y.alias("_y"))
-    gm = base.agg(F.avg("_y").alias("g")).collect()[0]["g"]
+    # one shuffle: per-category mean, count and sum, persisted; the global
+    # mean, the map size and the map itself are all read from it
+    per_value = (df.select(_text(column).alias("value"), y.alias("_y"))
+                 .groupBy("value").agg(F.avg("_y").alias("_m"), F.count("_y").alias("_n"),
+                                       F.sum("_y").alias("_s"))
+                 .persist(StorageLevel.MEMORY_AND_DISK))
+    r = per_value.agg(F.count(F.lit(1)).alias("k"), F.sum("_s").alias("s"), F.sum("_n").alias("n")).collect()[0]
+    gm = float(r["s"]) / r["n"] if r["n"] else None
     s = F.lit(float(smoothing))
-    mapping = (base.groupBy("value").agg(F.avg("_y").alias("_m"), F.count("_y").alias("_n"))
-               .select("value", ((F.col("_n") * F.col("_m") + s * F.lit(gm)) / (F.col("_n") + s)).alias("encoded")))
-    return TargetEncoding(column, mapping, mapping.count(), gm, smoothing)
+    mapping = per_value.select(
+        "value", ((F.col("_n") * F.col("_m") + s * F.lit(gm)) / (F.col("_n") + s)).alias("encoded"))
+    return TargetEncoding(column, mapping, int(r["k"]), gm, smoothing)
 
 
 def apply_target(df: DataFrame, enc: TargetEncoding) -> DataFrame:
