@@ -429,7 +429,7 @@ def q_publish_dashboard(spark, sf):
     return sinks.publish(tables, sinks.Target(path=artifacts.artifact_dir(spark, "published")))
 
 
-def q_pipeline_metadata(spark, sf):
+def q_run_metadata(spark, sf):
     meta = sinks.pipeline_metadata(fixtures.dirty_orders(spark, sf), {"has_raw": True})
     return spark.createDataFrame([(k, str(v)) for k, v in meta.items()], "key string, value string")
 
@@ -449,7 +449,7 @@ _SCORE = {
     "bulk_evaluation": q_bulk_evaluation,
     "predict_classes": q_predict_classes,
     "publish_dashboard": q_publish_dashboard,
-    "pipeline_metadata": q_pipeline_metadata,
+    "run_metadata": q_run_metadata,            # A17 metadata table
     "tighten_schema": q_tighten_schema,
     "csv_roundtrip": q_csv_roundtrip,
 }

@@ -528,7 +528,7 @@ p AS (SELECT r, (CAST(m AS DOUBLE) / CAST(r * {len(cols)} AS DOUBLE)) * 100 AS m
             ("has_raw", "'1'"), ("has_cleaned", "'0'"), ("has_processed", "'0'"), ("has_predictions", "'0'"),
             ("has_model_results", "'0'")]
     return {
-        "pipeline_metadata": "WITH " + meta + union_all([f"SELECT '{k}' AS key, {v} AS value FROM p" for k, v in rows]),
+        "run_metadata": "WITH " + meta + union_all([f"SELECT '{k}' AS key, {v} AS value FROM p" for k, v in rows]),
         "tighten_schema": "SELECT * FROM lineitem",
         "csv_roundtrip": "SELECT * FROM customer",
         "streaming_profile": union_all([
