@@ -9,8 +9,8 @@ of each block, or each block's row count) is a table with one row per block
 — bounded by the block count, not by the data — turned into carries on the
 driver and applied with a lookup (a literal array for a few blocks, a
 broadcast join of the one-row-per-block table beyond that).  The number of
-blocks follows the input size (one per input split, at least one per
-shuffle partition, at most ``MAX_BLOCKS``), so blocks stay split-sized as
+blocks follows the input size (one per input file, at least one per
+shuffle partition, at most ``MAX_BLOCKS``), so blocks stay file-sized as
 data grows.  The order key must identify the row order (unique, or ties
 only between interchangeable rows).
 """
@@ -30,12 +30,16 @@ LITERAL_BLOCKS = 256
 
 
 def _default_blocks(df: DataFrame) -> int:
+    """One block per input file, at least one per shuffle partition.  The
+    file list comes from the plan (``inputFiles``, no job); counting the
+    partitions of ``df.rdd`` instead would make adaptive execution run the
+    shuffles upstream of ``df`` once just to answer."""
     shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     try:
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - planning only; fall back to the shuffle width
-        splits = shuffle
-    return max(1, min(MAX_BLOCKS, max(shuffle, splits)))
+        files = len(df.inputFiles())
+    except Exception:  # noqa: BLE001 - sources without files: the shuffle width
+        files = 0
+    return max(1, min(MAX_BLOCKS, max(shuffle, files)))
 
 
 def _with_carries(blocked: DataFrame, nblocks: int, carries: dict[str, tuple[list, object]]):
