@@ -95,17 +95,37 @@ def roc_auc_frame(df: DataFrame, label: str = "label", score: str = "score") ->
 
 
 def weighted_ovr_auc(df: DataFrame, label: str, prob_cols: dict[str, str]) -> float | None:
-    """Support-weighted one-vs-rest AUC for multi-class scores."""
-    supports = {r[0]: int(r[1]) for r in df.groupBy(col(label).cast("string")).count().collect()}
+    """Support-weighted one-vs-rest AUC for multi-class scores.
+
+    All classes in one pass: every row gives one (class, score, is-class)
+    triple per class, counted by ``groupBy(class, score)``; the negatives
+    before each score come from one running total grouped by class (blocks
+    cut on the score), and each class's rank sum is one grouped aggregate.
+    Classes without support, or without positives or negatives among the
+    scored rows, are left out of the weighting."""
+    from pyspark import StorageLevel
+    lab = col(label).cast("string")
+    triples = (df.where(col(label).isNotNull())
+               .select(F.explode(F.array(*[
+                   F.struct(F.lit(c).alias("c"), col(p).cast("double").alias("s"),
+                            (lab == F.lit(c)).cast("long").alias("y"))
+                   for c, p in prob_cols.items()])).alias("r"))
+               .select("r.*"))
+    by = (triples.groupBy("c", "s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+          .persist(StorageLevel.MEMORY_AND_DISK))
+    supports = {r["c"]: int(r["n"] or 0) for r in by.groupBy("c").agg(F.sum("pos").alias("n")).collect()}
+    scored = by.where(F.col("s").isNotNull() & ~F.isnan("s"))
+    with_before = running_total(scored, "s", "neg", name="neg_before", group="c")
+    per = with_before.groupBy("c").agg(
+        F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") * 0.5)).alias("u"),
+        F.sum("pos").alias("P"), F.sum("neg").alias("N")).collect()
+    by.unpersist(blocking=False)
     total, acc = 0, 0.0
-    for cls, pcol in prob_cols.items():
-        n = supports.get(cls, 0)
-        if not n:
+    for r in per:
+        n = supports.get(r["c"], 0)
+        if not n or not r["P"] or not r["N"]:
             continue
-        auc = roc_auc(df.select(col(label).cast("string").alias("_l"), col(pcol).alias("_s")), "_l", "_s", cls)
-        if auc is None:
-            continue
-        acc += n * auc
+        acc += n * (float(r["u"]) / (float(r["P"]) * float(r["N"])))
         total += n
     return acc / total if total else None
 

@@ -171,22 +171,56 @@ def dense_index(df: DataFrame, key: str, name: str = "index") -> DataFrame:
     return ordered.select(col(key).alias(key), (F.element_at(off, pid.cast("int")) + local).alias(name))
 
 
+# most (group, block) carry rows a grouped running total broadcasts; beyond
+# that the carries are joined with a shuffle
+MAX_BROADCAST_CARRIES = 200_000
+
+
 def running_total(df: DataFrame, order_by: str, value: str, name: str = "running",
-                  inclusive: bool = False, blocks: int | None = None) -> DataFrame:
+                  inclusive: bool = False, blocks: int | None = None, group: str | None = None) -> DataFrame:
     """Sum of ``value`` over all rows before (``inclusive``: up to and
-    including) each row in ``order_by`` order, with per-block totals carried
-    across blocks instead of one global window."""
+    including) each row in ``order_by`` order — within each ``group`` if
+    given — with per-block totals carried across blocks instead of one
+    global window.  Blocks are cut on ``order_by`` over all groups; a group's
+    carry into a block is the sum of its earlier blocks (one row per
+    non-empty (group, block) pair)."""
     blocked, nblocks = with_blocks(df, order_by, blocks)
-    sums = {r[_BLOCK]: r["s"] for r in blocked.groupBy(_BLOCK).agg(F.sum(col(value)).alias("s")).collect()}
-    offsets, acc = [], 0
-    for b in range(nblocks):
-        offsets.append(acc)
-        acc += sums.get(b) or 0
-    from pyspark.sql import types as T
     vtype = blocked.schema[value].dataType
-    blocked, carry = _with_carries(blocked, nblocks, {"off": (offsets, vtype)})
     frame_end = Window.currentRow if inclusive else -1
-    w = (Window.partitionBy(_BLOCK).orderBy(F.col(_KEYD))
+    if group is None:
+        sums = {r[_BLOCK]: r["s"] for r in blocked.groupBy(_BLOCK).agg(F.sum(col(value)).alias("s")).collect()}
+        offsets, acc = [], 0
+        for b in range(nblocks):
+            offsets.append(acc)
+            acc += sums.get(b) or 0
+        blocked, carry = _with_carries(blocked, nblocks, {"off": (offsets, vtype)})
+        w = (Window.partitionBy(_BLOCK).orderBy(F.col(_KEYD))
+             .rowsBetween(Window.unboundedPreceding, frame_end))
+        within = F.coalesce(F.sum(col(value)).over(w), F.lit(0))
+        return blocked.select(*[col(c) for c in df.columns], (within + carry["off"]).alias(name))
+    from pyspark.sql import types as T
+    gtype = blocked.schema[group].dataType
+    per = (blocked.groupBy(col(group).alias("_g"), F.col(_BLOCK).alias("_b"))
+           .agg(F.sum(col(value)).alias("s")).collect())
+    by_group: dict = {}
+    for r in per:
+        by_group.setdefault(r["_g"], []).append((r["_b"], r["s"] or 0))
+    as_type = float if isinstance(vtype, (T.DoubleType, T.FloatType)) else (
+        int if isinstance(vtype, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)) else (lambda v: v))
+    rows = []
+    for g, items in by_group.items():
+        acc = 0
+        for b, total in sorted(items):
+            rows.append((g, b, as_type(acc)))
+            acc += total
+    schema = T.StructType([T.StructField("_g", gtype), T.StructField("_b", T.IntegerType()),
+                           T.StructField("_off", vtype)])
+    table = df.sparkSession.createDataFrame(rows, schema)
+    if len(rows) <= MAX_BROADCAST_CARRIES:
+        table = F.broadcast(table)
+    joined = blocked.join(table, (col(group).eqNullSafe(F.col("_g"))) & (F.col(_BLOCK) == F.col("_b")), "left")
+    w = (Window.partitionBy(col(group), F.col(_BLOCK)).orderBy(F.col(_KEYD))
          .rowsBetween(Window.unboundedPreceding, frame_end))
     within = F.coalesce(F.sum(col(value)).over(w), F.lit(0))
-    return blocked.select(*[col(c) for c in df.columns], (within + carry["off"]).alias(name))
+    return joined.select(*[col(c) for c in df.columns],
+                         (within + F.coalesce(F.col("_off"), F.lit(0).cast(vtype))).alias(name))

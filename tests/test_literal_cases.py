@@ -214,3 +214,46 @@ def test_csv_write_read_round_trip_keeps_quotes(spark):
     out = sinks.to_csv(df, os.path.join(d, "out"))
     back = csv_source.read_csv(spark, out).orderBy("id").collect()
     assert [tuple(r) for r in back] == [(1, 'say "hi"'), (2, "a\\b"), (3, "x,y")]
+
+
+def _pairwise_auc(ys, ss):
+    pos = [s for y, s in zip(ys, ss) if y]
+    neg = [s for y, s in zip(ys, ss) if not y]
+    if not pos or not neg:
+        return None
+    wins = sum(1.0 if p > q else 0.5 if p == q else 0.0 for p in pos for q in neg)
+    return wins / (len(pos) * len(neg))
+
+
+def test_weighted_ovr_auc_matches_pairwise(spark):
+    """Support-weighted one-vs-rest AUC with tied scores, a class with no
+    rows ('d') and a null label, against brute-force pairwise counting."""
+    import random
+    from tessera.operators.evaluate import weighted_ovr_auc
+    rng = random.Random(5)
+    classes = ["a", "b", "c", "d"]
+    rows = []
+    for _ in range(300):
+        lab = rng.choice(["a", "a", "b", "c"])
+        ps = [round(rng.random(), 1) for _ in classes]        # coarse: many ties
+        rows.append((lab, *ps))
+    rows.append((None, 0.1, 0.2, 0.3, 0.4))
+    df = spark.createDataFrame(rows, "label string, pa double, pb double, pc double, pd double").repartition(5)
+    got = weighted_ovr_auc(df, "label", {c: f"p{c}" for c in classes})
+    total, acc = 0, 0.0
+    labelled = [r for r in rows if r[0] is not None]
+    for i, c in enumerate(classes):
+        n = sum(1 for r in labelled if r[0] == c)
+        auc = _pairwise_auc([r[0] == c for r in labelled], [r[1 + i] for r in labelled])
+        if n and auc is not None:
+            acc, total = acc + n * auc, total + n
+    assert math.isclose(got, acc / total, rel_tol=1e-12)
+
+
+def test_grouped_running_total_restarts_per_group(spark):
+    rows = [(g, k, float(k % 4)) for g in ("x", "y", None) for k in range(50)]
+    df = spark.createDataFrame(rows, "g string, k long, v double").repartition(4)
+    out = ordered.running_total(df, "k", "v", name="run", blocks=6, group="g").collect()
+    for r in out:
+        want = sum(float(k % 4) for k in range(r["k"]))
+        assert r["run"] == want
