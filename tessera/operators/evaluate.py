@@ -35,12 +35,6 @@ def regression_metrics(df: DataFrame, actual: str = "actual", predicted: str = "
     return agg.select(*([group] if group else []), "mae", "rmse", r2.alias("r2"), "n")
 
 
-def confusion_counts(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    return (df.where(col(actual).isNotNull() & col(predicted).isNotNull())
-            .groupBy(col(actual).cast("string").alias("actual"), col(predicted).cast("string").alias("predicted"))
-            .agg(F.count(F.lit(1)).alias("n")))
-
-
 def classification_metrics(df: DataFrame, actual: str = "label", predicted: str = "prediction") -> DataFrame:
     """accuracy, support-weighted precision / recall / F1 (a class never
     predicted scores 0), n — one row.
