@@ -38,14 +38,7 @@ def split_labels(df: DataFrame, keys: list[str], stratify: str | None = None,
     # projection: MD5 is computed once for them, and once more for the output
     full = df.withColumn("_h", hash_bucket(keys, seed)).withColumn("_g", g.cast("string"))
     base = full.select(*[col(k) for k in keys], "_g", "_h").persist(StorageLevel.MEMORY_AND_DISK)
-    stats = base.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.min("_h").alias("lo"),
-                                   F.max("_h").alias("hi")).collect()
-    want = {r["_g"]: math.ceil(r["n"] * test_size) for r in stats}
-    ranks = {g_: [t - 1] for g_, t in want.items() if t > 0}
-    bounds = {r["_g"]: (float(r["lo"]), float(r["hi"])) for r in stats}
-    long_df = base.select(F.col("_g").alias("g"), F.col("_h").cast("double").alias("x"))
-    sizes = {r["_g"]: int(r["n"]) for r in stats}
-    cut = {g_: int(v) for (g_, _), v in kth_smallest(long_df, ranks, bounds, counts=sizes).items()}
+    want, cut = _cut_buckets(base, test_size)
     if not cut:
         base.unpersist(blocking=False)
         return df.withColumn(name, F.lit("train"))
@@ -85,6 +78,52 @@ def split_labels(df: DataFrame, keys: list[str], stratify: str | None = None,
     return out
 
 
+# the first pass counts rows per (class, bucket >> SPLIT_BIN_SHIFT): 4096
+# coarse bins of the 32-bit bucket; used while classes × bins stays small
+SPLIT_BIN_SHIFT = 20
+MAX_SPLIT_HIST_ROWS = 200_000
+
+
+def _cut_buckets(base: DataFrame, test_size: float) -> tuple[dict, dict]:
+    """Per class: the test size ``ceil(n × test_size)`` and the bucket of its
+    last test row (an exact order statistic).  One coarse histogram gives
+    the class sizes and the bin holding that rank; the refinement then runs
+    inside that bin only."""
+    hist = (base.groupBy("_g", F.shiftright("_h", SPLIT_BIN_SHIFT).alias("_bin"))
+            .agg(F.count(F.lit(1)).alias("n")).limit(MAX_SPLIT_HIST_ROWS + 1).collect())
+    if len(hist) > MAX_SPLIT_HIST_ROWS:         # very many classes: sizes first, then refine
+        stats = base.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.min("_h").alias("lo"),
+                                       F.max("_h").alias("hi")).collect()
+        want = {r["_g"]: math.ceil(r["n"] * test_size) for r in stats}
+        ranks = {g_: [t - 1] for g_, t in want.items() if t > 0}
+        bounds = {r["_g"]: (float(r["lo"]), float(r["hi"])) for r in stats}
+        long_df = base.select(F.col("_g").alias("g"), F.col("_h").cast("double").alias("x"))
+        sizes = {r["_g"]: int(r["n"]) for r in stats}
+        return want, {g_: int(v) for (g_, _), v in kth_smallest(long_df, ranks, bounds, counts=sizes).items()}
+    bins: dict = {}
+    for r in hist:
+        bins.setdefault(r["_g"], []).append((int(r["_bin"]), int(r["n"])))
+    want = {g_: math.ceil(sum(n for _, n in v) * test_size) for g_, v in bins.items()}
+    target = {}                                 # class → (bin, rank inside it, rows in it)
+    for g_, t in want.items():
+        below = 0
+        for b, n in sorted(bins[g_]):
+            if t > 0 and below + n >= t:
+                target[g_] = (b, t - 1 - below, n)
+                break
+            below += n
+    if not target:
+        return want, {}
+    bin_of = F.create_map(*[x for g_, (b, _, _) in target.items() for x in (F.lit(g_), F.lit(b).cast("long"))])
+    in_bin = base.where(F.shiftright("_h", SPLIT_BIN_SHIFT) == F.element_at(bin_of, F.col("_g")))
+    long_df = in_bin.select(F.col("_g").alias("g"), F.col("_h").cast("double").alias("x"))
+    width = 1 << SPLIT_BIN_SHIFT
+    found = kth_smallest(long_df, {g_: [r] for g_, (_, r, _) in target.items()},
+                         {g_: (float(b * width), float((b + 1) * width - 1)) for g_, (b, _, _) in target.items()},
+                         counts={g_: n for g_, (_, _, n) in target.items()})
+    return want, {g_: int(found[(g_, r)]) for g_, (_, r, _) in target.items()}
+
+
 # ---------------------------------------------------------------------------
 # scalers
 # ---------------------------------------------------------------------------

@@ -118,3 +118,14 @@ def test_sample_small_and_empty(spark):
     df = spark.createDataFrame([(i, i) for i in range(30)], "id long, v long")
     assert chartdata.sample_rows(df, ["id"], 100).count() == 30
     assert chartdata.sample_rows(df.where(F.lit(False)), ["id"], 100).count() == 0
+
+
+def test_split_many_classes_path_agrees(spark, monkeypatch):
+    """The fallback used when classes × bins is too large gives the same
+    labels as the coarse-histogram path."""
+    rows = [(i, f"c{i % 7}" if i % 5 else "hot") for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, cls string").repartition(6)
+    fast = {r["id"]: r["split"] for r in split_scale.split_labels(df, ["id"], stratify="cls").collect()}
+    monkeypatch.setattr(split_scale, "MAX_SPLIT_HIST_ROWS", 3)
+    slow = {r["id"]: r["split"] for r in split_scale.split_labels(df, ["id"], stratify="cls").collect()}
+    assert fast == slow
