@@ -3,10 +3,19 @@ over the whole given tables, with production parameters."""
 
 from __future__ import annotations
 
-from tessera.llm import mixing, quality_rules
+from pyspark.sql import functions as F
+
+from tessera.llm import decontaminate, line_dedup, mixing, quality_rules
 from tessera.llm.common import table
 
 
+def op2_decontaminate(spark, sf_dir):
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items",
+                        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op5_quality_rules(spark, sf_dir):
     judged = quality_rules.judged(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -17,5 +26,11 @@ def op8_mix_sources(spark, sf_dir):
     return mixing.planned(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op9_line_dedup(spark, sf_dir):
+    """Documents by source as host."""
+    out = line_dedup.cleaned(table(spark, sf_dir, "documents"), host="source", marks=True)
+    return out.select("row.doc_id", "row.source", "n_lines", "n_dropped", "text")
+
+
 def queries():
     return {n: f for n, f in globals().items() if n.startswith("op")}
