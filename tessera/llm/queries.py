@@ -5,10 +5,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, line_dedup, mixing, quality_rules
+from tessera.llm import decontaminate, line_dedup, mixing, quality_rules, substring_dedup
 from tessera.llm.common import table
 
 
+def op1_substring_dedup(spark, sf_dir):
+    return substring_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("text")
+
+
 def op2_decontaminate(spark, sf_dir):
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items",
