@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, line_dedup, mixing, quality_rules, substring_dedup
+from tessera.llm import decontaminate, line_dedup, mixing, near_dedup, quality_rules, substring_dedup
 from tessera.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_decontaminate(spark, sf_dir):
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op3_near_dedup(spark, sf_dir):
+    return near_dedup.groups(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op5_quality_rules(spark, sf_dir):
     judged = quality_rules.judged(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
