@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, line_dedup, mixing, near_dedup, quality_rules, substring_dedup
+from tessera.llm import decontaminate, line_dedup, mixing, near_dedup, quality_rules, secrets, substring_dedup, warc
 from tessera.llm.common import table
 
 
@@ -24,6 +24,12 @@ def op3_near_dedup(spark, sf_dir):
     return near_dedup.groups(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op4_warc_derivatives(spark, sf_dir):
+    """Pages as WARC response records, taken apart and derived from."""
+    derived = warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+    return derived.drop("record")
+
+
 def op5_quality_rules(spark, sf_dir):
     judged = quality_rules.judged(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -40,5 +46,10 @@ def op9_line_dedup(spark, sf_dir):
     return out.select("row.doc_id", "row.source", "n_lines", "n_dropped", "text")
 
 
+def op10_secret_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scanned(docs, secrets.trained(docs))
+
+
 def queries():
     return {n: f for n, f in globals().items() if n.startswith("op")}
