@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, line_dedup, mixing, near_dedup, quality_rules, secrets, substring_dedup, warc
+from tessera.llm import decontaminate, line_dedup, mixing, near_dedup, quality_rules, secrets, substring_dedup, url_filter, warc
 from tessera.llm.common import table
 
 
@@ -36,6 +36,17 @@ def op5_quality_rules(spark, sf_dir):
                          "base_failed", "kept")
 
 
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
+
+def op7_url_filter(spark, sf_dir):
+    """Pages by url; a page is bad where the label of its id says toxic or not
+    of quality."""
+    bad = F.greatest("toxic", 1 - F.col("quality"))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    return url_filter.verdicts(table(spark, sf_dir, "pages"), labels, URL_RULES)
+
+
 def op8_mix_sources(spark, sf_dir):
     return mixing.planned(table(spark, sf_dir, "documents")).drop("copies")
 
