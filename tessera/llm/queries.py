@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, line_dedup, mixing, near_dedup, quality_rules, secrets, substring_dedup, url_filter, warc
+from tessera.llm import decontaminate, line_dedup, mixing, near_dedup, quality_model, quality_rules, secrets, substring_dedup, url_filter, warc
 from tessera.llm.common import table
 
 
@@ -36,6 +36,19 @@ def op5_quality_rules(spark, sf_dir):
                          "base_failed", "kept")
 
 
+def _fold(doc_id):
+    return F.crc32(doc_id.cast("string").cast("binary")) % 5
+
+
+def op6_quality_classifier(spark, sf_dir):
+    """Learns from the labelled documents of four of five folds and scores all."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), F.col("quality").alias("label"))
+    rows = docs.join(labels.where(_fold(F.col("key")) != 0), F.col("doc_id") == F.col("key"))
+    out = quality_model.scored(docs, quality_model.fit(rows.select("label", "key", "text")))
+    return out.select("doc_id", (_fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
 
