@@ -118,5 +118,4 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", te
     """The rows of ``docs`` without any hit, columns unchanged."""
     bad = (contamination(docs, items, key, text, **how).where("n_hit > 0")
            .select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")))
-    return docs.join(bad, docs[f"`{key}`"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs[f"`{text}`"]) == F.col("_t")),
-                     "left_anti")
+    return docs.join(bad, docs[f"`{key}`"].eqNullSafe(bad["_d"]) & (F.xxhash64(docs[f"`{text}`"]) == bad["_t"]), "left_anti")

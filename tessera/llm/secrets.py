@@ -39,10 +39,11 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIZE = len(ALPHABET) + 2            # 0: any other character, last: the border of a string
 _CODE = np.zeros(256, np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = np.arange(1, len(ALPHABET) + 1)
-#: Added to every pair's count: in the random model it stands for strings of
-#: the whole alphabet, in the ordinary model for pairs not seen.
-SMOOTH_RANDOM, SMOOTH_ORDINARY = 20.0, 1.0
-THRESHOLD = 1.2                     # nats a character
+#: The random model adds this to every pair's count, as if it had also seen
+#: uniform strings; the ordinary model adds so many pairs spread by the plain
+#: frequency of the second character (plus one each).
+SMOOTH_RANDOM, SMOOTH_ORDINARY = 20.0, 50.0
+THRESHOLD = 2.0                     # nats a character
 MIN_CLASSES = 2                     # of lower case, upper case (after the first letter), digits
 
 
@@ -99,11 +100,12 @@ def trained(texts: DataFrame, text: str = "text", label: str | None = None) -> n
     table = np.zeros((2, SIZE * SIZE))
     for r in counts.collect():                  # at most 2 x 69 x 69 rows
         table[r["label"], r["pair"]] = max(0, r["n"])
-    table = table.reshape(2, SIZE, SIZE) + np.array([SMOOTH_ORDINARY, SMOOTH_RANDOM])[:, None, None]
     inner = slice(1, SIZE - 1)                  # candidates have alphabet characters only
-    p = table[:, inner, inner]
-    ratio = np.log(p / p.sum(axis=2, keepdims=True))
-    return ratio[1] - ratio[0]
+    ordinary, random = table.reshape(2, SIZE, SIZE)[:, inner, inner]
+    plain = ordinary.sum(axis=0) + 1
+    ordinary = ordinary + SMOOTH_ORDINARY * plain / plain.sum()
+    random = random + SMOOTH_RANDOM
+    return np.log(random / random.sum(axis=1, keepdims=True)) - np.log(ordinary / ordinary.sum(axis=1, keepdims=True))
 
 
 def likelihood_ratio(run: str, model: np.ndarray) -> float:
