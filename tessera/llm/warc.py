@@ -132,7 +132,7 @@ class _Text(HTMLParser):
 
     def handle_data(self, data):
         if not self.silent:
-            self.parts.append(data)
+            self.parts.append(re.sub(r"\s+", " ", data))      # source line breaks are spaces
 
 
 def plain_text(html: str) -> str:
@@ -143,7 +143,6 @@ def plain_text(html: str) -> str:
         p.close()
     except (AssertionError, ValueError):        # declarations that the parser rejects: keep what came before
         pass
-    # a space or tab inside a line stays one space; source line breaks are spaces unless a block ends
     lines = (" ".join(x.split()) for x in re.split(r"\n+", "".join(p.parts)))
     return "\n".join(x for x in lines if x)
 
