@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import staged
-from tessera.llm.tokens import REMEMBERED, Rolling, word_hashes
+from tessera.llm.tokens import Rolling, encoded, word_hashes
 
 MAX_FIT = 8000             # labelled rows in the descent
 EPOCHS = 12
@@ -53,6 +53,8 @@ _UNI = 1 << WORD_BITS
 _BI = _UNI + SHAPES * (len(BANDS) + 1)
 EMPTY = _BI + SHAPES * SHAPES * (len(BANDS) + 1)
 SIZE = EMPTY + 1
+#: Distinct words whose shapes are remembered at a time.
+REMEMBERED = 200_000
 
 
 def _shape(word: bytes) -> int:
@@ -92,10 +94,11 @@ def _banded(codes: np.ndarray, first: int) -> np.ndarray:
 
 
 def indicators(text: str | None) -> np.ndarray:
-    ws = (text or "").encode("utf-8", "surrogatepass").split()
+    data = encoded(text)
+    ws = data.split()
     if not ws:
         return np.array([EMPTY])
-    h = word_hashes(ws)
+    h = word_hashes(data)
     new = np.zeros(len(h), np.int64)
     if len(h) >= 3:
         w = Rolling(h).windows(3)

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import staged
-from tessera.llm.tokens import Rolling, ascii_words, mix, word_hashes
+from tessera.llm.tokens import Rolling, encoded, mix, word_hashes
 
 WINDOW = 50
 ANCHOR = 20
@@ -106,7 +106,7 @@ def paths(docs: DataFrame, k: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """All paths of all documents (columns doc_id, text_hash, text)."""
     def rows(batch):
         for d, x, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            h = word_hashes(ascii_words(t.as_py()))
+            h = word_hashes(encoded(t.as_py()))
             for p in range(0, len(h) - k + 1, PIECE):
                 a, path, first, count = _paths(h[p:p + PIECE + k - 1], k, anchor)
                 yield (a, path, np.full(len(a), d, np.int64), np.full(len(a), x, np.int64),
@@ -123,7 +123,7 @@ def _expanded(texts: DataFrame, k: int) -> DataFrame:
     """The windows of the listed paths ``ps`` of every text."""
     def rows(batch):
         for d, t, ps in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-            roll = Rolling(word_hashes(ascii_words(t.as_py())))
+            roll = Rolling(word_hashes(encoded(t.as_py())))
             for p in ps.as_py():
                 off = np.arange(p["windows"])
                 at = off + p["start"]
@@ -143,7 +143,9 @@ def repeated_ranges(docs: DataFrame, k: int = WINDOW, anchor: int = ANCHOR) -> D
     per_anchor = paths(docs, k, anchor).groupBy("anchor").agg(
         F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
         F.min("path").alias("path_min"), F.max("path").alias("path_max"))
-    repeated = per_anchor.where("low < high").select("anchor", "low", (F.col("path_min") != F.col("path_max")).alias("branches"))
+    # written, so that the join below reads plain shuffles, which AQE can split at a hot anchor
+    repeated = staged(per_anchor.where("low < high").select(
+        "anchor", "low", (F.col("path_min") != F.col("path_max")).alias("branches")), "dedup-anchors")
     seen = staged(paths(docs, k, anchor).join(repeated, "anchor"), "dedup-repeated")
 
     # nonbranching: the path as a whole comes from the smallest document
@@ -178,7 +180,7 @@ def _clean(batches):
     for batch in batches:
         n_words, n_gone, digests, texts = [], [], [], []
         for t, s, e in zip(batch.column(1), batch.column(2), batch.column(3)):
-            ws, s, e = ascii_words(t.as_py()), s.as_py(), e.as_py()
+            ws, s, e = encoded(t.as_py()).split(), s.as_py(), e.as_py()
             kept = ws
             if s:
                 edge = np.zeros(len(ws) + 1, np.int64)

@@ -4,40 +4,11 @@ inside Arrow batches."""
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
-_M = (1 << 64) - 1
 #: Odd multipliers of the two rolling hashes, and their inverses modulo 2^64.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
 _powers: dict[tuple[int, bool], np.ndarray] = {}
-#: Distinct words remembered with their hashes at a time (some 100 MB).
-REMEMBERED = 400_000
-
-
-class _WordHashes(dict):
-    """word -> 64-bit hash; forgets everything when it grows too large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_known = _WordHashes()
-
-
-def ascii_words(text: str | None) -> list[bytes]:
-    """Words between ASCII white space (``bytes.split`` knows just these six
-    characters), as UTF-8; lone surrogates survive."""
-    return (text or "").encode("utf-8", "surrogatepass").split()
-
-
-def word_hashes(ws: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_known.__getitem__, ws), np.uint64, len(ws))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -74,3 +45,34 @@ class Rolling:
     def windows(self, k: int) -> np.ndarray:
         at = np.arange(max(0, self.n - k + 1))
         return self.spans(at, at + k)
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+#: Bytes of a text that are hashed at a time.
+BLOCK = 1 << 20
+
+
+def encoded(text: str | None) -> bytes:
+    """UTF-8; lone surrogates survive."""
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit fingerprints of the words between ASCII white space, computed on
+    the bytes of a whole block at once (no object per word)."""
+    out, at = [], 0
+    while at < len(data):
+        end = at + BLOCK
+        if end < len(data):                     # cut behind a whole word
+            rest = np.flatnonzero(_SPACE[np.frombuffer(data, np.uint8, min(BLOCK, len(data) - end), end)])
+            while not len(rest) and end + BLOCK < len(data):
+                end += BLOCK
+                rest = np.flatnonzero(_SPACE[np.frombuffer(data, np.uint8, min(BLOCK, len(data) - end), end)])
+            end = end + int(rest[0]) if len(rest) else len(data)
+        block = np.frombuffer(data, np.uint8, min(end, len(data)) - at, at)
+        edge = np.diff(np.concatenate([[True], _SPACE[block], [True]]).view(np.int8))
+        out.append(Rolling(_BYTES[block]).spans(np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)))
+        at = end
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
