@@ -3,178 +3,134 @@
 Spark's exact ``percentile`` keeps a value→count map of the entire column in
 the single final-aggregation task, which does not survive a 100 TB column
 with billions of distinct values.  ``percentile_approx`` is bounded but not
-exact.  Here exact ranks are found by histogram refinement:
-
-1. one aggregate gives ``count/min/max`` per group;
-2. each pass buckets the values inside the still-open interval into
-   ``bins`` equal-width buckets with a distributed ``groupBy(probe, bucket)``
-   (partial aggregation on every executor, result ≤ probes × bins rows);
-   the bucket holding the wanted rank becomes the next interval, narrowed
-   to the real min/max of the values inside it;
-3. once the interval holds at most ``collect_limit`` values (or a single
-   distinct value) those few values are fetched and the rank is read off.
-
-Work per pass is one scan of the projected column(s); the number of passes is
-logarithmic in the value spread (typically 2-3).  Memory on the driver is
-bounded by ``probes × bins`` and ``collect_limit`` — never by the data size.
+exact.  Here exact ranks are found by histogram refinement, for any number
+of groups together and on one path for every size:
+
+1. every wanted rank starts with its group's interval [min, max];
+2. each pass buckets the values inside the open intervals into ``bins``
+   equal-width buckets with a ``groupBy(interval, bucket)`` (partial
+   aggregation on every executor); a running total over the at most ``bins``
+   buckets of an interval finds the bucket that holds the rank, and the real
+   min/max of its values become the next interval;
+3. an interval with a single distinct value is resolved; one that holds at
+   most ``leaf`` values is resolved from the counts of its distinct values.
+
+All of it happens on the executors: a group's values never meet in one task
+before they are few, and only the resolved ``(group, rank, value)`` rows — as
+many as were asked for — leave it.  The number of passes is logarithmic in
+the value spread (typically 1-3).
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
-from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.schema import col
+from tessera.session import cut_lineage
+
 DEFAULT_BINS = 4096
-DEFAULT_COLLECT_LIMIT = 50_000
+DEFAULT_LEAF = 50_000
+#: Interval tables of at most so many rows (some 60 bytes each, and the group
+#: key) are broadcast; larger ones meet the values in a shuffled join.
+BROADCAST_INTERVALS = 100_000
 _MAX_PASSES = 64
-_CASE_LIMIT = 64
-
-
-@dataclass
-class _Window:
-    group: str
-    lo: float
-    hi: float
-    below: int                      # values of the group strictly left of this window
-    ranks: list[int] = field(default_factory=list)
+_KEY = ["g", "lo"]              # the open intervals of a group never overlap
 
 
 def long_values(df: DataFrame, columns: list[str]) -> DataFrame:
     """Unpivot ``columns`` into ``(g string, x double)`` keeping non-null, non-NaN x."""
-    proj = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    if len(columns) == 1:
-        out = proj.select(F.lit(columns[0]).alias("g"), F.col(columns[0]).alias("x"))
-    else:
-        out = proj.unpivot([], columns, "g", "x")
-    return out.where(F.col("x").isNotNull() & ~F.isnan("x"))
+    pairs = F.array(*[F.struct(F.lit(c).alias("g"), col(c).cast("double").alias("x")) for c in columns])
+    return df.select(F.inline(pairs)).where(F.col("x").isNotNull() & ~F.isnan("x"))
 
 
-def kth_smallest(long_df: DataFrame, ranks: dict[str, list[int]],
-                 bounds: dict[str, tuple[float, float]],
-                 bins: int = DEFAULT_BINS,
-                 collect_limit: int = DEFAULT_COLLECT_LIMIT,
-                 counts: dict[str, int] | None = None) -> dict[tuple[str, int], float]:
-    """Exact k-th smallest ``x`` (0-based) per group ``g`` of ``long_df``.
-
-    ``bounds[g]`` is ``(min, max)`` of the group; ``ranks[g]`` the wanted ranks;
-    ``counts[g]`` (optional) the group's size — groups of at most
-    ``collect_limit`` values skip straight to the fetch.
-    Returns ``{(g, rank): value}``.
+def _inside(long_df: DataFrame, intervals: DataFrame, few: bool) -> DataFrame:
+    """Values joined to the interval that holds them (``g, lo, hi, x``)."""
+    table = intervals.select("g", "lo", "hi").distinct()
+    if few:
+        table = F.broadcast(table)
+    return long_df.join(table, "g").where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
+
+
+def _holding(counted: DataFrame, todo: DataFrame, order: str) -> DataFrame:
+    """The counted row (bucket or value) of its interval that holds each wanted rank."""
+    running = Window.partitionBy(*_KEY).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = counted.withColumn("upto", F.sum("n").over(running))
+    wanted = todo.select(*_KEY, "rank", "below")
+    local = F.col("rank") - F.col("below")
+    return upto.join(wanted, _KEY).where((local < F.col("upto")) & (local >= F.col("upto") - F.col("n")))
+
+
+def _refined(long_df: DataFrame, todo: DataFrame, bins: int, few: bool) -> DataFrame:
+    x, lo, hi = F.col("x") / 2, F.col("lo") / 2, F.col("hi") / 2        # halves: no overflow
+    bucket = F.least(F.floor((x - lo) / (hi - lo) * F.lit(bins)).cast("int"), F.lit(bins - 1))
+    hist = (_inside(long_df, todo, few).groupBy(*_KEY, bucket.alias("b"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx")))
+    return _holding(hist, todo, "b").select(
+        "g", "rank", F.col("mn").alias("lo"), F.col("mx").alias("hi"), "n",
+        (F.col("below") + F.col("upto") - F.col("n")).alias("below"))
+
+
+def _resolved(long_df: DataFrame, todo: DataFrame, few: bool) -> DataFrame:
+    counted = _inside(long_df, todo, few).groupBy(*_KEY, "x").agg(F.count(F.lit(1)).alias("n"))
+    return _holding(counted, todo, "x").select("g", "rank", F.col("x").alias("value"))
+
+
+def order_statistics(long_df: DataFrame, wanted: DataFrame, bins: int = DEFAULT_BINS, leaf: int = DEFAULT_LEAF,
+                     hold=cut_lineage) -> DataFrame:
+    """``(g, rank, value)``: the exact rank-th smallest ``x`` (0-based) of
+    group ``g`` of ``long_df``.
+
+    ``wanted``: ``(g, rank, lo, hi, n)`` with the group's minimum, maximum and
+    number of values.  ``hold`` fixes a table of intervals between passes (by
+    default a reliable checkpoint).
     """
-    spark = long_df.sparkSession
-    result: dict[tuple[str, int], float] = {}
-    open_windows: list[_Window] = []
-    for g, rs in ranks.items():
-        if not rs:
-            continue
-        lo, hi = bounds[g]
-        if lo == hi:
-            for r in rs:
-                result[(g, r)] = float(lo)
-        else:
-            open_windows.append(_Window(g, float(lo), float(hi), 0, sorted(set(rs))))
-
-    def in_window(windows: list[_Window]) -> DataFrame:
-        # Windows of one group never overlap, so every row lands in at most
-        # one window.  Few windows: a CASE labels rows (no join, no row
-        # duplication).  Many windows (per-group quantiles): a broadcast
-        # equi-join on the group, then the range filter; the window table has
-        # one row per open window, bounded by the number of requested ranks.
-        if len(windows) > _CASE_LIMIT:
-            probes = spark.createDataFrame(
-                [(i, w.group, w.lo, w.hi) for i, w in enumerate(windows)],
-                T.StructType([T.StructField("wid", T.IntegerType()),
-                              T.StructField("g", long_df.schema["g"].dataType),
-                              T.StructField("lo", T.DoubleType()),
-                              T.StructField("hi", T.DoubleType())]))
-            return (long_df.join(F.broadcast(probes), "g")
-                    .where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
-                    .select("wid", "x", "lo", "hi"))
-        wid = None
-        for i, w in enumerate(windows):
-            cond = ((F.col("g") == F.lit(w.group)) & (F.col("x") >= F.lit(w.lo))
-                    & (F.col("x") <= F.lit(w.hi)))
-            wid = F.when(cond, F.lit(i)) if wid is None else wid.when(cond, F.lit(i))
-        los = F.array(*[F.lit(w.lo) for w in windows])
-        his = F.array(*[F.lit(w.hi) for w in windows])
-        return (long_df.select(wid.alias("wid"), "x").where(F.col("wid").isNotNull())
-                .select("wid", "x",
-                        F.element_at(los, F.col("wid") + 1).alias("lo"),
-                        F.element_at(his, F.col("wid") + 1).alias("hi")))
-
-    def _fetch(windows: list[_Window]) -> None:
-        # every window here holds at most collect_limit values
-        fetched = in_window(windows).select("wid", "x").collect()
-        values: dict[int, list[float]] = defaultdict(list)
-        for row in fetched:
-            values[row["wid"]].append(float(row["x"]))
-        for wid, w in enumerate(windows):
-            vs = sorted(values[wid])
-            for r in w.ranks:
-                result[(w.group, r)] = vs[r - w.below]
-
-    small = [w for w in open_windows if counts is not None and counts.get(w.group, collect_limit + 1) <= collect_limit]
-    open_windows = [w for w in open_windows if w not in small]
-    pending_fetch: list[_Window] = small
-
-    passes = 0
-    while open_windows or pending_fetch:
-        if not open_windows:
-            _fetch(pending_fetch)
+    todo = hold(wanted.select("g", "rank", F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"),
+                              F.col("n").cast("long").alias("n"), F.lit(0).cast("long").alias("below")))
+    done = []
+    for _ in range(_MAX_PASSES):
+        open_, single, small = F.col("lo") < F.col("hi"), F.col("lo") == F.col("hi"), F.col("n") <= leaf
+        n = todo.agg(F.count(F.lit(1)).alias("all"), F.count(F.when(single, 1)).alias("single"),
+                     F.count(F.when(open_ & small, 1)).alias("small")).first()
+        few = n["all"] <= BROADCAST_INTERVALS
+        if n["single"]:
+            done.append(todo.where(single).select("g", "rank", F.col("lo").alias("value")))
+        if n["small"]:
+            done.append(_resolved(long_df, todo.where(open_ & small), few))
+        if n["all"] == n["single"] + n["small"]:
             break
-        passes += 1
-        if passes > _MAX_PASSES:
-            raise RuntimeError("quantile refinement did not converge")
-        joined = in_window(open_windows)
-        width = F.col("hi") - F.col("lo")
-        bucket = F.least(F.floor((F.col("x") - F.col("lo")) / width * F.lit(bins)).cast("int"),
-                         F.lit(bins - 1))
-        hist = (joined.groupBy("wid", bucket.alias("b"))
-                .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"))
-                .collect())
-        by_window: dict[int, list] = defaultdict(list)
-        for row in hist:
-            by_window[row["wid"]].append(row)
-
-        next_windows: list[_Window] = []
-        to_fetch: list[_Window] = []
-        for wid, w in enumerate(open_windows):
-            buckets = sorted(by_window.get(wid, []), key=lambda r: r["b"])
-            # bucket index -> (values left of the bucket, ranks falling in it)
-            targets: dict[int, tuple[int, list[int]]] = {}
-            cum = 0
-            bi = 0
-            for r in w.ranks:
-                local = r - w.below
-                while bi < len(buckets) and cum + buckets[bi]["n"] <= local:
-                    cum += buckets[bi]["n"]
-                    bi += 1
-                if bi >= len(buckets):
-                    raise RuntimeError(f"rank {r} outside group {w.group!r}")
-                targets.setdefault(bi, (cum, []))[1].append(r)
-            for bi, (before, rs) in targets.items():
-                brow = buckets[bi]
-                mn, mx, n = float(brow["mn"]), float(brow["mx"]), int(brow["n"])
-                if mn == mx:
-                    for r in rs:
-                        result[(w.group, r)] = mn
-                    continue
-                child = _Window(w.group, mn, mx, w.below + before, rs)
-                if n <= collect_limit:
-                    to_fetch.append(child)
-                else:
-                    next_windows.append(child)
-
-        if to_fetch or pending_fetch:
-            _fetch(pending_fetch + to_fetch)
-            pending_fetch = []
-        open_windows = next_windows
-    return result
+        todo = hold(_refined(long_df, todo.where(open_ & ~small), bins, few))
+    else:
+        raise RuntimeError("order statistics did not converge")
+    out = done[0] if done else todo.select("g", "rank", F.col("lo").alias("value"))
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _held_locally(table: DataFrame) -> DataFrame:
+    """For tables of requested ranks, which the caller's own list bounds."""
+    return table.sparkSession.createDataFrame([tuple(r) for r in table.collect()], table.schema)
+
+
+def kth_smallest(long_df: DataFrame, ranks: dict[str, list[int]],
+                 bounds: dict[str, tuple[float, float]], counts: dict[str, int],
+                 bins: int = DEFAULT_BINS, leaf: int = DEFAULT_LEAF) -> dict[tuple[str, int], float]:
+    """Exact k-th smallest ``x`` per group for a short list of ranks:
+    ``{(g, rank): value}``; ``bounds[g]`` and ``counts[g]`` are the group's
+    (min, max) and size."""
+    rows = [(g, int(r), float(bounds[g][0]), float(bounds[g][1]), int(counts[g])) for g, rs in ranks.items() for r in set(rs)]
+    if not rows:
+        return {}
+    schema = T.StructType([T.StructField("g", long_df.schema["g"].dataType), T.StructField("rank", T.LongType()),
+                           T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType()),
+                           T.StructField("n", T.LongType())])
+    wanted = long_df.sparkSession.createDataFrame(rows, schema)
+    found = order_statistics(long_df, wanted, bins, leaf, hold=_held_locally).collect()
+    return {(r["g"], int(r["rank"])): float(r["value"]) for r in found}
 
 
 def _rank_plan(n: int, p: float) -> tuple[int, int, float]:
@@ -185,175 +141,38 @@ def _rank_plan(n: int, p: float) -> tuple[int, int, float]:
     return k, k2, frac
 
 
-APPROX_ACCURACY = 10_000
-# percentile_approx returns a value whose rank is within n/accuracy of the
-# requested one; two error widths on each side bracket the exact rank
-BRACKET = 2.0 / APPROX_ACCURACY
-
-
-def bracket_aggs(columns: list[str], probs: list[float], prefix: str = "br") -> list:
-    """Aggregates (bounded-memory sketches) to add to a caller's own
-    aggregate: per column, values bracketing every wanted probability."""
-    ps = []
-    for p in probs:
-        ps += [max(0.0, p - BRACKET), min(1.0, p + BRACKET)]
-    out = []
-    for i, c in enumerate(columns):
-        x = F.col(c).cast("double")
-        out.append(F.percentile_approx(F.when(~F.isnan(x), x), ps, APPROX_ACCURACY).alias(f"{prefix}{i}"))
-    return out
-
-
-def parse_brackets(row, columns: list[str], prefix: str = "br") -> dict[str, list[float]]:
-    return {c: (list(row[f"{prefix}{i}"]) if row[f"{prefix}{i}"] is not None else None)
-            for i, c in enumerate(columns)}
-
-
-def column_bounds(df: DataFrame, columns: list[str],
-                  probs: list[float] | None = None) -> dict[str, tuple]:
-    """``{column: (non-null count, min, max[, brackets])}`` in one aggregate
-    (brackets only when ``probs`` are given)."""
+def column_bounds(df: DataFrame, columns: list[str]) -> dict[str, tuple]:
+    """``{column: (non-null count, min, max)}`` in one aggregate."""
     aggs = []
     for i, c in enumerate(columns):
-        x = F.col(c).cast("double")
+        x = col(c).cast("double")
         x = F.when(~F.isnan(x), x)
         aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-    if probs:
-        aggs += bracket_aggs(columns, probs)
     row = df.agg(*aggs).collect()[0]
-    br = parse_brackets(row, columns) if probs else {}
-    return {c: (int(row[f"n{i}"]), row[f"lo{i}"], row[f"hi{i}"]) + ((br[c],) if probs else ())
-            for i, c in enumerate(columns)}
-
-
-def _bracketed(long_df: DataFrame, plan: dict[str, list[tuple[float, float, list[int]]]],
-               ) -> tuple[dict[tuple[str, int], float], dict[str, list[int]]]:
-    """Resolve ranks inside small value brackets with ONE job.
-
-    Per column the brackets are merged and sorted; every value then falls in
-    exactly one segment (a gap before a bracket, a bracket, or the tail).  A
-    ``groupBy(segment, value-inside-a-bracket)`` count gives, in one pass,
-    the number of values left of each bracket and the values inside it with
-    their multiplicities.  Ranks that turn out not to lie inside their
-    bracket are returned unresolved (the caller refines them the long way).
-    """
-    windows: dict[str, list[list]] = {}
-    for g, items in plan.items():
-        merged: list[list] = []
-        for a, b, rs in sorted(items, key=lambda t: t[0]):
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], b)
-                merged[-1][2] = sorted(set(merged[-1][2]) | set(rs))
-            else:
-                merged.append([a, b, list(rs)])
-        windows[g] = merged
-    seg = None
-    base, bases = 0, {}
-    for g, ws in windows.items():
-        bases[g] = base
-        conds = []
-        for i, (a, b, _) in enumerate(ws):
-            conds.append((F.col("x") < F.lit(a), base + 2 * i))
-            conds.append((F.col("x") <= F.lit(b), base + 2 * i + 1))
-        conds.append((F.lit(True), base + 2 * len(ws)))
-        for cond, sid in conds:
-            full = (F.col("g") == F.lit(g)) & cond
-            seg = F.when(full, F.lit(sid)) if seg is None else seg.when(full, F.lit(sid))
-        base += 2 * len(ws) + 2          # keep every base even: odd ids are brackets
-    inside = F.when(F.col("_seg") % 2 == 1, F.col("x"))
-    counted = (long_df.select(seg.alias("_seg"), "x").select("_seg", inside.alias("_v"))
-               .groupBy("_seg", "_v").agg(F.count(F.lit(1)).alias("n")).collect())
-    by_seg: dict[int, list] = defaultdict(list)
-    for r in counted:
-        by_seg[r["_seg"]].append(r)
-    found: dict[tuple[str, int], float] = {}
-    unresolved: dict[str, list[int]] = defaultdict(list)
-    for g, ws in windows.items():
-        below = 0
-        for i, (_, _, rs) in enumerate(ws):
-            gap = bases[g] + 2 * i
-            below += sum(int(r["n"]) for r in by_seg.get(gap, []))
-            vals = sorted(((r["_v"], int(r["n"])) for r in by_seg.get(gap + 1, [])), key=lambda t: t[0])
-            total = sum(n for _, n in vals)
-            for rank in rs:
-                local = rank - below
-                if not 0 <= local < total:
-                    unresolved[g].append(rank)
-                    continue
-                acc = 0
-                for v, n in vals:
-                    acc += n
-                    if local < acc:
-                        found[(g, rank)] = float(v)
-                        break
-            below += total
-    return found, dict(unresolved)
+    return {c: (int(row[f"n{i}"]), row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(columns)}
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                    bins: int = DEFAULT_BINS,
-                    collect_limit: int = DEFAULT_COLLECT_LIMIT,
+                    bins: int = DEFAULT_BINS, leaf: int = DEFAULT_LEAF,
                     stats: dict[str, tuple] | None = None) -> dict[str, list[float | None]]:
     """Exact quantiles with linear interpolation (pandas ``quantile`` / SQL
     ``percentile_cont``), nulls and NaN ignored.  ``{column: [q per prob]}``.
-
-    ``stats`` (count, min, max[, brackets] per column) can be passed when the
-    caller's own aggregate already computed them, saving one pass.  With
-    brackets (``bracket_aggs`` in that aggregate) and columns small enough
-    that a bracket holds a bounded number of values, the exact values come
-    from a single further job; otherwise histogram refinement.
-    """
+    ``stats`` (count, min, max per column) can be passed when the caller's own
+    aggregate already computed them, saving one pass."""
     if not columns:
         return {}
     if stats is None:
-        stats = column_bounds(df, columns, probs)
-    counts = {c: stats[c][0] for c in columns}
-    bounds = {c: (stats[c][1], stats[c][2]) for c in columns}
-    ranks: dict[str, list[int]] = {}
-    for c in columns:
-        n = counts[c]
-        if n == 0:
-            continue
-        rs: set[int] = set()
-        for p in probs:
-            k, k2, _ = _rank_plan(n, p)
-            rs.update((k, k2))
-        ranks[c] = sorted(rs)
-    wanted = [c for c in columns if c in ranks]
-    found: dict[tuple[str, int], float] = {}
-    # bracket path: a bracket spans ~4n/accuracy ranks; use it while that is small
-    plan = {}
-    for c in wanted:
-        br = stats[c][3] if len(stats[c]) > 3 else None
-        if not br or counts[c] <= collect_limit or 8 * counts[c] * BRACKET > collect_limit:
-            continue
-        items = []
-        for j, p in enumerate(probs):
-            a, b = br[2 * j], br[2 * j + 1]
-            k, k2, _ = _rank_plan(counts[c], p)
-            items.append((a, b, sorted({k, k2})))
-        plan[c] = items
-    rest = {c: ranks[c] for c in wanted if c not in plan}
-    if plan:
-        got, unresolved = _bracketed(long_values(df, list(plan)), plan)
-        found.update(got)
-        for c, rs in unresolved.items():
-            rest[c] = sorted(set(rest.get(c, [])) | set(rs))
-    if rest:
-        found.update(kth_smallest(long_values(df, list(rest)), rest, {c: bounds[c] for c in rest}, bins,
-                                  collect_limit, counts={c: counts[c] for c in rest}))
-    out: dict[str, list[float | None]] = {}
-    for c in columns:
-        n = counts[c]
-        if n == 0:
-            out[c] = [None] * len(probs)
-            continue
-        qs = []
-        for p in probs:
-            k, k2, frac = _rank_plan(n, p)
+        stats = column_bounds(df, columns)
+    filled = [c for c in columns if stats[c][0]]
+    ranks = {c: [r for p in probs for r in _rank_plan(stats[c][0], p)[:2]] for c in filled}
+    found = kth_smallest(long_values(df, filled), ranks, {c: stats[c][1:3] for c in filled},
+                         {c: stats[c][0] for c in filled}, bins, leaf) if filled else {}
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
+    for c in filled:
+        for i, p in enumerate(probs):
+            k, k2, frac = _rank_plan(stats[c][0], p)
             lo, hi = found[(c, k)], found[(c, k2)]
-            qs.append(lo + (hi - lo) * frac if frac > 0 else lo)
-        out[c] = qs
+            out[c][i] = lo + (hi - lo) * frac if frac > 0 else lo
     return out
 
 
@@ -362,7 +181,7 @@ def approx_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     """Bounded-memory approximate quantiles (one ``percentile_approx`` agg)."""
     if not columns:
         return {}
-    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), list(probs), accuracy).alias(f"q{i}")
+    row = df.agg(*[F.percentile_approx(col(c).cast("double"), list(probs), accuracy).alias(f"q{i}")
                    for i, c in enumerate(columns)]).collect()[0]
     return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs))
             for i, c in enumerate(columns)}
@@ -376,42 +195,21 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float],
 
 
 def group_quantiles(df: DataFrame, group: str, value: str, probs: list[float],
-                    max_groups: int = 10_000) -> dict[object, tuple[int, list[float]]] | None:
-    """Exact quantiles of ``value`` per non-null ``group``:
-    ``{group: (count, [q per prob])}``.
-
-    Per-group count/min/max come from one ``groupBy`` (one row per group);
-    the ranks are then refined for all groups together, so a group holding a
-    third of the rows is still split across every task of each pass.  The
-    per-group table comes to the driver, so it returns None when there are
-    more than ``max_groups`` groups (the caller then splits the work).
-    """
-    x = F.col(value).cast("double")
-    long_df = (df.select(F.col(group).alias("g"), x.alias("x"))
+                    bins: int = DEFAULT_BINS, leaf: int = DEFAULT_LEAF) -> DataFrame:
+    """``(g, n, min, max, q)``: exact quantiles of ``value`` per non-null
+    ``group`` as an array, one row per group; groups of any number and size
+    go through the same passes."""
+    x = col(value).cast("double")
+    long_df = (df.select(col(group).alias("g"), x.alias("x"))
                .where(F.col("g").isNotNull() & F.col("x").isNotNull() & ~F.isnan("x")))
-    per_group = long_df.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"),
-                                         F.max("x").alias("hi"))
-    # the per-group table comes to the driver: refuse (None) beyond the bound
-    stats = per_group.limit(max_groups + 1).collect()
-    if len(stats) > max_groups:
-        return None
-    ranks, bounds, counts = {}, {}, {}
-    for r in stats:
-        n = int(r["n"])
-        counts[r["g"]] = n
-        bounds[r["g"]] = (r["lo"], r["hi"])
-        rs: set[int] = set()
-        for p in probs:
-            k, k2, _ = _rank_plan(n, p)
-            rs.update((k, k2))
-        ranks[r["g"]] = sorted(rs)
-    found = kth_smallest(long_df, ranks, bounds, counts=counts) if ranks else {}
-    out = {}
-    for g, n in counts.items():
-        qs = []
-        for p in probs:
-            k, k2, frac = _rank_plan(n, p)
-            lo, hi = found[(g, k)], found[(g, k2)]
-            qs.append(lo + (hi - lo) * frac if frac > 0 else lo)
-        out[g] = (n, qs)
-    return out
+    stats = cut_lineage(long_df.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")))
+    at = [(F.col("n") - 1) * F.lit(float(p)) for p in probs]
+    wanted = stats.select("g", "lo", "hi", "n", F.explode(F.array_distinct(F.array(
+        *[f(a).cast("long") for a in at for f in (F.floor, F.ceil)]))).alias("rank"))
+    found = order_statistics(long_df, wanted, bins, leaf)
+    per = found.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("_v"))
+    q = []
+    for a in at:
+        lo, hi = F.element_at("_v", F.floor(a).cast("long")), F.element_at("_v", F.ceil(a).cast("long"))
+        q.append(lo + (hi - lo) * (a - F.floor(a)))
+    return stats.join(per, "g").select("g", "n", F.col("lo").alias("min"), F.col("hi").alias("max"), F.array(*q).alias("q"))

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.quantiles import group_quantiles
 from tessera.functions.schema import col
+from tessera.session import cut_lineage
 from tessera.operators.relations import bin_edges, with_bins
 
 MAX_SCATTER_ROWS = 5000
@@ -155,10 +156,8 @@ def pie_share(df: DataFrame, column: str, value: str | None = None, top_n: int =
     return df.sparkSession.createDataFrame(data, schema)
 
 
-MAX_EXACT_GROUPS = 10_000
-# a group with more rows than this (or than rows / MAX_EXACT_GROUPS) is never
-# computed inside one task: its quartiles come from the distributed refinement
-HOT_GROUP_ROWS = 1_000_000
+#: Fence tables of at most so many groups are broadcast to the rows.
+BROADCAST_GROUPS = 100_000
 BOX_SCHEMA_FIELDS = ["n", "min", "q1", "median", "q3", "max", "lower_fence", "upper_fence",
                      "whisker_low", "whisker_high", "outliers"]
 _QUARTILES = [0.25, 0.5, 0.75]
@@ -167,80 +166,25 @@ _QUARTILES = [0.25, 0.5, 0.75]
 def box_stats(df: DataFrame, column: str, group_by: str | None = None) -> DataFrame:
     """V2: box-plot numbers per group: quartiles (linear interpolation),
     1.5·IQR fences, whiskers = most extreme values inside the fences, and
-    the number of points outside."""
-    g = group_by or "_all"
-    src = df if group_by else df.withColumn("_all", F.lit("all"))
-    base = _box_input(src, column, g)
-    qs = group_quantiles(base, g, "_x", _QUARTILES, max_groups=MAX_EXACT_GROUPS)
-    if qs is None:
-        return _box_stats_many_groups(base, g, group_by is not None)
-    # one row per group: broadcasting it is bounded by the number of groups
-    fences = _fence_frame(df.sparkSession, qs, g, base.schema[g].dataType)
-    return _whiskers(base.join(F.broadcast(fences), g), g, group_by is not None)
-
-
-def _box_input(src: DataFrame, column: str, g: str) -> DataFrame:
-    x = col(column).cast("double")
-    return src.select(col(g).alias(g), x.alias("_x")).where(
-        F.col(g).isNotNull() & F.col("_x").isNotNull() & ~F.isnan("_x"))
-
-
-def _fence_frame(spark, qs: dict, g: str, gtype) -> DataFrame:
-    rows = []
-    for key, (n, (q1, q2, q3)) in qs.items():
-        iqr = q3 - q1
-        rows.append((key, int(n), q1, q2, q3, q1 - 1.5 * iqr, q3 + 1.5 * iqr))
-    return spark.createDataFrame(rows, T.StructType([
-        T.StructField(g, gtype), T.StructField("n", T.LongType()), T.StructField("q1", T.DoubleType()),
-        T.StructField("median", T.DoubleType()), T.StructField("q3", T.DoubleType()),
-        T.StructField("lower_fence", T.DoubleType()), T.StructField("upper_fence", T.DoubleType())]))
-
-
-def _whiskers(joined: DataFrame, g: str, keep_group: bool) -> DataFrame:
-    """Rows joined to their group's fences → one box row per group (partial
+    the number of points outside.  Quartiles come from the distributed
+    refinement whatever the number and size of the groups; the whiskers are
+    one more aggregate of the rows joined to their group's fences (partial
     aggregation: a hot group costs one row per task before the shuffle)."""
+    x = col(column).cast("double")
+    base = df.select((col(group_by) if group_by else F.lit("all")).alias("g"), x.alias("_x")).where(
+        F.col("g").isNotNull() & F.col("_x").isNotNull() & ~F.isnan("_x"))
+    qs = group_quantiles(base, "g", "_x", _QUARTILES)
+    iqr = F.col("q")[2] - F.col("q")[0]
+    fences = cut_lineage(qs.select("g", "n", "min", "max", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
+                                   F.col("q")[2].alias("q3"), (F.col("q")[0] - 1.5 * iqr).alias("lower_fence"),
+                                   (F.col("q")[2] + 1.5 * iqr).alias("upper_fence")))
+    joined = base.join(F.broadcast(fences) if fences.count() <= BROADCAST_GROUPS else fences, "g")
     inside = (F.col("_x") >= F.col("lower_fence")) & (F.col("_x") <= F.col("upper_fence"))
-    out = joined.groupBy(g, "n", "q1", "median", "q3", "lower_fence", "upper_fence").agg(
-        F.min("_x").alias("min"), F.max("_x").alias("max"),
-        F.min(F.when(inside, F.col("_x"))).alias("whisker_low"),
-        F.max(F.when(inside, F.col("_x"))).alias("whisker_high"),
+    own = ["g", "n", "min", "q1", "median", "q3", "max", "lower_fence", "upper_fence"]
+    out = joined.groupBy(*own).agg(
+        F.min(F.when(inside, F.col("_x"))).alias("whisker_low"), F.max(F.when(inside, F.col("_x"))).alias("whisker_high"),
         F.sum((~inside).cast("long")).alias("outliers"))
-    return out.select(*(([g] if keep_group else []) + BOX_SCHEMA_FIELDS))
-
-
-def _box_stats_many_groups(base: DataFrame, g: str, keep_group: bool) -> DataFrame:
-    """Box numbers for more than ``MAX_EXACT_GROUPS`` groups.
-
-    Hot groups — more than ``max(HOT_GROUP_ROWS, rows / MAX_EXACT_GROUPS)``
-    rows each, so at most ``MAX_EXACT_GROUPS`` of them — get their quartiles
-    from the distributed refinement (split over every task) and broadcast
-    fences.  The other groups use exact per-group ``percentile`` (a group's
-    values meet in one task, bounded by the hot-group threshold) and a
-    shuffle join on the group, because their fence table grows with them.
-    """
-    spark = base.sparkSession
-    total = base.count()
-    hot_min = max(HOT_GROUP_ROWS, math.ceil(total / MAX_EXACT_GROUPS))
-    hot = (base.groupBy(g).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_min)
-           .select(g).collect())                              # ≤ MAX_EXACT_GROUPS rows
-    parts = []
-    cold = base
-    if hot:
-        hot_keys = F.broadcast(spark.createDataFrame([(r[g],) for r in hot],
-                                                     T.StructType([base.schema[g]])))
-        hot_rows = base.join(hot_keys, g, "left_semi")
-        qs = group_quantiles(hot_rows, g, "_x", _QUARTILES, max_groups=MAX_EXACT_GROUPS)
-        fences = _fence_frame(spark, qs, g, base.schema[g].dataType)
-        parts.append(hot_rows.join(F.broadcast(fences), g))
-        cold = base.join(hot_keys, g, "left_anti")
-    q = (cold.groupBy(g).agg(F.count(F.lit(1)).alias("n"), F.percentile("_x", _QUARTILES).alias("_q"))
-         .select(g, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3")))
-    iqr = F.col("q3") - F.col("q1")
-    fences = q.select("*", (F.col("q1") - 1.5 * iqr).alias("lower_fence"),
-                      (F.col("q3") + 1.5 * iqr).alias("upper_fence"))
-    parts.append(cold.join(fences, g))
-    joined = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return _whiskers(joined, g, keep_group)
+    return out.select(*([F.col("g").alias(group_by)] if group_by else []), *BOX_SCHEMA_FIELDS)
 
 
 def violin_density(df: DataFrame, column: str, group_by: str, bins: int = 20) -> DataFrame:

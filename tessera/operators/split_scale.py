@@ -1,11 +1,13 @@
 """Deterministic train/test split and column scalers.
 
 Split (M1): every row gets a 32-bit bucket from MD5 of ``'<seed>|key…'``.
-The test set of each class is the ``ceil(n_class × test_size)`` rows with
-the smallest (bucket, key): the per-class cut-off bucket is an exact order
-statistic found by distributed histogram refinement (no window over a
-class, so a class holding most rows is still spread over all tasks), and
-rows sharing the cut-off bucket — a handful — are settled by key.
+``ceil(rows × test_size)`` test rows are shared among the classes by largest
+remainder, and the test rows of a class are those with the smallest (bucket,
+key): the per-class cut-off bucket is an exact order statistic found by
+distributed histogram refinement (no window over a class, so a class holding
+most rows is still spread over all tasks), and rows sharing the cut-off
+bucket are settled by key.  Classes are rows of a table that is joined, so
+their number is not bounded by a plan or the driver.
 
 Scalers (M2) are plain column expressions from one aggregate (mean and
 population std / min and max / exact median and quartiles) fitted on the
@@ -18,110 +20,105 @@ import math
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.quantiles import kth_smallest, quantiles
+from tessera.functions.quantiles import kth_smallest, order_statistics, quantiles
 from tessera.functions.schema import col
 from tessera.operators.chartdata import hash_bucket
+from tessera.operators.ordered import dense_index
+from tessera.session import cut_lineage
 
 SEED = 42
 TEST_SIZE = 0.2
 
 
+#: Class tables of at most so many rows are broadcast to the rows.
+BROADCAST_CLASSES = 100_000
+
+
 def split_labels(df: DataFrame, keys: list[str], stratify: str | None = None,
                  test_size: float = TEST_SIZE, seed: int = SEED, name: str = "split") -> DataFrame:
     """Add ``split`` = ``'test'`` / ``'train'`` (U1: one DataFrame, a label
-    column, instead of two copies)."""
-    g = col(stratify) if stratify else F.lit("all")
+    column, instead of two copies).  A class with a single row cannot be on
+    both sides: ValueError.  Rows that share a key stay together."""
+    g = col(stratify).cast("string") if stratify else F.lit("all")
+    taken = set(df.columns)
+    h_, g_ = _free("_h", taken), _free("_g", taken)
     # the fitting passes read a narrow, persisted (keys, class, bucket)
     # projection: MD5 is computed once for them, and once more for the output
-    full = df.withColumn("_h", hash_bucket(keys, seed)).withColumn("_g", g.cast("string"))
-    base = full.select(*[col(k) for k in keys], "_g", "_h").persist(StorageLevel.MEMORY_AND_DISK)
-    want, cut = _cut_buckets(base, test_size)
-    if not cut:
+    full = df.withColumn(h_, hash_bucket(keys, seed)).withColumn(g_, g)
+    base = full.select(F.struct(*[col(k).alias(k) for k in keys]).alias("k"), F.col(g_).alias("g"),
+                       F.col(h_).alias("h")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        cuts = cut_lineage(_class_cuts(base, test_size, stratify is not None))
+    finally:
         base.unpersist(blocking=False)
-        return df.withColumn(name, F.lit("train"))
-    # settle ties on the cut-off bucket by key: one row per class for the
-    # rows below it, one per distinct key on it (copies of a key collapse in
-    # partial aggregation, so a hot duplicated key is one row, not a list)
-    cut_h = F.create_map(*[x for g_, h in cut.items() for x in (F.lit(g_), F.lit(h).cast("long"))])
-    at_cut = F.col("_h") == F.element_at(cut_h, F.col("_g"))
-    below = F.col("_h") < F.element_at(cut_h, F.col("_g"))
-    key_struct = F.struct(*[col(k).alias(k) for k in keys])
-    tie_rows = (base.where(F.col("_g").isin(list(cut)))
-                .groupBy("_g", F.when(at_cut, key_struct).alias("_k"))
-                .agg(F.sum(below.cast("long")).alias("below"), F.count(F.lit(1)).alias("n"))
-                .collect())
-    below_n: dict = {}
-    ties: dict = {}
-    for r in tie_rows:
-        below_n[r["_g"]] = below_n.get(r["_g"], 0) + int(r["below"] or 0)
-        if r["_k"] is not None:
-            ties.setdefault(r["_g"], []).append((tuple(r["_k"]), int(r["n"])))
-    key_cut = {}
-    for g_, tied in ties.items():
-        need, seen = want[g_] - below_n.get(g_, 0), 0
-        # struct order: field by field, nulls first
-        for k, n in sorted(tied, key=lambda t: tuple((v is not None, v) for v in t[0])):
-            seen += n
-            if seen >= need:
-                key_cut[g_] = k
-                break
-    is_test = F.lit(False)
-    for g_, kc in key_cut.items():
-        lit_struct = F.struct(*[F.lit(v).cast(df.schema[k].dataType).alias(k) for k, v in zip(keys, kc)])
-        is_test = is_test | ((F.col("_g") == F.lit(g_)) &
-                             (below | (at_cut & (key_struct <= lit_struct))))
-    out = full.select(*[col(c) for c in df.columns], F.when(is_test, "test").otherwise("train").alias(name))
-    base.unpersist(blocking=False)
-    return out
-
-
-# the first pass counts rows per (class, bucket >> SPLIT_BIN_SHIFT): 4096
-# coarse bins of the 32-bit bucket; used while classes × bins stays small
-SPLIT_BIN_SHIFT = 20
-MAX_SPLIT_HIST_ROWS = 200_000
-
-
-def _cut_buckets(base: DataFrame, test_size: float) -> tuple[dict, dict]:
-    """Per class: the test size ``ceil(n × test_size)`` and the bucket of its
-    last test row (an exact order statistic).  One coarse histogram gives
-    the class sizes and the bin holding that rank; the refinement then runs
-    inside that bin only."""
-    hist = (base.groupBy("_g", F.shiftright("_h", SPLIT_BIN_SHIFT).alias("_bin"))
-            .agg(F.count(F.lit(1)).alias("n")).limit(MAX_SPLIT_HIST_ROWS + 1).collect())
-    if len(hist) > MAX_SPLIT_HIST_ROWS:         # very many classes: sizes first, then refine
-        stats = base.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.min("_h").alias("lo"),
-                                       F.max("_h").alias("hi")).collect()
-        want = {r["_g"]: math.ceil(r["n"] * test_size) for r in stats}
-        ranks = {g_: [t - 1] for g_, t in want.items() if t > 0}
-        bounds = {r["_g"]: (float(r["lo"]), float(r["hi"])) for r in stats}
-        long_df = base.select(F.col("_g").alias("g"), F.col("_h").cast("double").alias("x"))
-        sizes = {r["_g"]: int(r["n"]) for r in stats}
-        return want, {g_: int(v) for (g_, _), v in kth_smallest(long_df, ranks, bounds, counts=sizes).items()}
-    bins: dict = {}
-    for r in hist:
-        bins.setdefault(r["_g"], []).append((int(r["_bin"]), int(r["n"])))
-    want = {g_: math.ceil(sum(n for _, n in v) * test_size) for g_, v in bins.items()}
-    target = {}                                 # class → (bin, rank inside it, rows in it)
-    for g_, t in want.items():
-        below = 0
-        for b, n in sorted(bins[g_]):
-            if t > 0 and below + n >= t:
-                target[g_] = (b, t - 1 - below, n)
-                break
-            below += n
-    if not target:
-        return want, {}
-    bin_of = F.create_map(*[x for g_, (b, _, _) in target.items() for x in (F.lit(g_), F.lit(b).cast("long"))])
-    in_bin = base.where(F.shiftright("_h", SPLIT_BIN_SHIFT) == F.element_at(bin_of, F.col("_g")))
-    long_df = in_bin.select(F.col("_g").alias("g"), F.col("_h").cast("double").alias("x"))
-    width = 1 << SPLIT_BIN_SHIFT
-    found = kth_smallest(long_df, {g_: [r] for g_, (_, r, _) in target.items()},
-                         {g_: (float(b * width), float((b + 1) * width - 1)) for g_, (b, _, _) in target.items()},
-                         counts={g_: n for g_, (_, _, n) in target.items()})
-    return want, {g_: int(found[(g_, r)]) for g_, (_, r, _) in target.items()}
+    if cuts.count() <= BROADCAST_CLASSES:
+        cuts = F.broadcast(cuts)
+    joined = full.join(cuts, full[g_].eqNullSafe(cuts["cut_g"]), "left")
+    key = F.struct(*[full[f"`{k}`"].alias(k) for k in keys])
+    is_test = (full[h_] < cuts["cut_h"]) | ((full[h_] == cuts["cut_h"]) & (key <= cuts["cut_k"]))
+    return joined.select(*[full[f"`{c}`"] for c in df.columns], F.when(is_test, "test").otherwise("train").alias(name))
+
+
+def _free(name: str, taken: set[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _class_sizes(base: DataFrame, test_size: float, classes: bool) -> DataFrame:
+    """``(g, n, lo, hi, t)``: per class its rows and its share of the
+    ``ceil(rows x test_size)`` test rows, by largest remainder (ties by
+    class).  The class with the last whole row is found as an order
+    statistic of the remainders, so no task sorts all classes."""
+    sizes = cut_lineage(base.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("h").cast("double").alias("lo"),
+                                              F.max("h").cast("double").alias("hi")))
+    r = sizes.agg(F.sum("n").alias("n"), F.min("n").alias("least"), F.count(F.lit(1)).alias("k")).first()
+    total = int(r["n"] or 0)
+    if classes and r["k"] > 1 and r["least"] < 2:
+        raise ValueError("stratified split: a class has only one row")
+    test = math.ceil(round(total * test_size, 9))
+    share = F.col("n").cast("decimal(19,0)") * F.lit(test).cast("decimal(19,0)")       # exact integers
+    sizes = sizes.withColumn("whole", F.floor(share / F.lit(max(total, 1))).cast("long"))
+    sizes = sizes.withColumn("rest", (share - F.col("whole").cast("decimal(19,0)") * F.lit(max(total, 1))).cast("long"))
+    extra = test - int(sizes.agg(F.sum("whole").alias("s")).first()["s"] or 0)
+    plus = F.lit(0)
+    if extra > 0:
+        b = sizes.agg(F.min(-F.col("rest")).alias("lo"), F.max(-F.col("rest")).alias("hi")).first()
+        ranked = sizes.select(F.lit("all").alias("g"), (-F.col("rest")).cast("double").alias("x"))
+        cut = -int(kth_smallest(ranked, {"all": [extra - 1]}, {"all": (b["lo"], b["hi"])}, {"all": int(r["k"])})[("all", extra - 1)])
+        above = sizes.where(F.col("rest") > cut).count()
+        tied = dense_index(sizes.where(F.col("rest") == cut).select(F.coalesce("g", F.lit("")).alias("g")), "g", "i")
+        sizes = sizes.join(tied.withColumnRenamed("g", "tg"), (F.coalesce("g", F.lit("")) == F.col("tg")) & (F.col("rest") == cut), "left")
+        plus = F.when((F.col("rest") > cut) | (F.col("i") < extra - above), 1).otherwise(0)
+    return sizes.select("g", "n", "lo", "hi", (F.col("whole") + plus).alias("t"))
+
+
+def _class_cuts(base: DataFrame, test_size: float, classes: bool) -> DataFrame:
+    """``(cut_g, cut_h, cut_k)``: per class with test rows the bucket and key
+    of its last test row in (bucket, key) order.  The bucket is an exact order
+    statistic; among rows on it (copies of a key, and rare collisions) one
+    count per distinct key decides."""
+    sizes = cut_lineage(_class_sizes(base, test_size, classes).where("t > 0").withColumn("g", F.coalesce("g", F.lit(_NULL))))
+    rows = base.select(F.coalesce("g", F.lit(_NULL)).alias("g"), "k", "h")
+    wanted = sizes.select("g", (F.col("t") - 1).alias("rank"), "lo", "hi", "n")
+    at = order_statistics(rows.select("g", F.col("h").cast("double").alias("x")), wanted)
+    cut = cut_lineage(at.join(sizes.select("g", "t"), "g").select("g", F.col("value").cast("long").alias("cut"), "t"))
+    if cut.count() <= BROADCAST_CLASSES:
+        cut = F.broadcast(cut)
+    near = rows.join(cut, "g").where(F.col("h") <= F.col("cut"))
+    tied = near.groupBy("g", "cut", "t", F.when(F.col("h") == F.col("cut"), F.col("k")).alias("k")).agg(F.count(F.lit(1)).alias("c"))
+    # keys on the cut-off bucket in order, after the rows below it (null key)
+    upto = F.sum("c").over(Window.partitionBy("g").orderBy(F.col("k").asc_nulls_first()))
+    last = tied.withColumn("upto", upto).where(F.col("k").isNotNull() & (F.col("upto") >= F.col("t")))
+    return last.groupBy("g").agg(F.min(F.struct("k", "cut")).alias("m")).select(
+        F.when(F.col("g") != _NULL, F.col("g")).alias("cut_g"), F.col("m.cut").alias("cut_h"), F.col("m.k").alias("cut_k"))
+
+
+#: Stands for the null class where classes are joined by equality.
+_NULL = "\0null"
 
 
 # ---------------------------------------------------------------------------
@@ -160,6 +157,7 @@ def fit_scaler(df: DataFrame, columns: list[str], kind: str = "standard", exact:
         aggs = []
         for i, c in enumerate(columns):
             x = col(c).cast("double")
+            x = F.when(~F.isnan(x), x)
             aggs += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}"),
                      F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
         row = df.agg(*aggs).collect()[0]
@@ -187,10 +185,11 @@ def recommend_scaler(problem_type: str) -> str:
     return "robust" if problem_type == "classification" else "standard"
 
 
-SCALING_MODEL_KEYWORDS = ("linear", "logistic", "ridge", "lasso", "svm", "svc")
+#: Parts of the names of model families that split on single
+#: features, whatever their scale.
+UNSCALED_FAMILIES = ("tree", "forest", "boost", "xgb", "lgbm", "catboost")
 
 
 def model_requires_scaling(name: str) -> bool:
-    """Linear models read scaled features, tree models raw ones."""
-    n = name.lower()
-    return any(k in n for k in SCALING_MODEL_KEYWORDS)
+    """Tree families read raw features, every other model scaled ones."""
+    return not any(part in name.lower() for part in UNSCALED_FAMILIES)

@@ -438,13 +438,17 @@ SCALE_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def split_sql(table: str, cols: list[str], keys: list[str], stratify: str | None) -> str:
-    part = f"PARTITION BY {stratify} " if stratify else ""
+    """ceil(rows x 0.2) test rows, shared among the classes by largest remainder."""
+    cls = stratify or "'all'"
     order = ", ".join(["_h"] + keys)
-    return (f"WITH h AS (SELECT *, {md5_bucket_sql(keys)} AS _h FROM {table}), "
-            f"r AS (SELECT *, row_number() OVER ({part}ORDER BY {order}) AS _rn, "
-            f"count(*) OVER ({part.strip()}) AS _cnt FROM h) "
-            f"SELECT {', '.join(cols)}, CASE WHEN _rn <= ceil(_cnt * CAST(0.2 AS DOUBLE)) THEN 'test' ELSE 'train' END "
-            f"AS split FROM r")
+    return (f"WITH h AS (SELECT *, {md5_bucket_sql(keys)} AS _h, {cls} AS _c FROM {table}), "
+            "tot AS (SELECT count(*) AS n, CAST(ceil(count(*) * CAST(0.2 AS DECIMAL(3,1))) AS BIGINT) AS t FROM h), "
+            "c AS (SELECT _c, count(*) AS k, count(*) * any_value(t) // any_value(n) AS whole, "
+            "count(*) * any_value(t) % any_value(n) AS rest FROM h, tot GROUP BY _c), "
+            "a AS (SELECT _c, whole + CASE WHEN row_number() OVER (ORDER BY rest DESC, _c) "
+            "<= (SELECT any_value(t) FROM tot) - sum(whole) OVER () THEN 1 ELSE 0 END AS t FROM c), "
+            f"r AS (SELECT *, row_number() OVER (PARTITION BY _c ORDER BY {order}) AS _rn FROM h JOIN a USING (_c)) "
+            f"SELECT {', '.join(cols)}, CASE WHEN _rn <= t THEN 'test' ELSE 'train' END AS split FROM r")
 
 
 def scale_sql(kind: str) -> str:

@@ -17,7 +17,7 @@ def test_exact_quantiles_match_numpy(spark, bins, limit):
     df = spark.createDataFrame(rows, "a double, b double, c double").repartition(7)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
     stats = Q.column_bounds(df, ["a", "b", "c"])
-    got = Q.exact_quantiles(df, ["a", "b", "c"], probs, bins=bins, collect_limit=limit, stats=stats)
+    got = Q.exact_quantiles(df, ["a", "b", "c"], probs, bins=bins, leaf=limit, stats=stats)
     for name, arr in (("a", a), ("b", b), ("c", c)):
         want = np.quantile(arr, probs)
         assert np.allclose(got[name], want, rtol=1e-12, atol=1e-9), name
@@ -28,11 +28,37 @@ def test_group_quantiles(spark):
     g = rng.integers(0, 3, 2000)
     x = rng.normal(0, 1, 2000)
     df = spark.createDataFrame([(int(i), float(v)) for i, v in zip(g, x)], "g int, x double")
-    got = Q.group_quantiles(df, "g", "x", [0.25, 0.5, 0.75])
+    got = {r["g"]: r for r in Q.group_quantiles(df, "g", "x", [0.25, 0.5, 0.75], bins=8, leaf=5).collect()}
     for k in range(3):
-        n, qs = got[k]
-        assert n == int((g == k).sum())
-        assert np.allclose(qs, np.quantile(x[g == k], [0.25, 0.5, 0.75]))
+        assert got[k]["n"] == int((g == k).sum())
+        assert np.allclose(got[k]["q"], np.quantile(x[g == k], [0.25, 0.5, 0.75]))
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_many_groups_stay_on_the_executors(spark, monkeypatch, broadcast):
+    """5 000 groups: the driver sees a few numbers per pass, never values or groups."""
+    monkeypatch.setattr(Q, "BROADCAST_INTERVALS", broadcast)
+    rng = np.random.default_rng(9)
+    g = rng.integers(0, 5000, 40_000)
+    g[: 13_000] = 7                                     # a third of the rows in one group
+    x = np.round(rng.normal(0, 1, 40_000), 2)
+    df = spark.createDataFrame(list(zip(g.tolist(), x.tolist())), "g int, x double").repartition(8)
+    seen = []
+    for name in ("collect", "first"):
+        real = getattr(type(df), name)
+        monkeypatch.setattr(type(df), name, lambda self, *a, real=real: seen.append(real(self, *a)) or seen[-1])
+    frame = Q.group_quantiles(df, "g", "x", [0.25, 0.9], bins=16, leaf=50)
+    assert sum(len(r) if isinstance(r, list) and not hasattr(r, "asDict") else 1 for r in seen) < 100
+    monkeypatch.undo()
+    got = {r["g"]: r["q"] for r in frame.collect()}
+    assert set(got) == set(g.tolist())
+    for k in (7, *rng.choice(g, 40).tolist()):
+        assert np.allclose(got[k], np.quantile(x[g == k], [0.25, 0.9]))
+
+
+def test_names_with_dots_and_backticks(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (3.0, 5.0)], "`emp.var.rate` double, `a``b` double")
+    assert Q.exact_quantiles(df, ["emp.var.rate", "a`b"], [0.5]) == {"emp.var.rate": [2.0], "a`b": [3.5]}
 
 
 def test_empty_and_null_columns(spark):
@@ -49,7 +75,7 @@ from hypothesis import given, settings, strategies as st  # noqa: E402
        st.sampled_from([0.0, 0.1, 0.5, 0.9, 1.0]))
 def test_exact_quantile_property(spark, values, p):
     df = spark.createDataFrame([(v,) for v in values], "x double")
-    got = Q.exact_quantiles(df, ["x"], [p], bins=3, collect_limit=4)["x"][0]
+    got = Q.exact_quantiles(df, ["x"], [p], bins=3, leaf=4)["x"][0]
     want = float(np.quantile(np.array(values), p))
     assert abs(got - want) <= 1e-9 * max(1.0, abs(want))
 

@@ -23,7 +23,7 @@ def _skewed(spark, n=3000):
 def test_hot_value_quantiles_and_modes(spark):
     df, rows = _skewed(spark)
     xs = np.array([r[2] for r in rows])
-    got = Q.exact_quantiles(df, ["x"], [0.1, 0.33, 0.5, 0.9], bins=16, collect_limit=50)["x"]
+    got = Q.exact_quantiles(df, ["x"], [0.1, 0.33, 0.5, 0.9], bins=16, leaf=50)["x"]
     assert np.allclose(got, np.quantile(xs, [0.1, 0.33, 0.5, 0.9]))
     assert profile.column_modes(df, ["k"])["k"] == ("hot", 1000)
     assert profile.distinct_counts(df, ["k"])["k"] == 98
@@ -39,9 +39,41 @@ def test_split_with_dominant_class(spark):
     df, rows = _skewed(spark)
     s = split_scale.split_labels(df, ["id"], stratify="cls")
     per = {(r["cls"], r["split"]): r["count"] for r in s.groupBy("cls", "split").count().collect()}
+    assert per[("A", "test")] + per[("B", "test")] == math.ceil(len(rows) * 0.2)
     for cls in ("A", "B"):
         n = sum(1 for r in rows if r[3] == cls)
-        assert per[(cls, "test")] == math.ceil(n * 0.2)
+        assert abs(per[(cls, "test")] - n * 0.2) < 1
+
+
+def _allocated(sizes, test_size=0.2):
+    """Largest remainder in plain integers; ties by class."""
+    n = sum(sizes.values())
+    t = math.ceil(round(n * test_size, 9))
+    out = {c: k * t // n for c, k in sizes.items()}
+    rest = sorted(sizes, key=lambda c: (-(sizes[c] * t % n), c))
+    for c in rest[:t - sum(out.values())]:
+        out[c] += 1
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_split_size_is_shared_by_largest_remainder(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(split_scale, "BROADCAST_CLASSES", broadcast)
+    sizes = {f"c{i:03d}": 2 + (i * 7) % 23 for i in range(120)}
+    sizes |= {f"d{i}": 11 for i in range(10)}
+    rows = [(j * 1000 + i, c) for i, (c, n) in enumerate(sizes.items()) for j in range(n)]
+    df = spark.createDataFrame(rows, "id long, cls string").repartition(5)
+    s = split_scale.split_labels(df, ["id"], stratify="cls")
+    per = {r["cls"]: r["count"] for r in s.where("split = 'test'").groupBy("cls").count().collect()}
+    assert {c: n for c, n in _allocated(sizes).items() if n} == per
+    again = split_scale.split_labels(df.repartition(1), ["id"], stratify="cls")
+    assert s.exceptAll(again).count() == 0
+
+
+def test_split_refuses_one_row_classes(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "id long, cls string")
+    with pytest.raises(ValueError, match="one row"):
+        split_scale.split_labels(df, ["id"], stratify="cls")
 
 
 def _box_brute(xs):
@@ -53,13 +85,12 @@ def _box_brute(xs):
 
 
 def test_box_stats_hot_group_split(spark, monkeypatch):
-    """More groups than the exact bound, one group with a third of the rows:
-    the hot group goes through the distributed refinement, the rest through
-    per-group percentiles; every number equals the brute-force answer."""
+    """Many groups, one with a third of the rows, with the fence table beyond
+    the broadcast bound: every number equals the brute-force answer."""
     from tessera.operators import chartdata
     df, rows = _skewed(spark)
-    monkeypatch.setattr(chartdata, "MAX_EXACT_GROUPS", 10)
-    monkeypatch.setattr(chartdata, "HOT_GROUP_ROWS", 50)
+    monkeypatch.setattr(chartdata, "BROADCAST_GROUPS", 0)
+    monkeypatch.setattr(Q, "DEFAULT_LEAF", 20)
     got = {r["k"]: tuple(r)[1:] for r in chartdata.box_stats(df, "x", "k").collect()}
     by_key: dict = {}
     for r in rows:
@@ -118,14 +149,3 @@ def test_sample_small_and_empty(spark):
     df = spark.createDataFrame([(i, i) for i in range(30)], "id long, v long")
     assert chartdata.sample_rows(df, ["id"], 100).count() == 30
     assert chartdata.sample_rows(df.where(F.lit(False)), ["id"], 100).count() == 0
-
-
-def test_split_many_classes_path_agrees(spark, monkeypatch):
-    """The fallback used when classes × bins is too large gives the same
-    labels as the coarse-histogram path."""
-    rows = [(i, f"c{i % 7}" if i % 5 else "hot") for i in range(4000)]
-    df = spark.createDataFrame(rows, "id long, cls string").repartition(6)
-    fast = {r["id"]: r["split"] for r in split_scale.split_labels(df, ["id"], stratify="cls").collect()}
-    monkeypatch.setattr(split_scale, "MAX_SPLIT_HIST_ROWS", 3)
-    slow = {r["id"]: r["split"] for r in split_scale.split_labels(df, ["id"], stratify="cls").collect()}
-    assert fast == slow
