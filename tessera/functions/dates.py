@@ -19,6 +19,19 @@ DATE_FORMATS = (
     "dd-MM-yyyy",
     "dd.MM.yyyy",
     "yyyyMMdd",
+    "yyyy-MM-dd'T'HH:mm:ssX",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSX",
+    "yyyy-MM-dd'T'HH:mm",
+    "M/d/yyyy H:mm:ss",
+    "M/d/yyyy H:mm",
+    "M/d/yyyy",
+    "d/M/yyyy",
+    "d-M-yyyy",
+    "d-MMM-yyyy",
+    "d MMM yyyy",
+    "d MMMM yyyy",
+    "MMM d, yyyy",
+    "MMMM d, yyyy",
 )
 
 

@@ -61,10 +61,6 @@ def dtype_name(dtype: T.DataType) -> str:
     return dtype.simpleString()
 
 
-def is_integral(dtype: T.DataType) -> bool:
-    return isinstance(dtype, INTEGRAL_TYPES)
-
-
 def col(name: str):
     """``F.col`` that tolerates dots, spaces and backticks in the name."""
     from pyspark.sql import functions as F

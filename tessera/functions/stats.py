@@ -26,12 +26,3 @@ def adjusted_kurtosis(x: Column) -> Column:
     return (F.when(n < 4, F.lit(None).cast("double"))
             .when(var == 0, F.lit(0.0))
             .otherwise((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)))
-
-
-def half_even(x: Column, digits: int) -> Column:
-    """numpy/pandas rounding (half to even) for presentation columns."""
-    return F.bround(x, digits)
-
-
-def null_if_nan(x: Column) -> Column:
-    return F.when(~F.isnan(x), x)

@@ -23,8 +23,6 @@ from tessera.operators.relations import bin_edges, with_bins
 
 MAX_SCATTER_ROWS = 5000
 MAX_MISSING_HEATMAP_ROWS = 500
-MAX_MISSING_HEATMAP_COLUMNS = 40
-MAX_PAIR_COLUMNS = 6
 SEED = 42
 
 _AGGS = {
@@ -98,7 +96,8 @@ def _sample_by_cut(cand: DataFrame, keys: list[str], m: int, hi: float, size: in
     types = {f.name: f.dataType for f in cand.schema.fields}
     lit_key = F.struct(*[F.lit(v).cast(types[k]).alias(k) for k, v in zip(keys, cut_key)])
     whole = cand.where(below | (at_cut & (key_struct < lit_key)))
-    copies = cand.where(at_cut & (key_struct == lit_key)).withColumn("_mid", F.monotonically_increasing_id())
+    # written, so that counting and taking see the same places
+    copies = cut_lineage(cand.where(at_cut & (key_struct == lit_key)).withColumn("_mid", F.monotonically_increasing_id()))
     pid = F.shiftright("_mid", 33)
     per_part = sorted((int(r["pid"]), int(r["n"])) for r in
                       copies.groupBy(pid.alias("pid")).agg(F.count(F.lit(1)).alias("n")).collect())
@@ -217,8 +216,8 @@ def _group_window(group_by: str):
 
 
 def missing_matrix(df: DataFrame, keys: list[str], n: int = MAX_MISSING_HEATMAP_ROWS,
-                   max_columns: int = MAX_MISSING_HEATMAP_COLUMNS, seed: int = SEED) -> DataFrame:
-    """0/1 missing flags of the first ``max_columns`` columns for a
+                   max_columns: int | None = None, seed: int = SEED) -> DataFrame:
+    """0/1 missing flags of the columns (the first ``max_columns`` if given) for a
     deterministic sample of ``n`` rows."""
     cols = df.columns[:max_columns]
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -235,7 +234,7 @@ def missing_matrix(df: DataFrame, keys: list[str], n: int = MAX_MISSING_HEATMAP_
 def pair_sample(df: DataFrame, keys: list[str], columns: list[str],
                 n: int = MAX_SCATTER_ROWS, seed: int = SEED) -> DataFrame:
     """Up to six numeric columns on a deterministic sample."""
-    return sample_rows(df, keys, n, columns=list(keys) + list(columns[:MAX_PAIR_COLUMNS]), seed=seed)
+    return sample_rows(df, keys, n, columns=list(keys) + list(columns), seed=seed)
 
 
 def head_rows(df: DataFrame, order_by: list[str], n: int = 150, descending: bool = False) -> DataFrame:

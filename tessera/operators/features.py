@@ -13,12 +13,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.schema import classify_columns, col
+from tessera.session import cut_lineage
 from tessera.operators.clean import detect_date_columns, extract_datetime_features, parse_date_columns
 from tessera.operators.ordered import dense_index
 from tessera.operators.profile import distinct_counts
@@ -33,8 +33,8 @@ NULL_CATEGORY = "nan"
 PREFERRED_TARGETS = ("target", "label", "y", "units sold", "price", "sales", "revenue",
                      "churn", "default", "class", "outcome")
 
-BROADCAST_KEYS = 200_000
-ID_RECHECK_BAND = 0.05
+#: Category maps are broadcast up to this many bytes (keys, and 16 a row).
+BROADCAST_BYTES = 32 << 20
 
 
 def _text(c: str) -> Column:
@@ -42,8 +42,12 @@ def _text(c: str) -> Column:
     return F.coalesce(col(c).cast("string"), F.lit(NULL_CATEGORY))
 
 
-def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_KEYS else df
+def _map_bytes(mapping: DataFrame, key: str) -> int:
+    return int(mapping.agg(F.sum(F.octet_length(key) + 16).alias("b")).first()["b"] or 0)
+
+
+def _maybe_broadcast(mapping: DataFrame, key: str) -> DataFrame:
+    return F.broadcast(mapping) if _map_bytes(mapping, key) <= BROADCAST_BYTES else mapping
 
 
 # ---------------------------------------------------------------------------
@@ -56,22 +60,14 @@ ID_SCHEMA = T.StructType([
 ])
 
 
-def id_report(df: DataFrame, columns: list[str] | None = None, exact: bool = False) -> DataFrame:
-    """Distinct/non-null ratio per column; ratio ≥ 0.9 → id-like.
-
-    Default: HyperLogLog++ for every column in one aggregate, then exact
-    distinct counts only for the columns whose estimate falls within ±5 %
-    of the threshold (where the estimate could flip the decision)."""
+def id_report(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Distinct/non-null ratio per column, counted exactly; ratio ≥ 0.9 → id-like."""
     cols = columns if columns is not None else list(df.columns)
     if not cols:
         return df.sparkSession.createDataFrame([], ID_SCHEMA)
     row = df.agg(*[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(cols)]).collect()[0]
     nonnull = {c: int(row[f"n{i}"]) for i, c in enumerate(cols)}
-    uniq = distinct_counts(df, cols, exact=exact)
-    if not exact:
-        recheck = [c for c in cols if nonnull[c] and
-                   abs(uniq[c] / nonnull[c] - ID_COLUMN_UNIQUE_RATIO) <= ID_RECHECK_BAND]
-        uniq.update(distinct_counts(df, recheck, exact=True))
+    uniq = distinct_counts(df, cols)
     rows = []
     for c in cols:
         n, u = nonnull[c], min(uniq[c], nonnull[c])
@@ -80,8 +76,8 @@ def id_report(df: DataFrame, columns: list[str] | None = None, exact: bool = Fal
     return df.sparkSession.createDataFrame(rows, ID_SCHEMA)
 
 
-def id_columns(df: DataFrame, columns: list[str] | None = None, exact: bool = False) -> list[str]:
-    return [r["column_name"] for r in id_report(df, columns, exact).collect() if r["is_id"]]
+def id_columns(df: DataFrame, columns: list[str] | None = None) -> list[str]:
+    return [r["column_name"] for r in id_report(df, columns).collect() if r["is_id"]]
 
 
 # ---------------------------------------------------------------------------
@@ -123,7 +119,7 @@ def detect_problem_type(df: DataFrame, target: str) -> str:
     dtype = df.schema[target].dataType
     n = distinct_up_to(df, target, CLASSIFICATION_UNIQUE_THRESHOLD + 1)
     if n == 0:
-        raise ValueError("Target column has no non-null values.")
+        raise ValueError(f"{target}: every value is null, no problem type")
     numeric = isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                                  T.DoubleType, T.DecimalType))
     if not numeric:
@@ -142,23 +138,11 @@ def choose_encoding_strategy(unique_count: int) -> str:
     return "label"
 
 
-PLAN_RECHECK = 200
-
-
 def plan_encodings(df: DataFrame, categorical: list[str]) -> dict[str, tuple[str, int]]:
-    """``{column: (strategy, distinct count)}``.
-
-    The thresholds are small (10 / 50), so one HyperLogLog++ aggregate
-    estimates every column and only the columns estimated at ≤ 200 distinct
-    values — far below the estimator's error band around the thresholds —
-    are counted exactly (a cheap shuffle of few values).  A free-text column
-    with billions of values is never shuffled value by value."""
+    """``{column: (strategy, distinct count)}``, counted exactly."""
     if not categorical:
         return {}
-    approx = distinct_counts(df, categorical, exact=False)
-    small = [c for c in categorical if approx[c] <= PLAN_RECHECK]
-    counts = dict(approx)
-    counts.update(distinct_counts(df, small, exact=True) if small else {})
+    counts = distinct_counts(df, categorical)
     return {c: (choose_encoding_strategy(counts[c]), counts[c]) for c in categorical}
 
 
@@ -202,7 +186,7 @@ def apply_label(df: DataFrame, enc: LabelEncoding, unseen: int | None = None) ->
     (None keeps null; scoring uses 0 like the reference)."""
     c = enc.column
     m = enc.mapping.select(F.col("value").alias("_lv"), F.col("index").alias("_li"))
-    joined = df.join(_maybe_broadcast(m, enc.size), _text(c) == F.col("_lv"), "left")
+    joined = df.join(_maybe_broadcast(m, "_lv"), _text(c) == F.col("_lv"), "left")
     idx = F.col("_li") if unseen is None else F.coalesce(F.col("_li"), F.lit(unseen).cast("long"))
     return joined.select(*[idx.alias(x) if x == c else col(x) for x in df.columns])
 
@@ -250,15 +234,13 @@ class TargetEncoding:
 
 def fit_target(df: DataFrame, column: str, target: str, smoothing: float = TARGET_SMOOTHING) -> TargetEncoding:
     """(n·mean + s·global) / (n + s) per category over numeric target values."""
-    y = col(target).cast("double") if not isinstance(df.schema[target].dataType, T.StringType) \
-        else F.expr(f"try_cast(`{target}` AS DOUBLE)")
+    y = col(target).try_cast("double")
     y = F.when(~F.isnan(y), y)
-    # one shuffle: per-category mean, count and sum, persisted; the global
+    # one shuffle: per-category mean, count and sum, written; the global
     # mean, the map size and the map itself are all read from it
-    per_value = (df.select(_text(column).alias("value"), y.alias("_y"))
-                 .groupBy("value").agg(F.avg("_y").alias("_m"), F.count("_y").alias("_n"),
-                                       F.sum("_y").alias("_s"))
-                 .persist(StorageLevel.MEMORY_AND_DISK))
+    per_value = cut_lineage(df.select(_text(column).alias("value"), y.alias("_y"))
+                            .groupBy("value").agg(F.avg("_y").alias("_m"), F.count("_y").alias("_n"),
+                                                  F.sum("_y").alias("_s")))
     r = per_value.agg(F.count(F.lit(1)).alias("k"), F.sum("_s").alias("s"), F.sum("_n").alias("n")).collect()[0]
     gm = float(r["s"]) / r["n"] if r["n"] else None
     s = F.lit(float(smoothing))
@@ -271,7 +253,7 @@ def apply_target(df: DataFrame, enc: TargetEncoding) -> DataFrame:
     """Drop the column and append ``<col>_target_enc``; categories without a
     value (unseen, or no numeric target) → the training global mean."""
     m = enc.mapping.select(F.col("value").alias("_tv"), F.col("encoded").alias("_te"))
-    joined = df.join(_maybe_broadcast(m, enc.size), _text(enc.column) == F.col("_tv"), "left")
+    joined = df.join(_maybe_broadcast(m, "_tv"), _text(enc.column) == F.col("_tv"), "left")
     enc_col = F.coalesce(F.col("_te"), F.lit(enc.global_mean).cast("double")).alias(enc.output_column)
     return joined.select(*[col(x) for x in df.columns if x != enc.column], enc_col)
 
@@ -288,14 +270,13 @@ def get_datetime_columns(df: DataFrame) -> list[str]:
     return out
 
 
-def select_feature_columns(df: DataFrame, target: str, exclude_ids: bool = True,
-                           exact: bool = False) -> tuple[list[str], list[str], list[str]]:
+def select_feature_columns(df: DataFrame, target: str, exclude_ids: bool = True) -> tuple[list[str], list[str], list[str]]:
     """(features, datetime columns, excluded id columns): drop the target,
     timestamp-typed columns and id-like columns (ratio test in one job)."""
     dates = get_datetime_columns(df)
     typed = set(classify_columns(df).datetime)
     candidates = [c for c in df.columns if c != target and not (c in dates and c in typed)]
-    ids = set(id_columns(df, candidates, exact=exact)) if exclude_ids and candidates else set()
+    ids = set(id_columns(df, candidates)) if exclude_ids and candidates else set()
     features = [c for c in candidates if c not in ids]
     return features, dates, [c for c in candidates if c in ids]
 
@@ -369,7 +350,7 @@ def engineer_features(df: DataFrame, target: str, *, use_target_encoding: bool =
     """
     carry = [c for c in (carry or []) if c != target]
     if target not in df.columns:
-        raise ValueError(f"Target column '{target}' not found in dataframe.")
+        raise ValueError(f"no column {target} to predict")
     dates = get_datetime_columns(df)
     working, parsed = parse_date_columns(df, dates)
     added: list[str] = []

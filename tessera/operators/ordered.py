@@ -1,51 +1,38 @@
 """Operators that depend on row order (forward/backward fill, 1..n row
-index) without a global window.
+index, running totals) without a global window.
 
 A window ``ORDER BY key`` with no ``PARTITION BY`` runs in ONE task.  Here
-the key range is cut into blocks at approximate quantiles of the key (one
-``percentile_approx`` aggregate), each block is processed by an ordinary
-partitioned window, and what crosses block borders (the last non-null value
-of each block, or each block's row count) is a table with one row per block
-— bounded by the block count, not by the data — turned into carries on the
-driver and applied with a lookup (a literal array for a few blocks, a
-broadcast join of the one-row-per-block table beyond that).  The number of
-blocks follows the input size (one per input file, at least one per
-shuffle partition, at most ``MAX_BLOCKS``), so blocks stay file-sized as
-data grows.  The order key must identify the row order (unique, or ties
-only between interchangeable rows).
+the rows are sorted once by a distributed range sort on the key itself — any
+orderable type, compared as that type — and a hash of the row, so that even
+rows that share one key spread over many partitions.  The sorted rows are
+checkpointed with their place (partition and position), which fixes the
+order: a lost executor reads it back.  Each partition is then one block of an
+ordinary partitioned window, and what crosses block borders (the last
+non-null value of each block, or each block's row count) is a table with one
+row per block.  Blocks are shuffle partitions of a sort, so their number
+follows the data (adaptive execution sizes them by bytes), not a setting here.
+
+Null keys come last.  Rows that share a key are ordered by their hash, the
+same on every run.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.schema import col
+from tessera.session import cut_lineage
 
 _BLOCK = "_blk"
-_KEYD = "_key_d"
-MAX_BLOCKS = 20_000
+_PLACE = "_place"
 LITERAL_BLOCKS = 256
 
 
-def _default_blocks(df: DataFrame) -> int:
-    """One block per input file, at least one per shuffle partition.  The
-    file list comes from the plan (``inputFiles``, no job); counting the
-    partitions of ``df.rdd`` instead would make adaptive execution run the
-    shuffles upstream of ``df`` once just to answer."""
-    shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    try:
-        files = len(df.inputFiles())
-    except Exception:  # noqa: BLE001 - sources without files: the shuffle width
-        files = 0
-    return max(1, min(MAX_BLOCKS, max(shuffle, files)))
-
-
 def _with_carries(blocked: DataFrame, nblocks: int, carries: dict[str, tuple[list, object]]):
     """Attach per-block values: ``carries[name] = (value per block, type)``.
     Returns the frame and a Column per name."""
-    from pyspark.sql import types as T
     if nblocks <= LITERAL_BLOCKS:
         cols = {n: F.element_at(F.array(*[F.lit(v).cast(t) for v in vals]), F.col(_BLOCK) + 1)
                 for n, (vals, t) in carries.items()}
@@ -68,27 +55,19 @@ def _with_carries(blocked: DataFrame, nblocks: int, carries: dict[str, tuple[lis
     return joined, {n: F.col(f"_c_{n}") for n in names}
 
 
-def with_blocks(df: DataFrame, order_by: str, blocks: int | None = None) -> DataFrame:
-    """Add ``_blk`` (0..B-1), contiguous ranges of ``order_by``."""
-    blocks = blocks or _default_blocks(df)
-    keyd = col(order_by).cast("double") if not _is_time(df, order_by) else col(order_by).cast("timestamp").cast("double")
-    base = df.withColumn(_KEYD, keyd)
-    splits = [float("-inf"), float("inf")]
-    if blocks > 1:
-        probs = [i / blocks for i in range(1, blocks)]
-        accuracy = max(10_000, 4 * blocks)
-        qs = base.agg(F.percentile_approx(_KEYD, probs, accuracy).alias("q")).collect()[0]["q"] or []
-        inner = sorted({float(v) for v in qs if v is not None})
-        splits = [float("-inf")] + inner + [float("inf")]
-    if len(splits) < 3:                      # one block: nothing to bucketize
-        return base.withColumn(_BLOCK, F.lit(0)), 1
-    out = Bucketizer(splits=splits, inputCol=_KEYD, outputCol=_BLOCK, handleInvalid="keep").transform(base)
-    return out.withColumn(_BLOCK, F.col(_BLOCK).cast("int")), len(splits)
-
-
-def _is_time(df: DataFrame, c: str) -> bool:
-    from pyspark.sql import types as T
-    return isinstance(df.schema[c].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
+def with_blocks(df: DataFrame, order_by: str | list[str], blocks: int | None = None) -> tuple[DataFrame, int]:
+    """``df`` in order, with ``_blk`` (0..B-1) and ``_place``, and B.
+    ``blocks`` asks for that many instead of as many as the sort makes."""
+    keys = [order_by] if isinstance(order_by, str) else list(order_by)
+    hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    order = [*[col(k).asc_nulls_last() for k in keys], F.xxhash64(*[col(c) for c in hashable])]
+    if blocks:
+        ordered = df.repartitionByRange(blocks, *order).sortWithinPartitions(*order)
+    else:
+        ordered = df.orderBy(*order)
+    placed = cut_lineage(ordered.withColumn(_PLACE, F.monotonically_increasing_id()))
+    out = placed.withColumn(_BLOCK, F.shiftright(_PLACE, 33).cast("int"))
+    return out, int(out.agg(F.max(_BLOCK)).first()[0] or 0) + 1
 
 
 def ffill_bfill(df: DataFrame, columns: list[str], order_by: str, blocks: int | None = None) -> DataFrame:
@@ -100,11 +79,11 @@ def ffill_bfill(df: DataFrame, columns: list[str], order_by: str, blocks: int |
     # per block: first and last non-null value of every column (≤ nblocks rows)
     aggs = []
     for i, c in enumerate(columns):
-        k = F.when(col(c).isNotNull(), F.col(_KEYD))
+        k = F.when(col(c).isNotNull(), F.col(_PLACE))
         aggs += [F.min_by(col(c), k).alias(f"first{i}"), F.max_by(col(c), k).alias(f"last{i}")]
     edge_rows = {r[_BLOCK]: r for r in blocked.groupBy(_BLOCK).agg(*aggs).collect()}
     order = [b for b in range(nblocks)]
-    w = (Window.partitionBy(_BLOCK).orderBy(F.col(_KEYD))
+    w = (Window.partitionBy(_BLOCK).orderBy(F.col(_PLACE))
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     dtypes = {f.name: f.dataType for f in df.schema.fields}
     carries, firsts = {}, {}
@@ -128,21 +107,17 @@ def ffill_bfill(df: DataFrame, columns: list[str], order_by: str, blocks: int |
 
 def row_index(df: DataFrame, order_by: list[str] | str, name: str = "row_idx",
               blocks: int | None = None) -> DataFrame:
-    """1..n in ``order_by`` order: per-block row_number plus the number
+    """1..n in ``order_by`` order: the place in its block plus the number
     of rows in all earlier blocks."""
-    keys = [order_by] if isinstance(order_by, str) else list(order_by)
-    blocked, nblocks = with_blocks(df, keys[0], blocks)
+    blocked, nblocks = with_blocks(df, order_by, blocks)
     counts = {r[_BLOCK]: int(r["n"]) for r in blocked.groupBy(_BLOCK).agg(F.count(F.lit(1)).alias("n")).collect()}
     offsets, acc = [], 0
     for b in range(nblocks):
         offsets.append(acc)
         acc += counts.get(b, 0)
-    from pyspark.sql import types as T
     blocked, carry = _with_carries(blocked, nblocks, {"off": (offsets, T.LongType())})
-    w = Window.partitionBy(_BLOCK).orderBy(F.col(_KEYD), *[col(k) for k in keys[1:]])
-    return blocked.select(
-        (F.row_number().over(w) + carry["off"]).cast("long").alias(name),
-        *[col(c) for c in df.columns])
+    inside = F.col(_PLACE).bitwiseAND((1 << 33) - 1)        # position in the sorted partition
+    return blocked.select((inside + carry["off"] + 1).cast("long").alias(name), *[col(c) for c in df.columns])
 
 
 def dense_index(df: DataFrame, key: str, name: str = "index") -> DataFrame:
@@ -154,10 +129,8 @@ def dense_index(df: DataFrame, key: str, name: str = "index") -> DataFrame:
     and the partition offsets — one number per partition — are summed on the
     driver.  No single task ever sees more than one partition of keys.
     """
-    from pyspark import StorageLevel
-    ordered = (df.select(col(key).alias(key)).where(col(key).isNotNull()).distinct().orderBy(key)
-               .withColumn("_mid", F.monotonically_increasing_id())
-               .persist(StorageLevel.MEMORY_AND_DISK))
+    ordered = cut_lineage(df.select(col(key).alias(key)).where(col(key).isNotNull()).distinct().orderBy(key)
+                          .withColumn("_mid", F.monotonically_increasing_id()))
     counts = {int(r["pid"]): int(r["n"]) for r in
               ordered.groupBy(F.shiftright("_mid", 33).alias("pid")).agg(F.count(F.lit(1)).alias("n")).collect()}
     offsets, acc = {}, 0
@@ -194,11 +167,10 @@ def running_total(df: DataFrame, order_by: str, value: str, name: str = "running
             offsets.append(acc)
             acc += sums.get(b) or 0
         blocked, carry = _with_carries(blocked, nblocks, {"off": (offsets, vtype)})
-        w = (Window.partitionBy(_BLOCK).orderBy(F.col(_KEYD))
+        w = (Window.partitionBy(_BLOCK).orderBy(F.col(_PLACE))
              .rowsBetween(Window.unboundedPreceding, frame_end))
         within = F.coalesce(F.sum(col(value)).over(w), F.lit(0))
         return blocked.select(*[col(c) for c in df.columns], (within + carry["off"]).alias(name))
-    from pyspark.sql import types as T
     gtype = blocked.schema[group].dataType
     per = (blocked.groupBy(col(group).alias("_g"), F.col(_BLOCK).alias("_b"))
            .agg(F.sum(col(value)).alias("s")).collect())
@@ -219,7 +191,7 @@ def running_total(df: DataFrame, order_by: str, value: str, name: str = "running
     if len(rows) <= MAX_BROADCAST_CARRIES:
         table = F.broadcast(table)
     joined = blocked.join(table, (col(group).eqNullSafe(F.col("_g"))) & (F.col(_BLOCK) == F.col("_b")), "left")
-    w = (Window.partitionBy(col(group), F.col(_BLOCK)).orderBy(F.col(_KEYD))
+    w = (Window.partitionBy(col(group), F.col(_BLOCK)).orderBy(F.col(_PLACE))
          .rowsBetween(Window.unboundedPreceding, frame_end))
     within = F.coalesce(F.sum(col(value)).over(w), F.lit(0))
     return joined.select(*[col(c) for c in df.columns],

@@ -51,20 +51,19 @@ SUMMARY_SCHEMA = T.StructType([
 def dataset_summary(df: DataFrame) -> DataFrame:
     """rows, columns, missing cells, duplicate rows, column-group counts.
 
-    One job: ``groupBy(all columns)`` (partial aggregation collapses repeated
-    rows before the shuffle), then a global sum over the distinct rows where
-    each distinct row contributes ``n`` rows, ``n - 1`` duplicates and
-    ``n × (its missing cells)``.
+    One job: rows are grouped by 128 bits of hash (nulls and their places
+    included, -0.0 as 0.0), so the shuffle carries 16 bytes and two counts
+    for each distinct row, not the rows themselves.
     """
     groups = classify_columns(df)
     fields = df.schema.fields
     if not fields:
         raise ValueError("dataset has no columns")
     row_missing = sum((_missing(f.name, f.dataType).cast("long") for f in fields), F.lit(0).cast("long"))
-    return (df.groupBy(*[col(f.name) for f in fields]).agg(F.count(F.lit(1)).alias("_n"))
-            .agg(F.sum("_n").alias("rows"),
-                 F.sum(F.col("_n") - 1).alias("dups"),
-                 F.sum(F.col("_n") * row_missing).alias("miss"))
+    parts = [x for f in fields for x in (col(f.name) + F.lit(0.0) if _is_float(f.dataType) else col(f.name), col(f.name).isNull())]
+    return (df.groupBy(F.xxhash64(*parts).alias("_a"), F.xxhash64(F.lit(1), *parts).alias("_b"))
+            .agg(F.count(F.lit(1)).alias("_n"), F.sum(row_missing).alias("_m"))
+            .agg(F.sum("_n").alias("rows"), F.sum(F.col("_n") - 1).alias("dups"), F.sum("_m").alias("miss"))
             .select(
                 F.coalesce(F.col("rows"), F.lit(0)).cast("long").alias("row_count"),
                 F.lit(len(fields)).cast("long").alias("column_count"),
@@ -144,7 +143,9 @@ def distinct_counts(df: DataFrame, columns: list[str], exact: bool = True) -> di
         row = df.agg(*[F.approx_count_distinct(_as_text(c, types[c])).alias(f"d{i}")
                        for i, c in enumerate(columns)]).collect()[0]
         return {c: int(row[f"d{i}"]) for i, c in enumerate(columns)}
-    res = (value_pairs(df, columns).distinct()
+    # long values travel as their 16-byte MD5: ids and free text cost no more than numbers
+    key = F.when(F.octet_length("value") > 16, F.unhex(F.md5(F.col("value").cast("binary")))).otherwise(F.col("value").cast("binary"))
+    res = (value_pairs(df, columns).select("column", key.alias("value"), (F.octet_length("value") > 16).alias("long")).distinct()
            .groupBy("column").count().collect())
     out = {c: 0 for c in columns}
     out.update({r["column"]: int(r["count"]) for r in res})
@@ -312,11 +313,15 @@ DESCRIBE_SCHEMA = T.StructType([
 def describe(df: DataFrame, exact: bool = True) -> DataFrame:
     """Pandas ``describe(include='all')`` as a long table.
 
-    Numeric columns get count/mean/std/min/quartiles/max, text columns
-    count/unique/top/freq (top = most frequent, smallest on ties).
+    Numeric columns get count/mean/std/min/quartiles/max; text and boolean
+    columns count/unique/top/freq (top = most frequent, smallest on ties);
+    dates and timestamps count/mean/min/quartiles/max in seconds since 1970
+    (the table has one type for all columns).
     """
     groups = classify_columns(df)
-    num, cat = list(groups.numeric), list(groups.categorical)
+    dates = list(groups.datetime)
+    df = df.select(*[col(c).cast("timestamp").cast("double").alias(c) if c in dates else col(c) for c in df.columns])
+    num, cat = list(groups.numeric) + dates, list(groups.categorical) + list(groups.boolean)
     aggs = [F.count(F.lit(1)).alias("_rows")] + _moment_aggs(num)
     aggs += [F.count(col(c)).alias(f"cn{i}") for i, c in enumerate(cat)]
     row = df.agg(*aggs).collect()[0]
@@ -326,7 +331,7 @@ def describe(df: DataFrame, exact: bool = True) -> DataFrame:
     rows = []
     for i, c in enumerate(num):
         q = qs[c]
-        rows.append((c, int(row[f"n{i}"]), None, None, None, row[f"mean{i}"], row[f"std{i}"],
+        rows.append((c, int(row[f"n{i}"]), None, None, None, row[f"mean{i}"], None if c in dates else row[f"std{i}"],
                      row[f"min{i}"], q[0], q[1], q[2], row[f"max{i}"]))
     for i, c in enumerate(cat):
         top, freq = modes[c]

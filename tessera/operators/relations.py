@@ -1,8 +1,8 @@
 """Relations between columns and value distributions: correlation matrix
 (A11/A22), equal-width histograms (A13/V1/V13), OLS trend (V4).
 
-All statistics come from single wide aggregates (``corr`` for every pair in
-one job; ``min``/``max`` in one job, then one ``groupBy(column, bin)``).
+Correlations come from one Gram matrix; histograms from ``min``/``max`` in
+one job, then one ``groupBy(column, bin)``.
 """
 
 from __future__ import annotations
@@ -13,10 +13,6 @@ from pyspark.sql import types as T
 
 from tessera.functions.schema import classify_columns, col
 
-MAX_CORR_COLUMNS = 20
-MAX_HEATMAP_COLUMNS = 30
-MAX_HIST_COLUMNS = 15
-
 CORR_SCHEMA = T.StructType([
     T.StructField("col1", T.StringType()),
     T.StructField("col2", T.StringType()),
@@ -29,26 +25,70 @@ def _num(c: str) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def _gram(means: list[float]):
+    """Per Arrow batch the pairwise sums over rows where both columns have a
+    value: count, x, y, xx, yy, xy of the values less their column's mean."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        total = 0.0
+        k = len(means)
+        for batch in batches:
+            x = np.stack([np.asarray(c.to_numpy(zero_copy_only=False), float) for c in batch.columns])
+            valid = np.isfinite(x)
+            d, m = np.where(valid, x - np.array(means)[:, None], 0.0), valid.astype(float)
+            total = total + np.stack([m @ m.T, d @ m.T, m @ d.T, (d * d) @ m.T, m @ (d * d).T, d @ d.T])
+        if k and not np.isscalar(total):
+            i, j = np.triu_indices(k)
+            names = ["i", "j", "n", "x", "y", "xx", "yy", "xy"]
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype("int32")), pa.array(j.astype("int32")),
+                                              *[pa.array(t[i, j]) for t in total]], names=names)
+    return run
+
+
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None,
-                       max_columns: int = MAX_CORR_COLUMNS) -> DataFrame:
+                       max_columns: int | None = None) -> DataFrame:
     """Pearson correlation for every pair (upper triangle with the
-    diagonal) of the first ``max_columns`` numeric columns, pairwise-complete."""
+    diagonal) of the numeric columns, pairwise-complete; null where a side is
+    constant.  All columns unless ``max_columns`` says how many.
+
+    One pass for the means, one for the Gram matrix: numpy multiplies each
+    Arrow batch by itself, Spark adds the small matrices up, so the cost of a
+    further column is one more row of a matrix product, not one more
+    aggregate per pair."""
     cols = (list(columns) if columns is not None else list(classify_columns(df).numeric))[:max_columns]
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], CORR_SCHEMA)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    row = df.agg(*[F.corr(_num(a), _num(b)).alias(f"c{k}") for k, (a, b) in enumerate(pairs)]).collect()[0]
-    rows = [(a, b, row[f"c{k}"]) for k, (a, b) in enumerate(pairs)]
+    row = df.agg(*[f(_finite(c)).alias(f"{n}{i}") for i, c in enumerate(cols)
+                   for n, f in (("m", F.avg), ("a", F.min), ("b", F.max))]).first()
+    means = [float(row[f"m{i}"] or 0.0) for i in range(len(cols))]
+    sums = (df.select(*[_finite(c).alias(f"c{i}") for i, c in enumerate(cols)])
+            .mapInArrow(_gram(means), "i int, j int, n double, x double, y double, xx double, yy double, xy double")
+            .groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")]).collect())
+    # a spread below rounding of the values is none
+    least = [1e-14 * max(abs(float(row[f"a{i}"] or 0)), abs(float(row[f"b{i}"] or 0)), 1e-300) ** 2 for i in range(len(cols))]
+    value = {}
+    for r in sums:
+        i, j, n = r["i"], r["j"], r["n"]
+        vx, vy = ((r["xx"] - r["x"] ** 2 / n, r["yy"] - r["y"] ** 2 / n) if n else (0.0, 0.0))
+        if vx > n * least[i] and vy > n * least[j]:
+            c = (r["xy"] - r["x"] * r["y"] / n) / (vx ** 0.5 * vy ** 0.5)
+            value[i, j] = 1.0 if i == j else max(-1.0, min(1.0, c))
+    rows = [(a, cols[j], value.get((i, j))) for i, a in enumerate(cols) for j in range(i, len(cols))]
     return df.sparkSession.createDataFrame(rows, CORR_SCHEMA)
 
 
+def _finite(c: str) -> Column:
+    x = _num(c)
+    return F.when(F.abs(x) < F.lit(float("inf")), x)
+
+
 def correlation_wide(df: DataFrame, columns: list[str] | None = None,
-                     max_columns: int = MAX_HEATMAP_COLUMNS) -> DataFrame:
+                     max_columns: int | None = None) -> DataFrame:
     """The full square matrix, one row per column (heatmap layout)."""
     cols = (list(columns) if columns is not None else list(classify_columns(df).numeric))[:max_columns]
-    long = correlation_matrix(df, cols, max_columns).collect()
     value = {}
-    for r in long:
+    for r in correlation_matrix(df, cols).collect():
         value[(r["col1"], r["col2"])] = r["correlation"]
         value[(r["col2"], r["col1"])] = r["correlation"]
     schema = T.StructType([T.StructField("column_name", T.StringType())]
@@ -138,8 +178,8 @@ def histogram_counts(df: DataFrame, edges_by_column: dict[str, list[float]]) ->
 
 
 def data_distribution(df: DataFrame, n_bins: int = 10, columns: list[str] | None = None,
-                      max_columns: int = MAX_HIST_COLUMNS, lower_names: bool = True) -> DataFrame:
-    """Equal-width histogram of the first ``max_columns`` numeric
+                      max_columns: int | None = None, lower_names: bool = True) -> DataFrame:
+    """Equal-width histogram of the numeric
     columns, empty bins included: column_name, bin_start, bin_end, bin_label, count."""
     cols = (list(columns) if columns is not None else list(classify_columns(df).numeric))[:max_columns]
     out_schema = T.StructType([f for f in HIST_SCHEMA.fields if f.name != "bin"]

@@ -9,16 +9,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import IndexToString, VectorAssembler
+from pyspark.ml.feature import IndexToString
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.names import normalize_column_name, normalize_column_names
+from tessera.functions.names import normalize_column_name
 from tessera.functions.schema import col
 from tessera.operators import evaluate
 from tessera.operators.features import FeatureModel, transform_features
 from tessera.operators.split_scale import ColumnScaler
-from tessera.operators.train import LABEL, RAW, SCALED, Prepared, TrainingResult
+from tessera.operators.train import LABEL, Prepared, TrainingResult, numeric, with_vectors
 
 
 @dataclass
@@ -67,13 +67,9 @@ def transform_rows_for_prediction(df: DataFrame, cfg: PredictionConfig, carry: l
             df = df.toDF(*renamed)
     feats = transform_features(df, cfg.features, carry=carry)
     names = cfg.features.feature_names
-    num = [F.coalesce(F.expr(f"try_cast(`{c}` AS DOUBLE)"), F.lit(0.0)).alias(c) for c in names]
+    num = [numeric(c).alias(c) for c in names]
     rest = [col(c) for c in feats.columns if c not in names]
-    numeric = feats.select(*rest, *num)
-    scaled = cfg.scaler.transform(numeric, suffix="__s")
-    out = VectorAssembler(inputCols=names, outputCol=RAW).transform(scaled)
-    return VectorAssembler(inputCols=[c + "__s" for c in names], outputCol=SCALED).transform(out) \
-        .drop(*[c + "__s" for c in names])
+    return with_vectors(feats.select(*rest, *num), names, cfg.scaler)
 
 
 def predict_from_features(frame: DataFrame, cfg: PredictionConfig) -> DataFrame:
@@ -85,17 +81,18 @@ def predict_from_features(frame: DataFrame, cfg: PredictionConfig) -> DataFrame:
     return out
 
 
-def predict_dataframe(df: DataFrame, cfg: PredictionConfig, keys: list[str],
+def predict_dataframe(df: DataFrame, cfg: PredictionConfig, keys: list[str] | None = None,
                       actual_column: str | None = None) -> DataFrame:
-    """Keys + ``predicted_<target>`` (+ ``actual_<target>``)."""
+    """The input columns + ``predicted_<target>`` (+ ``actual_<target>``);
+    ``keys`` name the columns to keep instead of all."""
     actual = actual_column or (cfg.target if cfg.target in df.columns else None)
-    carry = list(keys) + ([actual] if actual and actual not in keys and actual != cfg.target else [])
-    frame = transform_rows_for_prediction(df, cfg, carry=carry)
-    scored = predict_from_features(frame, cfg)
-    cols = [col(k) for k in keys] + [F.col("prediction").alias(f"predicted_{cfg.target}")]
-    if actual:
-        cols.append(col(actual).alias(f"actual_{cfg.target}"))
-    return scored.select(*cols)
+    kept = list(keys or df.columns)
+    # the input rides along as one column, so feature columns may share its names
+    rows = df.withColumn("_input", F.struct(*[col(c) for c in df.columns]))
+    scored = predict_from_features(transform_rows_for_prediction(rows, cfg, carry=["_input"]), cfg)
+    given = F.col("_input")
+    return scored.select(*[given.getField(c).alias(c) for c in kept], F.col("prediction").alias(f"predicted_{cfg.target}"),
+                         *([given.getField(actual).alias(f"actual_{cfg.target}")] if actual else []))
 
 
 def predict_test_split(prep: Prepared, cfg: PredictionConfig) -> DataFrame:
@@ -122,7 +119,3 @@ def predict_with_best_model(result: TrainingResult, prep: Prepared) -> DataFrame
     else:
         out = out.withColumn("predicted", F.col("prediction"))
     return out.select(*[col(k) for k in prep.keys], F.col("_y").alias("actual"), "predicted", LABEL)
-
-
-def normalized(df: DataFrame) -> DataFrame:
-    return normalize_column_names(df)

@@ -57,9 +57,9 @@ def split_labels(df: DataFrame, keys: list[str], stratify: str | None = None,
     if cuts.count() <= BROADCAST_CLASSES:
         cuts = F.broadcast(cuts)
     joined = full.join(cuts, full[g_].eqNullSafe(cuts["cut_g"]), "left")
-    key = F.struct(*[full[f"`{k}`"].alias(k) for k in keys])
+    key = F.struct(*[col(k).alias(k) for k in keys])
     is_test = (full[h_] < cuts["cut_h"]) | ((full[h_] == cuts["cut_h"]) & (key <= cuts["cut_k"]))
-    return joined.select(*[full[f"`{c}`"] for c in df.columns], F.when(is_test, "test").otherwise("train").alias(name))
+    return joined.select(*[col(c) for c in df.columns], F.when(is_test, "test").otherwise("train").alias(name))
 
 
 def _free(name: str, taken: set[str]) -> str:

@@ -16,14 +16,13 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        OneVsRest, RandomForestClassifier)
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import StringIndexer
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,9 +78,9 @@ def prepare(processed: DataFrame, target: str, keys: list[str], *, problem_type:
     deterministic (stratified) split, scaler fitted on the training rows."""
     problem_type = problem_type or detect_problem_type(processed, target)
     features = [c for c in processed.columns if c != target and c not in keys]
-    num = [F.coalesce(F.expr(f"try_cast(`{c}` AS DOUBLE)"), F.lit(0.0)).alias(c) for c in features]
+    num = [numeric(c).alias(c) for c in features]
     if problem_type == "regression":
-        y = F.expr(f"try_cast(`{target}` AS DOUBLE)")
+        y = col(target).try_cast("double")
         base = processed.select(*[col(k) for k in keys], *num, y.alias("_y")).where(F.col("_y").isNotNull())
     else:
         base = processed.select(*[col(k) for k in keys], *num, col(target).cast("string").alias("_y")) \
@@ -95,8 +94,8 @@ def prepare(processed: DataFrame, target: str, keys: list[str], *, problem_type:
     train_rows = split.where(F.col("split") == "train")
     kind = scaler or recommend_scaler(problem_type)
     fitted = fit_scaler(train_rows, features, kind)
-    scaled = fitted.transform(split, suffix="__s")
     classes: list[str] = []
+    scaled = with_vectors(split, features, fitted)
     if problem_type == "classification":
         indexer = StringIndexer(inputCol="_y", outputCol=LABEL, stringOrderType="alphabetAsc",
                                 handleInvalid="error").fit(train_rows)
@@ -104,9 +103,7 @@ def prepare(processed: DataFrame, target: str, keys: list[str], *, problem_type:
         scaled = indexer.transform(scaled)
     else:
         scaled = scaled.withColumn(LABEL, F.col("_y"))
-    assembled = VectorAssembler(inputCols=features, outputCol=RAW).transform(scaled)
-    assembled = VectorAssembler(inputCols=[f + "__s" for f in features], outputCol=SCALED).transform(assembled)
-    data = assembled.select(*[col(k) for k in keys], RAW, SCALED, LABEL, "_y", "split", "fold", "_val")
+    data = scaled.select(*[col(k) for k in keys], RAW, SCALED, LABEL, "_y", "split", "fold", "_val")
     if persist:
         # Training reads this many times (every boosting round of every
         # model and fold); a reliable checkpoint in the shared checkpoint
@@ -117,6 +114,18 @@ def prepare(processed: DataFrame, target: str, keys: list[str], *, problem_type:
     return Prepared(data, features, problem_type, target, keys, fitted, classes, n_train)
 
 
+def numeric(c: str) -> Column:
+    """A feature as a number, 0 where there is none."""
+    return F.coalesce(col(c).try_cast("double"), F.lit(0.0))
+
+
+def with_vectors(df: DataFrame, features: list[str], scaler: ColumnScaler) -> DataFrame:
+    """Add the raw and the scaled feature vector.  Columns go in by position,
+    so names (dots, backticks, any category value) play no part."""
+    return df.withColumns({RAW: array_to_vector(F.array(*[col(c) for c in features])),
+                           SCALED: array_to_vector(F.array(*scaler.columns(features)))})
+
+
 # ---------------------------------------------------------------------------
 # M5 / M6 model zoo
 # ---------------------------------------------------------------------------
@@ -130,7 +139,7 @@ def regression_estimator(name: str, features_col: str):
         return RandomForestRegressor(numTrees=100, featureSubsetStrategy="all", maxDepth=FOREST_MAX_DEPTH,
                                      seed=SEED, **common)
     if name == "Gradient Boosting":
-        return GBTRegressor(maxIter=50, maxDepth=4, subsamplingRate=0.8, validationIndicatorCol="_val",
+        return GBTRegressor(maxIter=50, maxDepth=4, subsamplingRate=0.8, validationIndicatorCol="_val", validationTol=0.0,
                             seed=SEED, **common)
     if name == "Boosted Trees (deep)":
         return GBTRegressor(maxIter=100, maxDepth=6, stepSize=0.3, seed=SEED, **common)
@@ -149,7 +158,7 @@ def classification_estimator(name: str, features_col: str, n_classes: int, n_tra
         return RandomForestClassifier(numTrees=100, maxDepth=FOREST_MAX_DEPTH, seed=SEED, **common)
     if name in ("Gradient Boosting", "Boosted Trees (deep)"):
         if name == "Gradient Boosting":
-            gbt = GBTClassifier(maxIter=50, maxDepth=4, subsamplingRate=0.8, validationIndicatorCol="_val",
+            gbt = GBTClassifier(maxIter=50, maxDepth=4, subsamplingRate=0.8, validationIndicatorCol="_val", validationTol=0.0,
                                 seed=SEED, featuresCol=features_col, labelCol=LABEL)
         else:
             gbt = GBTClassifier(maxIter=100, maxDepth=6, stepSize=0.3, seed=SEED,
@@ -160,33 +169,24 @@ def classification_estimator(name: str, features_col: str, n_classes: int, n_tra
     raise ValueError(name)
 
 
-def get_scaler(kind: str, input_col: str = RAW, output_col: str = SCALED):
-    """M2 as a Spark ML stage on a feature vector (the column-expression
-    scalers in ``split_scale`` are used by ``prepare``): standard (population
-    spread is obtained by ``prepare``'s own scaler; this stage uses Spark's
-    sample std), minmax, robust, or None for no scaling."""
-    from pyspark.ml.feature import MinMaxScaler, RobustScaler, StandardScaler
-    if kind == "standard":
-        return StandardScaler(inputCol=input_col, outputCol=output_col, withMean=True, withStd=True)
-    if kind == "minmax":
-        return MinMaxScaler(inputCol=input_col, outputCol=output_col)
-    if kind == "robust":
-        return RobustScaler(inputCol=input_col, outputCol=output_col, withCentering=True, withScaling=True)
-    if kind == "none":
-        return None
-    raise ValueError(f"unknown scaler {kind!r}")
+class ModelPipeline:
+    """M4: feature columns → (scale with M2's scaler) → estimator."""
 
+    def __init__(self, feature_columns: list[str], estimator, scaler: str = "none"):
+        self.features, self.scaler, self.fitted = feature_columns, scaler, None
+        self.estimator = estimator.copy({estimator.featuresCol: SCALED if scaler != "none" else RAW})
 
-def build_model_pipeline(feature_columns: list[str], estimator, scaler: str = "none") -> Pipeline:
-    """M4: assemble → (scale) → estimator as one ``pyspark.ml.Pipeline``."""
-    stages = [VectorAssembler(inputCols=feature_columns, outputCol=RAW, handleInvalid="keep")]
-    scale = get_scaler(scaler)
-    if scale is not None:
-        stages.append(scale)
-        estimator = estimator.copy({estimator.featuresCol: SCALED})
-    else:
-        estimator = estimator.copy({estimator.featuresCol: RAW})
-    return Pipeline(stages=stages + [estimator])
+    def _numbers(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({c: numeric(c) for c in self.features})
+
+    def fit(self, df: DataFrame) -> "ModelPipeline":
+        rows = self._numbers(df)
+        self.fitted = fit_scaler(rows, self.features, self.scaler)
+        self.model = self.estimator.fit(with_vectors(rows, self.features, self.fitted))
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(with_vectors(self._numbers(df), self.features, self.fitted))
 
 
 def features_col_for(name: str) -> str:
@@ -377,11 +377,3 @@ def top_importance(result: TrainingResult, n: int = 15) -> DataFrame | None:
     if result.importance is None:
         return None
     return result.importance.orderBy(F.col("importance").desc(), F.col("feature")).limit(n)
-
-
-def as_pipeline(model) -> PipelineModel:
-    return PipelineModel(stages=[model])
-
-
-__all__ = ["prepare", "train_all_models", "top_importance", "feature_importance", "cross_validate",
-           "Prepared", "TrainingResult", "as_pipeline", "Pipeline"]

@@ -206,7 +206,7 @@ from tessera.operators import features  # noqa: E402
 
 
 def q_id_columns(spark, sf):
-    return features.id_report(read_table(spark, sf, "orders"), exact=True)
+    return features.id_report(read_table(spark, sf, "orders"))
 
 
 def q_suggest_target(spark, sf):
@@ -413,8 +413,10 @@ def q_bulk_evaluation(spark, sf):
 
 
 def q_predict_classes(spark, sf):
-    result, _, prep = documents_training(spark, sf)
-    return score.predict_with_best_model(result, prep)
+    """Every document, labelled or not."""
+    result, fmodel, prep = documents_training(spark, sf)
+    docs = read_table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    return score.predict_dataframe(docs, score.build_prediction_config(result, fmodel, prep))
 
 
 def q_publish_dashboard(spark, sf):

@@ -13,7 +13,8 @@ import csv as _csv
 import io
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.schema import col
@@ -24,6 +25,10 @@ PANDAS_NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN"
 # The text pandas reads as booleans.
 TRUE_TOKENS = ("True", "TRUE", "true")
 FALSE_TOKENS = ("False", "FALSE", "false")
+# How a number is written in a CSV field (a type suffix as in
+# 1D or 2F is text), and pandas' spellings of infinity.
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+INFINITY = r"(?i)^\s*[+-]?inf(inity)?\s*$"
 FALLBACK_ENCODING = "ISO-8859-1"
 
 
@@ -78,6 +83,16 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", sep: str =
     return infer_types(cleaned)
 
 
+def _whole(x: Column) -> Column:
+    return F.when(x.rlike(NUMBER), F.trim(x).try_cast("bigint"))
+
+
+def _real(x: Column) -> Column:
+    number = F.when(x.rlike(NUMBER), F.trim(x).try_cast("double"))
+    sign = F.when(F.trim(x).startswith("-"), -1.0).otherwise(1.0)
+    return F.when(x.rlike(INFINITY), sign * F.lit(float("inf"))).otherwise(number)
+
+
 def infer_types(df: DataFrame) -> DataFrame:
     """Text columns → bigint / double / boolean / string, whichever every
     non-null value fits (all-null columns become double, as in pandas)."""
@@ -85,8 +100,7 @@ def infer_types(df: DataFrame) -> DataFrame:
     for i, c in enumerate(df.columns):
         x = col(c)
         aggs += [F.count(x).alias(f"n{i}"),
-                 F.count(F.expr(f"try_cast(`{c}` AS BIGINT)")).alias(f"l{i}"),
-                 F.count(F.expr(f"try_cast(`{c}` AS DOUBLE)")).alias(f"d{i}"),
+                 F.count(_whole(x)).alias(f"l{i}"), F.count(_real(x)).alias(f"d{i}"),
                  F.sum(x.isin(*(TRUE_TOKENS + FALSE_TOKENS)).cast("long")).alias(f"b{i}")]
     if not aggs:
         return df
@@ -97,9 +111,9 @@ def infer_types(df: DataFrame) -> DataFrame:
         if n == 0:
             out.append(F.lit(None).cast("double").alias(c))
         elif row[f"l{i}"] == n:
-            out.append(F.expr(f"try_cast(`{c}` AS BIGINT)").alias(c))
+            out.append(_whole(col(c)).alias(c))
         elif row[f"d{i}"] == n:
-            out.append(F.expr(f"try_cast(`{c}` AS DOUBLE)").alias(c))
+            out.append(_real(col(c)).alias(c))
         elif (row[f"b{i}"] or 0) == n:
             out.append(F.when(col(c).isin(*TRUE_TOKENS), True).when(col(c).isin(*FALSE_TOKENS), False).alias(c))
         else:
@@ -112,16 +126,16 @@ def validate_dataframe(spark: SparkSession, df: DataFrame, path: str, sep: str =
     """At least one row and one column, no repeated header names."""
     names = header_names(spark, path, sep, encoding)
     if not df.columns or not names:
-        raise LoaderError(f"'{path}' contains no columns.")
+        raise LoaderError(f"no columns in {path}")
     seen, dup = set(), []
     for n in names:
         if n in seen and n not in dup:
             dup.append(n)
         seen.add(n)
     if dup:
-        raise LoaderError(f"Duplicate column names detected: {dup}. Please fix the CSV and upload again.")
+        raise LoaderError(f"header of {path} repeats {', '.join(dup)}")
     if df.isEmpty():
-        raise LoaderError(f"'{path}' was read but contains no rows.")
+        raise LoaderError(f"no rows below the header of {path}")
 
 
 def load_csv_with_fallback_encoding(spark: SparkSession, path: str, sep: str = ",") -> tuple[DataFrame, str]:
@@ -147,10 +161,15 @@ def load_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str | Non
     summary, dtype and missing reports."""
     from tessera.operators.clean import detect_date_columns
     from tessera.operators.profile import dataset_summary, dtype_report, missing_report
-    if encoding is None:
-        df, encoding = load_csv_with_fallback_encoding(spark, path, sep)
-    else:
-        df = read_csv(spark, path, encoding, sep)
+    try:
+        if not header_names(spark, path, sep, encoding or FALLBACK_ENCODING):
+            raise LoaderError(f"no header line in {path}")
+        if encoding is None:
+            df, encoding = load_csv_with_fallback_encoding(spark, path, sep)
+        else:
+            df = read_csv(spark, path, encoding, sep)
+    except AnalysisException as e:
+        raise LoaderError(f"cannot read {path}: {e.getCondition()}") from e
     validate_dataframe(spark, df, path, sep, encoding)
     return LoadResult(df, encoding, dataset_summary(df), dtype_report(df), missing_report(df),
                       detect_date_columns(df))

@@ -145,12 +145,12 @@ def test_adjusted_skew_matches_pandas(spark):
     assert r["median"] == s.median()
 
 
-def test_box_stats_many_groups_path_matches_exact(spark, monkeypatch):
+def test_box_stats_without_broadcast(spark, monkeypatch):
     from tessera.operators import chartdata
     from tessera.sources.tables import read_table
     e = read_table(spark, "/root/testdata/sf0.001", "events")
     exact = sorted(map(tuple, chartdata.box_stats(e, "value", "event_type").collect()))
-    monkeypatch.setattr(chartdata, "MAX_EXACT_GROUPS", 2)
+    monkeypatch.setattr(chartdata, "BROADCAST_GROUPS", 0)
     many = sorted(map(tuple, chartdata.box_stats(e, "value", "event_type").collect()))
     assert len(exact) == len(many)
     for a, b in zip(exact, many):
