@@ -9,13 +9,15 @@ two sets of similarity 0.8 share no band with a probability of
 1. Documents with the same shingle set are one class (aggregation by a
    128-bit fingerprint of the set); only one representative goes on.
 2. Representatives meet in buckets (band, value).  A bucket is never expanded
-   into its pairs: all members are compared with one centre, the smallest id.
+   into its pairs: all members are compared with one centre, the member that
+   meets most others in all its buckets.
 3. Links are confirmed on the full sets of both texts, with integers.
-4. Confirmed links give components; in buckets that still hold more than one
-   component, members outside the largest become further centres, about
-   twice as many in each round, until every pair of a bucket is either
-   confirmed, refuted or inside one component.  So nothing is capped, and
-   groups of copies, however large, cost one comparison for each member.
+4. Confirmed links give components.  In a bucket that still holds several, the
+   members outside the largest are compared with all its members, on the full
+   sets, in tiles of bounded blocks; only links leave a tile.  So nothing is
+   capped and no candidate is left out, copies and near copies of one text cost
+   one comparison each, and only texts that share a bucket without being
+   similar enough cost more (outer members x members of their bucket).
 
 Minima, counts and distinct rows go through partial aggregation; joins have
 one row per key on one side, which AQE can split on the other.
@@ -37,20 +39,22 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import staged
 from tessera.llm.components import components
-from tessera.llm.tokens import Rolling, word_hashes
+from tessera.llm.tokens import Rolling, encoded, word_hashes
 
 SHINGLE = 4
 PERMUTATIONS = 48
 ROWS = 4                    # signature values of a band
 THRESHOLD = 80              # per cent
 BROADCAST_IDS = 2_000_000   # ids (16 bytes each) that are broadcast at most
+#: A block of a tile has about so many members and shingles at most.
+TILE_MEMBERS, TILE_SHINGLES = 512, 500_000
 _ROW = ["id", "text_hash"]
 
 
 def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit fingerprints of the k-word shingles (bytes.lower
     changes A-Z only)."""
-    h = word_hashes((text or "").encode("utf-8", "surrogatepass").lower().split())
+    h = word_hashes(encoded(text).lower())
     return np.unique(Rolling(h).windows(min(k, len(h)))) if len(h) else np.empty(0, np.uint64)
 
 
@@ -100,6 +104,15 @@ def _sets(texts: DataFrame, k: int) -> DataFrame:
     return texts.select(*_ROW, "text").mapInArrow(run, "id long, text_hash long, shingles binary")
 
 
+def full_sets(ends: DataFrame, docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """(id, text_hash, shingles) of the rows ``ends`` (id, text_hash)."""
+    ends = staged(ends.distinct(), "near-ends")
+    if ends.count() <= BROADCAST_IDS:
+        ends = F.broadcast(ends)
+    texts = docs.select(*_ROW, "text").join(ends, _ROW, "left_semi")
+    return staged(_sets(texts, k).dropDuplicates(_ROW), "near-sets")
+
+
 def _confirm(threshold: int):
     def run(batches):
         for batch in batches:
@@ -114,72 +127,97 @@ def _confirm(threshold: int):
     return run
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The pairs (u, u_hash, v, v_hash) whose full sets are similar enough, as (u, v)."""
-    ends = staged(pairs.select(F.col("u").alias("id"), F.col("u_hash").alias("text_hash"))
-                  .union(pairs.select("v", "v_hash")).distinct(), "near-ends")
-    texts = docs.select(*_ROW, "text")
-    few = ends.count() <= BROADCAST_IDS
-    texts = texts.join(F.broadcast(ends) if few else ends, _ROW, "left_semi")
-    sets = staged(_sets(texts, k).dropDuplicates(_ROW), "near-sets")
     v = sets.select(F.col("id").alias("v"), F.col("text_hash").alias("v_hash"), F.col("shingles").alias("v_set"))
     u = sets.select(F.col("id").alias("u"), F.col("text_hash").alias("u_hash"), F.col("shingles").alias("u_set"))
     both = pairs.join(v, ["v", "v_hash"]).join(u, ["u", "u_hash"])
     return both.select("u", "v", "u_set", "v_set").mapInArrow(_confirm(threshold), "u long, v long")
 
 
-def _similar_size(threshold: int):
-    """Sets of too different sizes cannot reach the threshold."""
-    return 100 * F.least("u_n", "v_n") >= threshold * F.greatest("u_n", "v_n")
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of ``a`` with every set of
+    ``b``: only shingles on both sides get a bit, so unique ones cost nothing."""
+    common = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    out = np.zeros((len(a), len(b)), np.int64)
+
+    def bits(sets):
+        return np.stack([np.packbits(np.isin(common, s, assume_unique=True)) for s in sets])
+    if len(common):
+        right = bits(b)
+        for i, row in enumerate(bits(a)):
+            out[i] = np.bitwise_count(right & row).sum(axis=1)
+    return out
+
+
+def _tile(threshold: int):
+    """Links between the outer members and all members of a tile."""
+    def run(table: pa.Table) -> pa.Table:
+        outer = np.array(table["outer"].to_pylist(), bool)
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table["shingles"]]
+        ids, comp, n = (table[c].to_numpy() for c in ("id", "component", "n"))
+        a, b = np.flatnonzero(outer), np.flatnonzero(~outer)
+        u, v = [], []
+        if len(a) and len(b):
+            both = _overlaps([sets[i] for i in a], [sets[i] for i in b])
+            hit = (100 * both >= threshold * (n[a][:, None] + n[b][None, :] - both)) & (comp[a][:, None] != comp[b][None, :])
+            x, y = np.nonzero(hit)
+            u, v = ids[a[x]], ids[b[y]]
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+    return run
 
 
-def _pairs(joined: DataFrame, threshold: int) -> DataFrame:
-    return joined.where((F.col("u") != F.col("v")) & _similar_size(threshold)).select("u", "u_hash", "v", "v_hash").distinct()
+def _blocks(total, many):
+    return F.ceil(F.greatest(F.col(total) / TILE_SHINGLES, F.col(many) / TILE_MEMBERS)).cast("int")
+
+
+def rest_links(buckets: DataFrame, found: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Links (u, v) between different components of a bucket.  In such a
+    bucket every member outside its largest component is compared with all
+    members.  No pair is a row: the members are cut into blocks of bounded
+    size, and a tile (outer block, block) compares its sets inside numpy."""
+    of = (buckets.join(found, buckets["id"] == found["node"], "left")
+          .select("bucket", *_ROW, "n", F.coalesce("component", "id").alias("component")))
+    parts = of.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
+    mixed = (parts.groupBy("bucket").agg(F.max(F.struct("size", "component", "n")).alias("top"), F.sum("size").alias("size"),
+                                         F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+             .withColumn("rest_n", F.col("all") - F.col("top.n")).withColumn("rest", F.col("size") - F.col("top.size"))
+             .select("bucket", F.col("top.component").alias("top"), _blocks("rest_n", "rest").alias("outer_blocks"),
+                     _blocks("all", "size").alias("all_blocks")))
+    member = of.join(mixed, "bucket").withColumn("at", F.xxhash64(*_ROW))
+    outer = member.where(F.col("component") != F.col("top")).select(
+        "*", F.lit(True).alias("outer"), F.pmod("at", "outer_blocks").cast("int").alias("i"),
+        F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"))
+    every = member.select(
+        "*", F.lit(False).alias("outer"), F.explode(F.sequence(F.lit(0), F.col("outer_blocks") - 1)).alias("i"),
+        F.pmod("at", "all_blocks").cast("int").alias("j"))
+    rows = outer.unionByName(every).select("bucket", "i", "j", "outer", *_ROW, "n", "component").join(sets, _ROW)
+    return rows.groupBy("bucket", "i", "j").applyInArrow(_tile(threshold), "u long, v long").distinct()
 
 
 def links(reps: DataFrame, docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """(node, component) of the linked representatives (id, text_hash, n, bands)."""
     member = (reps.select(*_ROW, "n", F.posexplode("bands").alias("band", "value"))
               .select(F.xxhash64("band", "value").alias("bucket"), *_ROW, "n"))
-    centre = (member.groupBy("bucket").agg(F.min(F.struct(*_ROW, "n")).alias("c"), F.count(F.lit(1)).alias("size"))
-              .where("size > 1"))
-    buckets = staged(member.join(centre.select("bucket", "c"), "bucket"), "near-buckets")
-    first = buckets.select(F.col("c.id").alias("u"), F.col("c.text_hash").alias("u_hash"), F.col("c.n").alias("u_n"),
-                           F.col("id").alias("v"), F.col("text_hash").alias("v_hash"), F.col("n").alias("v_n"))
-    tested = staged(_pairs(first, threshold), "near-pairs")
-    linked = staged(confirmed(tested, docs, k, threshold), "near-links")
-    found = staged(components(linked), "near-components")
-    width = 2
-    while True:
-        of = (buckets.drop("c").join(found, buckets["id"] == found["node"], "left")
-              .select("bucket", *_ROW, "n", F.coalesce("component", "id").alias("component")))
-        parts = of.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
-        largest = (parts.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("all"),
-                                               F.count(F.lit(1)).alias("parts")).where("parts > 1")
-                   .select("bucket", F.col("top.component").alias("top"), (F.col("all") - F.col("top.size")).alias("rest")))
-        mixed = staged(of.join(largest, "bucket"), "near-mixed")
-        rest = mixed.agg(F.max("rest")).first()[0]
-        if rest is None:
-            return found
-        chosen = F.pmod(F.xxhash64("bucket", *_ROW), F.lit(1 << 20)) * F.col("rest") < F.lit(width << 20)
-        centres = mixed.where((F.col("component") != F.col("top")) & chosen).select(
-            "bucket", F.col("id").alias("u"), F.col("text_hash").alias("u_hash"), F.col("n").alias("u_n"), F.col("component").alias("u_c"))
-        others = mixed.select("bucket", F.col("id").alias("v"), F.col("text_hash").alias("v_hash"), F.col("n").alias("v_n"),
-                              F.col("component").alias("v_c"))
-        met = centres.join(others, "bucket").where("u_c != v_c")
-        ordered = F.struct("u", "u_hash") < F.struct("v", "v_hash")     # a pair once, whichever end is the centre
-        met = met.select(*[F.when(ordered, F.col(f"{a}{s}")).otherwise(F.col(f"{b}{s}")).alias(f"{a}{s}")
-                           for a, b in (("u", "v"), ("v", "u")) for s in ("", "_hash", "_n")])
-        pairs = staged(_pairs(met, threshold).join(tested, ["u", "u_hash", "v", "v_hash"], "left_anti"), "near-pairs")
-        if not pairs.isEmpty():
-            more = staged(confirmed(pairs, docs, k, threshold), "near-links")
-            tested = staged(tested.union(pairs), "near-tested")
-            if not more.isEmpty():
-                old = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
-                found = staged(components(old.union(more)), "near-components")
-        if width >= rest:
-            return found
-        width *= 4
+    sizes = staged(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-sizes")
+    buckets = staged(member.join(sizes, "bucket"), "near-members")
+    # the member that meets most others is likest the text that the others were made from
+    met = buckets.groupBy(*_ROW).agg(F.sum("size").alias("met"))
+    centre = (buckets.join(met, _ROW).groupBy("bucket")
+              .agg(F.max(F.struct("met", (-F.col("id")).alias("low"), "text_hash", "n")).alias("c")))
+    star = buckets.join(centre, "bucket").select(
+        (-F.col("c.low")).alias("u"), F.col("c.text_hash").alias("u_hash"), F.col("c.n").alias("u_n"),
+        F.col("id").alias("v"), F.col("text_hash").alias("v_hash"), F.col("n").alias("v_n"))
+    # sets of too different sizes cannot reach the threshold
+    star = star.where((F.col("u") != F.col("v")) & (100 * F.least("u_n", "v_n") >= threshold * F.greatest("u_n", "v_n")))
+    star = staged(star.select("u", "u_hash", "v", "v_hash").distinct(), "near-pairs")
+    sets = full_sets(buckets.select(*_ROW), docs, k)
+    first = staged(confirmed(star, sets, threshold), "near-links")
+    found = staged(components(first), "near-components")
+    more = staged(rest_links(buckets.drop("size"), found, sets, threshold), "near-rest")
+    if more.isEmpty():
+        return found
+    return staged(components(first.union(more)), "near-components")
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -214,12 +252,12 @@ def drop_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
     c = docs[f"`{key}`"]
-    left = docs.join(gone, (c.cast("long") == F.col("_d")) & F.xxhash64(docs[f"`{text}`"]).eqNullSafe(F.col("_t")), "left_anti")
+    left = docs.join(gone, (c.cast("long") == gone["_d"]) & (F.xxhash64(docs[f"`{text}`"]) == gone["_t"]), "left_anti")
     again = staged(left.where(left[f"`{key}`"].isNotNull()).groupBy(left[f"`{key}`"].alias("_d"))
                    .agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_d"), "near-repeated")
     if again.isEmpty():
         return left
     cols = [left[f"`{n}`"].alias(n) for n in left.columns]
-    first = left.join(again, left[f"`{key}`"] == again["_d"]).groupBy("_d").agg(
+    first = left.join(again, left[f"`{key}`"] == again["_d"]).groupBy(again["_d"]).agg(
         F.min(F.struct(left[f"`{text}`"].alias("_t"), F.struct(*cols).alias("row"))).alias("m")).select("m.row.*")
     return left.join(again, left[f"`{key}`"] == again["_d"], "left_anti").unionByName(first)
