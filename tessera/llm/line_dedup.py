@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import staged
 
-RATIO = 0.2
+RATIO = 0.1
 MIN_PAGES = 3
 #: Boilerplate lists (16 bytes a line) are broadcast while all together they
 #: stay within this many lines.

@@ -114,7 +114,7 @@ def secrets_base(docs):
     return out
 
 
-def line_dedup(rows, ratio=0.2, min_pages=3):
+def line_dedup(rows, ratio=0.1, min_pages=3):
     """rows: (host, text)."""
     pages = collections.defaultdict(set)
     for h, t in rows:
