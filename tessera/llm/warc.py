@@ -23,10 +23,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import html
 import re
 import uuid
 import zlib
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,9 +34,14 @@ from pyspark.sql import functions as F
 
 DATE = "2024-01-01T00:00:00Z"
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")      # the URL name space of RFC 4122
-_BLOCKS = set("address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main "
-              "nav ol p pre section table td th title tr ul".split())
-_SILENT = {"script", "style", "template", "noscript"}
+_BLOCKS = ("address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main "
+           "nav ol p pre section table td th title tr ul").split()
+# every pattern ends at the next angle bracket or at the end of the page, so
+# unclosed markup costs one scan, not one scan for each tag
+_ATTRIBUTES = r"""(?:[^<>"']|"[^"]*"|'[^']*')*+>?"""
+_UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*+>.*?(?:</\1\s*>|\Z)|<[!?][^<>]*+>?", re.S | re.I)
+_BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(_BLOCKS)})\b{_ATTRIBUTES}", re.I)
+_TAG = re.compile(rf"</?[a-z]{_ATTRIBUTES}", re.I)
 
 
 def digest(data: bytes) -> str:
@@ -113,41 +118,15 @@ def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return status.decode("latin-1"), _fields(rest), payload
 
 
-class _Text(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.parts, self.silent = [], 0
-
-    def handle_starttag(self, tag, attrs):
-        if tag in _SILENT:
-            self.silent += 1
-        elif tag in _BLOCKS:
-            self.parts.append("\n")
-
-    def handle_endtag(self, tag):
-        if tag in _SILENT:
-            self.silent = max(0, self.silent - 1)
-        elif tag in _BLOCKS:
-            self.parts.append("\n")
-
-    def handle_data(self, data):
-        if not self.silent:
-            self.parts.append(re.sub(r"\s+", " ", data))      # source line breaks are spaces
-
-
-def plain_text(html: str) -> str:
-    """Text of a page: one line per block element, white space joined."""
-    p = _Text()
-    try:
-        p.feed(html)
-        p.close()
-    except (AssertionError, ValueError):        # declarations that the parser rejects: keep what came before
-        pass
-    lines = (" ".join(x.split()) for x in re.split(r"\n+", "".join(p.parts)))
+def plain_text(page: str) -> str:
+    """Text of an HTML page: one line per block element, white space joined."""
+    text = _UNSEEN.sub(" ", page.replace("\r", " ").replace("\n", " "))     # source line breaks are spaces
+    text = html.unescape(_TAG.sub("", _BLOCK_TAG.sub("\n", text)))
+    lines = (" ".join(x.split()) for x in text.split("\n"))
     return "\n".join(x for x in lines if x)
 
 
-def responses(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", date: str = DATE,
+def responses(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", date: str = DATE,
               compress: bool = False) -> DataFrame:
     """(page_id, record): each page as a serialised WARC response record."""
     def run(batches):
@@ -163,7 +142,7 @@ def responses(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
                     ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))], block, compress))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["page_id", "record"])
     return pages.select(pages[f"`{key}`"].cast("long").alias("page_id"), pages[f"`{url}`"].alias("u"),
-                        pages[f"`{html}`"].alias("h")).mapInArrow(run, "page_id long, record binary")
+                        pages[f"`{page}`"].alias("h")).mapInArrow(run, "page_id long, record binary")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
