@@ -10,14 +10,13 @@ threshold chosen by one counting pass, never n rows from every split.
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.quantiles import group_quantiles
-from tessera.functions.schema import col
+from tessera.functions.quantiles import group_quantiles, kth_smallest
+from tessera.functions.schema import DATETIME_TYPES, NUMERIC_TYPES, col
 from tessera.session import cut_lineage
 from tessera.operators.relations import bin_edges, with_bins
 
@@ -77,7 +76,6 @@ def _sample_by_cut(cand: DataFrame, keys: list[str], m: int, hi: float, size: in
     taken whole, keys on it are settled from one count per distinct key, and
     of the cut-off key's copies (interchangeable in this order) each input
     partition contributes a quota of its first rows."""
-    from tessera.functions.quantiles import kth_smallest
     long_df = cand.select(F.lit("all").alias("g"), F.col("_h").cast("double").alias("x"))
     cut = int(kth_smallest(long_df, {"all": [m - 1]}, {"all": (0.0, hi)}, counts={"all": size})[("all", m - 1)])
     key_struct = F.struct(*[col(k).alias(k) for k in keys])
@@ -238,15 +236,25 @@ def pair_sample(df: DataFrame, keys: list[str], columns: list[str],
 
 
 def head_rows(df: DataFrame, order_by: list[str], n: int = 150, descending: bool = False) -> DataFrame:
-    """First (or last) ``n`` rows by an explicit order.
-
-    The ordered limit keeps n rows per task and merges them in one task;
-    coalescing (no shuffle) to the cluster's core count first bounds that
-    merge by n × cores instead of n × input splits, with every core still
-    reading."""
-    order = [col(k).desc() if descending else col(k) for k in order_by]
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.coalesce(max(1, cores)).orderBy(*order).limit(n)
+    """The first (or last) ``n`` rows in ``order_by`` order.  Where the
+    first key is a number or a time, its n-th value is found as an exact order
+    statistic and only the rows up to it are sorted; an ordered limit over all
+    rows would merge n rows from every input split in one task."""
+    keys = [col(c).desc() if descending else col(c).asc() for c in order_by]
+    first = col(order_by[0])
+    dtype = df.schema[order_by[0]].dataType
+    if isinstance(dtype, NUMERIC_TYPES + DATETIME_TYPES):
+        x = (first if isinstance(dtype, NUMERIC_TYPES) else first.cast("timestamp")).cast("double")
+        x = -x if descending else x
+        known = F.when(~F.isnan(x), x)
+        r = df.agg(F.count(known).alias("n"), F.min(known).alias("lo"), F.max(known).alias("hi")).first()
+        if r["n"] > n:
+            values = df.select(F.lit("k").alias("g"), known.alias("x")).where("x IS NOT NULL")
+            cut = kth_smallest(values, {"k": [n - 1]}, {"k": (r["lo"], r["hi"])}, {"k": r["n"]})[("k", n - 1)]
+            # NaN is above every number, null below
+            outside = F.isnan(first.cast("double")) if descending else first.isNull()
+            df = df.where((x <= F.lit(cut)) | F.coalesce(outside, F.lit(False)))
+    return df.orderBy(*keys).limit(n)
 
 
 def eda_tables(df: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
