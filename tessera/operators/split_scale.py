@@ -117,6 +117,26 @@ def _class_cuts(base: DataFrame, test_size: float, classes: bool) -> DataFrame:
         F.when(F.col("g") != _NULL, F.col("g")).alias("cut_g"), F.col("m.cut").alias("cut_h"), F.col("m.k").alias("cut_k"))
 
 
+def fold_labels(df: DataFrame, keys: list[str], folds: int, stratify: str | None = None, seed: int = SEED,
+                where=None, name: str = "fold") -> DataFrame:
+    """Add ``fold`` (0..folds-1): every class is cut into folds of equal size
+    (up to a row, and to rows with one hash bucket) in the order of a hash of
+    the key.  The cuts are exact order statistics over the rows ``where``."""
+    h_, g_ = _free("_fh", set(df.columns)), _free("_fg", set(df.columns))
+    g = F.coalesce(col(stratify).cast("string"), F.lit(_NULL)) if stratify else F.lit("all")
+    full = df.withColumn(h_, hash_bucket(keys, seed)).withColumn(g_, g)
+    rows = (full if where is None else full.where(where)).select(F.col(g_).alias("g"), F.col(h_).cast("double").alias("x"))
+    sizes = cut_lineage(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")))
+    at = F.array(*[F.ceil(F.col("n") * F.lit(i) / F.lit(folds)) - 1 for i in range(1, folds)]) if folds > 1 else F.array().cast("array<long>")
+    wanted = sizes.select("g", F.explode(F.array_distinct(F.filter(at, lambda r: r >= 0))).alias("rank"), "lo", "hi", "n")
+    cuts = cut_lineage(order_statistics(rows, wanted).groupBy("g").agg(F.sort_array(F.collect_list("value")).alias("cuts"))
+                       .withColumnRenamed("g", "cut_g"))
+    if cuts.count() <= BROADCAST_CLASSES:
+        cuts = F.broadcast(cuts)
+    fold = F.coalesce(F.size(F.filter(F.col("cuts"), lambda c: c < F.col(h_).cast("double"))), F.lit(0))
+    return full.join(cuts, full[g_] == cuts["cut_g"], "left").select(*[col(c) for c in df.columns], fold.cast("int").alias(name))
+
+
 #: Stands for the null class where classes are joined by equality.
 _NULL = "\0null"
 

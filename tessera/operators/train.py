@@ -31,7 +31,7 @@ from tessera.operators import evaluate
 from tessera.operators.chartdata import hash_bucket
 from tessera.operators.features import detect_problem_type
 from tessera.session import cut_lineage
-from tessera.operators.split_scale import (ColumnScaler, fit_scaler, model_requires_scaling,
+from tessera.operators.split_scale import (ColumnScaler, fit_scaler, fold_labels, model_requires_scaling,
                                            recommend_scaler, split_labels)
 
 SEED = 42
@@ -89,8 +89,9 @@ def prepare(processed: DataFrame, target: str, keys: list[str], *, problem_type:
     if problem_type == "classification":
         n_classes = base.select("_y").distinct().limit(2).count()
     split = split_labels(base, keys, stratify="_y" if n_classes > 1 else None, test_size=test_size, seed=seed)
-    split = (split.withColumn("fold", F.pmod(hash_bucket(keys, seed + 1), F.lit(max(cv_folds, 1))).cast("int"))
-             .withColumn("_val", F.pmod(hash_bucket(keys, seed + 2), F.lit(10)) == 0))
+    split = fold_labels(split, keys, max(cv_folds, 1), stratify="_y" if n_classes > 1 else None, seed=seed + 1,
+                        where=F.col("split") == "train")
+    split = split.withColumn("_val", F.pmod(hash_bucket(keys, seed + 2), F.lit(10)) == 0)
     train_rows = split.where(F.col("split") == "train")
     kind = scaler or recommend_scaler(problem_type)
     fitted = fit_scaler(train_rows, features, kind)

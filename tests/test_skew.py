@@ -149,3 +149,17 @@ def test_sample_small_and_empty(spark):
     df = spark.createDataFrame([(i, i) for i in range(30)], "id long, v long")
     assert chartdata.sample_rows(df, ["id"], 100).count() == 30
     assert chartdata.sample_rows(df.where(F.lit(False)), ["id"], 100).count() == 0
+
+
+def test_folds_are_stratified(spark):
+    sizes = {"a": 301, "b": 50, "c": 7, "d": 2, None: 11}
+    rows = [(i * 10 + j, c) for j, (c, n) in enumerate(sizes.items()) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, cls string").repartition(5)
+    out = split_scale.fold_labels(df, ["id"], 3, stratify="cls")
+    per = {}
+    for r in out.groupBy("cls", "fold").count().collect():
+        per.setdefault(r["cls"], []).append(r["count"])
+    assert {c: sum(v) for c, v in per.items()} == sizes
+    assert all(max(v) - min(v + [0] * (3 - len(v))) <= 1 for v in per.values())
+    plain = split_scale.fold_labels(df, ["id"], 4, where=F.col("cls") == "a")
+    assert sorted(r["count"] for r in plain.where("cls = 'a'").groupBy("fold").count().collect()) == [75, 75, 75, 76]
