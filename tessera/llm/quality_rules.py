@@ -119,19 +119,19 @@ def counts(text: Column, lang: Column) -> dict[str, Column]:
 
 
 def _measures(c) -> dict[str, Column]:
-    """Ratios that the rules compare, from the counted columns ``c(name)``."""
-    n_words, n_lines = c("_w")["n_words"], c("_l")["n_lines"]
+    """Ratios that the rules compare, from the counts ``c``."""
+    n_words, n_lines, chars = c["_w"]["n_words"], c["_l"]["n_lines"], c["_w"]["chars"]
     return {
         "n_words": n_words,
-        "repeat_pct": _share(100 * c("_w")["n_repeat_words"], n_words),
-        "mean_word_chars": _share(c("_w")["chars"], n_words),
-        "symbol_ratio": _share(c("n_symbols"), c("_w")["chars"]),
-        "exclaim_ratio": _share(c("n_exclaims"), c("_w")["chars"]),
-        "capital_ratio": _share(c("n_capitals"), c("_w")["chars"]),
-        "stop_word_ratio": F.when(c("stop_list"), _share(c("_w")["n_stop"], n_words)),
-        "dup_line_ratio": _share(c("_l")["n_dup_lines"], n_lines),
-        "bullet_line_ratio": _share(c("_l")["n_bullets"], n_lines),
-        "ellipsis_line_ratio": _share(c("_l")["n_ellipsis"], n_lines),
+        "repeat_pct": _share(100 * c["_w"]["n_repeat_words"], n_words),
+        "mean_word_chars": _share(chars, n_words),
+        "symbol_ratio": _share(c["n_symbols"], chars),
+        "exclaim_ratio": _share(c["n_exclaims"], chars),
+        "capital_ratio": _share(c["n_capitals"], chars),
+        "stop_word_ratio": F.when(c["stop_list"], _share(c["_w"]["n_stop"], n_words)),
+        "dup_line_ratio": _share(c["_l"]["n_dup_lines"], n_lines),
+        "bullet_line_ratio": _share(c["_l"]["n_bullets"], n_lines),
+        "ellipsis_line_ratio": _share(c["_l"]["n_ellipsis"], n_lines),
     }
 
 
@@ -145,22 +145,30 @@ def compile_rules(rules, measures: dict[str, Column]) -> Column:
     return F.filter(F.array(*[F.when(fails(r), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
 
 
+def verdict(text: Column, lang: Column, rules=RULES, base=BASE_RULES) -> Column:
+    """Struct of the counts, the failed rules and ``kept``.  The counts are
+    bound once inside the expression: a filter on the verdict may be pushed
+    and copied by the optimizer without counting again for every rule."""
+    def judge(c):
+        m = _measures(c)
+        failed_base, failed_rules = compile_rules(base, m), compile_rules(rules, m)
+        return F.struct(
+            c["_w"]["n_words"].alias("n_words"), c["_w"]["chars"].alias("word_chars"), c["n_symbols"].alias("n_symbols"),
+            c["_l"]["n_dup_lines"].alias("n_dup_lines"), c["_w"]["n_repeat_words"].alias("n_repeat_words"),
+            failed_base.alias("failed_base"), failed_rules.alias("failed_rules"), (F.size(failed_base) > 0).alias("base_failed"),
+            ((F.size(failed_base) == 0) & (F.size(failed_rules) == 0)).alias("kept"))
+    return let(F.struct(*[x.alias(n) for n, x in counts(text, lang).items()]), judge)
+
+
 def judged(docs: DataFrame, text: str = "text", lang: str = "lang", rules=RULES, base=BASE_RULES,
            keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (default: all, in a struct ``row``) with the counts, the failed
     rules and the verdict.  One projection over the scan."""
     kept = [docs[f"`{c}`"].alias(c) for c in (docs.columns if keep is None else keep)]
-    measured = docs.select(F.struct(*kept).alias("row"),
-                           *[c.alias(n) for n, c in counts(docs[f"`{text}`"], docs[f"`{lang}`"]).items()])
-    m = _measures(F.col)
-    verdict = measured.select(
-        "row", F.col("_w.n_words").alias("n_words"), F.col("_w.chars").alias("word_chars"), "n_symbols",
-        F.col("_l.n_dup_lines").alias("n_dup_lines"), F.col("_w.n_repeat_words").alias("n_repeat_words"),
-        compile_rules(base, m).alias("failed_base"), compile_rules(rules, m).alias("failed_rules"))
-    return (verdict.withColumn("base_failed", F.size("failed_base") > 0)
-            .withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)))
+    v = verdict(docs[f"`{text}`"], docs[f"`{lang}`"], rules, base)
+    return docs.select(F.struct(*kept).alias("row"), v.alias("v")).select("row", "v.*")
 
 
 def drop_failed(docs: DataFrame, text: str = "text", lang: str = "lang", rules=RULES) -> DataFrame:
     """The rows of ``docs`` that pass, with their columns unchanged."""
-    return judged(docs, text, lang, rules).where("kept").select("row.*")
+    return docs.where(verdict(docs[f"`{text}`"], docs[f"`{lang}`"], rules)["kept"])
