@@ -164,5 +164,13 @@ def test_empty_tables(spark):
     assert secrets.scanned(docs, secrets.trained(docs)).count() == 0
 
 
+def test_empty_pages(spark):
+    from tessera.llm import url_filter, warc
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.derivatives(warc.responses(pages)).count() == 0
+    labels = spark.createDataFrame([], "page_id long, bad int")
+    assert url_filter.verdicts(pages, labels, (("net", "/", "block"),)).count() == 0
+
+
 def test_clash_names_are_there(clashing):
     assert set(CLASH) <= set(clashing.columns)
