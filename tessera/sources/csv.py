@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import csv as _csv
 import io
+import re
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -45,19 +46,21 @@ def header_names(spark: SparkSession, path: str, sep: str = ",", encoding: str =
     return next(_csv.reader(io.StringIO(first[0]["value"]), delimiter=sep))
 
 
-def _odd_quotes(line):
-    """A physical line with an odd number of quote characters ends inside a
-    quoted field (a doubled quote toggles twice), i.e. a quoted line break."""
-    return ((F.length(line) - F.length(F.regexp_replace(line, '"', ""))) % 2) == 1
+def _open_field(line: Column, sep: str) -> Column:
+    """The line opens a quoted field and does not close it.  A quote inside an
+    unquoted field (5" pipe) opens nothing."""
+    edge = re.escape(sep)
+    rest = F.regexp_replace(line, f'(?:^|(?<={edge}))"(?:[^"]|"")*+"(?={edge}|\\r?$)', "")
+    return rest.rlike(f'(?:^|{edge})"')
 
 
-def scan_text(spark: SparkSession, path: str) -> tuple[bool, bool]:
+def scan_text(spark: SparkSession, path: str, sep: str = ",") -> tuple[bool, bool]:
     """(every line is valid UTF-8, some quoted field spans lines) from one
     splittable pass over the raw lines (the quote byte is the same in UTF-8
     and Latin-1)."""
     row = spark.read.text(path).agg(
         F.bool_and(F.is_valid_utf8("value")).alias("ok"),
-        F.bool_or(_odd_quotes(F.col("value"))).alias("spans")).collect()[0]
+        F.bool_or(_open_field(F.col("value"), sep)).alias("spans")).collect()[0]
     return row["ok"] is not False, bool(row["spans"])
 
 
@@ -75,7 +78,7 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", sep: str =
     read cannot split a file (one task per file), so by default it is used
     only when a splittable scan finds such a field (``scan_text``)."""
     if multiline is None:
-        multiline = scan_text(spark, path)[1]
+        multiline = scan_text(spark, path, sep)[1]
     raw = (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
            .option("quote", '"').option("escape", '"')
            .option("multiLine", multiline).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path))
@@ -141,7 +144,7 @@ def validate_dataframe(spark: SparkSession, df: DataFrame, path: str, sep: str =
 def load_csv_with_fallback_encoding(spark: SparkSession, path: str, sep: str = ",") -> tuple[DataFrame, str]:
     """UTF-8 when the bytes are valid UTF-8, else Latin-1 (the same pass
     decides whether the read must be multi-line)."""
-    utf8, spans = scan_text(spark, path)
+    utf8, spans = scan_text(spark, path, sep)
     encoding = "UTF-8" if utf8 else FALLBACK_ENCODING
     return read_csv(spark, path, encoding, sep, multiline=spans), encoding
 

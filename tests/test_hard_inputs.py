@@ -139,3 +139,12 @@ def test_head_and_tail_with_ties_nulls_and_nan(spark):
         want = [tuple(r) for r in df.orderBy(*order).limit(25).collect()]
         got = [tuple(r) for r in chartdata.head_rows(df, ["x", "i"], 25, descending).collect()]
         assert str(got) == str(want)
+
+
+@pytest.mark.parametrize("text,spans,n", [
+    ('a,b\n5" pipe,1\n6" pipe,2\n', False, 2), ('a,b\n"x ""y"" z",1\n"",2\n', False, 2), ('a,b\n"two\nlines",1\nx,2\n', True, 2),
+    ('a,b\nx,"two\n\n""lines"", too"\n', True, 1), ('a,b\nit""s,"1"\n', False, 1)])
+def test_only_fields_that_span_lines_stop_splitting(spark, text, spans, n):
+    path = _file(text)
+    assert csv_source.scan_text(spark, path)[1] is spans
+    assert csv_source.read_csv(spark, path).count() == n
