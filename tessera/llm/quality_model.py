@@ -13,10 +13,10 @@ Indicators (never from label, language, source or id):
   the text has more than once; each with the band of its share of the text,
   so the same shapes say something else when they fill the text.
 
-Class counts go over all labelled rows (explode and partial aggregation); the
-descent runs over at most ``MAX_FIT`` labelled rows, picked by hash of the
-id, a bound that does not grow with the corpus; one fifth of them is kept out
-of it to turn margins into probabilities.  Scoring is one pass over all
+The model is fitted on at most ``MAX_FIT`` labelled rows, picked by hash of
+the id before any text is read: that list is small enough to broadcast by its
+bound, so learning shuffles no text.  One fifth of the rows is kept out of the
+descent to turn margins into probabilities.  Scoring is one pass over all
 texts; the model that travels to the executors has a fixed size.
 
 Cases: null and empty texts have the single indicator "no words" and a score
@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import staged
 from tessera.llm.tokens import Rolling, encoded, word_hashes
 
-MAX_FIT = 8000             # labelled rows in the descent
+MAX_FIT = 8000             # labelled rows that are learned from
 EPOCHS = 12
-COST = 0.05
+COST = 4.0                 # of a unit of hinge loss, before class balance
 ALPHA = 1.0                # smoothing of the class counts
 MIX = 0.5                  # of the descent's weights and their mean magnitude
 CUT = 0.3                  # score from which label 1 is predicted
@@ -176,9 +176,24 @@ def _calibrated(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
+def picked(labels: DataFrame, max_fit: int = MAX_FIT) -> DataFrame:
+    """At most ``max_fit`` of the usable rows (label, key, ...), by hash of the key."""
+    usable = labels.where("label IN (0, 1) AND key IS NOT NULL")
+    share = max_fit / max(1, usable.count())
+    draw = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
+    return usable.where(draw < share).limit(max_fit)
+
+
+def fit_labelled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_fit: int = MAX_FIT) -> Model:
+    """Fit on the documents that ``labels`` (label, key) names."""
+    some = F.broadcast(picked(labels, max_fit).select("label", "key"))
+    own = docs.select(docs[f"`{key}`"].cast("long").alias("_id"), docs[f"`{text}`"].alias("text"))
+    return fit(own.join(some, F.col("_id") == F.col("key")).select("label", "key", "text"), max_fit)
+
+
 def fit(rows: DataFrame, max_fit: int = MAX_FIT, cost: float = COST) -> Model:
-    """``rows``: (label 0/1, key long, text)."""
-    every = staged(featured(rows.where("label IN (0, 1) AND key IS NOT NULL")), "quality-features")
+    """``rows``: (label 0/1, key long, text); see ``picked`` for how many count."""
+    every = staged(featured(picked(rows, max_fit)), "quality-features")
     n = dict(every.groupBy("label").count().collect())
     prior = (n.get(1, 0) + 1) / (sum(n.values()) + 2)
     if len(n) < 2:
@@ -189,9 +204,7 @@ def fit(rows: DataFrame, max_fit: int = MAX_FIT, cost: float = COST) -> Model:
     table[got["label"].to_numpy(), got["i"].to_numpy()] += got["count"].to_numpy()
     ratio = np.log(table[1] / table[1].sum()) - np.log(table[0] / table[0].sum())
 
-    share = max_fit / sum(n.values())
-    pick = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
-    sample = every.where(pick < share).limit(max_fit).toArrow().sort_by("key")
+    sample = every.toArrow().sort_by([("key", "ascending"), ("label", "ascending")])    # max_fit rows at most
     found = [np.asarray(x) for x in sample["found"].to_pylist()]
     y = np.where(sample["label"].to_numpy() > 0, 1.0, -1.0)
     kept = sample["key"].to_numpy() % 5 != 1            # the others calibrate
@@ -203,7 +216,7 @@ def fit(rows: DataFrame, max_fit: int = MAX_FIT, cost: float = COST) -> Model:
     rows_with_bias = [np.append(f, SIZE) for f in found]
     with_bias = [np.append(v, 1.0) for v in values]
     train = np.flatnonzero(kept)
-    w = descend([rows_with_bias[i] for i in train], [with_bias[i] for i in train], y[train], cost * len(train) ** 0.5 * balance[train], SIZE + 1)
+    w = descend([rows_with_bias[i] for i in train], [with_bias[i] for i in train], y[train], cost * balance[train], SIZE + 1)
     w[:SIZE] = MIX * w[:SIZE] + (1 - MIX) * np.abs(w[:SIZE]).mean()
     model = Model(w[:SIZE] * ratio, float(w[SIZE]), 1.0, 0.0)
     rest = np.flatnonzero(~kept) if not kept.all() else train

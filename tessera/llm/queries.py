@@ -44,8 +44,7 @@ def op6_quality_classifier(spark, sf_dir):
     """Learns from the labelled documents of four of five folds and scores all."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), F.col("quality").alias("label"))
-    rows = docs.join(labels.where(_fold(F.col("key")) != 0), F.col("doc_id") == F.col("key"))
-    out = quality_model.scored(docs, quality_model.fit(rows.select("label", "key", "text")))
+    out = quality_model.scored(docs, quality_model.fit_labelled(docs, labels.where(_fold(F.col("key")) != 0)))
     return out.select("doc_id", (_fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
 
 
