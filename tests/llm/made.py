@@ -1,20 +1,9 @@
-import os
+"""Hard documents for the tests, and fixtures of them (import them by name)."""
+
 import random
-import sys
-import tempfile
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-
-
-@pytest.fixture(scope="session")
-def spark():
-    from tessera.session import build_session
-    yield build_session("local[4]", shuffle_partitions=8, app_name="tessera-tests",
-                        extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="tessera-test-ckpt-")})
-
 
 #: Names that the operators use inside, as further columns of a caller's table.
 CLASH = ["row", "words", "ws", "text_hash", "id", "bands", "n", "host", "kept", "at", "gram", "size", "copies", "target", "rate",

@@ -4,7 +4,7 @@ import math
 
 import brute
 import pytest
-from conftest import CLASH, SCHEMA, made_documents, made_items, ordered
+from made import CLASH, SCHEMA, clashing, documents, items, made_documents, made_items, ordered  # noqa: F401
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, line_dedup, mixing, near_dedup, quality_rules, secrets, substring_dedup

@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 import pytest
-from conftest import made_documents, ordered
+from made import SCHEMA, clashing, documents, items, made_documents, ordered  # noqa: F401
 from pyspark.sql import functions as F
 
 from tessera.llm import quality_model, secrets, url_filter, warc
@@ -220,7 +220,6 @@ def test_pipeline_stages_keep_the_columns(spark, clashing, items, tmp_path):
 def test_pipeline_on_an_empty_table(spark, items, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     items.write.parquet(f"{tmp_path}/benchmark.parquet")
-    from conftest import SCHEMA
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
 
