@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Derived text handed back to Spark at a time.
+BATCH_BYTES = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")      # the URL name space of RFC 4122
 _BLOCKS = ("address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main "
@@ -53,8 +55,8 @@ def record_id(*name) -> str:
 
 
 def serialised(headers: list[tuple[str, str]], block: bytes, compress: bool = False) -> bytes:
-    clean = [(n, re.sub(r"[\r\n]+", " ", v)) for n, v in headers]
-    data = ("WARC/1.1\r\n" + "".join(f"{n}: {v}\r\n" for n, v in clean) + "\r\n").encode("utf-8", "replace") + block + b"\r\n\r\n"
+    lines = (f"{n}: {' '.join(v.splitlines())}\r\n" for n, v in headers)
+    data = ("WARC/1.1\r\n" + "".join(lines) + "\r\n").encode("utf-8", "replace") + block + b"\r\n\r\n"
     if not compress:
         return data
     c = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -194,9 +196,18 @@ def derivatives(archives: DataFrame, record: str = "record", compress: bool = Fa
     def run(batches):
         schema = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}[t])
                             for n, t in (x.split() for x in _DERIVED.split(", "))])
+
+        def made(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], names=names)
+        held, size = [], 0
         for batch in batches:
             for one in batch.column(0):
-                rows = list(derived(one.as_py() or b""))
-                for i in range(0, len(rows), 1000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i:i + 1000]), schema)], names=names)
+                for row in derived(one.as_py() or b""):
+                    held.append(row)
+                    size += 2 * row[6]
+                    if len(held) >= 1000 or size > BATCH_BYTES:
+                        yield made(held)
+                        held, size = [], 0
+        if held:
+            yield made(held)
     return archives.select(record).mapInArrow(run, _DERIVED)
