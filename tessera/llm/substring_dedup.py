@@ -163,9 +163,9 @@ def repeated_ranges(docs: DataFrame, k: int = WINDOW, anchor: int = ANCHOR) -> D
     if wanted.count() <= BROADCAST_IDS:
         texts = texts.join(F.broadcast(ids), _ROW, "left_semi")
     windows = staged(_expanded(texts.join(wanted, _ROW), k), "dedup-windows")
-    source = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("source"))
-    per_path = (windows.drop("doc_id").join(source, ["anchor", "window"])
-                .groupBy(*key).agg(F.collect_set(F.struct("offset", "source")).alias("sources")))
+    source = staged(windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("source")), "dedup-sources")
+    per_path = staged(windows.drop("doc_id").join(source, ["anchor", "window"])
+                      .groupBy(*key).agg(F.collect_set(F.struct("offset", "source")).alias("sources")), "dedup-resolved")
     # windows of a path are fewer than k apart, so theirs is one range
     earlier = F.transform(F.filter("sources", lambda s: s["source"] < F.col("doc_id")), lambda s: s["offset"])
     forked = (seen.where("branches").select(*key, *_ROW, "start").join(per_path, key)
