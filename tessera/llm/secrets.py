@@ -32,7 +32,6 @@ _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-_DIGIT = re.compile("[0-9]")
 MIN_VALUE = 6                       # characters of an assigned value
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
@@ -44,7 +43,6 @@ _CODE[[ord(c) for c in ALPHABET]] = np.arange(1, len(ALPHABET) + 1)
 #: frequency of the second character (plus one each).
 SMOOTH_RANDOM, SMOOTH_ORDINARY = 20.0, 50.0
 THRESHOLD = 2.0                     # nats a character
-MIN_CLASSES = 2                     # of lower case, upper case (after the first letter), digits
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -63,11 +61,16 @@ def base_values(text: str) -> list[str]:
     return found + [m[0] for p in (_ACCESS, _HEX) for m in p.finditer(text)]
 
 
+def _classes(text: str) -> np.ndarray:
+    """The models' class of every character (byte): its place in the alphabet from 1, or 0."""
+    return _CODE[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)]
+
+
 def pair_counts(texts) -> np.ndarray:
     """SIZE x SIZE counts of neighbouring characters, borders included."""
     total = np.zeros(SIZE * SIZE, np.int64)
     for t in texts:
-        c = np.concatenate([[SIZE - 1], _CODE[np.frombuffer(t.encode("utf-8", "replace"), np.uint8)], [SIZE - 1]])
+        c = np.concatenate([[SIZE - 1], _classes(t), [SIZE - 1]])
         total += np.bincount(c[:-1] * SIZE + c[1:], minlength=SIZE * SIZE)
     return total.reshape(SIZE, SIZE)
 
@@ -110,21 +113,17 @@ def trained(texts: DataFrame, text: str = "text", label: str | None = None) -> n
 
 def likelihood_ratio(run: str, model: np.ndarray) -> float:
     """Mean log-likelihood ratio of a run of alphabet characters."""
-    c = _CODE[np.frombuffer(run.encode(), np.uint8)] - 1
+    c = _classes(run) - 1
     return float(model[c[:-1], c[1:]].mean())
 
 
-def _classes(run: str) -> int:
-    return (any("a" <= c <= "z" for c in run)) + (any("A" <= c <= "Z" for c in run[1:])) + (any("0" <= c <= "9" for c in run))
-
-
 def markov_spans(text: str, base, model: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
     out = []
     for m in _RUN.finditer(text):
         s, e = m.span()
         if any(s < end and start < e for start, _, end in base):
             continue
-        if _classes(m[0]) >= MIN_CLASSES and _DIGIT.search(m[0]) and likelihood_ratio(m[0], model) > threshold:
+        if likelihood_ratio(m[0], model) > threshold:
             out.append((s, 3, e))
     return out
 

@@ -38,6 +38,19 @@ def test_markov_models_separate_held_out_samples(spark):
     assert {r.doc_id: r.spans for r in found} == {1: "markov:8:32", 2: "", 3: ""}
 
 
+@pytest.mark.parametrize("letters", [string.ascii_letters, string.ascii_lowercase, string.ascii_uppercase])
+def test_random_keys_without_digits_are_found(spark, letters):
+    """The likelihood ratio alone decides: a key of one class of characters counts too."""
+    r = random.Random(7)
+    keys = ["".join(r.choice(letters) for _ in range(24)) for _ in range(50)]
+    words = "internationalisation counterrevolutionary incomprehensibilities"
+    plain = (words + " the user finds a file of this name and the index of every value in the table that the record holds ") * 200
+    model = secrets.trained(spark.createDataFrame([(1, plain), (2, plain.upper())], "doc_id long, text string"))
+    docs = spark.createDataFrame([(i, f"use {k} here") for i, k in enumerate(keys)] + [(99, words)], "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in secrets.scanned(docs, model).collect()}
+    assert sum(found[i] == "markov:4:28" for i in range(50)) >= 43 and found[99] == ""
+
+
 def test_pair_counts_match_plain_counting():
     text = "aZ09+/_=- é\tpassword"
     plain = np.zeros((secrets.SIZE, secrets.SIZE), int)
