@@ -3,11 +3,11 @@
 Every host's paths form a tree of segments.  Going down level by level, a
 segment becomes part of a template:
 
-* variable segments (numbers, hashes, and branches of a node that has very
-  many, each on few pages) become the wildcard of their shape;
+* variable segments (numbers, hashes) become the wildcard of their shape;
 * remaining branches of one node whose share of bad labels does not differ
   from that of their siblings (two-proportion test against all others of the
-  node) merge into one wildcard; a branch that differs stays by itself.
+  node) merge into one wildcard, however many they are and however few pages
+  each has; a branch that differs stays by itself, whatever its siblings are.
 
 A template is rejected when its smoothed share of bad labels,
 ``(bad + strength * prior) / (labelled + strength)`` with the corpus share as
@@ -34,10 +34,6 @@ from tessera.llm.common import ascii_lower, staged
 
 #: Deepest level that has a branch of its own.
 MAX_DEPTH = 8
-#: A node with more branches than this, on fewer than PAGES_PER_BRANCH pages
-#: each on average, has variable segments.
-MAX_BRANCHES = 32
-PAGES_PER_BRANCH = 4.0
 Z_SIMILAR = 2.58           # branches whose shares differ by less merge
 PRIOR_STRENGTH = 8.0
 MAX_BAD = 0.6
@@ -65,8 +61,7 @@ def shape(segment: Column) -> Column:
     return F.concat(kind, ending)
 
 
-def templates(paths: DataFrame, max_depth: int = MAX_DEPTH, max_branches: int = MAX_BRANCHES,
-              pages_per_branch: float = PAGES_PER_BRANCH, z_similar: float = Z_SIMILAR) -> DataFrame:
+def templates(paths: DataFrame, max_depth: int = MAX_DEPTH, z_similar: float = Z_SIMILAR) -> DataFrame:
     """(host, path, template) of the rows (host, path, n, labelled, bad)."""
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
     tail = F.when(F.size("_s") > max_depth, F.lit("/**")).otherwise(F.when(F.col("path").endswith("/"), "/").otherwise(""))
@@ -82,16 +77,15 @@ def templates(paths: DataFrame, max_depth: int = MAX_DEPTH, max_branches: int =
         branch = staged(branch, "url-branches")
         plain = F.when(~F.col("wild"), 1)
         node = branch.groupBy(F.col("host").alias("_h"), F.col("node").alias("_n")).agg(
-            F.count(plain).alias("k"), F.sum(F.when(~F.col("wild"), F.col("n"))).alias("all"),
+            F.count(plain).alias("k"),
             F.sum(F.when(~F.col("wild"), F.col("l"))).alias("al"), F.sum(F.when(~F.col("wild"), F.col("b"))).alias("ab"))
         both = branch.join(node, (F.col("host") == F.col("_h")) & (F.col("node") == F.col("_n")))
-        many = (F.col("k") > max_branches) & (F.col("all") < F.col("k") * pages_per_branch)
         rest_l, share = F.col("al") - F.col("l"), F.col("ab") / F.col("al")
         gap = F.abs(F.col("b") / F.col("l") - (F.col("ab") - F.col("b")) / rest_l)
         error = F.sqrt(share * (1 - share) * (1 / F.col("l") + 1 / rest_l))
         differs = F.coalesce((F.col("l") > 0) & (rest_l > 0) & (gap > z_similar * error), F.lit(False))
         name = (F.when(F.col("wild"), F.col("_b")).when(F.col("k") == 1, F.col("_b"))
-                .when(differs & ~many, F.col("_b")).otherwise(F.lit("*")))
+                .when(differs, F.col("_b")).otherwise(F.lit("*")))
         named = both.select(F.col("host").alias("_h"), F.col("node").alias("_n"), F.col("_b").alias("_k"),
                             F.concat("node", F.lit("/"), name).alias("_next"))
         at = (here.join(named, (F.col("host") == F.col("_h")) & (F.col("node") == F.col("_n")) & (F.col("_b") == F.col("_k")), "left")

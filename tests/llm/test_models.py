@@ -207,6 +207,18 @@ def test_templates_follow_labels(spark):
     assert ordered(out.collect()) == ordered(again.collect())
 
 
+def test_bad_section_among_thin_siblings_stays(spark):
+    """Many branches of a page each merge, the section that differs from them does not."""
+    rows = [(i, f"http://hot.example/slug{'abcdefghij'[i % 10]}x{i}y/view") for i in range(1000)]
+    rows += [(i, f"http://hot.example/casino/page-{'abcdefghij'[i % 10]}") for i in range(1000, 1200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i >= 1000)) for i in range(1200)], "page_id long, bad int")
+    out = url_filter.verdicts(pages, labels, RULES)
+    got = {r.page_id: (r.template, r.verdict) for r in out.select("page_id", "template", "verdict").collect()}
+    assert {got[i] for i in range(1000)} == {("/*/view", "allow")}
+    assert {got[i] for i in range(1000, 1200)} == {("/casino/*", "block")}
+
+
 def test_purity_is_smoothed(spark):
     rows = [("h", "/a", "/t", 3, 3, 3), ("h", "/b", "/u", 50, 50, 5)]
     out = {r.template: r.bad_share for r in url_filter.purities(
