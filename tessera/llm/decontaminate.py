@@ -8,7 +8,8 @@ windows stay with the document however common a window is.
 
 The hash set is broadcast only while its measured size is within
 ``BROADCAST_BYTES``; a larger benchmark meets the windows in a shuffled join
-with the same result.
+with the same result.  There a window travels as its place and two hashes (128
+bits, which stand for its words), never with its document's words.
 
 Normalised words: A-Z lower-cased, then runs of digits, a-z and characters
 above ASCII.  A window is ``n`` consecutive words; an item of fewer words is
@@ -48,8 +49,8 @@ def benchmark_windows(items: DataFrame, item_id: str = "item_id", text: str = "t
     return at.select("item_id", "len", F.array_join(F.slice("ws", F.col("at"), F.col("len")), " ").alias("gram")).distinct()
 
 
-def _window_hash(ws: Column, at: Column, size: int) -> Column:
-    return F.xxhash64(*[F.get(ws, at + j) for j in range(size)])
+def _window_hash(ws: Column, at: Column, size: int, *seed: Column) -> Column:
+    return F.xxhash64(*seed, *[F.get(ws, at + j) for j in range(size)])
 
 
 def hits(docs: DataFrame, windows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -60,11 +61,11 @@ def hits(docs: DataFrame, windows: DataFrame, key: str = "doc_id", text: str = "
     lengths = sorted(r["len"] for r in by_len)              # at most n different lengths
     # the same words, hashed as the documents' windows are
     split = F.split("gram", " ")
-    hashed = F.coalesce(*[F.when(F.col("len") == k, _window_hash(F.col("_ws"), F.lit(0), k)) for k in lengths], F.lit(0).cast("long"))
-    grams = (grams.withColumn("_ws", split).withColumn("_h", hashed)
-             .select("_h", F.col("len").alias("_len"), "gram"))
-    if sum(r["b"] for r in by_len) <= BROADCAST_BYTES:
-        grams = F.broadcast(grams)
+
+    def hashed(*seed):
+        return F.coalesce(*[F.when(F.col("len") == k, _window_hash(F.col("_ws"), F.lit(0), k, *seed)) for k in lengths], F.lit(0).cast("long"))
+    grams = (grams.withColumn("_ws", split).withColumn("_h", hashed()).withColumn("_i", hashed(F.lit(1)))
+             .select("_h", "_i", F.col("len").alias("_len"), "gram"))
     ws = docs.select(docs[f"`{key}`"].alias("doc_id"), F.xxhash64(docs[f"`{text}`"]).alias("text_hash"),
                      normal_words(docs[f"`{text}`"]).alias("ws"))
     at = ws.select("doc_id", "text_hash", "ws", F.size("ws").alias("n_words"), F.explode_outer(
@@ -73,13 +74,22 @@ def hits(docs: DataFrame, windows: DataFrame, key: str = "doc_id", text: str = "
         at = at.withColumn("len", F.explode(F.array(*[F.lit(k) for k in lengths])))
     else:
         at = at.withColumn("len", F.lit(lengths[0] if lengths else WINDOW))
-    probe = F.coalesce(*[F.when((F.col("len") == k) & (F.col("at") + k <= F.col("n_words")),
-                                _window_hash(F.col("ws"), F.col("at"), k)) for k in lengths], F.lit(None).cast("long"))
-    same = (F.col("_p") == F.col("_h")) & (F.col("len") == F.col("_len")) & (
-        F.array_join(F.slice("ws", F.col("at") + 1, F.col("len")), " ") == F.col("gram"))
-    found = at.withColumn("_p", probe).join(grams, same, "left")
-    return (found.where("gram IS NOT NULL OR at IS NULL OR at = 0")
-            .select("doc_id", "text_hash", "n_words", "at", "len", "gram"))
+
+    def probe(*seed):
+        return F.coalesce(*[F.when((F.col("len") == k) & (F.col("at") + k <= F.col("n_words")),
+                                   _window_hash(F.col("ws"), F.col("at"), k, *seed)) for k in lengths], F.lit(None).cast("long"))
+    same = (F.col("_p") == F.col("_h")) & (F.col("len") == F.col("_len"))
+    if sum(r["b"] for r in by_len) <= BROADCAST_BYTES:
+        same &= F.array_join(F.slice("ws", F.col("at") + 1, F.col("len")), " ") == F.col("gram")
+        found = at.withColumn("_p", probe()).join(F.broadcast(grams), same, "left").where("gram IS NOT NULL OR at IS NULL OR at = 0")
+    else:
+        # windows without their document's words, those that reach past its end left out, and a row for each document
+        none = F.lit(0).cast("long")        # never used, but a hash that cannot be null is computed once, not again for a null test
+        spots = at.where("at + len <= n_words").select("doc_id", "text_hash", "n_words", "at", "len",
+                                                       F.coalesce(probe(), none).alias("_p"), F.coalesce(probe(F.lit(1)), none).alias("_q"))
+        found = (spots.join(grams, same & (F.col("_q") == F.col("_i")))
+                 .unionByName(ws.select("doc_id", "text_hash", F.size("ws").alias("n_words")), allowMissingColumns=True))
+    return found.select("doc_id", "text_hash", "n_words", "at", "len", "gram")
 
 
 def _covered(spans: Column) -> Column:

@@ -53,6 +53,31 @@ def test_decontaminate_without_broadcast(documents, items, monkeypatch):
     assert ordered(decontaminate.contamination(documents, items).drop("spans", "item_ids").collect()) == whole
 
 
+def _joins(plan):
+    own = [plan] if plan.nodeName() == "Join" else []
+    return own + [j for i in range(plan.children().size()) for j in _joins(plan.children().apply(i))]
+
+
+def test_decontaminate_shuffled(spark, documents, items, monkeypatch):
+    """A benchmark too large for any broadcast, and a long document: the same
+    result, and no document's words in the rows that are shuffled."""
+    long = " ".join(f"w{i % 7919}" for i in range(20000))
+    docs = documents.unionByName(spark.createDataFrame([(500, long), (501, None)], "doc_id long, text string"), allowMissingColumns=True)
+    tests = items.unionByName(spark.createDataFrame([(20, " ".join(f"w{i}" for i in range(500, 530))), (21, "w7918 w0 w1")], items.schema))
+    whole = ordered(decontaminate.contamination(docs, tests).collect())
+    assert [r[3:5] for r in whole if r[0] == 500] == [(96, 2)]
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = decontaminate.hits(docs, decontaminate.benchmark_windows(tests))
+        joins = _joins(found._jdf.queryExecution().optimizedPlan())
+        assert joins and all("array<" not in side.schema().simpleString() for j in joins for side in (j.left(), j.right()))
+        assert ordered(decontaminate.contamination(docs, tests).collect()) == whole
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_decontamination_drops_rows(clashing, items):
     bad = {(d, t) for (d, t), w in zip(PAIRS, brute.decontaminate(PAIRS, made_items())) if w[5]}
     left = decontaminate.drop_contaminated(clashing, items)
