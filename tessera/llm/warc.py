@@ -9,13 +9,16 @@ response's id and the kind), so a task that runs twice writes the same
 records.  Everything works record by record in Arrow batches: no shuffle.
 
 ``record`` columns are whole serialised records (optionally gzip members),
-which may be concatenated into an archive file; ``parsed`` takes such bytes
-back apart, whole archives included.
+which may be concatenated into an archive; ``split_records`` takes such bytes
+back apart.  Archive files (``read_archives``) are opened inside the tasks and
+inflated as far as the next record needs, so a task holds one record of a file.
 
 Cases: a null url or html gives an empty target or payload; a null id is part
 of the record's name like any other; repeated rows give equal records; bytes
 that are no WARC record, are cut short or fail to inflate give one row with
-``error`` set and what could be read, and never stop the job; markup that
+``error`` set and what could be read (of bytes that are no record, the first
+REST_BYTES), and never stop the job; a block of 2 GB or more, which no row can
+hold, is passed over with such a row; markup that
 does not nest is read as far as it goes; other columns are not read.
 """
 
@@ -24,6 +27,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import html
+import io
 import re
 import uuid
 import zlib
@@ -31,9 +35,16 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Derived text handed back to Spark at a time.
 BATCH_BYTES = 8 << 20
+#: Read or inflated at a time.
+PIECE_BYTES = 1 << 20
+#: Headers end within so many bytes, and so much is kept of what is no record.
+REST_BYTES = 16 << 20
+#: A row holds less than this.
+ROW_BYTES = 1 << 31
 DATE = "2024-01-01T00:00:00Z"
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")      # the URL name space of RFC 4122
 _BLOCKS = ("address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main "
@@ -74,41 +85,111 @@ def _fields(head: bytes) -> list[tuple[str, str]]:
     return out
 
 
-def split_records(data: bytes):
-    """(headers, block, error) of every record in ``data``."""
-    if data[:2] == b"\x1f\x8b":
-        plain, rest, error = [], data, ""
-        while rest[:2] == b"\x1f\x8b":
-            z = zlib.decompressobj(31)
-            try:
-                plain.append(z.decompress(rest))
-            except zlib.error as e:
-                error = f"inflate: {e}"
-                break
-            rest = z.unused_data
-        yield from split_records(b"".join(plain))
-        if error:
-            yield [], b"", error
-        return
-    at = 0
-    while at < len(data):
-        if data[at:at + 5] != b"WARC/":
-            yield [], data[at:], "no record"
+class _Plain:
+    """Plain bytes of a stream (gzip members one after another, or as they
+    are), of which only what is asked for is held.  ``error`` tells why
+    inflating stopped, ``member`` where the last member read starts."""
+
+    def __init__(self, stream):
+        self.held, self.at, self.error = b"", 0, ""
+        self.passed, self.made, self.member = 0, 0, 0       # bytes before ``held``, inflated so far
+        self._pieces = self._read(stream)
+
+    def _read(self, stream):
+        piece = stream.read(PIECE_BYTES)
+        if piece[:2] != b"\x1f\x8b":
+            while piece:
+                yield piece
+                piece = stream.read(PIECE_BYTES)
+            return
+        while piece[:2] == b"\x1f\x8b":
+            z, self.member = zlib.decompressobj(31), self.made
+            while piece and not z.eof:
+                try:
+                    out = z.decompress(piece, PIECE_BYTES)
+                except zlib.error as e:
+                    self.error = f"inflate: {e}"
+                    return
+                if out:
+                    self.made += len(out)
+                    yield out
+                piece = z.unused_data if z.eof else z.unconsumed_tail or stream.read(PIECE_BYTES)
+            if len(piece) < 2:
+                piece += stream.read(PIECE_BYTES)
+        if piece.strip(b"\0"):
+            self.error, self.member = "inflate: no gzip member", self.made
+
+    def fill(self, n: int) -> bool:
+        """Hold ``n`` bytes, or all that are left; whether there are as many."""
+        have = len(self.held) - self.at
+        if have < n:
+            parts = [self.held[self.at:]]
+            while have < n and (piece := next(self._pieces, None)) is not None:
+                parts.append(piece)
+                have += len(piece)
+            self.passed += self.at
+            self.held, self.at = b"".join(parts), 0
+        return have >= n
+
+    def starts(self, mark: bytes) -> bool:
+        self.fill(len(mark))
+        return self.held.startswith(mark, self.at)
+
+    def find(self, mark: bytes, most: int) -> int:
+        """Place of ``mark`` in the next ``most`` bytes, else -1."""
+        n = min(most, 4096)
+        while True:
+            whole = self.fill(n)
+            found = self.held.find(mark, self.at, self.at + most)
+            if found >= 0 or not whole or n >= most:
+                return found - self.at if found >= 0 else -1
+            n = min(most, max(4 * n, len(self.held) - self.at + 1))
+
+    def take(self, n: int) -> bytes:
+        self.fill(n)
+        out = self.held[self.at:self.at + n]
+        self.at += len(out)
+        return out
+
+    def skip(self, n: int) -> bool:
+        """Pass over ``n`` bytes without holding them; whether there are as many."""
+        while n and self.fill(1):
+            n -= len(self.take(min(n, len(self.held) - self.at)))
+        return not n
+
+
+def split_records(data):
+    """(headers, block, error) of every record in ``data`` (bytes, or a binary
+    stream, of which one record at a time is held)."""
+    plain = _Plain(io.BytesIO(data) if isinstance(data, bytes) else data)
+    while plain.fill(1):
+        start = plain.passed + plain.at
+        if not plain.starts(b"WARC/"):
+            yield [], plain.take(REST_BYTES), plain.error or "no record"
             return
-        head_end = data.find(b"\r\n\r\n", at)
+        head_end = plain.find(b"\r\n\r\n", REST_BYTES)
         if head_end < 0:
-            yield [], data[at:], "cut in the header"
+            yield [], plain.take(REST_BYTES), plain.error or "cut in the header"
             return
-        headers = _fields(data[data.index(b"\r\n", at) + 2:head_end])
+        headers = _fields(plain.take(head_end + 4)[:-4].partition(b"\r\n")[2])
         length = next((v for n, v in headers if n.lower() == "content-length"), "")
         if not length.isdigit():
-            yield headers, data[head_end + 4:], "no length"
+            yield headers, plain.take(REST_BYTES), plain.error or "no length"
             return
-        end = head_end + 4 + int(length)
-        yield headers, data[head_end + 4:end], "" if end <= len(data) else "cut in the block"
-        at = end
-        while data[at:at + 2] == b"\r\n":
-            at += 2
+        if int(length) >= ROW_BYTES:
+            block, error = b"", "block of 2 GB or more"
+            whole = plain.skip(int(length))
+        else:
+            block, error = plain.take(int(length)), ""
+            whole = len(block) == int(length)
+        while plain.starts(b"\r\n"):        # reads on to the end of the record's member, which holds its check sum
+            plain.take(2)
+        broken = plain.error if start >= plain.member else ""
+        yield headers, block, broken or (error if whole else "cut in the block")
+        if broken or not whole:
+            return
+    if plain.error:
+        yield [], b"", plain.error
 
 
 def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
@@ -148,8 +229,17 @@ def responses(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(path, record): archive files, one row each (under 2 GB a file)."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("content").alias("record"))
+    """(path, record): archive files of any size, one row each.  ``record`` is
+    the path again: ``derivatives`` opens the file in the task that has its row."""
+    return spark.read.format("binaryFile").load(path).select("path", F.col("path").alias("record"))
+
+
+def _opened(path: str):
+    from pyarrow import fs
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_stream(re.sub("^file:/*", "/", path), compression=None)
+    system, name = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
+    return system.open_input_stream(name, compression=None)
 
 
 _DERIVED = ("record_id string, record_type string, refers_to string, target_uri string, date string, content_type string, "
@@ -159,9 +249,11 @@ _DERIVED = ("record_id string, record_type string, refers_to string, target_uri
 
 def derivatives(archives: DataFrame, record: str = "record", compress: bool = False) -> DataFrame:
     """Metadata and conversion records of all response records in the bytes of
-    column ``record``; records of other types are passed over.  ``digest_ok``
+    column ``record``, or in the files that it names if it is a column of
+    strings; records of other types are passed over.  ``digest_ok``
     tells whether the source's payload digest fits its payload."""
     names = [x.split()[0] for x in _DERIVED.split(", ")]
+    in_files = isinstance(archives.select(record).schema[0].dataType, StringType)
 
     def derived(data):
         for headers, block, error in split_records(data):
@@ -202,7 +294,8 @@ def derivatives(archives: DataFrame, record: str = "record", compress: bool = Fa
         held, size = [], 0
         for batch in batches:
             for one in batch.column(0):
-                for row in derived(one.as_py() or b""):
+                one = one.as_py() or b""
+                for row in derived(_opened(one) if in_files and one else one):
                     held.append(row)
                     size += 2 * row[6]
                     if len(held) >= 1000 or size > BATCH_BYTES:

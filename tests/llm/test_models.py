@@ -1,6 +1,7 @@
 """Trained operators, archives and URL templates."""
 
 import gzip
+import io
 import random
 import string
 import sys
@@ -160,6 +161,48 @@ def test_archives_and_broken_records(spark, pages, tmp_path):
     assert warc.derivatives(warc.read_archives(spark, str(tmp_path))).count() == 10
 
 
+class Counted(io.BytesIO):
+    """A stream that knows how far it was read."""
+    def read(self, n=-1):
+        assert n >= 0
+        return super().read(n)
+
+
+@pytest.mark.parametrize("one_member", [False, True])
+def test_archives_are_read_record_by_record(spark, pages, tmp_path, monkeypatch, one_member):
+    """Large archives: each record comes before the file is read further than it needs."""
+    monkeypatch.setattr(warc, "PIECE_BYTES", 997)
+    r = random.Random(9)
+    one = [warc.serialised([("WARC-Type", "resource"), ("Content-Length", str(n))], r.randbytes(n)) for n in (0, 256, 25600) * 20]
+    whole = b"".join(one)
+    data = gzip.compress(whole) if one_member else b"".join(gzip.compress(x) for x in one)
+    for stream in (Counted(whole), Counted(data)):
+        seen, at = 0, []
+        for headers, block, error in warc.split_records(stream):
+            assert not error and len(block) == int(dict(headers)["Content-Length"])
+            seen += 1
+            at.append(stream.tell())
+        assert seen == 60 and at[0] < 10000 and at[30] < 0.7 * at[-1]
+    broken = data[:len(data) // 2] + b"\xff" * 60 + data[len(data) // 2 + 60:]
+    out = list(warc.split_records(Counted(broken)))
+    good = list(warc.split_records(whole))
+    assert out[-1][2].startswith("inflate") and out[:20] == good[:20]
+    assert one_member or out[:-1] == good[:len(out) - 1]              # a member that fails its check sum gives no good record
+    records = [bytes(r.record) for r in warc.responses(pages).collect()]
+    (tmp_path / "a b.warc").write_bytes(b"".join(records))
+    (tmp_path / "c.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in records) + b"\x1f\x8b\x08 broken")
+    archives = warc.read_archives(spark, str(tmp_path))
+    assert dict(archives.dtypes)["record"] == "string" and archives.count() == 2        # no file's bytes in a row
+    n = {r.record_type: r["count"] for r in warc.derivatives(archives).groupBy("record_type").count().collect()}
+    assert n == {"metadata": 10, "conversion": 10, "error": 1}
+
+
+def test_a_block_too_large_for_a_row_is_passed_over(monkeypatch):
+    monkeypatch.setattr(warc, "ROW_BYTES", 1000)
+    data = b"".join(warc.serialised([("WARC-Type", "resource"), ("Content-Length", str(n))], b"x" * n) for n in (10, 5000, 20))
+    assert [(len(b), e) for _, b, e in warc.split_records(data)] == [(10, ""), (0, "block of 2 GB or more"), (20, "")]
+
+
 # --- URL filter ------------------------------------------------------------------
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
