@@ -39,6 +39,7 @@ from tessera.llm.common import staged
 from tessera.llm.tokens import Rolling, encoded, word_hashes
 
 MAX_FIT = 8000             # labelled rows that are learned from
+SPARE = 1.1                # of that many rows drawn, to have enough
 EPOCHS = 12
 COST = 4.0                 # of a unit of hinge loss, before class balance
 ALPHA = 1.0                # smoothing of the class counts
@@ -177,11 +178,15 @@ def _calibrated(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def picked(labels: DataFrame, max_fit: int = MAX_FIT) -> DataFrame:
-    """At most ``max_fit`` of the usable rows (label, key, ...), by hash of the key."""
+    """At most ``max_fit`` of the usable rows (label, key, ...): those with the
+    smallest hashes of the key, on any partitioning the same ones."""
     usable = labels.where("label IN (0, 1) AND key IS NOT NULL")
-    share = max_fit / max(1, usable.count())
+    many = usable.count()
+    if many <= max_fit:
+        return usable
     draw = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
-    return usable.where(draw < share).limit(max_fit)
+    near = usable.where(draw < SPARE * max_fit / many)      # little more than the bound is merged by the ordered limit
+    return near.orderBy(draw, *[c for c in ("key", "label", "text") if c in usable.columns]).limit(max_fit)
 
 
 def fit_labelled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_fit: int = MAX_FIT) -> Model:

@@ -97,6 +97,15 @@ def test_classifier_edges(spark):
     assert quality_model.scored(docs, empty).first().score == 0.5
 
 
+def test_picked_rows_depend_on_the_keys_alone(spark):
+    rows = spark.createDataFrame([(k % 2, k // 2 * 7, f"t{k}") for k in range(3000)], "label int, key long, text string")
+    orders = [rows.coalesce(1).sortWithinPartitions("key"), rows.coalesce(1).sortWithinPartitions(F.desc("key")), rows.repartition(5, "text")]
+    for n in (100, 301, 500, 1000):
+        got = [ordered(quality_model.picked(some, n).collect()) for some in orders]
+        assert got[0] == got[1] == got[2] and 0.8 * n < len(got[0]) <= n
+    assert quality_model.picked(rows, 3000).count() == 3000
+
+
 def test_dual_coordinate_descent_reaches_the_optimum():
     r = np.random.default_rng(3)
     x = r.normal(size=(60, 5))
