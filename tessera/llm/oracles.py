@@ -147,6 +147,49 @@ def mixing_of(docs: str, p: str) -> str:
            THEN 1 ELSE 0 END AS copies FROM {p}rate)"""
 
 
+def spelling(docs: str = "documents", damage: int = 97, least: int = 5, often: int = 3, ratio: int = 2) -> str:
+    run = r"[A-Za-z\u00C0-\u00FF]+".encode().decode("unicode_escape")
+    return f"""
+WITH RECURSIVE crc_table AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1
+             THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc FROM range(256) r(i)),
+run AS (SELECT doc_id, {_LOWER.format('raw')} AS run, count(*) AS times
+        FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{run}')) AS raw FROM {docs}) GROUP BY ALL),
+keyed AS (SELECT *, CAST(doc_id AS VARCHAR) || ':' || run AS k, hex(k) AS x FROM run),
+hashed AS (SELECT run, times, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(x) // 2),
+             lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+             lambda c, b: xor(c >> 8, crc[CAST(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295) AS h FROM keyed, crc_table),
+spelt AS (SELECT CASE WHEN h % {damage} = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) ||
+             substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, times FROM hashed),
+vocab AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM spelt WHERE length(word) >= {least} GROUP BY word HAVING sum(times) >= {often}),
+cut AS (SELECT DISTINCT word, n, length(word) AS len, gap, substr(word, 1, gap) || substr(word, gap + 2) AS rest
+        FROM (SELECT word, n, unnest(range(length(word))) AS gap FROM vocab)),
+pair AS (SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.gap = b.gap AND a.len = b.len AND a.word <> b.word
+         UNION SELECT a.word, b.word, b.n FROM cut a JOIN vocab b ON a.rest = b.word
+         UNION SELECT b.word, a.word, a.n FROM cut a JOIN vocab b ON a.rest = b.word),
+ranked AS (SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near,
+           row_number() OVER (PARTITION BY word ORDER BY near_n DESC, encode(near)) AS place FROM pair),
+linked AS (SELECT v.word, v.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN near_n >= {ratio} * n THEN near END AS form,
+           CASE WHEN near_n >= {ratio} * n THEN near_n END AS form_n FROM vocab v LEFT JOIN (FROM ranked WHERE place = 1) r USING (word)),
+chain AS (SELECT word, word AS root, form AS next FROM linked
+          UNION ALL SELECT c.word, l.word, l.form FROM chain c JOIN linked l ON c.next = l.word)
+SELECT word, form, root, n, n_near, form_n FROM linked JOIN (SELECT word, root FROM chain WHERE next IS NULL) USING (word)"""
+
+
+def hard_negatives(positives: int = 5, negatives: int = 3) -> str:
+    return f"""
+WITH item AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+              list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+              WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0),
+score AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS s
+          FROM item a JOIN item b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+pos AS (FROM score WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, id) <= {positives}),
+neg AS (SELECT p.anchor_id, p.id AS positive_id, n.id AS negative_id, p.s AS positive_score, n.s AS negative_score,
+        CAST(row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.s DESC, n.id) AS INTEGER) AS rank
+        FROM pos p JOIN score n ON p.anchor_id = n.anchor_id AND NOT n.same AND 50 * p.s <= 100 * n.s AND 100 * n.s <= 95 * p.s)
+SELECT * FROM neg WHERE rank <= {negatives}"""
+
+
 def pipeline() -> str:
     """Rows of the whole pipeline over ``documents``."""
     cols = "doc_id, text, lang, source, n_chars"
@@ -173,5 +216,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_quality_rules": f"WITH {quality_rules_of('documents', 'q_')} SELECT doc_id, {base}, base_failed, kept FROM q_judged",
         "op8_mix_sources": f"WITH {mixing_of('documents', 'm_')} SELECT doc_id, size, source_size, target, "
                            "CAST(size * copies AS BIGINT) AS taken FROM m_mix",
+        "op11_spelling_variants": spelling(),
+        "op12_hard_negatives": hard_negatives(),
         "op9_line_dedup": f"WITH {line_dedup_of('documents', 'l_')} SELECT doc_id, source, n_lines, n_dropped, text FROM l_clean",
     }

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, line_dedup, mixing, near_dedup, quality_model, quality_rules, secrets, substring_dedup, url_filter, warc
+from tessera.llm import decontaminate, hard_negatives, hmm, line_dedup, mixing, near_dedup, quality_model, quality_rules, secrets, spelling, substring_dedup, url_filter, warc
 from tessera.llm.common import table
 
 
@@ -74,5 +74,25 @@ def op10_secret_scan(spark, sf_dir):
     return secrets.scanned(docs, secrets.trained(docs))
 
 
+def op11_spelling_variants(spark, sf_dir):
+    """Words with planted typing errors, grouped under their commoner forms."""
+    return spelling.variants(table(spark, sf_dir, "documents"), damage=97)
+
+
+def op12_hard_negatives(spark, sf_dir):
+    """Where the id is divisible by 7 the label counts as wrong by one."""
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(vectors, label=label)
+
+
+def op13_lm_scores(spark, sf_dir):
+    """Learns from the documents of six of seven folds and scores all."""
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
+    out = hmm.scored(docs, train=F.coalesce(fold != 2, F.lit(True)))
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries():
     return {n: f for n, f in globals().items() if n.startswith("op")}
