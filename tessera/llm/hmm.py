@@ -34,6 +34,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +49,8 @@ SYMBOL_BYTES = 64
 STATES = 8
 ROUNDS = 6
 STAY = 0.9                  # first probability of staying in a state
-#: Texts side by side, steps of a piece, tokens whose expected counts are added at a time.
-LANES, PIECE, GATHER = 1024, 512, 1 << 19
+#: Texts side by side, tokens of a piece, tokens whose expected counts are added at a time.
+LANES, PIECE, GATHER = 2048, 1 << 19, 1 << 19
 HELD = 300_000
 _UNIT = float(1 << 20)
 
@@ -126,22 +127,19 @@ def encoded_texts(docs: DataFrame, known: Lexicon) -> DataFrame:
         words, counts = held.value
         rare = len(words)
 
-        class Symbols(dict):
-            def __missing__(self, word):
-                return rare
-        look = Symbols(zip(words, range(rare))).__getitem__
+        look = dict(zip(words, range(rare))).get
         share = np.log10((counts + 1) / (total + types + 1))
         share[rare] = 0.0
         for batch in batches:
             symbols, known_n, base, rest = [], [], [], []
             for t in batch.column(0):
                 ws = tokens(t.as_py())
-                s = np.fromiter(map(look, ws), np.int32, len(ws))
+                s = np.fromiter(map(look, ws, repeat(rare)), np.int32, len(ws))
                 odd = np.flatnonzero(s == rare)
                 s = np.append(s, np.int32(rare + 1))
                 symbols.append(s)
                 known_n.append(len(s) - len(odd) - int(counts[-1] == 0))
-                base.append(math.fsum(share[s]))
+                base.append(float(share[s].sum()))
                 rest.append([{"word": w, "n": n} for w, n in Counter(ws[i] for i in odd).items()])
             ends = np.cumsum([0] + [len(s) for s in symbols], dtype=np.int32)
             flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(symbols) if symbols else np.empty(0, np.int32)))
@@ -187,20 +185,29 @@ def _active(sizes: np.ndarray) -> np.ndarray:
     return np.searchsorted(-sizes, -np.arange(int(sizes[0])), side="left")
 
 
+def _pieces(active: np.ndarray) -> list[int]:
+    """Steps at which a group of texts is cut: pieces of ``PIECE`` tokens or a
+    little more, so most groups are one piece."""
+    piece = (np.cumsum(active) - 1) // PIECE
+    return [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(active)]
+
+
 def _forward(model: Model, flat, first, active, t0, t1, entry, log=None, keep=None):
     """Steps t0..t1 from the state distribution ``entry`` (None: the start);
-    adds the logs of the scale factors to ``log``, keeps (alpha, scale) in ``keep``."""
-    now = entry
+    adds the logs of the scale factors to ``log``, keeps (symbols, emission,
+    alpha, scale) in ``keep``."""
+    now, ones = entry, np.ones(len(model.start))
     for t in range(t0, t1):
         n = active[t]
-        before = np.broadcast_to(model.start, (n, len(model.start))) if now is None else now[:n] @ model.step
-        now = before * model.emit[flat[first[:n] + t]]
-        scale = now.sum(axis=1)
+        x = flat.take(first[:n] + t)
+        e = model.emit.take(x, axis=0)
+        now = (model.start if now is None else now[:n] @ model.step) * e
+        scale = now @ ones                               # far quicker than a sum over short rows
         now /= scale[:, None]
         if log is not None:
             log[:n] += np.log(scale)
         if keep is not None:
-            keep.append((now, scale))
+            keep.append((x, e, now, scale))
     return now
 
 
@@ -231,24 +238,26 @@ class Expected:
         self._gather()
 
     def _group(self, flat, first, active, lanes):
-        model, last = self.model, len(active)
-        entries, log = [None], np.zeros(lanes)
-        cuts = list(range(0, last, PIECE)) + [last]
+        model, back = self.model, np.ascontiguousarray(self.model.step.T)
+        entries, log, cuts = [None], np.zeros(lanes), _pieces(active)
         for a, b in zip(cuts[:-2], cuts[1:]):            # the distribution before each piece
             entries.append(_forward(model, flat, first, active, a, b, entries[-1], None))
-        beta, ahead = None, None                         # ahead: emission x beta / scale of the next step
+        ahead = None                                     # emission x beta / scale of the next step
         for p in range(len(entries) - 1, -1, -1):
             a, kept = cuts[p], []
             _forward(model, flat, first, active, a, cuts[p + 1], entries[p], log, kept)
             for t in range(cuts[p + 1] - 1, a - 1, -1):
-                alpha, scale = kept.pop()
-                x = flat[first[:active[t]] + t]
-                beta = np.ones_like(alpha)
-                if ahead is not None:
+                x, e, alpha, scale = kept.pop()
+                if ahead is None:
+                    share = alpha
+                    ahead = e / scale[:, None]
+                else:
                     m = len(ahead)
-                    beta[:m] = ahead @ model.step.T
+                    beta = ahead @ back
                     self.step += alpha[:m].T @ ahead
-                share = alpha * beta
+                    share = alpha * beta if m == len(x) else np.concatenate([alpha[:m] * beta, alpha[m:]])
+                    ahead = e / scale[:, None]
+                    ahead[:m] *= beta
                 self.symbols.append(x)
                 self.shares.append(share)
                 self.held += len(x)
@@ -256,7 +265,6 @@ class Expected:
                     self._gather()
                 if t == 0:
                     self.start += share.sum(axis=0)
-                ahead = model.emit[x] * beta / scale[:, None]
         self.log += float(log.sum())
 
     def _gather(self):
