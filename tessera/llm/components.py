@@ -1,8 +1,8 @@
 """Connected components of an edge table, by alternating large-star and
 small-star steps.  Each step replaces edges by edges to a neighbourhood's
-minimum: a partial-aggregation minimum per node and a join, so a node with
-many neighbours is never gathered; every round is written to the shared
-folder, and only two numbers reach the driver."""
+minimum: a partial-aggregation minimum per node, written, and a join that AQE
+can split at a node with many neighbours; every round is written to the
+shared folder, and only two numbers reach the driver."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from tessera.llm.common import staged
 def _star(edges: DataFrame, directed: DataFrame, larger: bool) -> DataFrame:
     """Link neighbours to the minimum of each node's neighbourhood: those
     above the node (``larger``), or the node and those below it."""
-    low = directed.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    low = staged(directed.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "cc-low")
     joined = directed.join(low, "u")
     if larger:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -6,12 +6,14 @@ evaluations give a signature of 96 unbiased values, cut into 24 bands of 4:
 two sets of similarity 0.8 share no band with a probability of
 (1 - 0.8^4)^24 = 3e-6.
 
-1. Documents with the same shingle set are one class (aggregation by a
-   128-bit fingerprint of the set); only one representative goes on.
+1. Documents with the same shingle set are one class (aggregation by the
+   digests of two sets of independent shingle hashes); only one
+   representative goes on.
 2. Representatives meet in buckets (band, value).  A bucket is never expanded
    into its pairs: all members are compared with one centre, the member that
    meets most others in all its buckets.
-3. Links are confirmed on the full sets of both texts, with integers.
+3. Links are confirmed on the full sets of both texts, with integers, and on
+   shingle hashes that are independent of those that found the candidates.
 4. Confirmed links give components.  In a bucket that still holds several, the
    members outside the largest are compared with all its members, on the full
    sets, in tiles of bounded blocks; only links leave a tile.  So nothing is
@@ -20,7 +22,7 @@ two sets of similarity 0.8 share no band with a probability of
    similar enough cost more (outer members x members of their bucket).
 
 Minima, counts and distinct rows go through partial aggregation; joins have
-one row per key on one side, which AQE can split on the other.
+one row per key on one side, written before, so AQE can split the other.
 
 Cases: null and empty texts have an empty set, are linked with nothing and
 kept; texts of fewer than 4 words are one shingle; a null id is linked with
@@ -51,11 +53,16 @@ TILE_MEMBERS, TILE_SHINGLES = 512, 500_000
 _ROW = ["id", "text_hash"]
 
 
-def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit fingerprints of the k-word shingles (bytes.lower
-    changes A-Z only)."""
-    h = word_hashes(encoded(text).lower())
-    return np.unique(Rolling(h).windows(min(k, len(h)))) if len(h) else np.empty(0, np.uint64)
+def shingle_sets(text: str | None, k: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted distinct 64-bit fingerprints of the k-word shingles under two
+    independent hashes (bytes.lower changes A-Z only): the first finds
+    candidates, the second decides."""
+    both = word_hashes(encoded(text).lower(), both=True)
+    return [np.unique(Rolling(h, i).windows(min(k, len(h)))) if len(h) else h for i, h in enumerate(both)]
+
+
+def set_digest(s: np.ndarray) -> int:
+    return int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "big", signed=True)
 
 
 def signature(s: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
@@ -80,11 +87,10 @@ def sketches(docs: DataFrame, k: int = SHINGLE, permutations: int = PERMUTATIONS
         for batch in batches:
             n, a, b, bands = [], [], [], []
             for t in batch.column(2):
-                s = shingle_set(t.as_py(), k)
-                digest = xxhash.xxh3_128_digest(s.tobytes())
-                n.append(len(s))
-                a.append(int.from_bytes(digest[:8], "big", signed=True))
-                b.append(int.from_bytes(digest[8:], "big", signed=True))
+                s, exact = shingle_sets(t.as_py(), k)
+                n.append(len(exact))
+                a.append(set_digest(s))
+                b.append(set_digest(exact))
                 sig = signature(s, multipliers) if len(s) else np.empty(0, np.uint64)
                 bands.append([xxhash.xxh3_64_intdigest(v.tobytes(), seed=j) - (1 << 63)
                               for j, v in enumerate(sig.reshape(-1, rows))])
@@ -98,7 +104,7 @@ def sketches(docs: DataFrame, k: int = SHINGLE, permutations: int = PERMUTATIONS
 def _sets(texts: DataFrame, k: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t.as_py(), k).tobytes() for t in batch.column(2)]
+            sets = [shingle_sets(t.as_py(), k)[1].tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())],
                                              names=["id", "text_hash", "shingles"])
     return texts.select(*_ROW, "text").mapInArrow(run, "id long, text_hash long, shingles binary")
@@ -179,11 +185,11 @@ def rest_links(buckets: DataFrame, found: DataFrame, sets: DataFrame, threshold:
     of = (buckets.join(found, buckets["id"] == found["node"], "left")
           .select("bucket", *_ROW, "n", F.coalesce("component", "id").alias("component")))
     parts = of.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
-    mixed = (parts.groupBy("bucket").agg(F.max(F.struct("size", "component", "n")).alias("top"), F.sum("size").alias("size"),
+    mixed = staged(parts.groupBy("bucket").agg(F.max(F.struct("size", "component", "n")).alias("top"), F.sum("size").alias("size"),
                                          F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
              .withColumn("rest_n", F.col("all") - F.col("top.n")).withColumn("rest", F.col("size") - F.col("top.size"))
              .select("bucket", F.col("top.component").alias("top"), _blocks("rest_n", "rest").alias("outer_blocks"),
-                     _blocks("all", "size").alias("all_blocks")))
+                     _blocks("all", "size").alias("all_blocks")), "near-mixed")
     member = of.join(mixed, "bucket").withColumn("at", F.xxhash64(*_ROW))
     outer = member.where(F.col("component") != F.col("top")).select(
         "*", F.lit(True).alias("outer"), F.pmod("at", "outer_blocks").cast("int").alias("i"),
@@ -202,9 +208,11 @@ def links(reps: DataFrame, docs: DataFrame, k: int = SHINGLE, threshold: int = T
     sizes = staged(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-sizes")
     buckets = staged(member.join(sizes, "bucket"), "near-members")
     # the member that meets most others is likest the text that the others were made from
-    met = buckets.groupBy(*_ROW).agg(F.sum("size").alias("met"))
-    centre = (buckets.join(met, _ROW).groupBy("bucket")
-              .agg(F.max(F.struct("met", (-F.col("id")).alias("low"), "text_hash", "n")).alias("c")))
+    # (aggregates that are joined are written first: their joins then read
+    # plain shuffles, which AQE can split at a hot key)
+    met = staged(buckets.groupBy(*_ROW).agg(F.sum("size").alias("met")), "near-met")
+    centre = staged(buckets.join(met, _ROW).groupBy("bucket")
+                    .agg(F.max(F.struct("met", (-F.col("id")).alias("low"), "text_hash", "n")).alias("c")), "near-centres")
     star = buckets.join(centre, "bucket").select(
         (-F.col("c.low")).alias("u"), F.col("c.text_hash").alias("u_hash"), F.col("c.n").alias("u_n"),
         F.col("id").alias("v"), F.col("text_hash").alias("v_hash"), F.col("n").alias("v_n"))
@@ -227,7 +235,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SH
     every = staged(sketches(own, k), "near-sketches")
     able = every.where("id IS NOT NULL AND n > 0")
     same = ["set_a", "set_b", "n"]
-    classes = able.groupBy(*same).agg(F.min(F.struct(*_ROW)).alias("rep"))
+    classes = staged(able.groupBy(*same).agg(F.min(F.struct(*_ROW)).alias("rep")), "near-classes")
     reps = able.join(classes.select("rep.*"), _ROW).select(*_ROW, "n", "bands").dropDuplicates(_ROW)
     found = links(reps, own.where("id IS NOT NULL"), k, threshold)
 

@@ -4,25 +4,27 @@ The words of a text are a walk: every window of ``k`` (50) words is an edge.
 The graph is never stored edge by edge.  A window's *anchor* is its smallest
 20-word k-mer by hash, so windows with the same words have the same anchor
 wherever they stand, and the consecutive windows of one anchor form a short
-path; on average some sixteen windows are one row (anchor, fingerprint of the
-path's words, document, start, length).  Things are compared only under the
-same anchor, so anchor and fingerprint together are 128 bits.  Then, in Spark:
+path; on average some sixteen windows are one row (anchor, 128-bit digest of
+the path's words, document, start, length).  An anchor only says what to
+compare: whether two paths or two windows are equal is always decided by the
+digests of their words, taken from the text at their coordinates, so a weak
+or colliding anchor costs time and changes nothing.  Then, in Spark:
 
 1. Per anchor, partial aggregation gives the smallest and largest document
-   and whether the path's words differ (two fingerprints' minima and maxima,
-   so a hot anchor is five numbers per task, never a gathered group).
+   and whether the paths' words differ (the digests' minima and maxima, so a
+   hot anchor is six numbers per task, never a gathered group).
    Anchors of one document only cannot repeat across documents and end here.
 2. Where all occurrences of an anchor spell the same path, the node does not
    branch: the whole path is compacted and belongs to the smallest document.
 3. Where paths differ (at the borders of a passage, around an edit), the path
    is expanded to its windows, once for each different path, from the text at
    the source coordinates of the smallest document that has it; windows meet
-   by fingerprint, with the smallest document for each.
+   by the digests of their words, with the smallest document for each.
 4. Back at the coordinates of every occurrence, adjoining ranges of repeated
    windows merge into spans, the words they cover go, and what stays is
    assembled from the text.
 
-Rows carry fingerprints and coordinates.  Only texts with a branching path
+Rows carry digests and coordinates.  Only texts with a branching path
 are shuffled, and all texts once more if the merged spans exceed a measured
 broadcast bound.  A text beyond ``PIECE`` words is cut into pieces that overlap by
 k - 1 words, which loses no window.
@@ -44,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import staged
-from tessera.llm.tokens import Rolling, encoded, mix, word_hashes
+from tessera.llm.tokens import Rolling, digests, encoded, word_hashes, word_spans
 
 WINDOW = 50
 ANCHOR = 20
@@ -68,19 +70,16 @@ def _window_minimum(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def _paths(h: np.ndarray, k: int, anchor: int):
-    """Anchor hash, path fingerprint, first window and window count of every
-    path of a piece of a text (word hashes ``h``)."""
-    roll = Rolling(h)
-    kmers = roll.windows(anchor)
+    """Anchor hash, first window, window count and the anchor's place in the
+    path, for every path of a piece of a text (word hashes ``h``)."""
+    kmers = Rolling(h).windows(anchor)
     # the upper bits order k-mers, the lower ones make the leftmost win a tie
     keys = (kmers >> np.uint64(24) << np.uint64(24)) | np.arange(len(kmers), dtype=np.uint64)
     at = (_window_minimum(keys, k - anchor + 1) & np.uint64((1 << 24) - 1)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     count = np.diff(np.r_[first, len(at)])
     where = at[first]
-    # the anchor's place inside the path belongs to its fingerprint
-    path = mix(roll.spans(first, first + count + k - 1) ^ (where - first).astype(np.uint64))
-    return kmers[where], path, first, count
+    return kmers[where], first, count, where - first
 
 
 def _emitted(rows, names):
@@ -106,35 +105,43 @@ def paths(docs: DataFrame, k: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """All paths of all documents (columns doc_id, text_hash, text)."""
     def rows(batch):
         for d, x, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            h = word_hashes(encoded(t.as_py()))
+            data = encoded(t.as_py())
+            h = word_hashes(data)
+            if len(h) < k:
+                continue
+            plain, starts, ends = word_spans(data)
             for p in range(0, len(h) - k + 1, PIECE):
-                a, path, first, count = _paths(h[p:p + PIECE + k - 1], k, anchor)
-                yield (a, path, np.full(len(a), d, np.int64), np.full(len(a), x, np.int64),
-                       (first + p).astype(np.int32), count.astype(np.int32))
+                a, first, count, place = _paths(h[p:p + PIECE + k - 1], k, anchor)
+                first = first + p
+                path = digests(plain, starts[first], ends[first + count + k - 2]).copy()
+                path[0] ^= place.astype(np.uint64)      # where the anchor stands belongs to the path
+                yield (a, *path, np.full(len(a), d, np.int64), np.full(len(a), x, np.int64),
+                       first.astype(np.int32), count.astype(np.int32))
 
     def run(batches):
         for batch in batches:
-            yield from _emitted(rows(batch), ["anchor", "path", "doc_id", "text_hash", "start", "windows"])
+            yield from _emitted(rows(batch), ["anchor", "path", "path2", "doc_id", "text_hash", "start", "windows"])
     return (docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text_hash", "text")
-            .mapInArrow(run, "anchor long, path long, doc_id long, text_hash long, start int, windows int"))
+            .mapInArrow(run, "anchor long, path long, path2 long, doc_id long, text_hash long, start int, windows int"))
 
 
 def _expanded(texts: DataFrame, k: int) -> DataFrame:
     """The windows of the listed paths ``ps`` of every text."""
     def rows(batch):
         for d, t, ps in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-            roll = Rolling(word_hashes(encoded(t.as_py())))
+            plain, starts, ends = word_spans(encoded(t.as_py()))
             for p in ps.as_py():
                 off = np.arange(p["windows"])
                 at = off + p["start"]
-                yield (roll.spans(at, at + k), np.full(len(off), p["anchor"], np.int64),
-                       np.full(len(off), p["path"], np.int64), np.full(len(off), d, np.int64), off.astype(np.int32))
+                yield (*digests(plain, starts[at], ends[at + k - 1]), np.full(len(off), p["anchor"], np.int64),
+                       np.full(len(off), p["path"], np.int64), np.full(len(off), p["path2"], np.int64), np.full(len(off), d, np.int64),
+                       off.astype(np.int32))
 
     def run(batches):
         for batch in batches:
-            yield from _emitted(rows(batch), ["window", "anchor", "path", "doc_id", "offset"])
+            yield from _emitted(rows(batch), ["window", "window2", "anchor", "path", "path2", "doc_id", "offset"])
     return texts.select("doc_id", "text", "ps").mapInArrow(
-        run, "window long, anchor long, path long, doc_id long, offset int")
+        run, "window long, window2 long, anchor long, path long, path2 long, doc_id long, offset int")
 
 
 def repeated_ranges(docs: DataFrame, k: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -142,10 +149,10 @@ def repeated_ranges(docs: DataFrame, k: int = WINDOW, anchor: int = ANCHOR) -> D
     whose words also start in a smaller document; one range per path."""
     per_anchor = paths(docs, k, anchor).groupBy("anchor").agg(
         F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
-        F.min("path").alias("path_min"), F.max("path").alias("path_max"))
+        *[f(c).alias(f"{c}_{n}") for c in ("path", "path2") for n, f in (("min", F.min), ("max", F.max))])
     # written, so that the join below reads plain shuffles, which AQE can split at a hot anchor
     repeated = staged(per_anchor.where("low < high").select(
-        "anchor", "low", (F.col("path_min") != F.col("path_max")).alias("branches")), "dedup-anchors")
+        "anchor", "low", F.expr("path_min != path_max OR path2_min != path2_max").alias("branches")), "dedup-anchors")
     seen = staged(paths(docs, k, anchor).join(repeated, "anchor"), "dedup-repeated")
 
     # nonbranching: the path as a whole comes from the smallest document
@@ -153,7 +160,7 @@ def repeated_ranges(docs: DataFrame, k: int = WINDOW, anchor: int = ANCHOR) -> D
              .select(*_ROW, "start", (F.col("start") + F.col("windows") + (k - 1)).alias("end")))
 
     # branching: every different path once, at its smallest document
-    key = ["anchor", "path"]
+    key, window = ["anchor", "path", "path2"], ["anchor", "window", "window2"]
     forks = (seen.where("branches").groupBy(*key)
              .agg(F.min(F.struct(*_ROW, "start", "windows")).alias("at")))
     wanted = staged(forks.groupBy("at.doc_id", "at.text_hash")
@@ -163,8 +170,8 @@ def repeated_ranges(docs: DataFrame, k: int = WINDOW, anchor: int = ANCHOR) -> D
     if wanted.count() <= BROADCAST_IDS:
         texts = texts.join(F.broadcast(ids), _ROW, "left_semi")
     windows = staged(_expanded(texts.join(wanted, _ROW), k), "dedup-windows")
-    source = staged(windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("source")), "dedup-sources")
-    per_path = staged(windows.drop("doc_id").join(source, ["anchor", "window"])
+    source = staged(windows.groupBy(*window).agg(F.min("doc_id").alias("source")), "dedup-sources")
+    per_path = staged(windows.drop("doc_id").join(source, window)
                       .groupBy(*key).agg(F.collect_set(F.struct("offset", "source")).alias("sources")), "dedup-resolved")
     # windows of a path are fewer than k apart, so theirs is one range
     earlier = F.transform(F.filter("sources", lambda s: s["source"] < F.col("doc_id")), lambda s: s["offset"])

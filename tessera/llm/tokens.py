@@ -4,6 +4,7 @@ inside Arrow batches."""
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 #: Odd multipliers of the two rolling hashes, and their inverses modulo 2^64.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -47,11 +48,8 @@ class Rolling:
         return self.spans(at, at + k)
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-#: Bytes of a text that are hashed at a time.
-BLOCK = 1 << 20
+#: Bytes of a text that are split at a time, and of known words held.
+BLOCK, HELD_BYTES = 1 << 20, 64 << 20
 
 
 def encoded(text: str | None) -> bytes:
@@ -59,20 +57,77 @@ def encoded(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """64-bit fingerprints of the words between ASCII white space, computed on
-    the bytes of a whole block at once (no object per word)."""
-    out, at = [], 0
+def _blocks(data: bytes):
+    """``data`` in blocks that end behind a whole word."""
+    at = 0
     while at < len(data):
         end = at + BLOCK
-        if end < len(data):                     # cut behind a whole word
-            rest = np.flatnonzero(_SPACE[np.frombuffer(data, np.uint8, min(BLOCK, len(data) - end), end)])
-            while not len(rest) and end + BLOCK < len(data):
-                end += BLOCK
-                rest = np.flatnonzero(_SPACE[np.frombuffer(data, np.uint8, min(BLOCK, len(data) - end), end)])
-            end = end + int(rest[0]) if len(rest) else len(data)
-        block = np.frombuffer(data, np.uint8, min(end, len(data)) - at, at)
-        edge = np.diff(np.concatenate([[True], _SPACE[block], [True]]).view(np.int8))
-        out.append(Rolling(_BYTES[block]).spans(np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)))
+        while end < len(data) and data[end] not in b" \t\n\x0b\x0c\r":
+            end += 1
+        yield data[at:end]
         at = end
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def word_digest(word: bytes) -> bytes:
+    """128 bits of a word, hashed as a whole."""
+    return xxhash.xxh3_128_digest(word, seed=0x5EED)
+
+
+class _Known(dict):
+    """Word -> place of its two 64-bit hashes, which are made when a word is
+    first met."""
+
+    def __init__(self):
+        self.hashes, self.fresh, self.bytes = np.empty((2, 1 << 12), np.uint64), [], 0
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self)
+        self.fresh.append(word_digest(word))
+        self.bytes += len(word) + 100
+        return place
+
+    def settled(self) -> np.ndarray:
+        """The hashes of all places."""
+        if self.fresh:
+            new = np.frombuffer(b"".join(self.fresh), np.uint64).reshape(-1, 2).T
+            while self.hashes.shape[1] < len(self):
+                self.hashes = np.concatenate([self.hashes, np.empty_like(self.hashes)], axis=1)
+            self.hashes[:, len(self) - len(self.fresh):len(self)] = new
+            self.fresh = []
+        return self.hashes
+
+
+_known = [_Known()]
+
+
+def word_hashes(data: bytes, both: bool = False):
+    """64-bit hashes of the words between ASCII white space (``both``: and
+    second, independent ones).  A word is hashed as a whole, so no two words
+    of related spelling are likelier to be equal than any others."""
+    parts = [[np.empty(0, np.uint64)], [np.empty(0, np.uint64)]]
+    for block in _blocks(data):
+        if _known[0].bytes > HELD_BYTES:
+            _known[0] = _Known()
+        ws = block.split()
+        at = np.fromiter(map(_known[0].__getitem__, ws), np.int64, len(ws))
+        for out, row in zip(parts[:1 + both], _known[0].settled()):
+            out.append(row.take(at))
+    first, second = (p[-1] if len(p) == 2 else np.concatenate(p) for p in parts)
+    return (first, second) if both else first
+
+
+def word_spans(data: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words of ``data`` joined by single spaces, and where each starts
+    and ends in that."""
+    plain = b" ".join(data.split())
+    gaps = np.flatnonzero(np.frombuffer(plain, np.uint8) == 32)
+    if not plain:
+        return plain, gaps, gaps
+    return plain, np.r_[0, gaps + 1], np.r_[gaps, len(plain)]
+
+
+def digests(plain: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(2, n) numbers: 128 bits of each span [start, end) of bytes."""
+    view = memoryview(plain)
+    joined = b"".join([xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist())])
+    return np.frombuffer(joined, np.uint64).reshape(-1, 2).T

@@ -1,6 +1,7 @@
 """Operators with a fixed result against brute force, on hard rows."""
 
 import math
+import random
 
 import brute
 import pytest
@@ -30,6 +31,45 @@ def test_substring_dedup_in_pieces(spark, documents, monkeypatch):
     assert ordered(got.collect()) == ordered(brute.substring_dedup(PAIRS))
 
 
+def colliding_words(length=2048):
+    """A Thue-Morse word and its complement: equal under every polynomial
+    hash modulo a power of two."""
+    bits = [bin(i).count("1") % 2 for i in range(length)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def few_hashes(monkeypatch, *modules):
+    """Word hashes of eight bits where candidates are looked for."""
+    import numpy as np
+    from tessera.llm import tokens
+    whole = tokens.word_hashes
+
+    def weak(data, both=False):
+        first, *second = whole(data, True)
+        return (first & np.uint64(255), *second) if both else first & np.uint64(255)
+    for m in modules:
+        monkeypatch.setattr(m, "word_hashes", weak)
+
+
+def test_words_that_polynomials_confuse(spark):
+    a, b = colliding_words()
+    r = random.Random(8)
+    shared = [f"w{r.randrange(500)}" for _ in range(60)]
+    docs = spark.createDataFrame([(1, " ".join([a, *shared])), (2, " ".join([b, *shared])), (3, a), (4, b)], "doc_id long, text string")
+    got = {x.doc_id: x.n_removed for x in substring_dedup.deduplicated(docs).collect()}
+    assert got == {1: 0, 2: 60, 3: 0, 4: 0}
+    kept = {x.doc_id for x in near_dedup.groups(docs.where("doc_id > 2")).where("kept").collect()}
+    assert kept == {3, 4}
+
+
+def test_weak_hashes_cost_time_and_change_nothing(documents, monkeypatch):
+    few_hashes(monkeypatch, substring_dedup, near_dedup)
+    got = substring_dedup.deduplicated(documents).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert ordered(got.collect()) == ordered(brute.substring_dedup(PAIRS))
+    got = near_dedup.groups(documents).select("doc_id", "n_shingles", "component_id", "kept")
+    assert ordered(got.collect()) == ordered(brute.near_duplicates(PAIRS))
+
+
 def test_decontaminate(clashing, items):
     def one_row(rows):          # identical rows are one document
         return ordered(dict.fromkeys(rows))
