@@ -15,9 +15,10 @@ prior, reaches the threshold.  Fixed rules come first: a rule fits its host
 and all subdomains, if the path starts with the rule's; the longest wins.
 
 All of it is joins and partially aggregated counts over distinct (host, path)
-rows: a hot host spreads over its nodes and paths, no node's branches are
-gathered, and the number of rounds is the depth limit at most (segments below
-it are one tail).
+rows: a hot host spreads over its nodes and paths, and no node's branches are
+gathered.  A path that is alone in its branch has nothing to be compared with
+and is finished at once, so there are as many rounds as the deepest level at
+which two paths still share a node; no level is cut off.
 
 Cases: a null url, or one without ``://``, has an empty host and path; a null
 page id has no label; contradicting labels of a page count as bad; without
@@ -32,8 +33,6 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import ascii_lower, staged
 
-#: Deepest level that has a branch of its own.
-MAX_DEPTH = 8
 Z_SIMILAR = 2.58           # branches whose shares differ by less merge
 PRIOR_STRENGTH = 8.0
 MAX_BAD = 0.6
@@ -61,19 +60,22 @@ def shape(segment: Column) -> Column:
     return F.concat(kind, ending)
 
 
-def templates(paths: DataFrame, max_depth: int = MAX_DEPTH, z_similar: float = Z_SIMILAR) -> DataFrame:
+def templates(paths: DataFrame, z_similar: float = Z_SIMILAR) -> DataFrame:
     """(host, path, template) of the rows (host, path, n, labelled, bad)."""
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    tail = F.when(F.size("_s") > max_depth, F.lit("/**")).otherwise(F.when(F.col("path").endswith("/"), "/").otherwise(""))
-    at = (paths.withColumn("_s", parts).withColumn("_tail", tail).withColumn("node", F.lit("")))
-    at = staged(at, "url-paths")
-    deepest = min(max_depth, at.agg(F.max(F.size("_s"))).first()[0] or 0)
-    for level in range(deepest):
+    tail = F.when(F.col("path").endswith("/"), "/").otherwise("")
+    at = staged(paths.withColumn("_s", parts).withColumn("_tail", tail).withColumn("node", F.lit("")), "url-paths")
+    keep, level, done = ["host", "path", "n", "labelled", "bad"], 0, []
+    while True:
+        done.append(at.where(F.size("_s") <= level).select(*keep, F.concat("node", "_tail").alias("template")))
+        at = at.where(F.size("_s") > level)
+        if at.isEmpty():
+            break
         segment = F.get("_s", F.lit(level))
         here = at.withColumn("_g", segment).withColumn("_b", F.coalesce(shape(segment), segment))
         branch = (here.where("_b IS NOT NULL").groupBy("host", "node", "_b")
                   .agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("bad").alias("b"),
-                       F.max(F.col("_b") != F.col("_g")).alias("wild")))
+                       F.max(F.col("_b") != F.col("_g")).alias("wild"), F.count(F.lit(1)).alias("paths")))
         branch = staged(branch, "url-branches")
         plain = F.when(~F.col("wild"), 1)
         node = branch.groupBy(F.col("host").alias("_h"), F.col("node").alias("_n")).agg(
@@ -87,11 +89,17 @@ def templates(paths: DataFrame, max_depth: int = MAX_DEPTH, z_similar: float = Z
         name = (F.when(F.col("wild"), F.col("_b")).when(F.col("k") == 1, F.col("_b"))
                 .when(differs, F.col("_b")).otherwise(F.lit("*")))
         named = both.select(F.col("host").alias("_h"), F.col("node").alias("_n"), F.col("_b").alias("_k"),
-                            F.concat("node", F.lit("/"), name).alias("_next"))
+                            F.concat("node", F.lit("/"), name).alias("_next"), ((F.col("paths") == 1) & (name != "*")).alias("_alone"))
         at = (here.join(named, (F.col("host") == F.col("_h")) & (F.col("node") == F.col("_n")) & (F.col("_b") == F.col("_k")), "left")
-              .select("host", "path", "n", "labelled", "bad", "_s", "_tail", F.coalesce("_next", "node").alias("node")))
+              .select(*keep, "_s", "_tail", F.coalesce("_next", "node").alias("node"), F.coalesce("_alone", F.lit(False)).alias("_alone")))
         at = staged(at, "url-level")
-    return at.select("host", "path", "n", "labelled", "bad", F.concat("node", "_tail").alias("template"))
+        rest = F.transform(F.slice("_s", level + 2, F.size("_s")), lambda s: F.concat(F.lit("/"), F.coalesce(shape(s), s)))
+        done.append(at.where("_alone").select(*keep, F.concat("node", F.array_join(rest, ""), "_tail").alias("template")))
+        at, level = at.where("NOT _alone").drop("_alone"), level + 1
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def purities(templated: DataFrame, strength: float = PRIOR_STRENGTH) -> DataFrame:
