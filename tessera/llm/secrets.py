@@ -118,10 +118,19 @@ def likelihood_ratio(run: str, model: np.ndarray) -> float:
 
 
 def markov_spans(text: str, base, model: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
-    out = []
+    """Runs whose ratio exceeds ``threshold`` and that touch no base span:
+    both lists are walked once, side by side."""
+    out, taken, at = [], [], 0
+    for start, _, end in sorted(base):                   # base spans of different kinds may overlap
+        if taken and start < taken[-1][1]:
+            taken[-1][1] = max(end, taken[-1][1])
+        else:
+            taken.append([start, end])
     for m in _RUN.finditer(text):
         s, e = m.span()
-        if any(s < end and start < e for start, _, end in base):
+        while at < len(taken) and taken[at][1] <= s:
+            at += 1
+        if at < len(taken) and taken[at][0] < e:
             continue
         if likelihood_ratio(m[0], model) > threshold:
             out.append((s, 3, e))
@@ -152,5 +161,5 @@ def scanned(docs: DataFrame, model: np.ndarray, key: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(n[:, i]) for i in range(3)], pa.array(digests, pa.string()), pa.array(n[:, 3]),
                  pa.array(spans, pa.string())], names=names)
-    return docs.select(docs[f"`{key}`"].cast("long").alias("doc_id"), docs[f"`{text}`"].alias("text")).mapInArrow(
+    return docs.select(docs[f"`{key}`"].try_cast("long").alias("doc_id"), docs[f"`{text}`"].alias("text")).mapInArrow(
         run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, n_markov long, spans string")
