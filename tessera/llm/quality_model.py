@@ -52,7 +52,10 @@ BANDS = (0.01, 0.05, 0.2, 0.5)
 WORD_BITS = 16
 _UNI = 1 << WORD_BITS
 _BI = _UNI + SHAPES * (len(BANDS) + 1)
-EMPTY = _BI + SHAPES * SHAPES * (len(BANDS) + 1)
+#: Slots of neighbouring word pairs, by hash.
+PAIR_BITS = 18
+_PAIRS = _BI + SHAPES * SHAPES * (len(BANDS) + 1)
+EMPTY = _PAIRS + (1 << PAIR_BITS)
 SIZE = EMPTY + 1
 #: Distinct words whose shapes are remembered at a time.
 REMEMBERED = 200_000
@@ -112,6 +115,7 @@ def indicators(text: str | None) -> np.ndarray:
     found = [np.unique(h >> np.uint64(64 - WORD_BITS)).astype(np.int64), _banded(s, _UNI)]
     if len(s) > 1:
         found.append(_banded(s[:-1] * SHAPES + s[1:], _BI))
+        found.append(_PAIRS + np.unique(Rolling(h).windows(2) >> np.uint64(64 - PAIR_BITS)).astype(np.int64))
     return np.concatenate(found)
 
 
@@ -191,8 +195,10 @@ def picked(labels: DataFrame, max_fit: int = MAX_FIT) -> DataFrame:
 
 def fit_labelled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_fit: int = MAX_FIT) -> Model:
     """Fit on the documents that ``labels`` (label, key) names."""
-    some = F.broadcast(picked(labels, max_fit).select("label", "key"))
-    own = docs.select(docs[f"`{key}`"].cast("long").alias("_id"), docs[f"`{text}`"].alias("text"))
+    own = docs.select(docs[f"`{key}`"].try_cast("long").alias("_id"), docs[f"`{text}`"].alias("text"))
+    # only labels that have a document are drawn from
+    there = labels.join(own.select("_id"), F.col("key") == F.col("_id"), "left_semi")
+    some = F.broadcast(picked(staged(there, "quality-labels"), max_fit).select("label", "key"))
     return fit(own.join(some, F.col("_id") == F.col("key")).select("label", "key", "text"), max_fit)
 
 
@@ -239,5 +245,5 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
             s = np.array([model.score(indicators(t.as_py())) for t in batch.column(1)], float)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= cut).astype(np.int32))],
                                              names=["doc_id", "score", "predicted"])
-    return docs.select(docs[f"`{key}`"].cast("long").alias("doc_id"), docs[f"`{text}`"].alias("text")).mapInArrow(
+    return docs.select(docs[f"`{key}`"].try_cast("long").alias("doc_id"), docs[f"`{text}`"].alias("text")).mapInArrow(
         run, "doc_id long, score double, predicted int")

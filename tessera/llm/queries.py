@@ -45,7 +45,7 @@ def op6_quality_classifier(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), F.col("quality").alias("label"))
     out = quality_model.scored(docs, quality_model.fit_labelled(docs, labels.where(_fold(F.col("key")) != 0)))
-    return out.select("doc_id", (_fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", F.coalesce(_fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
