@@ -231,7 +231,7 @@ def links(reps: DataFrame, docs: DataFrame, k: int = SHINGLE, threshold: int = T
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """Per row of ``docs``: doc_id, text_hash, n_shingles, component_id, kept."""
     t = docs[f"`{text}`"]
-    own = docs.select(docs[f"`{key}`"].cast("long").alias("id"), F.xxhash64(t).alias("text_hash"), t.alias("text"))
+    own = docs.select(docs[f"`{key}`"].try_cast("long").alias("id"), F.xxhash64(t).alias("text_hash"), t.alias("text"))
     every = staged(sketches(own, k), "near-sketches")
     able = every.where("id IS NOT NULL AND n > 0")
     same = ["set_a", "set_b", "n"]
@@ -260,7 +260,7 @@ def drop_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
     c = docs[f"`{key}`"]
-    left = docs.join(gone, (c.cast("long") == gone["_d"]) & (F.xxhash64(docs[f"`{text}`"]) == gone["_t"]), "left_anti")
+    left = docs.join(gone, (c.try_cast("long") == gone["_d"]) & (F.xxhash64(docs[f"`{text}`"]) == gone["_t"]), "left_anti")
     again = staged(left.where(left[f"`{key}`"].isNotNull()).groupBy(left[f"`{key}`"].alias("_d"))
                    .agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_d"), "near-repeated")
     if again.isEmpty():

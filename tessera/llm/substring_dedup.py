@@ -206,7 +206,7 @@ def _clean(batches):
 
 def _own(docs: DataFrame, key: str, text: str) -> DataFrame:
     t = docs[f"`{text}`"]
-    return docs.select(docs[f"`{key}`"].cast("long").alias("doc_id"), F.xxhash64(t).alias("text_hash"), t.alias("text"))
+    return docs.select(docs[f"`{key}`"].try_cast("long").alias("doc_id"), F.xxhash64(t).alias("text_hash"), t.alias("text"))
 
 
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:

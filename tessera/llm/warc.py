@@ -224,7 +224,7 @@ def responses(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
                     ("WARC-Target-URI", u or ""), ("WARC-Payload-Digest", digest(payload)), ("WARC-Block-Digest", digest(block)),
                     ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))], block, compress))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["page_id", "record"])
-    return pages.select(pages[f"`{key}`"].cast("long").alias("page_id"), pages[f"`{url}`"].alias("u"),
+    return pages.select(pages[f"`{key}`"].try_cast("long").alias("page_id"), pages[f"`{url}`"].alias("u"),
                         pages[f"`{page}`"].alias("h")).mapInArrow(run, "page_id long, record binary")
 
 

@@ -28,6 +28,36 @@ def samples(seed, n):
     return rows
 
 
+def test_markov_spans_are_found_in_linear_time():
+    import time
+    model = np.full((secrets.SIZE - 2, secrets.SIZE - 2), 9.0)
+    text = "password=abcdefgh1 and aB3xY9kLq7Zr2WvT8mNcR4tU here " * 20_000
+    base = secrets.base_spans(text)
+    start = time.time()
+    got = secrets.markov_spans(text, base, model)
+    assert time.time() - start < 30 and len(got) == 20_000 == len(base)
+    few = "password=abcdefgh1 x aB3xY9kLq7Zr2WvT8mNcR4tU secret=password=abcdefgh12345678901234"
+    base = secrets.base_spans(few)
+    want = [(m.start(), 3, m.end()) for m in secrets._RUN.finditer(few) if not any(m.start() < e and s < m.end() for s, _, e in base)]
+    assert secrets.markov_spans(few, base, model) == want
+
+
+def test_ids_that_are_no_numbers_count_as_null(spark):
+    docs = spark.createDataFrame([("a", "one two three four five"), ("7", "one two three four five"), ("3", "one two three four five")], "doc_id string, text string")
+    from tessera.llm import near_dedup, substring_dedup
+    assert {(r.doc_id, r.kept) for r in near_dedup.groups(docs).collect()} == {(None, True), (3, True), (7, False)}
+    assert substring_dedup.deduplicated(docs, k=3, anchor=2).where("n_removed > 0").select("doc_id").collect() == [(7,)]
+    assert secrets.scanned(docs, secrets.trained(docs)).count() == 3
+
+
+def test_labels_without_a_document_are_not_drawn(spark):
+    docs = spark.createDataFrame([(i, f"text {i} " + ("good prose here. " if i % 2 else "BUY!!! $$$ ") * 9) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i * 500, i % 2) for i in range(1, 3000)] + [(i, i % 2) for i in range(200)], "key long, label int")
+    model = quality_model.fit_labelled(docs, labels, max_fit=200)
+    out = quality_model.scored(docs, model).collect()
+    assert sum((r.score > 0.5) == bool(r.doc_id % 2) for r in out) > 195
+
+
 def test_markov_models_separate_held_out_samples(spark):
     model = secrets.trained(spark.createDataFrame(samples(1, 400), "text string, random int"), label="random")
     held = samples(2, 300)
@@ -254,11 +284,69 @@ def test_templates_follow_labels(spark):
     got = {(r.host, r.template): r.verdict for r in out.select("host", "template", "verdict").distinct().collect()}
     assert got[("h.example", "/spam/{n}.html")] == "block" and got[("h.example", "/*/{n}.html")] == "allow"
     assert {t for h, t in got if h == "many.example"} == {"/*/profile"}
-    assert got[("deep.example", "/a/b/c/d/e/f/g/h/**")] == "allow" and ("", "") in got
+    assert got[("deep.example", "/a/b/c/d/e/f/g/h/i/j/k")] == "allow" and ("", "") in got
     again = url_filter.verdicts(pages.repartition(5), spark.createDataFrame(labels, "page_id long, bad int"), RULES)
     assert ordered(out.collect()) == ordered(again.collect())
 
 
+def test_sections_below_any_depth_are_told_apart(spark):
+    deep = "/".join("abcdefgh")
+    rows = [(i, f"http://deep.example/{deep}/{('clean', 'bad')[i % 2]}/{'xyz'[i % 3]}page-{'abcdefghij'[i % 10]}/{i}") for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "page_id long, bad int")
+    out = url_filter.verdicts(pages, labels, RULES).collect()
+    assert {(r.page_id % 2, r.verdict) for r in out} == {(0, "allow"), (1, "block")}
+
+
+def plain_templates(rows, z=url_filter.Z_SIMILAR):
+    """The template tree of (path, labelled, bad) rows of one host, node by node."""
+    import re
+
+    def shape(s):
+        stem = re.sub(r"\.[A-Za-z]{1,5}$", "", s)
+        kind = ("{n}" if re.fullmatch("[0-9]+", stem) else "{date}" if re.fullmatch("[0-9]{4}-[0-9]{1,2}(-[0-9]{1,2})?", stem)
+                else "{hex}" if re.fullmatch("(?=.*[0-9])[0-9a-fA-F-]{8,}", stem)
+                else "{id}" if 2 * sum(c.isdigit() for c in stem) > len(stem) else None)
+        return None if kind is None else kind + s[len(stem):]
+
+    def grow(rows, node):
+        branches = {}
+        for path, parts, l, b in rows:
+            if not parts:
+                out[path] = node + ("/" if path.endswith("/") else "")
+            else:
+                branches.setdefault(shape(parts[0]) or parts[0], []).append((path, parts, l, b))
+        plain = {k: rs for k, rs in branches.items() if shape(rs[0][1][0]) is None}
+        al, ab = (sum(r[i] for rs in plain.values() for r in rs) for i in (2, 3))
+        following = {}
+        for k, rs in branches.items():
+            name, l, b = k, sum(r[2] for r in rs), sum(r[3] for r in rs)
+            if k in plain and len(plain) > 1:
+                differs = False
+                if l and al > l:
+                    share = ab / al
+                    differs = abs(b / l - (ab - b) / (al - l)) > z * (share * (1 - share) * (1 / l + 1 / (al - l))) ** 0.5
+                name = k if differs else "*"
+            following.setdefault(name, []).extend((p, parts[1:], l, b) for p, parts, l, b in rs)
+        for name, rs in following.items():
+            grow(rs, f"{node}/{name}")
+    out = {}
+    grow([(p, [s for s in p.split("/") if s], l, b) for p, l, b in rows], "")
+    return out
+
+
+def test_templates_equal_a_plain_tree(spark):
+    r = random.Random(6)
+    paths = {"/" + "/".join(r.choice(["news", "sport", "spam", "x9", "12", "2020-01", "abcdef12", "a.html"]) for _ in range(r.randint(0, 6))) + r.choice(["", "/"])
+             for _ in range(400)}
+    rows = []
+    for p in sorted(paths):
+        n = r.randint(1, 6)
+        rows.append(("h", p, n, n, sum(r.random() < (0.8 if "spam" in p else 0.1) for _ in range(n))))
+    got = url_filter.templates(spark.createDataFrame(rows, "host string, path string, n long, labelled long, bad long")).collect()
+    assert {x.path: x.template for x in got} == plain_templates([(p, l, b) for _, p, _, l, b in rows])
+
+
 def test_bad_section_among_thin_siblings_stays(spark):
     """Many branches of a page each merge, the section that differs from them does not."""
     rows = [(i, f"http://hot.example/slug{'abcdefghij'[i % 10]}x{i}y/view") for i in range(1000)]
