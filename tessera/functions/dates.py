@@ -35,20 +35,33 @@ DATE_FORMATS = (
 )
 
 
+#: What a value must hold for a layout to be worth a try.
+_MARKS = "/.:,T-"
+
+
+def _tried(s: Column, layout: str) -> Column:
+    """``s`` read in one layout, null where it does not fit (never raises,
+    also under ANSI mode).  Values without the layout's separators are not
+    parsed at all: a failing parse costs many times a passing one."""
+    marks = [m for m in _MARKS if m in layout.replace("'T'", "T")]
+    fits = F.lit(True)
+    for m in marks:
+        fits = fits & F.contains(s, F.lit(m))
+    return F.when(fits, F.try_to_timestamp(s, F.lit(layout)))
+
+
 def parse_timestamp(x: Column, formats: list[str] | tuple[str, ...] | None = None) -> Column:
-    """Text → timestamp trying every layout (``formats`` first: a column's
-    own layout, found on a sample, so most rows stop at the first try);
-    unparsable → null (never raises, also under ANSI mode)."""
-    order = list(formats or [])
-    order += [f for f in DATE_FORMATS if f not in order]
+    """Text as timestamp in the first of ``formats`` that fits (default: all
+    known layouts, in their fixed order); null where none does."""
     s = F.trim(x.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in order])
+    order = list(DATE_FORMATS if formats is None else formats)
+    return F.coalesce(*[_tried(s, f) for f in order]) if order else F.lit(None).cast("timestamp")
 
 
-def format_shares(x: Column) -> list[Column]:
-    """Per layout: 1.0 when the value parses with it (for averaging on a sample)."""
+def layout_readings(x: Column) -> list[Column]:
+    """The value read in every known layout, in their fixed order."""
     s = F.trim(x.cast("string"))
-    return [F.try_to_timestamp(s, F.lit(fmt)).isNotNull().cast("double") for fmt in DATE_FORMATS]
+    return [_tried(s, f) for f in DATE_FORMATS]
 
 
 def calendar_columns(x: Column) -> dict[str, Column]:

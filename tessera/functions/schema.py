@@ -65,3 +65,12 @@ def col(name: str):
     """``F.col`` that tolerates dots, spaces and backticks in the name."""
     from pyspark.sql import functions as F
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(name: str, taken) -> str:
+    """``name``, with underscores added until no column has it (names are
+    compared without case, as Spark does)."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.quantiles import group_quantiles, kth_smallest
-from tessera.functions.schema import DATETIME_TYPES, NUMERIC_TYPES, col
+from tessera.functions.schema import DATETIME_TYPES, NUMERIC_TYPES, col, free_name
 from tessera.session import cut_lineage
 from tessera.operators.relations import bin_edges, with_bins
 
@@ -51,36 +51,37 @@ def sample_rows(df: DataFrame, keys: list[str], n: int = MAX_SCATTER_ROWS,
     threshold that still holds n rows — about 2n when keys are distinct —
     reach the ordered limit.  When copies of some key crowd that band, the
     cut-off is found exactly instead (``_sample_by_cut``)."""
-    base = df.withColumn("_h", hash_bucket(keys, seed))
+    h = free_name("_h", df.columns)
+    base = df.withColumn(h, hash_bucket(keys, seed))
     row = base.agg(F.count(F.lit(1)).alias("c0"),
-                   *[F.sum((F.col("_h") < F.lit(1 << (32 - j))).cast("long")).alias(f"c{j}")
+                   *[F.sum((F.col(h) < F.lit(1 << (32 - j))).cast("long")).alias(f"c{j}")
                      for j in range(1, 33)]).collect()[0]
     below = [int(row[f"c{j}"] or 0) for j in range(33)]       # below[j]: rows with bucket < 2^(32-j)
     m = min(n, below[0])
     if m == 0:
-        out = base.limit(0).drop("_h")
-        return out.select(*columns) if columns else out
+        out = base.limit(0).drop(h)
+        return out.select(*[col(c) for c in columns]) if columns else out
     j = max(i for i in range(33) if below[i] >= m)
-    cand = base.where(F.col("_h") < F.lit(1 << (32 - j))) if j else base
+    cand = base.where(F.col(h) < F.lit(1 << (32 - j))) if j else base
     if below[j] <= SAMPLE_CANDIDATE_FACTOR * m + SAMPLE_CANDIDATE_SLACK:
-        out = cand.orderBy("_h", *keys).limit(m).drop("_h")
+        out = cand.orderBy(h, *[col(k) for k in keys]).limit(m).drop(h)
     else:
-        out = _sample_by_cut(cand, keys, m, float((1 << (32 - j)) - 1), below[j]).drop("_h")
-    return out.select(*columns) if columns else out
+        out = _sample_by_cut(cand, h, keys, m, float((1 << (32 - j)) - 1), below[j]).drop(h)
+    return out.select(*[col(c) for c in columns]) if columns else out
 
 
-def _sample_by_cut(cand: DataFrame, keys: list[str], m: int, hi: float, size: int) -> DataFrame:
-    """The m smallest rows of ``cand`` by (``_h``, keys) when copies of a key
+def _sample_by_cut(cand: DataFrame, h: str, keys: list[str], m: int, hi: float, size: int) -> DataFrame:
+    """The m smallest rows of ``cand`` by (``h``, keys) when copies of a key
     make the band too large for one ordered merge: the m-th bucket is an
     exact order statistic (distributed refinement), buckets below it are
     taken whole, keys on it are settled from one count per distinct key, and
     of the cut-off key's copies (interchangeable in this order) each input
     partition contributes a quota of its first rows."""
-    long_df = cand.select(F.lit("all").alias("g"), F.col("_h").cast("double").alias("x"))
+    long_df = cand.select(F.lit("all").alias("g"), F.col(h).cast("double").alias("x"))
     cut = int(kth_smallest(long_df, {"all": [m - 1]}, {"all": (0.0, hi)}, counts={"all": size})[("all", m - 1)])
     key_struct = F.struct(*[col(k).alias(k) for k in keys])
-    at_cut, below = F.col("_h") == F.lit(cut), F.col("_h") < F.lit(cut)
-    tied = (cand.where(F.col("_h") <= F.lit(cut))
+    at_cut, below = F.col(h) == F.lit(cut), F.col(h) < F.lit(cut)
+    tied = (cand.where(F.col(h) <= F.lit(cut))
             .groupBy(F.when(at_cut, key_struct).alias("_k"))
             .agg(F.sum(below.cast("long")).alias("below"), F.count(F.lit(1)).alias("n")).collect())
     need = m - sum(int(r["below"] or 0) for r in tied)
@@ -94,9 +95,10 @@ def _sample_by_cut(cand: DataFrame, keys: list[str], m: int, hi: float, size: in
     types = {f.name: f.dataType for f in cand.schema.fields}
     lit_key = F.struct(*[F.lit(v).cast(types[k]).alias(k) for k, v in zip(keys, cut_key)])
     whole = cand.where(below | (at_cut & (key_struct < lit_key)))
+    mid, of, share = (free_name(n, cand.columns) for n in ("_mid", "_pid", "_quota"))
     # written, so that counting and taking see the same places
-    copies = cut_lineage(cand.where(at_cut & (key_struct == lit_key)).withColumn("_mid", F.monotonically_increasing_id()))
-    pid = F.shiftright("_mid", 33)
+    copies = cut_lineage(cand.where(at_cut & (key_struct == lit_key)).withColumn(mid, F.monotonically_increasing_id()))
+    pid = F.shiftright(mid, 33)
     per_part = sorted((int(r["pid"]), int(r["n"])) for r in
                       copies.groupBy(pid.alias("pid")).agg(F.count(F.lit(1)).alias("n")).collect())
     quotas, left = [], quota
@@ -105,10 +107,10 @@ def _sample_by_cut(cand: DataFrame, keys: list[str], m: int, hi: float, size: in
             break
         quotas.append((p, min(c, left)))
         left -= quotas[-1][1]
-    q = cand.sparkSession.createDataFrame(quotas, "_pid long, _quota long")
-    local = F.col("_mid") - F.shiftleft(pid, 33)
-    taken = (copies.join(F.broadcast(q), pid == F.col("_pid"))
-             .where(local < F.col("_quota")).drop("_mid", "_pid", "_quota"))
+    q = cand.sparkSession.createDataFrame(quotas, f"{of} long, {share} long")
+    local = F.col(mid) - F.shiftleft(pid, 33)
+    taken = (copies.join(F.broadcast(q), pid == F.col(of))
+             .where(local < F.col(share)).drop(mid, of, share))
     return whole.unionByName(taken)
 
 
@@ -188,13 +190,14 @@ def violin_density(df: DataFrame, column: str, group_by: str, bins: int = 20) ->
     """V3: per-group density histogram on shared edges (the violin outline);
     density = count / (group rows × bin width)."""
     x = col(column).cast("double")
+    x = F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)       # no edge can lie at NaN or infinity
     r = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).collect()[0]
     if r["lo"] is None:
         return df.sparkSession.createDataFrame([], f"{group_by} string, bin int, bin_start double, "
                                                "bin_end double, count long, density double")
     edges = bin_edges(r["lo"], r["hi"], bins)
     e = F.array(*[F.lit(v) for v in edges])
-    binned = with_bins(df, {"bin": F.when(~F.isnan(x), x)}, {"bin": edges}, keep=[group_by])
+    binned = with_bins(df, {"bin": x}, {"bin": edges}, keep=[group_by])
     counted = (binned.where(F.col(group_by).isNotNull() & F.col("bin").isNotNull())
                .groupBy(group_by, "bin").agg(F.count(F.lit(1)).alias("count")))
     totals = F.sum("count").over(_group_window(group_by))

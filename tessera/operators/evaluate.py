@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.schema import col, group_of
 from tessera.operators.ordered import row_index, running_total
+from tessera.session import cut_lineage
 
 REGRESSION_METRICS = ("MAE", "RMSE", "R2")
 CLASSIFICATION_METRICS = ("Accuracy", "Precision", "Recall", "F1", "ROC AUC")
@@ -92,29 +93,33 @@ def roc_auc_frame(df: DataFrame, label: str = "label", score: str = "score") ->
 def weighted_ovr_auc(df: DataFrame, label: str, prob_cols: dict[str, str]) -> float | None:
     """Support-weighted one-vs-rest AUC for multi-class scores.
 
-    All classes in one pass: every row gives one (class, score, is-class)
-    triple per class, counted by ``groupBy(class, score)``; the negatives
-    before each score come from one running total grouped by class (blocks
-    cut on the score), and each class's rank sum is one grouped aggregate.
-    Classes without support, or without positives or negatives among the
-    scored rows, are left out of the weighting."""
-    from pyspark import StorageLevel
+    All classes in one pass: every row gives a (class, score, is-class)
+    triple for each of its scores that is not 0, counted by
+    ``groupBy(class, score)``; most scores of many classes are 0, and how
+    many rows and positives have it follows from the counts of the others.
+    The negatives before each score come from one running total grouped by
+    class, and each class's rank sum is one grouped aggregate.  Classes
+    without support, or without positives or negatives among the scored rows,
+    are left out of the weighting."""
     lab = col(label).cast("string")
-    triples = (df.where(col(label).isNotNull())
-               .select(F.explode(F.array(*[
-                   F.struct(F.lit(c).alias("c"), col(p).cast("double").alias("s"),
-                            (lab == F.lit(c)).cast("long").alias("y"))
-                   for c, p in prob_cols.items()])).alias("r"))
-               .select("r.*"))
-    by = (triples.groupBy("c", "s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-          .persist(StorageLevel.MEMORY_AND_DISK))
-    supports = {r["c"]: int(r["n"] or 0) for r in by.groupBy("c").agg(F.sum("pos").alias("n")).collect()}
-    scored = by.where(F.col("s").isNotNull() & ~F.isnan("s"))
+    labelled = df.where(col(label).isNotNull())
+    scores = F.array(*[F.struct(F.lit(c).alias("c"), col(p).cast("double").alias("s"),
+                                (lab == F.lit(c)).cast("long").alias("y")) for c, p in prob_cols.items()])
+    other = F.filter(scores, lambda r: r["s"].isNull() | (r["s"] != 0))
+    by = cut_lineage(labelled.select(F.inline(other)).groupBy("c", "s").agg(
+        F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")))
+    sizes = cut_lineage(labelled.groupBy(lab.alias("c")).agg(F.count(F.lit(1)).alias("support")))
+    rows = sizes.agg(F.sum("support")).first()[0] or 0
+    classes = df.sparkSession.createDataFrame([(c,) for c in prob_cols], "c string").join(sizes, "c", "left").join(
+        by.groupBy("c").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")), "c", "left").fillna(0)
+    supports = {r["c"]: r["support"] for r in classes.select("c", "support").collect()}
+    zero = classes.select("c", F.lit(0.0).alias("s"), (F.col("support") - F.col("p")).alias("pos"),
+                          (F.lit(rows) - F.col("support") - F.col("n")).alias("neg")).where("pos + neg > 0")
+    scored = by.where(F.col("s").isNotNull() & ~F.isnan("s")).unionByName(zero)
     with_before = running_total(scored, "s", "neg", name="neg_before", group="c")
     per = with_before.groupBy("c").agg(
         F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") * 0.5)).alias("u"),
         F.sum("pos").alias("P"), F.sum("neg").alias("N")).collect()
-    by.unpersist(blocking=False)
     total, acc = 0, 0.0
     for r in per:
         n = supports.get(r["c"], 0)

@@ -17,9 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.dates import DATE_FORMATS
 from tessera.functions.schema import classify_columns, col
 from tessera.session import cut_lineage
-from tessera.operators.clean import detect_date_columns, extract_datetime_features, parse_date_columns
+from tessera.operators.clean import apply_dates, detect_date_columns, extract_datetime_features, plan_dates
 from tessera.operators.ordered import dense_index
 from tessera.operators.profile import distinct_counts
 
@@ -259,26 +260,38 @@ def apply_target(df: DataFrame, enc: TargetEncoding) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# P13 / P14 / E4 / E5 composite
+# The feature model
 # ---------------------------------------------------------------------------
+TARGET, DATE, TEXT_DATE, ID, CATEGORY, VALUE = "target", "date", "text date", "id", "category", "value"
+
+
+def column_roles(df: DataFrame, target: str | None = None, exclude_ids: bool = True, text_dates: bool = True) -> dict[str, str]:
+    """What each column is to a model.  Text that looks like dates stays a
+    candidate for a feature (only typed dates are none); id-like columns are
+    found in one job over all candidates."""
+    groups = classify_columns(df)
+    roles = {c: DATE if c in groups.datetime else CATEGORY if c in groups.categorical else VALUE for c in df.columns}
+    if text_dates:
+        roles |= dict.fromkeys(detect_date_columns(df), TEXT_DATE)
+    if target is not None:
+        roles[target] = TARGET
+    tested = [c for c, r in roles.items() if r not in (TARGET, DATE)]
+    if exclude_ids and target is not None and tested:
+        roles |= dict.fromkeys(id_columns(df, tested), ID)
+    return roles
+
+
 def get_datetime_columns(df: DataFrame) -> list[str]:
-    typed = list(classify_columns(df).datetime)
-    out = list(typed)
-    for c in detect_date_columns(df):
-        if c not in out:
-            out.append(c)
-    return out
+    """Typed dates, then text that looks like dates."""
+    roles = column_roles(df)
+    return [c for kind in (DATE, TEXT_DATE) for c, r in roles.items() if r == kind]
 
 
 def select_feature_columns(df: DataFrame, target: str, exclude_ids: bool = True) -> tuple[list[str], list[str], list[str]]:
-    """(features, datetime columns, excluded id columns): drop the target,
-    timestamp-typed columns and id-like columns (ratio test in one job)."""
-    dates = get_datetime_columns(df)
-    typed = set(classify_columns(df).datetime)
-    candidates = [c for c in df.columns if c != target and not (c in dates and c in typed)]
-    ids = set(id_columns(df, candidates)) if exclude_ids and candidates else set()
-    features = [c for c in candidates if c not in ids]
-    return features, dates, [c for c in candidates if c in ids]
+    """(features, datetime columns, excluded id columns)."""
+    roles = column_roles(df, target, exclude_ids, text_dates=False)
+    by = {r: [c for c in df.columns if roles[c] == r] for r in (ID, CATEGORY, VALUE)}
+    return [c for c in df.columns if c in by[CATEGORY] + by[VALUE]], get_datetime_columns(df), by[ID]
 
 
 @dataclass
@@ -291,6 +304,10 @@ class EncodingDetail:
 
 @dataclass
 class FeatureModel:
+    """Everything that turns raw rows into features: the layout of every date
+    column, the calendar parts made of them, the columns that stay, and the
+    encoder of each category.  ``transform`` applies it, to the rows it was
+    fitted on as to new ones."""
     target: str
     date_columns: list[str]
     datetime_features: list[str]
@@ -302,6 +319,8 @@ class FeatureModel:
     onehots: dict[str, OneHotEncoding] = field(default_factory=dict)
     targets: dict[str, TargetEncoding] = field(default_factory=dict)
     details: list[EncodingDetail] = field(default_factory=list)
+    date_formats: dict[str, list[str]] = field(default_factory=dict)
+    date_values_lost: dict[str, int] = field(default_factory=dict)
 
     def encoding_summary(self, spark) -> DataFrame:
         """Column, strategy, distinct values, number of output columns."""
@@ -309,96 +328,107 @@ class FeatureModel:
             [(d.column, d.strategy, d.unique_count, len(d.output_columns)) for d in self.details],
             "column_name string, strategy string, unique_values long, output_columns long")
 
-
-def encode_categorical_columns(df: DataFrame, fit_df: DataFrame, categorical: list[str], target: str,
-                               use_target_encoding: bool = True) -> tuple[DataFrame, list[EncodingDetail],
-                                                                          dict, dict, dict]:
-    plans = plan_encodings(fit_df, categorical)
-    labels, onehots, targets, details = {}, {}, {}, []
-    out = df
-    for c, (strategy, n) in plans.items():
+    def dated(self, df: DataFrame) -> DataFrame:
+        """Dates read in their layouts (typed ones that come as text in any), calendar parts added."""
+        out = apply_dates(df, {c: self.date_formats.get(c, DATE_FORMATS) for c in self.date_columns})
+        return extract_datetime_features(out, self.date_columns)[0] if self.datetime_features else out
+
+    def encoded(self, df: DataFrame, unseen_label: int | None) -> DataFrame:
+        """Categories replaced by their encoders' columns."""
+        for c in self.raw_features:
+            if c in self.onehots:
+                df = apply_onehot(df, self.onehots[c])
+            elif c in self.targets:
+                df = apply_target(df, self.targets[c])
+            elif c in self.labels:
+                df = apply_label(df, self.labels[c], unseen=unseen_label)
+        return df
+
+    def transform(self, df: DataFrame, unseen_label: int | None = 0, carry: list[str] | None = None) -> DataFrame:
+        """``carry`` columns unchanged, the features, the target if it
+        is there.  Inputs that are missing count as null, features that
+        cannot be made as 0."""
+        kept = [c for c in (carry or []) if c in df.columns]
+        tail = [self.target] if self.target in df.columns and self.target not in kept else []
+        gaps = {c: F.lit(None).cast("string") for c in self.raw_features + self.date_columns
+                if c not in df.columns and c not in self.datetime_features}
+        rows = self.dated(df.withColumns(gaps))
+        own = [c for c in self.raw_features if c not in kept]
+        out = self.encoded(rows.select(*[col(c) for c in kept + own + tail]), unseen_label)
+        features = [col(c) if c in out.columns else F.lit(0).alias(c) for c in self.feature_names]
+        return out.select(*[col(c) for c in kept], *features, *[col(c) for c in tail])
+
+
+def fit_encoders(df: DataFrame, categories: list[str], target: str, use_target_encoding: bool = True) -> dict[str, tuple]:
+    """``{column: (strategy, distinct values, encoder)}``."""
+    out = {}
+    for c, (strategy, n) in plan_encodings(df, categories).items():
         if strategy == "target" and not use_target_encoding:
             strategy = "label"
-        if strategy == "onehot":
-            enc = fit_onehot(fit_df, c)
-            onehots[c] = enc
-            out = apply_onehot(out, enc)
-            details.append(EncodingDetail(c, strategy, n, enc.output_columns))
-        elif strategy == "target":
-            enc = fit_target(fit_df, c, target)
-            targets[c] = enc
-            out = apply_target(out, enc)
-            details.append(EncodingDetail(c, strategy, n, [enc.output_column]))
-        else:
-            enc = fit_label(fit_df, c)
-            labels[c] = enc
-            out = apply_label(out, enc)
-            details.append(EncodingDetail(c, strategy, n, [c]))
-    return out, details, labels, onehots, targets
-
-
-def engineer_features(df: DataFrame, target: str, *, use_target_encoding: bool = True,
-                      add_datetime_features: bool = True, exclude_ids: bool = True,
-                      fit_on: DataFrame | None = None,
+        fit = {"onehot": lambda: fit_onehot(df, c), "target": lambda: fit_target(df, c, target), "label": lambda: fit_label(df, c)}
+        out[c] = (strategy, n, fit[strategy]())
+    return out
+
+
+def _outputs(column: str, encoder) -> list[str]:
+    if isinstance(encoder, OneHotEncoding):
+        return encoder.output_columns
+    return [encoder.output_column] if isinstance(encoder, TargetEncoding) else [column]
+
+
+def encode_categorical_columns(df: DataFrame, fit_df: DataFrame, categorical: list[str], target: str,
+                               use_target_encoding: bool = True) -> tuple[DataFrame, FeatureModel]:
+    """The categories of ``df`` encoded as fitted on ``fit_df``, and the model that did it."""
+    model = _with_encoders(FeatureModel(target, [], [], list(categorical), [], [], []),
+                           fit_encoders(fit_df, categorical, target, use_target_encoding))
+    return model.encoded(df, None), model
+
+
+def _with_encoders(model: FeatureModel, encoders: dict[str, tuple]) -> FeatureModel:
+    places = {"label": model.labels, "onehot": model.onehots, "target": model.targets}
+    for c, (strategy, n, encoder) in encoders.items():
+        places[strategy][c] = encoder
+        model.details.append(EncodingDetail(c, strategy, n, _outputs(c, encoder)))
+    in_place = [c for c in model.raw_features if c not in model.onehots and c not in model.targets]
+    model.feature_names = in_place + [o for c in model.raw_features if c not in in_place for o in _outputs(c, encoders[c][2])]
+    return model
+
+
+def fit_feature_model(df: DataFrame, target: str, *, use_target_encoding: bool = True, add_datetime_features: bool = True,
+                      exclude_ids: bool = True, date_columns: list[str] | None = None) -> FeatureModel:
+    """Everything E5 learns, from the rows ``df``."""
+    dates = plan_dates(df, date_columns)
+    layouts = {c: x for c, x in dates.items() if x}
+    model = FeatureModel(target, list(dates), [], [], [], [], [], date_formats={c: list(x.formats) for c, x in layouts.items()},
+                         date_values_lost={c: x.lost for c, x in layouts.items() if x.lost})
+    if add_datetime_features and dates:
+        model.datetime_features = extract_datetime_features(apply_dates(df, model.date_formats), model.date_columns)[1]
+    rows = model.dated(df)
+    roles = column_roles(rows, target, exclude_ids, text_dates=False)
+    model.raw_features = [c for c in rows.columns if roles[c] in (CATEGORY, VALUE)]
+    model.excluded_ids = [c for c in rows.columns if roles[c] == ID]
+    model.dropped_columns = [c for c in rows.columns if roles[c] in (ID, DATE)]
+    return _with_encoders(model, fit_encoders(rows, [c for c in model.raw_features if roles[c] == CATEGORY], target, use_target_encoding))
+
+
+def engineer_features(df: DataFrame, target: str, *, use_target_encoding: bool = True, add_datetime_features: bool = True,
+                      exclude_ids: bool = True, fit_on: DataFrame | None = None,
                       carry: list[str] | None = None) -> tuple[DataFrame, FeatureModel]:
-    """E5: parse dates → calendar features → choose features → encode.
-
-    Returns the processed DataFrame (features + target column) and the fitted
-    model.  ``fit_on`` (default: ``df``) is the data the encoders are fitted
-    on — pass the training split to avoid target leakage.  ``carry`` columns
-    (row keys) are passed through unchanged and are never features.
-    """
-    carry = [c for c in (carry or []) if c != target]
+    """E5: the features of ``df`` (and its target) with the model that makes
+    them.  The model is fitted on ``fit_on`` (default: ``df``; pass the
+    training rows to avoid target leakage), its date columns are those of
+    ``df``.  ``carry`` columns (row keys) pass through and are no features."""
     if target not in df.columns:
         raise ValueError(f"no column {target} to predict")
-    dates = get_datetime_columns(df)
-    working, parsed = parse_date_columns(df, dates)
-    added: list[str] = []
-    if add_datetime_features and parsed:
-        working, added = extract_datetime_features(working, parsed)
-    fit_df = working
-    if fit_on is not None:
-        fit_df, _ = parse_date_columns(fit_on, dates)
-        if add_datetime_features and parsed:
-            fit_df, _ = extract_datetime_features(fit_df, parsed)
-    features, _, excluded = select_feature_columns(fit_df.drop(*carry), target, exclude_ids=exclude_ids)
-    dropped = [c for c in working.columns if c not in features and c != target and c not in carry]
-    cats = [c for c in classify_columns(working.select(*[col(c) for c in features])).categorical]
-    selected = working.select(*[col(c) for c in features], col(target), *[col(c) for c in carry])
-    fit_sel = fit_df.select(*[col(c) for c in features], col(target))
-    encoded, details, labels, onehots, targets = encode_categorical_columns(
-        selected, fit_sel, cats, target, use_target_encoding)
-    names = [c for c in encoded.columns if c != target and c not in carry]
-    processed = encoded.select(*[col(c) for c in carry], *[col(c) for c in names], col(target))
-    model = FeatureModel(target, parsed, added, features, excluded, dropped, names,
-                         labels, onehots, targets, details)
-    return processed, model
+    keys = [c for c in (carry or []) if c != target]
+    rows = (df if fit_on is None else fit_on).drop(*keys)
+    model = fit_feature_model(rows, target, use_target_encoding=use_target_encoding, add_datetime_features=add_datetime_features,
+                              exclude_ids=exclude_ids, date_columns=None if fit_on is None else get_datetime_columns(df.drop(*keys)))
+    return model.transform(df, unseen_label=None, carry=keys), model
 
 
 def transform_features(df: DataFrame, model: FeatureModel, unseen_label: int = 0,
                        carry: list[str] | None = None) -> DataFrame:
-    """Apply a fitted model to new rows (unseen label → class 0,
-    unseen one-hot → all zeros, unseen target category → training mean);
-    missing inputs are added as nulls, features missing at the end are 0.
-    ``carry`` columns pass through unchanged."""
-    carry = [c for c in (carry or []) if c in df.columns]
-    working = df
-    for c in model.raw_features + model.date_columns:
-        if c not in working.columns:
-            working = working.withColumn(c, F.lit(None).cast("string"))
-    working, _ = parse_date_columns(working, model.date_columns)
-    if model.datetime_features:
-        working, _ = extract_datetime_features(working, model.date_columns)
-    tail = [model.target] if model.target in working.columns and model.target not in carry else []
-    out = working.select(*[col(c) for c in carry], *[col(c) for c in model.raw_features if c not in carry],
-                         *[col(c) for c in tail])
-    for c in model.raw_features:
-        if c in model.onehots:
-            out = apply_onehot(out, model.onehots[c])
-        elif c in model.targets:
-            out = apply_target(out, model.targets[c])
-        elif c in model.labels:
-            out = apply_label(out, model.labels[c], unseen=unseen_label)
-    return out.select(*[col(c) for c in carry],
-                      *[col(c) if c in out.columns else F.lit(0).alias(c) for c in model.feature_names],
-                      *[col(c) for c in tail])
+    """``model`` on new rows (unseen label → class 0, unseen one-hot →
+    all zeros, unseen target category → training mean)."""
+    return model.transform(df, unseen_label, carry)

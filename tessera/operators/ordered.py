@@ -1,16 +1,19 @@
 """Operators that depend on row order (forward/backward fill, 1..n row
-index, running totals) without a global window.
+index, running totals, positions inside a class) without a global window.
 
 A window ``ORDER BY key`` with no ``PARTITION BY`` runs in ONE task.  Here
 the rows are sorted once by a distributed range sort on the key itself — any
 orderable type, compared as that type — and a hash of the row, so that even
 rows that share one key spread over many partitions.  The sorted rows are
 checkpointed with their place (partition and position), which fixes the
-order: a lost executor reads it back.  Each partition is then one block of an
-ordinary partitioned window, and what crosses block borders (the last
-non-null value of each block, or each block's row count) is a table with one
-row per block.  Blocks are shuffle partitions of a sort, so their number
-follows the data (adaptive execution sizes them by bytes), not a setting here.
+order: a lost executor reads it back.  Each partition is one block of some
+``BLOCK_BYTES``: their number comes from the measured bytes of the rows.
+
+What crosses block borders is a prefix scan over (group, block) rows, done on
+the executors in two levels: blocks inside runs of ``FAN`` blocks, then the
+runs.  Its result joins the rows of each block as one more row in front, so
+the window inside a block continues where the earlier blocks ended and no
+table of groups or blocks reaches the driver.
 
 Null keys come last.  Rows that share a key are ordered by their hash, the
 same on every run.
@@ -18,181 +21,170 @@ same on every run.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.schema import col
+from tessera.functions.schema import col, free_name
 from tessera.session import cut_lineage
 
-_BLOCK = "_blk"
-_PLACE = "_place"
-LITERAL_BLOCKS = 256
-
-
-def _with_carries(blocked: DataFrame, nblocks: int, carries: dict[str, tuple[list, object]]):
-    """Attach per-block values: ``carries[name] = (value per block, type)``.
-    Returns the frame and a Column per name."""
-    if nblocks <= LITERAL_BLOCKS:
-        cols = {n: F.element_at(F.array(*[F.lit(v).cast(t) for v in vals]), F.col(_BLOCK) + 1)
-                for n, (vals, t) in carries.items()}
-        return blocked, cols
-    names = list(carries)
-    schema = T.StructType([T.StructField(_BLOCK, T.IntegerType())] +
-                          [T.StructField(f"_c_{n}", carries[n][1]) for n in names])
-    def coerce(v, t):
-        if v is None:
-            return None
-        if isinstance(t, (T.DoubleType, T.FloatType)):
-            return float(v)
-        if isinstance(t, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
-            return int(v)
-        return v
-    rows = [(b, *[coerce(carries[n][0][b], carries[n][1]) for n in names]) for b in range(nblocks)]
-    table = blocked.sparkSession.createDataFrame(rows, schema)
-    # one row per block, and blocks are capped at MAX_BLOCKS: a bounded broadcast
-    joined = blocked.join(F.broadcast(table), _BLOCK, "left")
-    return joined, {n: F.col(f"_c_{n}") for n in names}
-
-
-def with_blocks(df: DataFrame, order_by: str | list[str], blocks: int | None = None) -> tuple[DataFrame, int]:
-    """``df`` in order, with ``_blk`` (0..B-1) and ``_place``, and B.
-    ``blocks`` asks for that many instead of as many as the sort makes."""
+#: Bytes of a block, and blocks of a run of the prefix scan.
+BLOCK_BYTES = 64 << 20
+FAN = 1024
+#: Block tables of at most so many rows (16 bytes each) are broadcast.
+BROADCAST_BLOCKS = 200_000
+_FIXED = {T.ByteType: 1, T.BooleanType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4, T.DateType: 4}
+_ROW_BYTES = 16
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of all rows: fixed widths, and the lengths of everything else,
+    in one aggregate that reads only the columns of varying width."""
+    fixed, moving = _ROW_BYTES, []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType, T.CharType, T.VarcharType)):
+            moving.append(F.octet_length(col(f.name)))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            moving.append(F.octet_length(F.to_json(F.struct(col(f.name)))))
+        else:
+            fixed += _FIXED.get(type(f.dataType), 8)
+    sums = [F.sum(F.coalesce(x, F.lit(0)).cast("long")).alias(f"b{i}") for i, x in enumerate(moving)]
+    row = df.agg(F.count(F.lit(1)).alias("n"), *sums).first()
+    return row["n"] * fixed + sum(row[f"b{i}"] or 0 for i in range(len(moving)))
+
+
+@dataclass
+class Blocks:
+    """Rows in order: ``frame`` has, under free names, the number of each
+    row's block and its place; ``count`` blocks at most."""
+    frame: DataFrame
+    block: str
+    place: str
+    count: int
+
+
+def with_blocks(df: DataFrame, order_by: str | list[str], blocks: int | None = None) -> Blocks:
+    """``df`` in order, cut into blocks (``blocks``: that many instead of as
+    many as its bytes ask for)."""
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
     hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     order = [*[col(k).asc_nulls_last() for k in keys], F.xxhash64(*[col(c) for c in hashable])]
-    if blocks:
-        ordered = df.repartitionByRange(blocks, *order).sortWithinPartitions(*order)
-    else:
-        ordered = df.orderBy(*order)
-    placed = cut_lineage(ordered.withColumn(_PLACE, F.monotonically_increasing_id()))
-    out = placed.withColumn(_BLOCK, F.shiftright(_PLACE, 33).cast("int"))
-    return out, int(out.agg(F.max(_BLOCK)).first()[0] or 0) + 1
-
-
-def ffill_bfill(df: DataFrame, columns: list[str], order_by: str, blocks: int | None = None) -> DataFrame:
+    blocks = blocks or max(1, -(-measured_bytes(df) // BLOCK_BYTES))
+    block, place = (free_name(n, df.columns) for n in ("_block", "_place"))
+    ordered = df.repartitionByRange(blocks, *order).sortWithinPartitions(*order)
+    placed = cut_lineage(ordered.withColumn(place, F.monotonically_increasing_id()))
+    return Blocks(placed.withColumn(block, F.shiftright(place, 33).cast("int")), block, place, blocks)
+
+
+def _inside(b: Blocks) -> Column:
+    """Position in the block, from 0."""
+    return F.col(b.place).bitwiseAND((1 << 33) - 1)
+
+
+def _last(x: Column) -> Column:
+    return F.last(x, ignorenulls=True)
+
+
+def before(table: DataFrame, block: str, values: list[str], group: str | None = None, last: bool = False) -> DataFrame:
+    """For every row (group, block, values) of ``table``, one for each block
+    of a group: what the group's earlier blocks add up to (``last``: their
+    last value that is not null), in two levels."""
+    by = [group] if group else []
+    run = free_name("_run", table.columns)
+    inner = table.withColumn(run, F.floor(F.col(block) / FAN))
+    within = Window.partitionBy(*by, run).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*by).orderBy(run).rowsBetween(Window.unboundedPreceding, -1)
+    take = _last if last else F.sum
+    whole = ((lambda v: F.max_by(v, F.when(F.col(v).isNotNull(), F.col(block)))) if last else (lambda v: F.sum(v)))
+    runs = inner.groupBy(*by, run).agg(*[whole(v).alias(v) for v in values])
+    runs = runs.select(*by, run, *[take(F.col(v)).over(across).alias(f"{v}_run") for v in values])
+    runs = runs.withColumnsRenamed({c: f"{c}_of_run" for c in by + [run]})
+    inner = inner.select(*by, block, run, *[take(F.col(v)).over(within).alias(v) for v in values])
+    same = inner[run] == runs[f"{run}_of_run"]
+    for g in by:
+        same = same & inner[g].eqNullSafe(runs[f"{g}_of_run"])
+    both = (lambda v: F.coalesce(v, f"{v}_run")) if last else (lambda v: F.coalesce(v, F.lit(0)) + F.coalesce(f"{v}_run", F.lit(0)))
+    return inner.join(runs, same).select(*by, block, *[both(v).alias(v) for v in values])
+
+
+def _in_front(b: Blocks, carries: DataFrame) -> DataFrame:
+    """The rows and, in front of each block, one row with what the earlier
+    blocks hand on (columns of ``carries``; no place of its own)."""
+    return b.frame.unionByName(carries.withColumn(b.place, F.lit(-1).cast("long")), allowMissingColumns=True)
+
+
+def ffill_bfill(df: DataFrame, columns: list[str], order_by: str | list[str], blocks: int | None = None) -> DataFrame:
     """Forward fill then backward fill of ``columns`` in ``order_by`` order."""
     if not columns:
         return df
-    names = df.columns
-    blocked, nblocks = with_blocks(df, order_by, blocks)
-    # per block: first and last non-null value of every column (≤ nblocks rows)
-    aggs = []
-    for i, c in enumerate(columns):
-        k = F.when(col(c).isNotNull(), F.col(_PLACE))
-        aggs += [F.min_by(col(c), k).alias(f"first{i}"), F.max_by(col(c), k).alias(f"last{i}")]
-    edge_rows = {r[_BLOCK]: r for r in blocked.groupBy(_BLOCK).agg(*aggs).collect()}
-    order = [b for b in range(nblocks)]
-    w = (Window.partitionBy(_BLOCK).orderBy(F.col(_PLACE))
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    dtypes = {f.name: f.dataType for f in df.schema.fields}
-    carries, firsts = {}, {}
-    for i, c in enumerate(columns):
-        carry, seen = [], None
-        first_any = None
-        for b in order:
-            carry.append(seen)
-            r = edge_rows.get(b)
-            if r is not None and r[f"last{i}"] is not None:
-                seen = r[f"last{i}"]
-                if first_any is None:
-                    first_any = r[f"first{i}"]
-        carries[c] = (carry, dtypes[c])
-        firsts[c] = first_any
-    blocked, carry_cols = _with_carries(blocked, nblocks, carries)
-    filled = {c: F.coalesce(F.last(col(c), ignorenulls=True).over(w), carry_cols[c],
-                            F.lit(firsts[c]).cast(dtypes[c])).alias(c) for c in columns}
-    return blocked.select(*[filled.get(n, col(n)) for n in names])
+    b = with_blocks(df, order_by, blocks)
+    found = {c: F.when(col(c).isNotNull(), F.col(b.place)) for c in columns}
+    names = {c: (f"_first{i}", f"_last{i}") for i, c in enumerate(columns)}
+    edges = cut_lineage(b.frame.groupBy(b.block).agg(
+        *[F.min_by(col(c), found[c]).alias(names[c][0]) for c in columns],
+        *[F.max_by(col(c), found[c]).alias(names[c][1]) for c in columns]))
+    # rows before the first value take that value: one row for the whole table
+    first = edges.agg(*[F.min_by(names[c][0], F.when(F.col(names[c][0]).isNotNull(), F.col(b.block))).alias(names[c][0]) for c in columns])
+    carried = before(edges.drop(*[names[c][0] for c in columns]), b.block, [names[c][1] for c in columns], last=True)
+    carries = carried.crossJoin(F.broadcast(first)).select(b.block, *[F.coalesce(names[c][1], names[c][0]).alias(c) for c in columns])
+    w = Window.partitionBy(b.block).orderBy(b.place).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = _in_front(b, carries).withColumns({f"_filled{i}": _last(col(c)).over(w) for i, c in enumerate(columns)})
+    new = {c: F.col(f"_filled{i}").alias(c) for i, c in enumerate(columns)}
+    return filled.where(F.col(b.place) >= 0).select(*[new.get(c, col(c)) for c in df.columns])
+
+
+def _offsets(b: Blocks) -> DataFrame:
+    """(block, rows of all earlier blocks), under free names."""
+    sizes = cut_lineage(b.frame.groupBy(b.block).agg(F.count(F.lit(1)).alias("_before")))
+    out = before(sizes, b.block, ["_before"]).withColumnRenamed(b.block, f"{b.block}_of")
+    return F.broadcast(out) if b.count <= BROADCAST_BLOCKS else out
 
 
 def row_index(df: DataFrame, order_by: list[str] | str, name: str = "row_idx",
               blocks: int | None = None) -> DataFrame:
     """1..n in ``order_by`` order: the place in its block plus the number
     of rows in all earlier blocks."""
-    blocked, nblocks = with_blocks(df, order_by, blocks)
-    counts = {r[_BLOCK]: int(r["n"]) for r in blocked.groupBy(_BLOCK).agg(F.count(F.lit(1)).alias("n")).collect()}
-    offsets, acc = [], 0
-    for b in range(nblocks):
-        offsets.append(acc)
-        acc += counts.get(b, 0)
-    blocked, carry = _with_carries(blocked, nblocks, {"off": (offsets, T.LongType())})
-    inside = F.col(_PLACE).bitwiseAND((1 << 33) - 1)        # position in the sorted partition
-    return blocked.select((inside + carry["off"] + 1).cast("long").alias(name), *[col(c) for c in df.columns])
+    b = with_blocks(df, order_by, blocks)
+    offsets = _offsets(b)
+    joined = b.frame.join(offsets, b.frame[b.block] == offsets[f"{b.block}_of"])
+    return joined.select((_inside(b) + offsets["_before"] + 1).cast("long").alias(name), *[b.frame[_quoted(c)] for c in df.columns])
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def dense_index(df: DataFrame, key: str, name: str = "index") -> DataFrame:
-    """``(key, index)`` with index 0..k-1 over the sorted distinct keys.
-
-    The distinct keys are range-partitioned and sorted by ``orderBy`` (a
-    distributed sort); each row's position inside its sorted partition comes
-    from ``monotonically_increasing_id`` (partition id in the upper bits),
-    and the partition offsets — one number per partition — are summed on the
-    driver.  No single task ever sees more than one partition of keys.
-    """
-    ordered = cut_lineage(df.select(col(key).alias(key)).where(col(key).isNotNull()).distinct().orderBy(key)
-                          .withColumn("_mid", F.monotonically_increasing_id()))
-    counts = {int(r["pid"]): int(r["n"]) for r in
-              ordered.groupBy(F.shiftright("_mid", 33).alias("pid")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    offsets, acc = {}, 0
-    for pid in sorted(counts):
-        offsets[pid] = acc
-        acc += counts[pid]
-    off = F.create_map(*[x for pid, o in offsets.items() for x in (F.lit(pid), F.lit(o).cast("long"))]) \
-        if offsets else F.create_map(F.lit(0), F.lit(0).cast("long"))
-    pid = F.shiftright("_mid", 33)
-    local = F.col("_mid") - F.shiftleft(pid, 33)
-    return ordered.select(col(key).alias(key), (F.element_at(off, pid.cast("int")) + local).alias(name))
-
-
-# most (group, block) carry rows a grouped running total broadcasts; beyond
-# that the carries are joined with a shuffle
-MAX_BROADCAST_CARRIES = 200_000
-
-
-def running_total(df: DataFrame, order_by: str, value: str, name: str = "running",
+    """``(key, index)`` with index 0..k-1 over the sorted distinct keys."""
+    keys = df.select(col(key).alias(key)).where(col(key).isNotNull()).distinct()
+    return row_index(keys, key, name).select(col(key).alias(key), (F.col(name) - 1).alias(name))
+
+
+def running_total(df: DataFrame, order_by: str | list[str], value: str, name: str = "running",
                   inclusive: bool = False, blocks: int | None = None, group: str | None = None) -> DataFrame:
     """Sum of ``value`` over all rows before (``inclusive``: up to and
     including) each row in ``order_by`` order — within each ``group`` if
-    given — with per-block totals carried across blocks instead of one
-    global window.  Blocks are cut on ``order_by`` over all groups; a group's
-    carry into a block is the sum of its earlier blocks (one row per
-    non-empty (group, block) pair)."""
-    blocked, nblocks = with_blocks(df, order_by, blocks)
-    vtype = blocked.schema[value].dataType
-    frame_end = Window.currentRow if inclusive else -1
-    if group is None:
-        sums = {r[_BLOCK]: r["s"] for r in blocked.groupBy(_BLOCK).agg(F.sum(col(value)).alias("s")).collect()}
-        offsets, acc = [], 0
-        for b in range(nblocks):
-            offsets.append(acc)
-            acc += sums.get(b) or 0
-        blocked, carry = _with_carries(blocked, nblocks, {"off": (offsets, vtype)})
-        w = (Window.partitionBy(_BLOCK).orderBy(F.col(_PLACE))
-             .rowsBetween(Window.unboundedPreceding, frame_end))
-        within = F.coalesce(F.sum(col(value)).over(w), F.lit(0))
-        return blocked.select(*[col(c) for c in df.columns], (within + carry["off"]).alias(name))
-    gtype = blocked.schema[group].dataType
-    per = (blocked.groupBy(col(group).alias("_g"), F.col(_BLOCK).alias("_b"))
-           .agg(F.sum(col(value)).alias("s")).collect())
-    by_group: dict = {}
-    for r in per:
-        by_group.setdefault(r["_g"], []).append((r["_b"], r["s"] or 0))
-    as_type = float if isinstance(vtype, (T.DoubleType, T.FloatType)) else (
-        int if isinstance(vtype, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)) else (lambda v: v))
-    rows = []
-    for g, items in by_group.items():
-        acc = 0
-        for b, total in sorted(items):
-            rows.append((g, b, as_type(acc)))
-            acc += total
-    schema = T.StructType([T.StructField("_g", gtype), T.StructField("_b", T.IntegerType()),
-                           T.StructField("_off", vtype)])
-    table = df.sparkSession.createDataFrame(rows, schema)
-    if len(rows) <= MAX_BROADCAST_CARRIES:
-        table = F.broadcast(table)
-    joined = blocked.join(table, (col(group).eqNullSafe(F.col("_g"))) & (F.col(_BLOCK) == F.col("_b")), "left")
-    w = (Window.partitionBy(col(group), F.col(_BLOCK)).orderBy(F.col(_PLACE))
-         .rowsBetween(Window.unboundedPreceding, frame_end))
-    within = F.coalesce(F.sum(col(value)).over(w), F.lit(0))
-    return joined.select(*[col(c) for c in df.columns],
-                         (within + F.coalesce(F.col("_off"), F.lit(0).cast(vtype))).alias(name))
+    given.  Blocks are cut on ``order_by`` over all groups; a group's carry
+    into a block is the scan over its blocks, so any number of groups and
+    blocks stays on the executors."""
+    b = with_blocks(df, order_by, blocks)
+    kind = b.frame.schema[value].dataType
+    by = [] if group is None else [group]
+    sums = cut_lineage(b.frame.groupBy(*[col(g) for g in by], b.block).agg(F.sum(col(value)).alias("_sum")))
+    carries = before(sums, b.block, ["_sum"], group).select(*[col(g) for g in by], b.block, F.col("_sum").cast(kind).alias(value))
+    w = (Window.partitionBy(*[col(g) for g in by], b.block).orderBy(b.place)
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1))
+    total = F.coalesce(F.sum(col(value)).over(w), F.lit(0)).cast(kind).alias(name)
+    out = _in_front(b, carries).select(*[col(c) for c in df.columns], total, b.place)
+    return out.where(F.col(b.place) >= 0).drop(b.place)
+
+
+def class_positions(df: DataFrame, order_by: str | list[str], group: str, name: str = "position",
+                    blocks: int | None = None) -> DataFrame:
+    """Add the position (from 0) of every row among the rows of its
+    ``group`` in ``order_by`` order.  A class may hold most of the rows: it
+    is spread over the blocks, and none of them is larger than the others."""
+    one = free_name("_one", df.columns)
+    return running_total(df.withColumn(one, F.lit(1).cast("long")), order_by, one, name, blocks=blocks, group=group).drop(one)

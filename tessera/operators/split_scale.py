@@ -24,9 +24,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.quantiles import kth_smallest, order_statistics, quantiles
-from tessera.functions.schema import col
+from tessera.functions.schema import col, free_name
 from tessera.operators.chartdata import hash_bucket
-from tessera.operators.ordered import dense_index
+from tessera.operators.ordered import class_positions, dense_index, running_total
 from tessera.session import cut_lineage
 
 SEED = 42
@@ -44,7 +44,7 @@ def split_labels(df: DataFrame, keys: list[str], stratify: str | None = None,
     both sides: ValueError.  Rows that share a key stay together."""
     g = col(stratify).cast("string") if stratify else F.lit("all")
     taken = set(df.columns)
-    h_, g_ = _free("_h", taken), _free("_g", taken)
+    h_, g_ = free_name("_h", taken), free_name("_g", taken)
     # the fitting passes read a narrow, persisted (keys, class, bucket)
     # projection: MD5 is computed once for them, and once more for the output
     full = df.withColumn(h_, hash_bucket(keys, seed)).withColumn(g_, g)
@@ -62,12 +62,6 @@ def split_labels(df: DataFrame, keys: list[str], stratify: str | None = None,
     return joined.select(*[col(c) for c in df.columns], F.when(is_test, "test").otherwise("train").alias(name))
 
 
-def _free(name: str, taken: set[str]) -> str:
-    while name in taken:
-        name += "_"
-    return name
-
-
 def _class_sizes(base: DataFrame, test_size: float, classes: bool) -> DataFrame:
     """``(g, n, lo, hi, t)``: per class its rows and its share of the
     ``ceil(rows x test_size)`` test rows, by largest remainder (ties by
@@ -117,24 +111,38 @@ def _class_cuts(base: DataFrame, test_size: float, classes: bool) -> DataFrame:
         F.when(F.col("g") != _NULL, F.col("g")).alias("cut_g"), F.col("m.cut").alias("cut_h"), F.col("m.k").alias("cut_k"))
 
 
-def fold_labels(df: DataFrame, keys: list[str], folds: int, stratify: str | None = None, seed: int = SEED,
-                where=None, name: str = "fold") -> DataFrame:
-    """Add ``fold`` (0..folds-1): every class is cut into folds of equal size
-    (up to a row, and to rows with one hash bucket) in the order of a hash of
-    the key.  The cuts are exact order statistics over the rows ``where``."""
-    h_, g_ = _free("_fh", set(df.columns)), _free("_fg", set(df.columns))
-    g = F.coalesce(col(stratify).cast("string"), F.lit(_NULL)) if stratify else F.lit("all")
-    full = df.withColumn(h_, hash_bucket(keys, seed)).withColumn(g_, g)
-    rows = (full if where is None else full.where(where)).select(F.col(g_).alias("g"), F.col(h_).cast("double").alias("x"))
-    sizes = cut_lineage(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")))
-    at = F.array(*[F.ceil(F.col("n") * F.lit(i) / F.lit(folds)) - 1 for i in range(1, folds)]) if folds > 1 else F.array().cast("array<long>")
-    wanted = sizes.select("g", F.explode(F.array_distinct(F.filter(at, lambda r: r >= 0))).alias("rank"), "lo", "hi", "n")
-    cuts = cut_lineage(order_statistics(rows, wanted).groupBy("g").agg(F.sort_array(F.collect_list("value")).alias("cuts"))
-                       .withColumnRenamed("g", "cut_g"))
-    if cuts.count() <= BROADCAST_CLASSES:
-        cuts = F.broadcast(cuts)
-    fold = F.coalesce(F.size(F.filter(F.col("cuts"), lambda c: c < F.col(h_).cast("double"))), F.lit(0))
-    return full.join(cuts, full[g_] == cuts["cut_g"], "left").select(*[col(c) for c in df.columns], fold.cast("int").alias(name))
+def fold_labels(df: DataFrame, order_by: str | list[str], folds: int, stratify: str | None = None,
+                where=None, name: str = "fold", blocks: int | None = None) -> DataFrame:
+    """Add ``fold`` (0..folds-1), contiguous in ``order_by`` order.
+
+    Without ``stratify`` the rows are cut into folds of equal size, the first
+    ones a row larger.  With it every class is cut by itself: laid one after
+    the other in the order in which they first appear, the classes' rows are
+    dealt to the folds in turn, which gives each fold's share of a class, and
+    its rows go to the folds in order.  Rows outside ``where`` have no fold."""
+    group, inside, at = (free_name(n, df.columns) for n in ("_class", "_in", "_position"))
+    rows = df.withColumns({group: F.coalesce(col(stratify).cast("string"), F.lit(_NULL)) if stratify else F.lit("all"),
+                           inside: F.lit(True) if where is None else F.coalesce(where, F.lit(False))})
+    used = rows.where(inside)
+    placed = cut_lineage(class_positions(used, order_by, group, at, blocks))
+    keys = [order_by] if isinstance(order_by, str) else list(order_by)
+    first = F.struct(*[F.struct(col(k).isNull().alias("gap"), col(k).alias("key")).alias(f"k{i}") for i, k in enumerate(keys)])
+    classes = placed.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("first"))
+    start = running_total(classes, ["first", group], "n", "start").select(col(group).alias("of"), "n", "start")
+
+    def dealt(k):
+        """Rows of the class dealt to the folds before ``k``, if all classes lie in a row."""
+        return sum((F.floor((F.col("start") + F.col("n") - i + folds - 1) / folds) - F.floor((F.col("start") - i + folds - 1) / folds)
+                    for i in range(k)), F.lit(0))
+    ends = start.select("of", F.array(*[dealt(k).cast("long") for k in range(1, folds)]).cast("array<long>").alias("ends"))
+    ends = cut_lineage(ends)
+    if ends.count() <= BROADCAST_CLASSES:
+        ends = F.broadcast(ends)
+    fold = F.size(F.filter("ends", lambda e: e <= F.col(at))).cast("int").alias(name)
+    out = placed.join(ends, placed[group] == ends["of"]).select(*[col(c) for c in df.columns], fold)
+    if where is None:
+        return out
+    return out.unionByName(rows.where(~F.col(inside)).select(*[col(c) for c in df.columns], F.lit(0).alias(name)))
 
 
 #: Stands for the null class where classes are joined by equality.

@@ -16,18 +16,17 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
-                                       OneVsRest, RandomForestClassifier)
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
-                                   RandomForestRegressor)
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.schema import col
 from tessera.operators import evaluate
+from tessera.operators.boosting import Boosting
 from tessera.operators.chartdata import hash_bucket
 from tessera.operators.features import detect_problem_type
 from tessera.session import cut_lineage
@@ -38,12 +37,10 @@ SEED = 42
 DEFAULT_CV_FOLDS = 3
 RAW, SCALED, LABEL = "features_raw", "features_scaled", "label"
 
-# Model names shown in the leaderboard.  The fifth model of the zoo is a
-# deeper, faster-learning gradient-boosted ensemble (Spark ML has no XGBoost).
-REGRESSION_MODELS = ("Linear Regression", "Decision Tree", "Random Forest", "Gradient Boosting",
-                     "Boosted Trees (deep)")
-CLASSIFICATION_MODELS = ("Logistic Regression", "Decision Tree", "Random Forest", "Gradient Boosting",
-                         "Boosted Trees (deep)")
+# Model names shown in the leaderboard.
+SECOND_ORDER = "Boosted Trees (second order)"
+REGRESSION_MODELS = ("Linear Regression", "Decision Tree", "Random Forest", "Gradient Boosting", SECOND_ORDER)
+CLASSIFICATION_MODELS = ("Logistic Regression", "Decision Tree", "Random Forest", "Gradient Boosting", SECOND_ORDER)
 FOREST_MAX_DEPTH = 12
 
 
@@ -89,8 +86,7 @@ def prepare(processed: DataFrame, target: str, keys: list[str], *, problem_type:
     if problem_type == "classification":
         n_classes = base.select("_y").distinct().limit(2).count()
     split = split_labels(base, keys, stratify="_y" if n_classes > 1 else None, test_size=test_size, seed=seed)
-    split = fold_labels(split, keys, max(cv_folds, 1), stratify="_y" if n_classes > 1 else None, seed=seed + 1,
-                        where=F.col("split") == "train")
+    split = fold_labels(split, keys, max(cv_folds, 1), stratify="_y" if n_classes > 1 else None, where=F.col("split") == "train")
     split = split.withColumn("_val", F.pmod(hash_bucket(keys, seed + 2), F.lit(10)) == 0)
     train_rows = split.where(F.col("split") == "train")
     kind = scaler or recommend_scaler(problem_type)
@@ -139,11 +135,17 @@ def regression_estimator(name: str, features_col: str):
     if name == "Random Forest":
         return RandomForestRegressor(numTrees=100, featureSubsetStrategy="all", maxDepth=FOREST_MAX_DEPTH,
                                      seed=SEED, **common)
+    return _boosting(name, "squared", 1, features_col)
+
+
+def _boosting(name: str, objective: str, classes: int, features_col: str) -> Boosting:
+    """Rounds, depth, learning rate, sample share and patience
+    of the two boosted models."""
+    common = dict(objective=objective, classes=classes, seed=SEED, featuresCol=features_col, labelCol=LABEL)
     if name == "Gradient Boosting":
-        return GBTRegressor(maxIter=50, maxDepth=4, subsamplingRate=0.8, validationIndicatorCol="_val", validationTol=0.0,
-                            seed=SEED, **common)
-    if name == "Boosted Trees (deep)":
-        return GBTRegressor(maxIter=100, maxDepth=6, stepSize=0.3, seed=SEED, **common)
+        return Boosting(rounds=50, depth=4, rate=0.1, newton=False, subsample=0.8, patience=10, valCol="_val", **common)
+    if name == SECOND_ORDER:
+        return Boosting(rounds=100, depth=6, rate=0.3, l2=1.0, **common)
     raise ValueError(name)
 
 
@@ -157,17 +159,7 @@ def classification_estimator(name: str, features_col: str, n_classes: int, n_tra
         return DecisionTreeClassifier(maxDepth=8, seed=SEED, **common)
     if name == "Random Forest":
         return RandomForestClassifier(numTrees=100, maxDepth=FOREST_MAX_DEPTH, seed=SEED, **common)
-    if name in ("Gradient Boosting", "Boosted Trees (deep)"):
-        if name == "Gradient Boosting":
-            gbt = GBTClassifier(maxIter=50, maxDepth=4, subsamplingRate=0.8, validationIndicatorCol="_val", validationTol=0.0,
-                                seed=SEED, featuresCol=features_col, labelCol=LABEL)
-        else:
-            gbt = GBTClassifier(maxIter=100, maxDepth=6, stepSize=0.3, seed=SEED,
-                                featuresCol=features_col, labelCol=LABEL)
-        if n_classes <= 2:
-            return gbt
-        return OneVsRest(classifier=gbt, featuresCol=features_col, labelCol=LABEL, predictionCol="prediction")
-    raise ValueError(name)
+    return _boosting(name, "logistic" if n_classes <= 2 else "softmax", n_classes, features_col)
 
 
 class ModelPipeline:
@@ -238,7 +230,7 @@ def _mean_std(scores: list[float | None]) -> tuple[float | None, float | None]:
 
 
 def cross_validate(estimator, prep: Prepared, folds: int, parallelism: int = 1) -> tuple[float | None, float | None]:
-    """Fit on k-1 hash folds of the training rows, score the held-out fold
+    """Fit on k-1 folds of the training rows, score the held-out fold
     (r² or weighted F1); mean and population std of the fold scores.  Folds
     are independent Spark jobs and can run concurrently (like
     ``CrossValidator(parallelism=…)``)."""
@@ -253,16 +245,10 @@ def cross_validate(estimator, prep: Prepared, folds: int, parallelism: int = 1)
 # M12 importance
 # ---------------------------------------------------------------------------
 def feature_importance(model, feature_names: list[str]) -> list[tuple[str, float]] | None:
-    """Tree importances or |coefficients| (mean over classes); OneVsRest
-    averages its sub-models.  Sorted, largest first."""
+    """Tree importances or |coefficients| (mean over classes), largest first."""
     values = None
     if hasattr(model, "featureImportances"):
         values = list(model.featureImportances.toArray())
-    elif hasattr(model, "models"):                                   # OneVsRestModel
-        subs = [feature_importance(m, feature_names) for m in model.models]
-        subs = [dict(s) for s in subs if s]
-        if subs:
-            values = [sum(s.get(f, 0.0) for s in subs) / len(subs) for f in feature_names]
     elif hasattr(model, "coefficientMatrix") and model.numClasses > 2:
         mat = model.coefficientMatrix.toArray()
         values = [float(abs(mat[:, j]).mean()) for j in range(mat.shape[1])]
@@ -337,23 +323,33 @@ def train_all_models(prep: Prepared, *, cv_folds: int = DEFAULT_CV_FOLDS, models
         return regression_estimator(name, fcol) if reg else classification_estimator(
             name, fcol, n_classes, prep.train_rows)
 
+    folds = cv_folds if cv_folds >= 2 else 0
+
     def full_fit(name):
+        """The model, its metrics, the seconds, and the fold scores if the
+        folds were fitted in the same passes."""
         t0 = time.time()
-        model = estimator(name).fit(prep.train)
+        est, scores = estimator(name), None
+        if folds and isinstance(est, Boosting):
+            model, *parts = est.fit_folds(prep.train, "fold", folds)
+            scores = [_cv_score(prep.problem_type, m.transform(prep.train.where(F.col("fold") == k))) for k, m in enumerate(parts)]
+        else:
+            model = est.fit(prep.train)
         metrics = _score(prep.problem_type, model.transform(test), n_classes)
-        return model, metrics, time.time() - t0
+        return model, metrics, time.time() - t0, scores
 
-    folds = cv_folds if cv_folds >= 2 else 0
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         fits = {name: pool.submit(full_fit, name) for name in names}
         cv = {(name, k): pool.submit(_fold_score, estimator(name), prep, k)
-              for name in names for k in range(folds)}
+              for name in names for k in range(folds) if not isinstance(estimator(name), Boosting)}
         rows, fitted = [], {}
         for i, name in enumerate(names):
             if progress_callback is not None:
                 progress_callback(i, len(names), name)
-            model, metrics, seconds = fits[name].result()
-            cv_mean, cv_std = _mean_std([cv[(name, k)].result() for k in range(folds)]) if folds else (None, None)
+            model, metrics, seconds, scores = fits[name].result()
+            if folds and scores is None:
+                scores = [cv[(name, k)].result() for k in range(folds)]
+            cv_mean, cv_std = _mean_std(scores or [])
             fitted[name] = model
             rows.append({"Model": name, **metrics, "CV Mean": cv_mean, "CV Std": cv_std,
                          "Train Seconds": seconds})

@@ -3,9 +3,10 @@ training whose results SQL can state.  Each has its SQL beside it."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.operators import chartdata, clean, features, ordered, profile, train
+from tessera.operators import boosting, chartdata, clean, features, ordered, profile, split_scale, train
 from tessera.plans import fixtures
 from tessera.plans.oracle import column_statistics_sql, describe_sql, split_sql, union_all
 from tessera.sources import artifacts, csv as csv_source, sinks
@@ -80,6 +81,63 @@ def q_date_losses(spark, sf):
     return clean.date_losses(d, {"d": ["yyyy-MM-dd"]})
 
 
+def _both_orders(spark, sf):
+    """Dates as day/month/year and as month/day/year; a few that are none."""
+    d = _dated(spark, sf).select("o_orderkey", "eu", "us")
+    d = d.withColumn("eu", F.when(F.col("o_orderkey") % 997 == 0, "soon").otherwise(F.col("eu")))
+    return d.join(read_table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
+
+
+_DATE_PARTS = [f"{c}_{p}" for c in ("eu", "us") for p in ("year", "month", "day", "dayofweek")]
+
+
+def q_engineer_dates(spark, sf):
+    out, model = features.engineer_features(_both_orders(spark, sf), "o_totalprice", carry=["o_orderkey"])
+    lost = model.date_values_lost
+    return out.select("o_orderkey", *_DATE_PARTS, F.lit(lost["eu"]).cast("long").alias("eu_lost"), F.lit(lost.get("us", 0)).cast("long").alias("us_lost"))
+
+
+def q_clean_named_dates(spark, sf):
+    out, report = clean.clean_dataframe(_both_orders(spark, sf), date_columns=["eu", "us"], outlier_strategy="skip",
+                                        extract_dates=False, order_by="o_orderkey")
+    return out.select("o_orderkey", F.col("eu").cast("date").alias("eu"), F.col("us").cast("date").alias("us"),
+                      F.lit(report.date_values_lost["eu"]).cast("long").alias("eu_lost"))
+
+
+def q_score_dates(spark, sf):
+    """New rows whose dates could all be read both ways, read as fitted."""
+    both = _both_orders(spark, sf)
+    _, model = features.engineer_features(both, "o_totalprice", carry=["o_orderkey"])
+    either = F.to_date("us", "M/d/yyyy")
+    new = both.where((F.dayofmonth(either) <= 12) & (F.col("eu") != "soon")).drop("o_totalprice")
+    return features.transform_features(new, model, carry=["o_orderkey"]).select("o_orderkey", *_DATE_PARTS)
+
+
+def q_class_positions(spark, sf):
+    """Position of every line among those of its ship mode's class; one class
+    holds most rows."""
+    li = read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_orderkey") % 10 > 0, "hot").otherwise(
+        F.concat(F.lit("s"), F.col("l_suppkey"))).alias("cls"))
+    return ordered.class_positions(li, ["l_orderkey", "l_linenumber"], "cls")
+
+
+def q_contiguous_folds(spark, sf):
+    """Stratified folds in row order; classes number from their first row."""
+    o = read_table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 10 > 0, "hot").otherwise(
+        F.concat(F.lit("c"), F.col("o_custkey") % 40)).alias("cls"))
+    return split_scale.fold_labels(o, ["o_orderkey"], 3, stratify="cls")
+
+
+def q_plain_folds(spark, sf):
+    return split_scale.fold_labels(read_table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 4)
+
+
+def q_fill_other(spark, sf):
+    """Gaps in a boolean column."""
+    o = read_table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_totalprice") > 100000).alias("big"))
+    return clean.fill_missing_values(o)
+
+
 def q_csv_messy(spark, sf):
     p = read_table(spark, sf, "part").select(
         "p_partkey", F.concat("p_size", F.when(F.col("p_partkey") % 2 == 0, "D").otherwise("f")).alias("code"),
@@ -102,6 +160,29 @@ def q_linear_fit(spark, sf):
     return spark.createDataFrame([(round(float(fit.coefficients[0]), 4), round(float(fit.intercept), 3))], "slope double, intercept double")
 
 
+def _boosting_rows(spark, sf):
+    from pyspark.ml.functions import array_to_vector
+    li = read_table(spark, sf, "lineitem")
+    x = F.array(*[F.col(c).cast("double") for c in ("l_quantity", "l_discount", "l_tax")])
+    return li.select(array_to_vector(x).alias("features"), F.col("l_extendedprice").cast("double").alias("label"),
+                     (F.col("l_orderkey") % 10 == 0).alias("val"), (F.col("l_orderkey") + F.col("l_linenumber")).alias("k"))
+
+
+def q_boost_first_gains(spark, sf):
+    """Every split of the first tree's first node, second order."""
+    out = boosting.first_gains(_boosting_rows(spark, sf), boosting.Boosting(), ["l_quantity", "l_discount", "l_tax"])
+    return out.select("feature", F.round("threshold", 2).alias("threshold"), "rows_left",
+                      F.round(F.col("gain") / F.max("gain").over(Window.partitionBy(F.lit(1))), 3).alias("share"))
+
+
+def q_boost_patience(spark, sf):
+    """Validation losses by round on a label that is mostly noise, and whether
+    the model kept the round."""
+    rows = _boosting_rows(spark, sf).withColumn("label", (F.crc32(F.col("k").cast("string").cast("binary")) % 1000 + F.col("label") / 1000))
+    model = boosting.Boosting(rounds=40, depth=4, rate=0.3, newton=False, subsample=0.8, patience=10, valCol="val").fit(rows)
+    return spark.createDataFrame([(i + 1, loss, i < model.kept) for i, loss in enumerate(model.curve)], "round int, loss double, kept boolean")
+
+
 def q_predict_keeps_rows(spark, sf):
     """Scoring returns the input columns of every row, with a number each."""
     from tessera.plans import catalog
@@ -137,6 +218,27 @@ def oracle_sql() -> dict[str, str]:
             f"CAST(NULL AS BIGINT) AS freq, avg({seconds}) AS mean, CAST(NULL AS DOUBLE) AS std, min({seconds}) AS \"min\", "
             f"quantile_cont({seconds}, 0.25) AS q25, quantile_cont({seconds}, 0.5) AS q50, quantile_cont({seconds}, 0.75) AS q75, "
             f"max({seconds}) AS \"max\" FROM lineitem")
+    days_of = ("(SELECT o_orderkey, CASE WHEN o_orderkey % 997 <> 0 THEN CAST(o_orderdate AS DATE) END AS eu, "
+               "CAST(o_orderdate AS DATE) AS us FROM orders)")
+    lost = "(SELECT count(*) FROM orders WHERE o_orderkey % 997 = 0)"
+    parts = "o_orderkey, " + ", ".join(f"CAST({f} AS INTEGER) AS {c}_{n}" for c in ("eu", "us") for n, f in (
+        ("year", f"year({c})"), ("month", f"month({c})"), ("day", f"day({c})"), ("dayofweek", f"isodow({c}) - 1")))
+    cls = "CASE WHEN l_orderkey % 10 > 0 THEN 'hot' ELSE 's' || l_suppkey END"
+    # the classes' rows in a row, in the order of their first rows, dealt to the folds in turn
+    folds = ("WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 > 0 THEN 'hot' ELSE 'c' || (o_custkey % 40) END AS cls FROM orders), "
+             "c AS (SELECT cls, min(o_orderkey) AS first FROM o GROUP BY cls), "
+             "d AS (SELECT cls, (row_number() OVER (ORDER BY first, o_orderkey) - 1) % 3 AS fold FROM o JOIN c USING (cls)), "
+             "s AS (SELECT cls, fold, row_number() OVER (PARTITION BY cls ORDER BY fold) AS r FROM d), "
+             "p AS (SELECT o_orderkey, cls, row_number() OVER (PARTITION BY cls ORDER BY o_orderkey) AS r FROM o) "
+             "SELECT o_orderkey, cls, CAST(fold AS INTEGER) AS fold FROM p JOIN s USING (cls, r)")
+    score = "pow({0}, 2) / ({1} + 1)"
+    boost = ("WITH r AS (SELECT *, avg(l_extendedprice) OVER () - l_extendedprice AS g FROM lineitem), "
+             "s AS (" + union_all([f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS threshold, sum(g) AS g, count(*) AS n FROM r GROUP BY {c}"
+                                   for c in ("l_quantity", "l_discount", "l_tax")]) + "), "
+             "t AS (SELECT feature, threshold, sum(g) OVER f AS gl, sum(n) OVER f AS nl, sum(g) OVER (PARTITION BY feature) AS g, "
+             "sum(n) OVER (PARTITION BY feature) AS n FROM s WINDOW f AS (PARTITION BY feature ORDER BY threshold)), "
+             f"u AS (SELECT *, {score.format('gl', 'nl')} + {score.format('g - gl', '(n - nl)')} - {score.format('g', 'n')} AS gain FROM t WHERE nl < n) "
+             "SELECT feature, round(threshold, 2) AS threshold, CAST(nl AS BIGINT) AS rows_left, round(gain / max(gain) OVER (), 3) AS share FROM u")
     return {
         "row_index_bigint": f"SELECT row_number() OVER (ORDER BY event_id) AS row_idx, event_id + {BIG} AS k, user_id FROM events",
         "row_index_text": "SELECT row_number() OVER (ORDER BY 'event-' || event_id) AS row_idx, 'event-' || event_id AS k, user_id FROM events",
@@ -150,11 +252,25 @@ def oracle_sql() -> dict[str, str]:
         "date_layouts": "SELECT o_orderkey, " + ", ".join(f"CAST(o_orderdate AS DATE) AS {n}" for n in _LAYOUTS) + " FROM orders",
         "date_losses": dirty + "SELECT 'd' AS column_name, count(d) AS non_null, count(d) FILTER (o_orderkey % 1009 <> 0) AS parsed, "
                                "count(d) FILTER (o_orderkey % 1009 = 0) AS lost FROM dirty_orders",
+        "engineer_dates": f"SELECT {parts}, {lost} AS eu_lost, CAST(0 AS BIGINT) AS us_lost FROM {days_of}",
+        "clean_named_dates": f"SELECT o_orderkey, coalesce(eu, last_value(eu IGNORE NULLS) OVER w, first_value(eu IGNORE NULLS) OVER v) AS eu, us, "
+                             f"{lost} AS eu_lost FROM {days_of} WINDOW w AS (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING), "
+                             "v AS (ORDER BY o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)",
+        "score_dates": f"SELECT {parts} FROM {days_of} WHERE day(us) <= 12 AND eu IS NOT NULL",
+        "class_positions": f"SELECT l_orderkey, l_linenumber, {cls} AS cls, CAST(row_number() OVER (PARTITION BY {cls} "
+                           "ORDER BY l_orderkey, l_linenumber) - 1 AS BIGINT) AS position FROM lineitem",
+        "contiguous_folds": folds,
+        "plain_folds": "SELECT o_orderkey, CAST((SELECT count(*) FROM range(1, 4) t(f) WHERE r >= (SELECT sum(n // 4 + CASE WHEN i < n % 4 THEN 1 ELSE 0 END) "
+                       "FROM range(4) s(i) WHERE i < f)) AS INTEGER) AS fold "
+                       "FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS r, count(*) OVER () AS n FROM orders)",
+        "fill_other": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN CASE WHEN o_totalprice > 100000 THEN 'true' ELSE 'false' END "
+                      "ELSE 'Unknown' END AS big FROM orders",
         "csv_messy": "SELECT p_partkey, p_size || CASE WHEN p_partkey % 2 = 0 THEN 'D' ELSE 'f' END AS code, "
                      "'5\" ' || p_name || ', \\n' AS note, p_retailprice / 3 AS third FROM part",
         "holdout_rows": f"SELECT o_orderkey, o_totalprice AS actual FROM ({split_sql('orders', ORDERS, ['o_orderkey'], None)}) WHERE split = 'test'",
         "linear_fit": "SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, "
                       "round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept FROM lineitem",
+        "boost_first_gains": boost,
         "predict_keeps_rows": f"SELECT {', '.join(ORDERS)}, true AS scored, o_totalprice AS actual FROM orders",
         "tail_rows": scored + "SELECT * FROM scored_events ORDER BY event_id DESC LIMIT 40",
     }

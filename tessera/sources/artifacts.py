@@ -2,7 +2,8 @@
 
 Layout under ``path`` (any Hadoop-compatible shared folder):
 
-* ``model/``            the Spark ML model wrapped in a ``PipelineModel``
+* ``model/``            the Spark ML model wrapped in a ``PipelineModel``, or
+  ``boosted/``          a boosted model as JSON, one row for its head and each round
 * ``labels/<i>/``       label-encoding maps (Parquet, written by executors)
 * ``targets/<i>/``      target-encoding maps (Parquet)
 * ``config.json``       small JSON sidecar: names, classes, one-hot values,
@@ -19,6 +20,7 @@ import uuid
 from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
+from tessera.operators.boosting import BoostedModel
 from tessera.operators.features import (EncodingDetail, FeatureModel, LabelEncoding, OneHotEncoding,
                                         TargetEncoding)
 from tessera.operators.score import PredictionConfig
@@ -33,7 +35,13 @@ def artifact_dir(spark: SparkSession, name: str = "artifacts") -> str:
 
 def save_training_artifacts(cfg: PredictionConfig, path: str) -> str:
     spark = SparkSession.getActiveSession()
-    PipelineModel(stages=[cfg.model]).write().overwrite().save(os.path.join(path, "model"))
+    if isinstance(cfg.model, BoostedModel):
+        head = cfg.model.to_dict()
+        parts = [dict(head, trees=[])] + head["trees"]
+        spark.createDataFrame([(i, json.dumps(p)) for i, p in enumerate(parts)], "part int, value string").write.mode(
+            "overwrite").parquet(os.path.join(path, "boosted"))
+    else:
+        PipelineModel(stages=[cfg.model]).write().overwrite().save(os.path.join(path, "model"))
     fm = cfg.features
     labels, targets = {}, {}
     for i, (c, enc) in enumerate(fm.labels.items()):
@@ -44,13 +52,13 @@ def save_training_artifacts(cfg: PredictionConfig, path: str) -> str:
         targets[c] = {"dir": str(i), "size": enc.size, "global_mean": enc.global_mean, "smoothing": enc.smoothing}
     config = {
         "target": cfg.target, "problem_type": cfg.problem_type, "model_name": cfg.model_name,
-        "classes": cfg.classes, "input_columns": cfg.input_columns, "metrics": cfg.metrics,
+        "boosted": isinstance(cfg.model, BoostedModel), "classes": cfg.classes, "input_columns": cfg.input_columns, "metrics": cfg.metrics,
         "features": {
             "target": fm.target, "date_columns": fm.date_columns, "datetime_features": fm.datetime_features,
             "raw_features": fm.raw_features, "excluded_ids": fm.excluded_ids,
             "dropped_columns": fm.dropped_columns, "feature_names": fm.feature_names,
             "onehots": {c: e.values for c, e in fm.onehots.items()},
-            "labels": labels, "targets": targets,
+            "labels": labels, "targets": targets, "date_formats": fm.date_formats, "date_values_lost": fm.date_values_lost,
             "details": [[d.column, d.strategy, d.unique_count, d.output_columns] for d in fm.details],
         },
         "scaler": {"kind": cfg.scaler.kind, "center": cfg.scaler.center, "scale": cfg.scaler.scale},
@@ -72,8 +80,12 @@ def load_prediction_config(spark: SparkSession, path: str) -> PredictionConfig:
     onehots = {c: OneHotEncoding(c, vals) for c, vals in f["onehots"].items()}
     fm = FeatureModel(f["target"], f["date_columns"], f["datetime_features"], f["raw_features"],
                       f["excluded_ids"], f["dropped_columns"], f["feature_names"], labels, onehots, targets,
-                      [EncodingDetail(*d) for d in f["details"]])
+                      [EncodingDetail(*d) for d in f["details"]], f["date_formats"], f["date_values_lost"])
     sc = ColumnScaler(cfg["scaler"]["kind"], cfg["scaler"]["center"], cfg["scaler"]["scale"])
-    model = PipelineModel.load(os.path.join(path, "model")).stages[0]
+    if cfg.get("boosted"):
+        head, *rounds = [json.loads(r["value"]) for r in spark.read.parquet(os.path.join(path, "boosted")).orderBy("part").collect()]
+        model = BoostedModel.from_dict(dict(head, trees=rounds))
+    else:
+        model = PipelineModel.load(os.path.join(path, "model")).stages[0]
     return PredictionConfig(cfg["target"], cfg["problem_type"], fm, sc, model, cfg["model_name"],
                             cfg["classes"], cfg["input_columns"], cfg["metrics"])

@@ -74,8 +74,9 @@ def test_keys_beyond_doubles_and_text_keys(spark):
 
 def test_hot_order_key_spreads_and_keeps_one_order(spark):
     df = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(3000)], "k long, v long")
-    blocked, n = ordered.with_blocks(df.repartition(5), "k", 8)
-    assert n == 8 and max(r["count"] for r in blocked.groupBy("_blk").count().collect()) < 900
+    b = ordered.with_blocks(df.repartition(5), "k", 8)
+    sizes = [r["count"] for r in b.frame.groupBy(b.block).count().collect()]
+    assert b.count == 8 and len(sizes) == 8 and max(sizes) < 900
     a = ordered.row_index(df.repartition(3), "k", blocks=8).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, ordered.row_index(df.repartition(9), "k", blocks=2).collect()))
 
@@ -148,3 +149,52 @@ def test_only_fields_that_span_lines_stop_splitting(spark, text, spans, n):
     path = _file(text)
     assert csv_source.scan_text(spark, path)[1] is spans
     assert csv_source.read_csv(spark, path).count() == n
+
+
+def test_one_layout_a_column(spark):
+    """Values that fit day-first and month-first are read as the column's
+    other values say; a value that only fits the other order is lost and counted."""
+    from datetime import date
+    rows = [("05/02/2010", "05/02/2010", "05/02/2010"), ("25/12/2010", "12/25/2010", "06/03/2010"), ("03/04/2011", "03/04/2011", "07/04/2010"),
+            ("28/02/2011", "02/28/2011", None), ("12/31/2011", "x", "")]
+    df = spark.createDataFrame(rows, "eu string, us string, either string")
+    out, parsed = clean.parse_date_columns(df, ["eu", "us", "either"])
+    got = [tuple(v and v.date() for v in r) for r in out.collect()]
+    assert parsed == ["eu", "us", "either"]
+    assert [r[0] for r in got] == [date(2010, 2, 5), date(2010, 12, 25), date(2011, 4, 3), date(2011, 2, 28), None]
+    assert [r[1] for r in got] == [date(2010, 5, 2), date(2010, 12, 25), date(2011, 3, 4), date(2011, 2, 28), None]
+    assert [r[2] for r in got] == [date(2010, 5, 2), date(2010, 6, 3), date(2010, 7, 4), None, None]
+    votes = clean.date_layouts(df, ["eu", "us", "either"])
+    assert {c: v.lost for c, v in votes.items()} == {"eu": 1, "us": 1, "either": 1}
+
+
+def test_layouts_that_never_disagree_go_together(spark):
+    df = spark.createDataFrame([("2020-01-05",), ("2020-01-06 10:00:00",), ("2020/01/07",)], "d string")
+    out, _ = clean.parse_date_columns(df)
+    assert [r.d.day for r in out.orderBy("d").collect()] == [5, 6, 7]
+
+
+def test_cleaning_reports_lost_dates(spark):
+    rows = [(i, f"{1 + i % 28}/3/2020" if i % 10 else "soon") for i in range(60)]
+    out, report = clean.clean_dataframe(spark.createDataFrame(rows, "id long, d string"), date_columns=["d"], order_by="id")
+    assert report.date_values_lost == {"d": 6} and "lost_dates=d:6" in report.actions
+    assert {r.month for r in out.select("month").distinct().collect()} <= {3, None}
+    report.release()
+
+
+def test_typed_dates_may_come_as_text_when_scoring(spark):
+    from datetime import datetime
+    rows = [(i, datetime(2020, 1 + i % 12, 1 + i % 28), float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, d timestamp, y double")
+    _, model = features.engineer_features(df, "y", carry=["id"])
+    text = df.withColumn("d", df.d.cast("date").cast("string"))
+    assert features.transform_features(text, model, carry=["id"]).collect() == features.transform_features(df, model, carry=["id"]).collect()
+
+
+def test_scoring_rows_get_their_calendar_parts(spark):
+    rows = [(i, f"{1 + i % 28}/{1 + i % 12}/2020", float(i)) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, d string, y double")
+    processed, model = features.engineer_features(df, "y", carry=["id"])
+    new = features.transform_features(df.drop("y"), model, carry=["id"])
+    assert new.orderBy("id").collect() == processed.drop("y").orderBy("id").collect()
+    assert new.agg({"month": "max"}).first()[0] == 12

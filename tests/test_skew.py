@@ -1,5 +1,6 @@
 """A third of the rows on one key/value/class: results stay exact."""
 
+import random
 import math
 
 import numpy as np
@@ -151,15 +152,97 @@ def test_sample_small_and_empty(spark):
     assert chartdata.sample_rows(df.where(F.lit(False)), ["id"], 100).count() == 0
 
 
-def test_folds_are_stratified(spark):
-    sizes = {"a": 301, "b": 50, "c": 7, "d": 2, None: 11}
-    rows = [(i * 10 + j, c) for j, (c, n) in enumerate(sizes.items()) for i in range(n)]
-    df = spark.createDataFrame(rows, "id long, cls string").repartition(5)
-    out = split_scale.fold_labels(df, ["id"], 3, stratify="cls")
-    per = {}
-    for r in out.groupBy("cls", "fold").count().collect():
-        per.setdefault(r["cls"], []).append(r["count"])
-    assert {c: sum(v) for c, v in per.items()} == sizes
-    assert all(max(v) - min(v + [0] * (3 - len(v))) <= 1 for v in per.values())
-    plain = split_scale.fold_labels(df, ["id"], 4, where=F.col("cls") == "a")
-    assert sorted(r["count"] for r in plain.where("cls = 'a'").groupBy("fold").count().collect()) == [75, 75, 75, 76]
+def plain_folds(classes, k):
+    """Contiguous stratified folds of rows in order, by the definition: the
+    classes numbered as they appear, their sorted numbers dealt in turn."""
+    seen = {c: i for i, c in enumerate(dict.fromkeys(classes))}
+    dealt = sorted(seen[c] for c in classes)
+    out = {}
+    for c, i in seen.items():
+        shares = [sum(x == i for x in dealt[f::k]) for f in range(k)]
+        out[c] = [f for f in range(k) for _ in range(shares[f])]
+    return [out[c].pop(0) for c in classes]
+
+
+def test_folds_are_contiguous_and_stratified(spark):
+    r = random.Random(1)
+    classes = ["hot"] * 400 + ["b"] * 50 + ["c"] * 7 + ["d"] * 2 + [None] * 11 + [f"one{i}" for i in range(30)]
+    r.shuffle(classes)
+    df = spark.createDataFrame(list(enumerate(classes)), "id long, cls string").repartition(5)
+    for k, blocks in ((3, 9), (5, 1)):
+        got = sorted((x.id, x.fold) for x in split_scale.fold_labels(df, ["id"], k, stratify="cls", blocks=blocks).collect())
+        assert [f for _, f in got] == plain_folds(classes, k)
+    plain = split_scale.fold_labels(df, "id", 4, where=F.col("cls") == "hot", blocks=6)
+    folds = [x.fold for x in plain.where("cls = 'hot'").orderBy("id").collect()]
+    assert folds == [0] * 100 + [1] * 100 + [2] * 100 + [3] * 100 and plain.count() == len(classes)
+
+
+def test_prefix_scan_of_many_groups_and_blocks_stays_on_the_executors(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+    from tessera.operators import ordered
+    monkeypatch.setattr(ordered, "FAN", 8)
+    n = 40_000
+    df = spark.range(n).select("id", F.concat(F.lit("g"), F.when(F.col("id") % 4 > 0, F.lit(0)).otherwise(F.col("id") % 10_000)).alias("g"),
+                               (F.col("id") % 7).alias("v"), F.lit(5).alias("_place"), F.lit(6).alias("_block"), F.lit(7).alias("_sum"))
+
+    def none(*a, **k):
+        raise AssertionError("a table reached the driver")
+    with monkeypatch.context() as m:
+        for name in ("collect", "toPandas", "toArrow"):
+            m.setattr(DataFrame, name, none)
+        out = ordered.running_total(df, "id", "v", "run", blocks=200, group="g")
+        filled = ordered.ffill_bfill(df.withColumn("v", F.when(F.col("id") % 1000 == 500, F.col("v"))), ["v"], "id", blocks=200)
+        index = ordered.row_index(df, "id", blocks=200)
+    run, want, last = {}, {}, {}
+    for i in range(n):
+        g = 0 if i % 4 else i % 10_000
+        want[i] = run.get(g, 0)
+        run[g] = want[i] + i % 7
+    got = out.collect()
+    assert {r.id: r.run for r in got} == want and {(r._place, r._block, r._sum) for r in got} == {(5, 6, 7)}
+    for r in filled.collect():
+        assert r.v == (max(500, (r.id - 500) // 1000 * 1000 + 500)) % 7
+    assert all(r.row_idx == r.id + 1 for r in index.collect())
+
+
+def test_blocks_follow_the_bytes(spark, monkeypatch):
+    from tessera.operators import ordered
+    monkeypatch.setattr(ordered, "BLOCK_BYTES", 1 << 16)
+    small, large = (spark.range(n).withColumn("t", F.repeat(F.lit("x"), 100)) for n in (1000, 10_000))
+    a, b = ordered.with_blocks(small, "id"), ordered.with_blocks(large, "id")
+    assert a.count == 2 and b.count == 19
+    assert ordered.measured_bytes(small) == 1000 * (16 + 8 + 100)
+
+
+def test_samples_keep_columns_named_like_internal_ones(spark):
+    from tessera.operators import chartdata
+    df = spark.range(300).select("id", F.lit(1).alias("_h"), F.lit(2).alias("_mid"), F.lit(3).alias("_quota"))
+    out = chartdata.sample_rows(df, ["id"], 20)
+    assert out.columns == df.columns and {tuple(r)[1:] for r in out.collect()} == {(1, 2, 3)}
+    hot = spark.createDataFrame([(1, 1, 2, 3)] * 9000, "id long, _h int, _mid int, _pid int")
+    assert {tuple(r) for r in chartdata.sample_rows(hot, ["id"], 20).collect()} == {(1, 1, 2, 3)}
+
+
+def test_violin_with_nan_and_infinity(spark):
+    from tessera.operators import chartdata
+    rows = [("a", float(i)) for i in range(50)] + [("a", float("nan")), ("b", float("inf")), ("b", 3.0), ("b", None)]
+    out = chartdata.violin_density(spark.createDataFrame(rows, "g string, x double"), "x", "g", 5).collect()
+    assert sum(r["count"] for r in out) == 51
+
+
+def test_multiclass_auc_counts_zero_scores(spark):
+    from tessera.operators.evaluate import weighted_ovr_auc
+    r = random.Random(2)
+    rows = []
+    for _ in range(300):
+        p = [r.choice([0.0, 0.0, r.random()]) for _ in range(3)]
+        rows.append((r.choice(["a", "b", "c", "other"]), *[r.choice([x, x, x, None, float("nan")]) for x in p]))
+    df = spark.createDataFrame(rows, "y string, a double, b double, c double")
+    total = acc = 0
+    for i, c in enumerate("abc"):
+        ok = [x for x in rows if x[1 + i] is not None and x[1 + i] == x[1 + i]]
+        pos, neg = [x[1 + i] for x in ok if x[0] == c], [x[1 + i] for x in ok if x[0] != c]
+        auc = sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / len(pos) / len(neg)
+        n = sum(x[0] == c for x in rows)
+        acc, total = acc + n * auc, total + n
+    assert abs(weighted_ovr_auc(df, "y", {c: c for c in "abc"}) - acc / total) < 1e-12
