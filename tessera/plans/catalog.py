@@ -425,10 +425,10 @@ def q_publish_dashboard(spark, sf):
     cleaned, _ = clean.clean_dataframe(orders, order_by="o_orderkey")
     processed, _ = features.engineer_features(orders, "o_totalprice", carry=["o_orderkey"])
     preds = q_predict_orders(spark, sf)
-    tables = sinks.dashboard_tables(raw=orders, cleaned=cleaned, processed=processed, predictions=preds,
-                                    results=result.results, importance=result.importance, order_by="o_orderkey",
-                                    extra={"target_column": "o_totalprice", "best_model": result.best_model_name})
-    return sinks.publish(tables, sinks.Target(path=artifacts.artifact_dir(spark, "published")))
+    return sinks.publish_run(
+        sinks.Target(path=artifacts.artifact_dir(spark, "published")), raw=orders, cleaned=cleaned, processed=processed,
+        predictions=preds, results=result.results, importance=result.importance, order_by="o_orderkey",
+        extra={"target_column": "o_totalprice", "best_model": result.best_model_name})
 
 
 def q_run_metadata(spark, sf):

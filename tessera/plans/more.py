@@ -145,6 +145,39 @@ def q_csv_messy(spark, sf):
     return csv_source.load_csv(spark, sinks.to_csv(p, artifacts.artifact_dir(spark, "messy"))).df
 
 
+def q_csv_rejects(spark, sf):
+    """Every fiftieth row has a field too many."""
+    line = F.concat_ws(",", "o_orderkey", "o_totalprice", F.concat(F.lit('"'), "o_orderpriority", F.lit(', x"')),
+                       F.when(F.col("o_orderkey") % 50 == 0, "surplus"))
+    path = artifacts.artifact_dir(spark, "rejects")
+    body = read_table(spark, sf, "orders").select(line.alias("value"))
+    head = spark.createDataFrame([("o_orderkey,o_totalprice,note",)], "value string")
+    head.unionByName(body).coalesce(1).write.text(path)
+    read = csv_source.load_csv(spark, path)
+    return read.df.withColumn("rejected", F.lit(read.rejected_rows).cast("long"))
+
+
+def q_csv_encodings(spark, sf):
+    """A folder of a Latin-1 and a UTF-8 file."""
+    path = artifacts.artifact_dir(spark, "encodings")
+    c = read_table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("é-ü "), "c_name").alias("name"))
+    for encoding, part in (("ISO-8859-1", c.where("c_custkey % 2 = 0")), ("UTF-8", c.where("c_custkey % 2 = 1"))):
+        part.coalesce(1).write.mode("append").option("header", True).option("encoding", encoding).csv(path)
+    read = csv_source.load_csv(spark, path)
+    return read.df.withColumn("encoding", F.lit(read.encoding))
+
+
+def q_published_rows(spark, sf):
+    """Two runs, the second with a table that fails: its first version stays."""
+    target = sinks.Target(path=artifacts.artifact_dir(spark, "versions"))
+    o = read_table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("Price"))
+    sinks.publish_run(target, raw=o, cleaned=o.where("o_orderkey % 2 = 0"))
+    broken = o.withColumn("Price", F.raise_error(F.lit("broken")).cast("double"))
+    sinks.publish_run(target, raw=o.where("o_orderkey % 3 = 0"), cleaned=broken)
+    both = [sinks.read_published(spark, target, t).withColumn("tab", F.lit(t)) for t in ("raw_data", "cleaned_data")]
+    return both[0].unionByName(both[1])
+
+
 # --- training, scoring ------------------------------------------------------------
 def q_holdout_rows(spark, sf):
     """Keys and actual values of the test rows that training holds out."""
@@ -265,6 +298,11 @@ def oracle_sql() -> dict[str, str]:
                        "FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS r, count(*) OVER () AS n FROM orders)",
         "fill_other": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN CASE WHEN o_totalprice > 100000 THEN 'true' ELSE 'false' END "
                       "ELSE 'Unknown' END AS big FROM orders",
+        "csv_rejects": "SELECT o_orderkey, o_totalprice, o_orderpriority || ', x' AS note, (SELECT count(*) FROM orders WHERE o_orderkey % 50 = 0) AS rejected "
+                       "FROM orders WHERE o_orderkey % 50 <> 0",
+        "csv_encodings": "SELECT c_custkey, 'é-ü ' || c_name AS name, 'mixed' AS encoding FROM customer",
+        "published_rows": "SELECT o_orderkey, o_totalprice AS price, 'raw_data' AS tab FROM orders WHERE o_orderkey % 3 = 0 "
+                          "UNION ALL SELECT o_orderkey, o_totalprice, 'cleaned_data' FROM orders WHERE o_orderkey % 2 = 0",
         "csv_messy": "SELECT p_partkey, p_size || CASE WHEN p_partkey % 2 = 0 THEN 'D' ELSE 'f' END AS code, "
                      "'5\" ' || p_name || ', \\n' AS note, p_retailprice / 3 AS third FROM part",
         "holdout_rows": f"SELECT o_orderkey, o_totalprice AS actual FROM ({split_sql('orders', ORDERS, ['o_orderkey'], None)}) WHERE split = 'test'",

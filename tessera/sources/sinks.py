@@ -5,18 +5,30 @@ Writes run on the executors (``DataFrameWriter``); nothing is funnelled
 through the driver.  A target is a folder (Parquet per table), a catalog
 database (``saveAsTable``), or a JDBC connection whose options the caller
 supplies (batches of 5 000 rows).
+
+Publishing to a folder never touches what readers see until a table is
+complete: each run writes its tables below ``versions/<run>``, then appends
+one row a table to the manifest, and ``read_published`` reads the folders
+that the newest rows name.  A table that fails or is empty keeps its last
+version.  ``publish_run`` writes the raw and cleaned tables first and makes
+all statistics from what was written, so a frame is computed once however
+many tables come from it.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.schema import col
+from tessera.session import cut_lineage
 
 JDBC_BATCH = 5000
 PUBLISHED_TABLES = ("raw_data", "cleaned_data", "processed_data", "predictions", "model_results",
@@ -155,25 +167,102 @@ def executive_summary(meta: dict, results: DataFrame | None = None, importance:
     return spark.createDataFrame(rows, "item string, value string")
 
 
-def publish(tables: dict[str, DataFrame], target: Target, if_exists: str = "replace") -> DataFrame:
-    """S8 (how): write every table; one failing table does not stop the
-    others.  Returns ``(table, ok, error)`` rows for all 13 names."""
-    spark = next(iter(tables.values())).sparkSession if tables else SparkSession.getActiveSession()
+MANIFEST_SCHEMA = "run string, table string, folder string, mode string, rows long"
+
+
+def _manifest(target: Target) -> str:
+    return os.path.join(target.path, "manifest")
+
+
+def manifest(spark: SparkSession, target: Target) -> DataFrame:
+    """(run, table, folder, mode, rows): one row for each table of each run."""
+    try:
+        return spark.read.schema(MANIFEST_SCHEMA).json(_manifest(target))
+    except AnalysisException:
+        return spark.createDataFrame([], MANIFEST_SCHEMA)
+
+
+def _folders(spark: SparkSession, target: Target, table: str) -> list[str]:
+    """Folders of the current version: the last replacement and what was appended since."""
+    rows = manifest(spark, target).where(F.col("table") == table).orderBy("run").collect()
+    last = max((i for i, r in enumerate(rows) if r["mode"] != "append"), default=0)
+    return [os.path.join(target.path, r["folder"]) for r in rows[last:]]
+
+
+def read_published(spark: SparkSession, target: Target, table: str) -> DataFrame | None:
+    """The current version of a table of a folder target, None if there is none."""
+    folders = _folders(spark, target, table.lower())
+    return spark.read.parquet(*folders) if folders else None
+
+
+def _new_run() -> str:
+    return f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+
+
+def _save_version(df: DataFrame, table: str, target: Target, run: str, if_exists: str) -> int:
+    """Write one table's new version in a single pass and announce it; the
+    number of rows (an empty table is not announced)."""
+    name, mode = table.lower(), _MODES[if_exists]
+    spark = df.sparkSession
+    if mode != "append" and mode != "overwrite" and _folders(spark, target, name):
+        if mode == "ignore":
+            return 0
+        raise ValueError(f"{name} is published already")
+    seen, folder = Observation(), os.path.join("versions", run, name)
+    lower_names(df).observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(os.path.join(target.path, folder))
+    rows = seen.get["rows"]
+    if rows:
+        kind = "append" if mode == "append" else "replace"
+        spark.createDataFrame([(run, name, folder, kind, rows)], MANIFEST_SCHEMA).coalesce(1).write.mode("append").json(_manifest(target))
+    return rows
+
+
+STATUS_SCHEMA = T.StructType([T.StructField("table", T.StringType()), T.StructField("ok", T.BooleanType()),
+                              T.StructField("error", T.StringType())])
+
+
+def _published(tables: dict[str, DataFrame], names, target: Target, if_exists: str, run: str) -> list[tuple]:
     status = []
-    for name in PUBLISHED_TABLES:
+    for name in names:
         df = tables.get(name)
         if df is None:
             status.append((name, False, "not available"))
             continue
         try:
-            ok = save_dataframe(df, name, target, if_exists)
+            # a catalog or a database is asked whether rows are there before the write: both read one copy
+            ok = (_save_version(df, name, target, run, if_exists) > 0 if target.path is not None
+                  else save_dataframe(cut_lineage(df), name, target, if_exists))
             status.append((name, ok, None if ok else "empty"))
         except Exception as exc:  # noqa: BLE001 - reported per table
             status.append((name, False, f"{type(exc).__name__}: {exc}"[:500]))
-    return spark.createDataFrame(status, T.StructType([
-        T.StructField("table", T.StringType()), T.StructField("ok", T.BooleanType()),
-        T.StructField("error", T.StringType())]))
+    return status
+
+
+def publish(tables: dict[str, DataFrame], target: Target, if_exists: str = "replace") -> DataFrame:
+    """S8 (how): write every table; one failing table does not stop the
+    others and keeps its last version.  Returns ``(table, ok, error)`` rows
+    for all 13 names."""
+    spark = next(iter(tables.values())).sparkSession if tables else SparkSession.getActiveSession()
+    return spark.createDataFrame(_published(tables, PUBLISHED_TABLES, target, if_exists, _new_run()), STATUS_SCHEMA)
+
+
+def publish_run(target: Target, *, raw: DataFrame, cleaned: DataFrame | None = None, if_exists: str = "replace", **more) -> DataFrame:
+    """S8 to a folder: raw and cleaned rows are computed and written once;
+    the other tables (see ``dashboard_tables``) are made from what was
+    written.  Returns the status rows."""
+    spark, run = raw.sparkSession, _new_run()
+    given = {"raw_data": raw, "cleaned_data": cleaned}
+    status = _published({k: v for k, v in given.items() if v is not None}, given, target, if_exists, run)
+    written = {}
+    for name, df in given.items():
+        if (name, True, None) in status:
+            written[name] = spark.read.parquet(os.path.join(target.path, "versions", run, name)).toDF(*df.columns)
+        else:
+            written[name] = df
+    tables = dashboard_tables(raw=written["raw_data"], cleaned=written["cleaned_data"], **more)
+    rest = [n for n in PUBLISHED_TABLES if n not in given]
+    return spark.createDataFrame(status + _published(tables, rest, target, if_exists, run), STATUS_SCHEMA)
 
 
 __all__ = ["Target", "to_csv", "save_dataframe", "metadata_frame", "pipeline_metadata",
-           "dashboard_tables", "publish", "col"]
+           "dashboard_tables", "publish", "publish_run", "read_published", "manifest", "col"]
