@@ -42,7 +42,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import staged
-from tessera.llm.tokens import encoded
 
 SYMBOLS = 1 << 17
 SYMBOL_BYTES = 64
@@ -50,14 +49,17 @@ STATES = 8
 ROUNDS = 6
 STAY = 0.9                  # first probability of staying in a state
 #: Texts side by side, tokens of a piece, tokens whose expected counts are added at a time.
-LANES, PIECE, GATHER = 2048, 1 << 19, 1 << 19
+LANES, PIECE, GATHER = 4096, 1 << 19, 1 << 19
+#: Tokens of the texts that a task walks together: the longest texts are few,
+#: and each step of theirs costs as much as one of thousands of texts.
+TOGETHER = 8 << 20
 HELD = 300_000
 _UNIT = float(1 << 20)
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words between ASCII white space, A-Z lower-cased."""
-    return encoded(text).lower().split()
+def tokens(text: bytes | None) -> list[bytes]:
+    """Words between ASCII white space of UTF-8 bytes, A-Z lower-cased."""
+    return (text or b"").lower().split()
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -75,7 +77,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
                     counts.clear()
         if counts:
             yield batch_of(counts)
-    return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.select(F.col("text").cast("binary")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -148,7 +150,7 @@ def encoded_texts(docs: DataFrame, known: Lexicon) -> DataFrame:
                  pa.array(rest, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))] + batch.columns[1:],
                 names=["symbols", "n_known", "base", "rare"] + others)
     kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    out = docs.select("text", *others).mapInArrow(
+    out = docs.select(F.col("text").cast("binary"), *others).mapInArrow(
         run, "symbols array<int>, n_known long, base double, rare array<struct<word: binary, n: bigint>>" + kinds)
     return staged(out.withColumn("row", F.monotonically_increasing_id()), "hmm-symbols")
 
@@ -294,10 +296,15 @@ def expected_counts(texts: DataFrame, model: Model):
     k = len(model.start)
 
     def run(batches):
-        sums = Expected(held.value)
+        sums, waiting, tokens_waiting = Expected(held.value), [], 0
         for batch in batches:
-            if batch.num_rows:
-                sums.add(*_arrays(batch.column(0)))
+            waiting.append(_arrays(batch.column(0)))
+            tokens_waiting += len(waiting[-1][0])
+            if tokens_waiting >= TOGETHER:
+                sums.add(*map(np.concatenate, zip(*waiting)))
+                waiting, tokens_waiting = [], 0
+        if tokens_waiting:
+            sums.add(*map(np.concatenate, zip(*waiting)))
         slots, counts = sums.rows()
         whole = np.rint(counts * _UNIT).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(slots)] + [pa.array(np.ascontiguousarray(whole[:, j])) for j in range(k)],
@@ -328,6 +335,9 @@ def baum_welch(texts: DataFrame, known: Lexicon, states: int = STATES, rounds: i
     texts' log probability before each pass."""
     model, logs = first_model(known.counts, states, seed), []
     if known.counts[-1]:
+        # splits of some TOGETHER tokens each, and enough of them for every core
+        tasks = max(texts.sparkSession.sparkContext.defaultParallelism, -(-known.total // TOGETHER))
+        texts = texts.coalesce(tasks)
         for _ in range(rounds):
             start, step, emit, log = expected_counts(texts, model)
             logs.append(log)
