@@ -252,14 +252,15 @@ def publish_run(target: Target, *, raw: DataFrame, cleaned: DataFrame | None = N
     written.  Returns the status rows."""
     spark, run = raw.sparkSession, _new_run()
     given = {"raw_data": raw, "cleaned_data": cleaned}
-    status = _published({k: v for k, v in given.items() if v is not None}, given, target, if_exists, run)
+    status = _published(given, given, target, if_exists, run)
     written = {}
-    for name, df in given.items():
-        if (name, True, None) in status:
-            written[name] = spark.read.parquet(os.path.join(target.path, "versions", run, name)).toDF(*df.columns)
-        else:
-            written[name] = df
-    tables = dashboard_tables(raw=written["raw_data"], cleaned=written["cleaned_data"], **more)
+    for name, ok, error in status:
+        if ok:
+            written[name] = spark.read.parquet(os.path.join(target.path, "versions", run, name)).toDF(*given[name].columns)
+        elif error == "empty":
+            written[name] = given[name]
+    # a frame that failed is left out: computing it again would fail again
+    tables = dashboard_tables(raw=written.get("raw_data"), cleaned=written.get("cleaned_data"), **more)
     rest = [n for n in PUBLISHED_TABLES if n not in given]
     return spark.createDataFrame(status + _published(tables, rest, target, if_exists, run), STATUS_SCHEMA)
 
