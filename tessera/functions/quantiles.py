@@ -15,6 +15,11 @@ of groups together and on one path for every size:
 3. an interval with a single distinct value is resolved; one that holds at
    most ``leaf`` values is resolved from the counts of its distinct values.
 
+Groups of up to ``leaf * SKETCH / 5`` values, whatever their spread, take two
+passes instead (``_bracketed``): a mergeable quantile sketch brackets every
+rank, and one exact pass counts the values below the bracket and those inside.
+A rank that its bracket misses goes the way above.
+
 All of it happens on the executors: a group's values never meet in one task
 before they are few, and only the resolved ``(group, rank, value)`` rows — as
 many as were asked for — leave it.  The number of passes is logarithmic in
@@ -116,21 +121,60 @@ def _held_locally(table: DataFrame) -> DataFrame:
     return table.sparkSession.createDataFrame([tuple(r) for r in table.collect()], table.schema)
 
 
+#: Accuracy of the sketch: its ranks are off by n / SKETCH at most.  Ranks are
+#: bracketed by twice that on each side, so a bracket holds n * 5 / SKETCH values or so.
+SKETCH = 10_000
+#: Points asked of one sketch at most.
+SKETCH_POINTS = 256
+
+
+def _bracketed(long_df: DataFrame, ranks: dict[str, list[int]], counts: dict[str, int]) -> dict[tuple[str, int], float]:
+    """The ranks found between two points of a sketch, in two passes."""
+    def around(g, r):
+        share, slack = (r + 0.5) / counts[g], 2.0 / SKETCH
+        return max(0.0, share - slack), min(1.0, share + slack)
+    points = sorted({p for g, rs in ranks.items() for r in rs for p in around(g, r)})
+    if len(points) > SKETCH_POINTS:
+        return {}
+    place = {p: i for i, p in enumerate(points)}
+    sketch = long_df.groupBy("g").agg(F.percentile_approx("x", F.array(*[F.lit(p) for p in points]), SKETCH).alias("q"))
+    at = {r["g"]: r["q"] for r in sketch.collect()}
+    rows = []
+    for g, rs in ranks.items():
+        for r in rs if g in at else ():
+            low, high = around(g, r)
+            rows.append((g, r, at[g][place[low]] if low > 0 else -math.inf, at[g][place[high]] if high < 1 else math.inf))
+    kind = long_df.schema["g"].dataType
+    asked = long_df.sparkSession.createDataFrame(rows, T.StructType([
+        T.StructField("g", kind), T.StructField("rank", T.LongType()), T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())]))
+    brackets = asked.select("g", "lo", "hi").distinct()
+    counted = (long_df.join(F.broadcast(brackets), "g").where(F.col("x") <= F.col("hi"))
+               .groupBy("g", "lo", "hi", F.when(F.col("x") >= F.col("lo"), F.col("x")).alias("x")).agg(F.count(F.lit(1)).alias("n")))
+    below = Window.partitionBy("g", "lo", "hi").orderBy(F.col("x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = counted.withColumn("upto", F.sum("n").over(below)).where(F.col("x").isNotNull())
+    hit = (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))
+    found = upto.join(F.broadcast(asked), ["g", "lo", "hi"]).where(hit)
+    return {(r["g"], int(r["rank"])): float(r["x"]) for r in found.select("g", "rank", "x").collect()}
+
+
 def kth_smallest(long_df: DataFrame, ranks: dict[str, list[int]],
                  bounds: dict[str, tuple[float, float]], counts: dict[str, int],
                  bins: int = DEFAULT_BINS, leaf: int = DEFAULT_LEAF) -> dict[tuple[str, int], float]:
     """Exact k-th smallest ``x`` per group for a short list of ranks:
     ``{(g, rank): value}``; ``bounds[g]`` and ``counts[g]`` are the group's
     (min, max) and size."""
-    rows = [(g, int(r), float(bounds[g][0]), float(bounds[g][1]), int(counts[g])) for g, rs in ranks.items() for r in set(rs)]
+    ranks = {g: sorted({int(r) for r in rs}) for g, rs in ranks.items()}
+    near = {g: rs for g, rs in ranks.items() if rs and counts[g] * 5 <= leaf * SKETCH}
+    known = _bracketed(long_df, near, counts) if near else {}
+    rows = [(g, r, float(bounds[g][0]), float(bounds[g][1]), int(counts[g])) for g, rs in ranks.items() for r in rs if (g, r) not in known]
     if not rows:
-        return {}
+        return known
     schema = T.StructType([T.StructField("g", long_df.schema["g"].dataType), T.StructField("rank", T.LongType()),
                            T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType()),
                            T.StructField("n", T.LongType())])
     wanted = long_df.sparkSession.createDataFrame(rows, schema)
     found = order_statistics(long_df, wanted, bins, leaf, hold=_held_locally).collect()
-    return {(r["g"], int(r["rank"])): float(r["value"]) for r in found}
+    return known | {(r["g"], int(r["rank"])): float(r["value"]) for r in found}
 
 
 def _rank_plan(n: int, p: float) -> tuple[int, int, float]:

@@ -1,6 +1,8 @@
 """Exact distributed quantiles against numpy, including forced multi-pass
 refinement (tiny bin counts and collect limits) and heavy duplicates."""
 
+import random
+
 import numpy as np
 import pytest
 
@@ -8,7 +10,9 @@ from tessera.functions import quantiles as Q
 
 
 @pytest.mark.parametrize("bins,limit", [(4096, 50_000), (4, 10), (2, 3)])
-def test_exact_quantiles_match_numpy(spark, bins, limit):
+def test_exact_quantiles_match_numpy(spark, bins, limit, monkeypatch):
+    if bins < 4096:                                      # by refinement alone
+        monkeypatch.setattr(Q, "SKETCH_POINTS", 0)
     rng = np.random.default_rng(7)
     a = np.round(rng.lognormal(3, 1, 3000), 2)
     b = rng.integers(0, 5, 3000).astype(float)          # heavy duplicates
@@ -107,3 +111,21 @@ def test_filled_quartiles_match_quartiles_of_filled_column(spark, values):
     filled = np.array([med if v is None else v for v in values])
     q1, q3 = np.quantile(filled, [0.25, 0.75])
     assert plan.filled_quartiles["x"] == pytest.approx((q1, q3), rel=1e-12, abs=1e-12)
+
+
+def test_sketch_brackets_take_two_passes_whatever_the_spread(spark, monkeypatch):
+    r = random.Random(3)
+    values = [10.0 ** r.uniform(-300, 300) * r.choice([-1, 1]) for _ in range(3000)] + [7.0] * 1500
+    df = spark.createDataFrame([(x, -x) for x in values], "a double, b double").repartition(5)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
+    want = {"a": [float(q) for q in np.quantile(values, probs)], "b": [float(q) for q in np.quantile([-x for x in values], probs)]}
+    refined = Q.order_statistics
+    with monkeypatch.context() as m:
+        m.setattr(Q, "order_statistics", lambda *a, **k: pytest.fail("a third pass"))
+        got = Q.exact_quantiles(df, ["a", "b"], probs)
+    for c in "ab":
+        assert np.allclose(got[c], want[c], rtol=1e-9)
+    calls = []
+    monkeypatch.setattr(Q, "order_statistics", lambda *a, **k: calls.append(1) or refined(*a, **k))
+    monkeypatch.setattr(Q, "SKETCH_POINTS", 1)               # no bracket: the other way
+    assert Q.exact_quantiles(df, ["a", "b"], probs) == got and calls
