@@ -18,7 +18,9 @@ of the record's name like any other; repeated rows give equal records; bytes
 that are no WARC record, are cut short or fail to inflate give one row with
 ``error`` set and what could be read (of bytes that are no record, the first
 REST_BYTES), and never stop the job; a block of 2 GB or more, which no row can
-hold, is passed over with such a row; markup that
+hold, is passed over with such a row; a payload that is no text, or in an
+encoding that is unknown or broken, has its metadata record, such a row and no
+conversion; chunked and gzip or deflate payloads are undone first; markup that
 does not nest is read as far as it goes; other columns are not read.
 """
 
@@ -43,6 +45,8 @@ BATCH_BYTES = 8 << 20
 PIECE_BYTES = 1 << 20
 #: Headers end within so many bytes, and so much is kept of what is no record.
 REST_BYTES = 16 << 20
+#: A page inflates to so much at most.
+TEXT_BYTES = 256 << 20
 #: A row holds less than this.
 ROW_BYTES = 1 << 31
 DATE = "2024-01-01T00:00:00Z"
@@ -201,6 +205,75 @@ def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return status.decode("latin-1"), _fields(rest), payload
 
 
+class Undecodable(ValueError):
+    """A payload that cannot become text; the message says why."""
+
+
+def _unchunked(data: bytes) -> bytes:
+    """The body of a chunked transfer."""
+    out, at = [], 0
+    while True:
+        end = data.find(b"\r\n", at)
+        size = data[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,8}", size):
+            raise Undecodable("broken chunks")
+        if not int(size, 16):
+            return b"".join(out)
+        at = end + 2 + int(size, 16)
+        if data[at:at + 2] != b"\r\n":
+            raise Undecodable("broken chunks")
+        out.append(data[end + 2:at])
+        at += 2
+
+
+def _inflated(data: bytes, wbits: int) -> bytes:
+    z, out, size = zlib.decompressobj(wbits), [], 0
+    rest = data
+    try:
+        while rest and not z.eof:
+            out.append(z.decompress(rest, PIECE_BYTES))
+            size += len(out[-1])
+            if size > TEXT_BYTES:
+                raise Undecodable(f"more than {TEXT_BYTES} bytes of text")
+            rest = z.unconsumed_tail
+    except zlib.error as e:
+        raise Undecodable(f"content encoding: {e}") from e
+    if not z.eof:
+        raise Undecodable("content encoding: cut short")
+    return b"".join(out)
+
+
+def page_of(http: list[tuple[str, str]], payload: bytes) -> str:
+    """The text of a response's payload: transfer and content encodings undone
+    in the order of their headers, characters read as the header, the page's
+    own ``<meta>`` or UTF-8 says.  Other media than text raise Undecodable."""
+    fields: dict[str, str] = {}
+    for n, v in http:
+        fields[n.lower()] = f"{fields[n.lower()]},{v}" if n.lower() in fields else v
+    media = fields.get("content-type", "text/html").split(";")[0].strip().lower()
+    if not (media.startswith("text/") or media.endswith(("xml", "json", "javascript")) or not media):
+        raise Undecodable(f"no text: {media}")
+    listed = [x.strip().lower() for n in ("content-encoding", "transfer-encoding") for x in fields.get(n, "").split(",") if x.strip()]
+    for coding in reversed(listed):
+        if coding == "chunked":
+            payload = _unchunked(payload)
+        elif coding in ("gzip", "x-gzip"):
+            payload = _inflated(payload, 31)
+        elif coding == "deflate":
+            payload = _inflated(payload, 15 if payload[:1] and payload[0] & 15 == 8 else -15)
+        elif coding != "identity":
+            raise Undecodable(f"content encoding {coding}")
+    named = re.search(r"charset=[\"']?([\w-]+)", fields.get("content-type", ""))
+    inside = re.search(rb"<meta[^>]{0,200}?charset=[\"']?([\w-]+)", payload[:4096], re.I)
+    for charset in (named and named[1], inside and inside[1].decode()):
+        try:
+            if charset:
+                return payload.decode(charset, "replace")
+        except LookupError:                              # a name that is no encoding
+            continue
+    return payload.decode("utf-8", "replace")
+
+
 def plain_text(page: str) -> str:
     """Text of an HTML page: one line per block element, white space joined."""
     text = _UNSEEN.sub(" ", page.replace("\r", " ").replace("\n", " "))     # source line breaks are spaces
@@ -268,15 +341,18 @@ def derivatives(archives: DataFrame, record: str = "record", compress: bool = Fa
             source, uri, date = h.get("warc-record-id", ""), h.get("warc-target-uri", ""), h.get("warc-date", "")
             own = digest(payload)
             said = h.get("warc-payload-digest", own)
-            charset = next((m[1] for n, v in http if n.lower() == "content-type" and (m := re.search(r"charset=[\"']?([\w-]+)", v))), "utf-8")
             try:
-                page = payload.decode(charset, "replace")
-            except LookupError:
-                page = payload.decode("utf-8", "replace")
+                page, problem = plain_text(page_of(http, payload)), None
+            except Undecodable as e:
+                page, problem = None, str(e)
             fields = [("source-status", status), *[(f"source-warc-{n}", v) for n, v in headers], *[(f"source-http-{n}", v) for n, v in http],
                       ("source-payload-digest", own), ("source-payload-length", str(len(payload)))]
             about = "".join(f"{n}: {v}\r\n" for n, v in fields)
-            for kind, kind_type, text in (("metadata", "application/warc-fields", about), ("conversion", "text/plain; charset=utf-8", plain_text(page))):
+            if problem:
+                yield (source, "error", None, uri, date, None, len(block), None, said, said == own, None, None, problem)
+            for kind, kind_type, text in (("metadata", "application/warc-fields", about), ("conversion", "text/plain; charset=utf-8", page)):
+                if text is None:
+                    continue
                 data = text.encode("utf-8", "replace")
                 new = record_id(kind, source)
                 head = [("WARC-Type", kind), ("WARC-Record-ID", new), ("WARC-Refers-To", source), ("WARC-Date", date),

@@ -289,6 +289,31 @@ def test_templates_follow_labels(spark):
     assert ordered(out.collect()) == ordered(again.collect())
 
 
+def test_payloads_are_decoded_or_refused(spark):
+    import zlib
+    page = "<html><head><meta charset='iso-8859-1'></head><p>café gratuit</p></html>"
+    latin, squeezed = page.encode("latin-1"), gzip.compress(page.encode("latin-1"))
+    raw = zlib.compressobj(wbits=-15)
+    chunks = b"%x;x=y\r\n%s\r\n%x\r\n%s\r\n0\r\n\r\n" % (5, squeezed[:5], len(squeezed) - 5, squeezed[5:])
+    cases = [([], latin, "café gratuit"), (["Content-Encoding: gzip"], squeezed, "café gratuit"),
+             (["content-encoding: deflate"], zlib.compress(latin), "café gratuit"),
+             (["Content-Encoding: deflate"], raw.compress(latin) + raw.flush(), "café gratuit"),
+             (["Content-Encoding: gzip", "Transfer-Encoding: chunked"], chunks, "café gratuit"),
+             (["Content-Type: text/html; charset=no-such"], latin, "café gratuit"),
+             (["Content-Type: text/plain; charset=utf-8"], "naïve".encode(), "naïve"),
+             (["Content-Type: image/png"], b"\x89PNG", "no text: image/png"), (["Content-Encoding: br"], b"x", "content encoding br"),
+             (["Content-Encoding: gzip"], squeezed[:20], "content encoding: cut short"), (["Content-Encoding: gzip"], b"no gzip", "content encoding: "),
+             (["Transfer-Encoding: chunked"], b"zz\r\nx", "broken chunks")]
+    rows = []
+    for i, (headers, payload, _) in enumerate(cases):
+        block = "\r\n".join(["HTTP/1.1 200 OK", *headers]).encode() + b"\r\n\r\n" + payload
+        rows.append((bytearray(warc.serialised([("WARC-Type", "response"), ("WARC-Record-ID", f"<{i:02d}>"), ("Content-Length", str(len(block)))], block)),))
+    out = warc.derivatives(spark.createDataFrame(rows, "record binary")).collect()
+    assert sum(r.record_type == "metadata" for r in out) == len(cases)
+    got = {r.refers_to or r.record_id: r.block or r.error for r in out if r.record_type != "metadata"}
+    assert all(got[f"<{i:02d}>"].startswith(want) for i, (*_, want) in enumerate(cases)) and len(got) == len(cases)
+
+
 def test_sections_below_any_depth_are_told_apart(spark):
     deep = "/".join("abcdefgh")
     rows = [(i, f"http://deep.example/{deep}/{('clean', 'bad')[i % 2]}/{'xyz'[i % 3]}page-{'abcdefghij'[i % 10]}/{i}") for i in range(400)]
