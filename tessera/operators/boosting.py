@@ -1,7 +1,8 @@
 """Boosted trees grown from histograms of gradients.
 
 Features are cut into at most 256 quantile bins once, and every row keeps one
-byte for each.  A level of a tree is one pass over the rows: each task sums
+byte for each.  Rows are packed into blocks, one array a feature, which are
+dealt evenly to all cores.  A level of a tree is one pass over the blocks: each task sums
 gradients, hessians and rows per (model, class, node, feature, bin), Spark
 adds the sums, and the driver, which holds these tables alone, chooses the
 splits with the largest gain and sends the grown trees back.  Rows never
@@ -46,7 +47,10 @@ from tessera.session import cut_lineage
 
 REFRESH = 10
 #: Rows of sums that the driver takes from the tasks directly (32 bytes each).
-DIRECT_ROWS = 500_000
+DIRECT_ROWS = 2_000_000
+#: Most rows of a block, and about the bytes of a task's blocks (one Arrow batch may hold them all).
+BLOCK_ROWS = 16_384
+TASK_BYTES = 48 << 20
 #: Quantile sketches behind the bins are exact up to about this many rows.
 SKETCH = 20_000
 _UNIT_BITS = 24
@@ -105,16 +109,20 @@ class Tree:
         return Tree(np.full(n, -1, np.int32), np.zeros(n, np.int32), np.zeros(n), np.zeros(n), np.zeros(n))
 
     def places(self, x: np.ndarray, cut: np.ndarray) -> np.ndarray:
-        """Node of every row of ``x`` (bins with ``cut`` the bins, or values with the thresholds)."""
-        at = np.zeros(len(x), np.int64)
-        rows = np.arange(len(x))
-        while True:
-            f = self.feature[at[rows]]
-            rows, f = rows[f >= 0], f[f >= 0]
-            if not len(rows):
-                return at
-            here = at[rows]
-            at[rows] = 2 * here + 1 + (x[rows, f] > cut[here])
+        """Node of every row; ``x`` has a line for each feature (bins with
+        ``cut`` the bins, or values with the thresholds).  Every split is
+        judged for all rows at once, then halves of the tree are merged
+        upwards by bit masks: no row is looked up by itself."""
+        kind = np.uint8 if len(self.feature) <= 256 else np.uint32
+
+        def walk(node):
+            f = self.feature[node]
+            if f < 0:
+                return kind(node)
+            left, right = walk(2 * node + 1), walk(2 * node + 2)
+            return left ^ ((left ^ right) & np.negative((x[f] > cut[node]).astype(kind)))
+        at = walk(0)
+        return at if np.ndim(at) else np.full(x.shape[1], at)
 
 
 @dataclass
@@ -131,11 +139,12 @@ class BoostedModel:
         return len(self.trees)
 
     def margins(self, x: np.ndarray) -> np.ndarray:
-        x = np.where(np.isnan(x), -np.inf, x)
         out = np.tile(self.prior, (len(x), 1))
-        for trees in self.trees:
-            for k, t in enumerate(trees):
-                out[:, k] += self.scale * t.value[t.places(x, t.threshold)]
+        for i in range(0, len(x), BLOCK_ROWS):
+            part = np.ascontiguousarray(np.where(np.isnan(x[i:i + BLOCK_ROWS]), -np.inf, x[i:i + BLOCK_ROWS]).T)
+            for trees in self.trees:
+                for k, t in enumerate(trees):
+                    out[i:i + BLOCK_ROWS, k] += self.scale * t.value[t.places(part, t.threshold)]
         return out
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -223,29 +232,63 @@ def quantile_cuts(df: DataFrame, features: str, n: int, bins: int = 256) -> list
 
 
 def _binned(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
-    out = np.empty(x.shape, np.uint8)
+    """Bins, a line for each feature."""
+    out = np.empty(x.shape[::-1], np.uint8)
     for f, c in enumerate(cuts):
         v = np.where(np.isnan(x[:, f]), -np.inf, x[:, f])
-        out[:, f] = np.searchsorted(c, v, side="left")
+        out[f] = np.searchsorted(c, v, side="left")
     return out
 
 
-def binned_rows(df: DataFrame, s: Boosting, cuts: list[np.ndarray], masks: list[Column]) -> DataFrame:
-    """(bins, y, mask, val, draw) of the rows with a label."""
-    held = df.sparkSession.sparkContext.broadcast(cuts)
-
-    def run(batches):
-        for batch in batches:
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            bins = _binned(x, held.value)
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in bins], pa.binary())] + batch.columns[1:],
-                                             names=["bins", "y", "mask", "val", "draw"])
+def labelled_rows(df: DataFrame, s: Boosting, masks: list[Column]) -> DataFrame:
+    """(x, y, mask, val, draw) of the rows with a label."""
     mask = sum((F.coalesce(m, F.lit(False)).cast("long") * F.lit(1 << i) for i, m in enumerate(masks)), F.lit(0).cast("long"))
     val = F.coalesce(col(s.valCol), F.lit(False)) if s.valCol and s.patience else F.lit(False)
     x = vector_to_array(col(s.featuresCol))
-    rows = df.where(col(s.labelCol).isNotNull()).select(x.alias("x"), col(s.labelCol).cast("double").alias("y"),
+    return df.where(col(s.labelCol).isNotNull()).select(x.alias("x"), col(s.labelCol).cast("double").alias("y"),
                                                         mask.alias("mask"), val.alias("val"), F.xxhash64(x, col(s.labelCol)).alias("draw"))
-    return rows.mapInArrow(run, "bins binary, y double, mask long, val boolean, draw long")
+
+
+_BLOCK = "bins binary, y binary, mask binary, val binary, draw binary, margin binary"
+
+
+def packed(rows: DataFrame, cuts: list[np.ndarray], prior: np.ndarray, n: int) -> DataFrame:
+    """Blocks of ``rows``, each column one array, with the bins instead of the
+    features and the margins before the first round.  Blocks are dealt out in
+    turn, so neither the input's files nor its partitions decide which cores
+    have work, and a task holds about ``TASK_BYTES`` at most."""
+    sc = rows.sparkSession.sparkContext
+    held = sc.broadcast(cuts)
+    size = max(1, min(BLOCK_ROWS, -(-n // (4 * sc.defaultParallelism))))
+    tasks = max(sc.defaultParallelism, -(-n * (len(cuts) + 25 + prior.nbytes) // TASK_BYTES))
+    start = prior.ravel()
+
+    def block(parts):
+        bins, y, mask, val, draw = (np.concatenate(p, axis=-1) for p in zip(*parts))
+        margin = np.repeat(start, len(y))
+        arrays = bins, y, mask, val, draw, margin
+        return pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(a).tobytes()], pa.binary()) for a in arrays],
+                                          names=["bins", "y", "mask", "val", "draw", "margin"])
+
+    def run(batches):
+        kept, have = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # a slice of a list column keeps its parent's values: flatten() leaves those out
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            lines = [_binned(x, held.value)] + [batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "mask", "val", "draw")]
+            at = 0
+            while at < batch.num_rows:
+                many = min(size - have, batch.num_rows - at)
+                kept.append([a[..., at:at + many] for a in lines])
+                have, at = have + many, at + many
+                if have == size:
+                    yield block(kept)
+                    kept, have = [], 0
+        if kept:
+            yield block(kept)
+    return rows.mapInArrow(run, _BLOCK).repartition(int(tasks))
 
 
 # ---- gradients --------------------------------------------------------------------
@@ -304,15 +347,26 @@ class _Growing:
     round: int
 
 
-def _margins(batch, state: _Growing, features: int):
-    n, s = batch.num_rows, state.settings
-    bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(n, features)
-    start = np.frombuffer(b"".join(batch.column("margin").to_pylist()), np.float64).reshape(n, -1, s.outputs).copy()
-    for trees in state.recent:
-        for m, outputs in enumerate(trees):
-            for k, t in enumerate(outputs):
-                start[:, m, k] += t.value[t.places(bins, t.bin)]
-    return bins, start
+def _blocks(batches, names: str, state: _Growing, features: int):
+    """Per block: its batch of one row, bins (feature, row), margins (model,
+    output, row) up to the last whole round, and the arrays of ``names``."""
+    kinds = {"y": np.float64, "mask": np.int64, "val": np.bool_, "draw": np.uint64}
+
+    def array(batch, name, kind):
+        return np.frombuffer(batch.column(name)[0].as_buffer(), kind)
+    for batch in batches:
+        for i in range(batch.num_rows):
+            one = batch.slice(i, 1)
+            bins = array(one, "bins", np.uint8).reshape(features, -1)
+            margin = array(one, "margin", np.float64).reshape(*state.prior.shape, -1).copy()
+            for trees in state.recent:
+                for m, outputs in enumerate(trees):
+                    for k, t in enumerate(outputs):
+                        if t.feature[0] < 0:
+                            margin[m, k] += t.value[0]
+                        else:
+                            margin[m, k] += t.value[t.places(bins, t.bin)]
+            yield one, bins, margin, *(array(one, c, kinds[c]) for c in names.split())
 
 
 def _pass(rows: DataFrame, state: _Growing, features: int, level: int, tasks: int = 1 << 40):
@@ -324,32 +378,39 @@ def _pass(rows: DataFrame, state: _Growing, features: int, level: int, tasks: in
     def run(batches):
         st: _Growing = held.value
         s = st.settings
-        sums = np.zeros((3, st.slots * st.total))
+        sums = np.zeros((3, st.slots, st.total))
         loss = np.zeros((len(st.prior), 2))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bins, margin = _margins(batch, st, features)
-            y, mask = batch.column("y").to_numpy(), batch.column("mask").to_numpy()
-            val, draw = batch.column("val").to_numpy(zero_copy_only=False), batch.column("draw").to_numpy()
-            sample = _drawn(draw, st.round, s)
-            flat = bins.astype(np.int64) + st.first[None, :]
+        ends = np.append(st.first[1:], st.total)
+        for _, bins, margin, y, mask, val, draw in _blocks(batches, "y mask val draw", st, features):
+            used = ~val & _drawn(draw, st.round, s)
             for m in st.models:
                 own = (mask >> m & 1).astype(bool)
                 if level == 0 and s.patience:
                     at = np.flatnonzero(own & val)
-                    loss[m] += _loss(margin[at, m], y[at], s).sum(), len(at)
-                at = np.flatnonzero(own & ~val & sample)
-                if not len(at):
-                    continue
-                g, h = gradients(margin[at, m], y[at], s)
+                    loss[m] += _loss(margin[m][:, at].T, y[at], s).sum(), len(at)
+                own &= used
                 for k in range(s.outputs):
-                    slot = st.open[m, k][st.now[m][k].places(bins[at], st.now[m][k].bin)]
-                    live = slot >= 0
-                    place = (slot[live, None] * st.total + flat[at[live]]).ravel()
-                    for i, w in enumerate((g[live, k], h[live, k])):
-                        sums[i] += np.bincount(place, np.repeat(np.rint(w * st.unit), features), sums.shape[1])
-                    sums[2] += np.bincount(place, minlength=sums.shape[1])
+                    slots = st.open[m, k]
+                    lines = np.flatnonzero(slots >= 0)
+                    if not len(lines):
+                        continue
+                    low, many = slots[lines].min(), len(lines)              # a tree's slots follow one another
+                    slot = slots[st.now[m][k].places(bins, st.now[m][k].bin)] - low
+                    at = np.flatnonzero(own & (slot >= 0))
+                    if not len(at):
+                        continue
+                    g, h = gradients(margin[m][:, at].T, y[at], s)
+                    slot, g = slot[at], np.rint(g[:, k] * st.unit)
+                    h = None if s.objective == "squared" else np.rint(h[:, k] * st.unit)
+                    for f in range(features):
+                        a, b = st.first[f], ends[f]
+                        place = slot * (b - a) + bins[f][at]
+                        into = sums[:, low:low + many, a:b]
+                        rows_ = np.bincount(place, minlength=many * (b - a)).reshape(many, b - a)
+                        into[0] += np.bincount(place, g, many * (b - a)).reshape(many, b - a)
+                        into[1] += rows_ * st.unit if h is None else np.bincount(place, h, many * (b - a)).reshape(many, b - a)
+                        into[2] += rows_
+        sums = sums.reshape(3, -1)
         seen = np.flatnonzero(sums[2])
         part = np.concatenate([seen, -1 - np.arange(len(loss))])
         whole = np.concatenate([sums[:, seen], np.rint(np.stack([loss[:, 0] * st.unit, np.zeros(len(loss)), loss[:, 1]]))], axis=1).astype(np.int64)
@@ -399,18 +460,17 @@ def fit_many(df: DataFrame, s: Boosting, masks: list[Column]) -> list[BoostedMod
     spark = df.sparkSession
     head = df.select(F.size(vector_to_array(col(s.featuresCol))).alias("n")).first()
     features = head["n"] if head else 0
-    cuts = quantile_cuts(df, s.featuresCol, features, s.bins)
-    rows = binned_rows(df, s, cuts, masks)
+    rows = labelled_rows(df, s, masks)
     models, scale, n = _priors(rows, s, features, len(masks))
     if not features or not n:
         return models
+    cuts = quantile_cuts(df, s.featuresCol, features, s.bins)
     sizes = np.array([len(c) + 1 for c in cuts])
     first = np.cumsum(sizes) - sizes
-    prior = np.stack([(m.prior - (models[0].prior if s.objective == "squared" else 0)) / scale for m in models])
+    prior = np.stack([(m.prior - (models[0].prior if s.objective == "squared" else 0)) / scale for m in models]).astype(np.float64)
     unit = float(1 << min(_UNIT_BITS, max(4, 60 - math.ceil(math.log2(n + 1)))))
-    start = prior.astype(np.float64).tobytes()
     centre = float(models[0].prior[0]) if s.objective == "squared" else 0.0
-    data = cut_lineage(rows.withColumns({"y": (F.col("y") - centre) / scale, "margin": F.lit(start)})).persist(StorageLevel.MEMORY_AND_DISK)
+    data = cut_lineage(packed(rows.withColumn("y", (F.col("y") - centre) / scale), cuts, prior, n)).persist(StorageLevel.MEMORY_AND_DISK)
     growing, recent = list(range(len(masks))), []
     tasks = data.rdd.getNumPartitions()
     for r in range(s.rounds):
@@ -482,11 +542,8 @@ def _refreshed(data: DataFrame, recent, s: Boosting, features: int, prior, scale
     held = data.sparkSession.sparkContext.broadcast(state)
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                _, margin = _margins(batch, held.value, features)
-                yield batch.set_column(batch.schema.get_field_index("margin"), "margin",
-                                       pa.array([r.tobytes() for r in margin], pa.binary()))
+        for one, _, margin in _blocks(batches, "", held.value, features):
+            yield one.set_column(one.schema.get_field_index("margin"), "margin", pa.array([margin.tobytes()], pa.binary()))
     return cut_lineage(data.mapInArrow(run, data.schema)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -533,17 +590,17 @@ def first_gains(df: DataFrame, s: Boosting, names: list[str] | None = None) -> D
     spark = df.sparkSession
     head = df.select(F.size(vector_to_array(col(s.featuresCol))).alias("n")).first()
     features = head["n"] if head else 0
-    cuts = quantile_cuts(df, s.featuresCol, features, s.bins)
-    rows = binned_rows(df, s, cuts, [F.lit(True)])
+    rows = labelled_rows(df, s, [F.lit(True)])
     models, scale, n = _priors(rows, s, features, 1)
     out = []
     if features and n:
+        cuts = quantile_cuts(df, s.featuresCol, features, s.bins)
         sizes = np.array([len(c) + 1 for c in cuts])
         first = np.cumsum(sizes) - sizes
         unit = float(1 << min(_UNIT_BITS, max(4, 60 - math.ceil(math.log2(n + 1)))))
         centre = float(models[0].prior[0]) if s.objective == "squared" else 0.0
-        prior = np.zeros((1, s.outputs)) if s.objective == "squared" else models[0].prior[None]
-        data = rows.withColumns({"y": (F.col("y") - centre) / scale, "margin": F.lit(prior.astype(np.float64).tobytes())})
+        prior = (np.zeros((1, s.outputs)) if s.objective == "squared" else models[0].prior[None]).astype(np.float64)
+        data = packed(rows.withColumn("y", (F.col("y") - centre) / scale), cuts, prior, n)
         state = _Growing(s, [0], [], [[Tree.empty(0) for _ in range(s.outputs)]], np.zeros((1, s.outputs, 1), np.int64), 1,
                          first, int(sizes.sum()), scale, prior, unit, 0)
         sums, _ = _pass(data, state, features, 1)

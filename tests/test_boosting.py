@@ -132,6 +132,40 @@ def test_folds_in_one_fit_equal_separate_fits(spark):
         assert a.kept == b.kept and np.allclose(a.margins(x), b.margins(x), atol=1e-3)
 
 
+def test_rows_of_one_partition_are_dealt_to_all_cores(spark, monkeypatch):
+    """A pass has a task for every core, each with its share of the rows, whatever the input's files are."""
+    df, x, _ = table(spark, 4000)
+    seen, plain = [], boosting._pass
+
+    def counted(rows, *args):
+        share = rows.select(F.spark_partition_id().alias("p"), F.octet_length("y").alias("b")).groupBy("p").agg(F.sum("b").alias("b")).collect()
+        seen.append(sorted(r.b // 8 for r in share))
+        return plain(rows, *args)
+    monkeypatch.setattr(boosting, "_pass", counted)
+    one = Boosting(rounds=1, depth=1).fit(df.coalesce(1))
+    cores = spark.sparkContext.defaultParallelism
+    assert all(len(s) == cores and sum(s) == 4000 and s[-1] < 2 * s[0] for s in seen) and seen
+    monkeypatch.undo()
+    many = Boosting(rounds=1, depth=1).fit(df.repartition(7))
+    assert np.array_equal(one.margins(x), many.margins(x))
+
+
+def test_places_equal_a_walk_of_each_row():
+    r = np.random.default_rng(3)
+    for depth in (0, 1, 4, 6, 8):
+        t = boosting.Tree.empty(depth)
+        inner = np.arange(len(t.feature) // 2)
+        t.feature[inner], t.bin[inner] = np.where(r.random(len(inner)) < 0.8, r.integers(0, 3, len(inner)), -1), r.integers(0, 255, len(inner))
+        x = r.integers(0, 256, (3, 500)).astype(np.uint8)
+        want = []
+        for row in x.T:
+            at = 0
+            while t.feature[at] >= 0:
+                at = 2 * at + 1 + (row[t.feature[at]] > t.bin[at])
+            want.append(at)
+        assert t.places(x, t.bin).tolist() == want
+
+
 def test_classes_round_trip_and_hard_rows(spark):
     df, x, y = table(spark, 400)
     three = df.withColumn("label", F.when(F.col("label") > 1, 2.0).when(F.col("label") < -1, 0.0).otherwise(1.0))
