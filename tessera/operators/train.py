@@ -106,7 +106,12 @@ def prepare(processed: DataFrame, target: str, keys: list[str], *, problem_type:
         # model and fold); a reliable checkpoint in the shared checkpoint
         # folder cuts the lineage, so a lost executor costs a re-read of
         # checkpoint files, not a re-run of cleaning and feature engineering.
-        data = cut_lineage(data).persist(StorageLevel.MEMORY_AND_DISK)
+        # The folds leave all training rows in as many blocks as their bytes
+        # ask for, often one: they are dealt out evenly, so that every pass
+        # of every fit has all cores.
+        data = cut_lineage(data)
+        tasks = max(data.rdd.getNumPartitions(), data.sparkSession.sparkContext.defaultParallelism)
+        data = data.repartition(tasks).persist(StorageLevel.MEMORY_AND_DISK)
     n_train = data.where(F.col("split") == "train").count()
     return Prepared(data, features, problem_type, target, keys, fitted, classes, n_train)
 

@@ -30,6 +30,18 @@ def test_regression_train_score_roundtrip(spark):
     assert ev["n"] == orders.count()
 
 
+def test_training_rows_lie_on_all_cores(spark):
+    """Folds put the training rows in blocks by their bytes; fits must not inherit that."""
+    rows = spark.range(800).select(F.col("id").alias("k"), (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 2).alias("y"))
+    for kind in ("regression", "classification"):
+        prep = train.prepare(rows.coalesce(1), "y", ["k"], problem_type=kind, cv_folds=2)
+        share = prep.train.groupBy(F.spark_partition_id()).count().collect()
+        cores = spark.sparkContext.defaultParallelism
+        assert len(share) == cores and max(r["count"] for r in share) < 2 * 640 / cores
+        assert prep.train_rows == 640 and prep.data.count() == 800
+        prep.release()
+
+
 def test_classification_with_unseen_category(spark):
     docs = read_table(spark, SF_SMALL, "documents").select("doc_id", "lang", "source", "n_chars")
     labeled = docs.join(read_table(spark, SF_SMALL, "labels").select("doc_id", "quality"), "doc_id")
