@@ -18,8 +18,10 @@ Training and scoring are Spark jobs over whole texts:
 4. The scaled forward recursion gives the log10 probability of a text: the
    product of its scale factors times its rare words' shares.
 
-Texts run side by side, sorted by length, one step for all; a long text is
-walked in pieces whose first state distribution is kept, so memory stays
+Words are split, counted and looked up by Arrow's kernels, without a Python
+object a word.  Texts run side by side, sorted by length, one step for all,
+and are scaled every few steps and at their ends; a long text is walked in
+pieces whose first state distribution is kept, so memory stays
 bounded and the recursion exact.  A text ends in one end symbol.
 
 Cases: null and empty texts are the end symbol alone; words never seen in
@@ -32,12 +34,11 @@ other columns are not read.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,34 +50,65 @@ STATES = 8
 ROUNDS = 6
 STAY = 0.9                  # first probability of staying in a state
 #: Texts side by side, tokens of a piece, tokens whose expected counts are added at a time.
-LANES, PIECE, GATHER = 4096, 1 << 19, 1 << 19
+LANES, PIECE, GATHER = 4096, 1 << 17, 1 << 17
+#: Steps between two scalings.  A step scales a distribution by no less than
+#: the least emission, 0.02 / STATES of a token of the whole corpus: 8 steps
+#: stay within the range of a double for any corpus below 10^35 tokens.
+SCALED = 8
 #: Tokens of the texts that a task walks together: the longest texts are few,
 #: and each step of theirs costs as much as one of thousands of texts.
 TOGETHER = 8 << 20
-HELD = 300_000
+#: Bytes of text whose words are split at a time, and counted at a time.
+SPLIT, HELD = 4 << 20, 16 << 20
 _UNIT = float(1 << 20)
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """Words between ASCII white space of UTF-8 bytes, A-Z lower-cased."""
-    return (text or b"").lower().split()
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words between ASCII white space of UTF-8 ``texts`` (bytes), A-Z
+    lower-cased: those of all texts in one array, and how many each text has."""
+    texts = pc.fill_null(texts.cast(pa.binary()), b"")
+    # the kernels are for strings, but go byte by byte and do not decode
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    words, sizes = lists.flatten().view(pa.binary()), lists.value_lengths().to_numpy().astype(np.int64)
+    whole = pc.binary_length(words).to_numpy() > 0           # outer white space leaves empty strings
+    if not whole.all():
+        sizes -= np.bincount(lists.value_parent_indices().to_numpy()[~whole], minlength=len(sizes))
+        words = words.filter(pa.array(whole))
+    return words, sizes
+
+
+def _slices(batch: pa.RecordBatch, size: int):
+    """``batch`` in runs of rows whose first column has some ``size`` bytes."""
+    run = np.cumsum(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy().astype(np.int64)) // size
+    cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if a < b:
+            yield batch.slice(a, b - a)
+
+
+def _let_go():
+    """Free memory that Arrow keeps goes back, as the worker lives on."""
+    pa.default_memory_pool().release_unused()
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, n) of all words of ``texts`` (text), one row each."""
-    def batch_of(counts):
-        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
+    def counted(parts):
+        found = pc.value_counts(pa.chunked_array(parts, pa.binary()))
+        return pa.RecordBatch.from_arrays([found.field(0), found.field(1)], names=["word", "n"])
 
     def run(batches):
-        counts: Counter = Counter()
+        parts, held = [], 0
         for batch in batches:
-            for t in batch.column(0):
-                counts.update(tokens(t.as_py()))
-                if len(counts) >= HELD:
-                    yield batch_of(counts)
-                    counts.clear()
-        if counts:
-            yield batch_of(counts)
+            for piece in _slices(batch, SPLIT):
+                parts.append(tokens(piece.column(0))[0])
+                held += parts[-1].nbytes
+                if held >= HELD:
+                    yield counted(parts)
+                    parts, held = [], 0
+        if held:
+            yield counted(parts)
+        _let_go()
     return texts.select(F.col("text").cast("binary")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -125,30 +157,38 @@ def encoded_texts(docs: DataFrame, known: Lexicon) -> DataFrame:
     total, types = known.total, known.types
     others = [c for c in docs.columns if c != "text"]
 
+    def counted(words, sizes):
+        """List array of the distinct (word, n) of each text."""
+        coded = words.dictionary_encode()
+        types = max(1, len(coded.dictionary))
+        both, n = np.unique(np.repeat(np.arange(len(sizes)), sizes) * types + coded.indices.to_numpy(), return_counts=True)
+        ends = np.cumsum(np.bincount(both // types, minlength=len(sizes)))
+        pairs = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(both % types)), pa.array(n)], names=["word", "n"])
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pairs)
+
     def run(batches):
         words, counts = held.value
         rare = len(words)
-
-        look = dict(zip(words, range(rare))).get
+        own = pa.array(words, pa.binary())
         share = np.log10((counts + 1) / (total + types + 1))
         share[rare] = 0.0
         for batch in batches:
-            symbols, known_n, base, rest = [], [], [], []
-            for t in batch.column(0):
-                ws = tokens(t.as_py())
-                s = np.fromiter(map(look, ws, repeat(rare)), np.int32, len(ws))
-                odd = np.flatnonzero(s == rare)
-                s = np.append(s, np.int32(rare + 1))
-                symbols.append(s)
-                known_n.append(len(s) - len(odd) - int(counts[-1] == 0))
-                base.append(float(share[s].sum()))
-                rest.append([{"word": w, "n": n} for w, n in Counter(ws[i] for i in odd).items()])
-            ends = np.cumsum([0] + [len(s) for s in symbols], dtype=np.int32)
-            flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(symbols) if symbols else np.empty(0, np.int32)))
-            yield pa.RecordBatch.from_arrays(
-                [flat, pa.array(known_n, pa.int64()), pa.array(base, pa.float64()),
-                 pa.array(rest, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))] + batch.columns[1:],
-                names=["symbols", "n_known", "base", "rare"] + others)
+            for piece in _slices(batch, SPLIT):
+                ws, sizes = tokens(piece.column(0))
+                found = pc.index_in(ws, value_set=own)
+                ends = np.cumsum(sizes + 1)
+                starts = ends - sizes - 1
+                symbols = np.full(int(ends[-1]), rare + 1, np.int32)
+                word = np.ones(len(symbols), bool)
+                word[ends - 1] = False
+                symbols[word] = pc.fill_null(found, rare).to_numpy()
+                odd = np.add.reduceat(symbols == rare, starts, dtype=np.int64)
+                flat = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(symbols))
+                yield pa.RecordBatch.from_arrays(
+                    [flat, pa.array(sizes + 1 - odd - int(counts[-1] == 0)), pa.array(np.add.reduceat(share[symbols], starts)),
+                     counted(ws.filter(found.is_null()), odd)] + piece.columns[1:],
+                    names=["symbols", "n_known", "base", "rare"] + others)
+        _let_go()
     kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     out = docs.select(F.col("text").cast("binary"), *others).mapInArrow(
         run, "symbols array<int>, n_known long, base double, rare array<struct<word: binary, n: bigint>>" + kinds)
@@ -195,19 +235,24 @@ def _pieces(active: np.ndarray) -> list[int]:
 
 
 def _forward(model: Model, flat, first, active, t0, t1, entry, log=None, keep=None):
-    """Steps t0..t1 from the state distribution ``entry`` (None: the start);
-    adds the logs of the scale factors to ``log``, keeps (symbols, emission,
-    alpha, scale) in ``keep``."""
+    """Steps t0..t1 from the state distribution ``entry`` (None: the start).
+    Every ``SCALED`` steps, and where a text ends, distributions are scaled to
+    a sum of one; adds the logs of the scale factors to ``log``, keeps
+    (symbols, emission, alpha, scale of the last lanes) in ``keep``."""
     now, ones = entry, np.ones(len(model.start))
     for t in range(t0, t1):
         n = active[t]
         x = flat.take(first[:n] + t)
         e = model.emit.take(x, axis=0)
         now = (model.start if now is None else now[:n] @ model.step) * e
-        scale = now @ ones                               # far quicker than a sum over short rows
-        now /= scale[:, None]
-        if log is not None:
-            log[:n] += np.log(scale)
+        # lanes from here on are scaled: all of them, or those whose text ends
+        lane = 0 if (t + 1) % SCALED == 0 else active[t + 1] if t + 1 < len(active) else 0
+        scale = None
+        if lane < n:
+            scale = now[lane:] @ ones                    # far quicker than a sum over short rows
+            now[lane:] /= scale[:, None]
+            if log is not None:
+                log[lane:n] += np.log(scale)
         if keep is not None:
             keep.append((x, e, now, scale))
     return now
@@ -230,9 +275,13 @@ class Expected:
         self.model = model
         self.start = np.zeros_like(model.start)
         self.step = np.zeros_like(model.step)
-        self.emit = np.zeros_like(model.emit)
+        self._emit = np.zeros(model.emit.shape[::-1])    # state by state, as the shares are summed
         self.log = 0.0
-        self.symbols, self.shares, self.held = [], [], 0
+        self.symbols, self.shares, self.held = None, None, 0
+
+    @property
+    def emit(self) -> np.ndarray:
+        return self._emit.T
 
     def add(self, flat: np.ndarray, sizes: np.ndarray):
         for _, first, size in _side_by_side(flat, sizes):
@@ -249,32 +298,40 @@ class Expected:
             a, kept = cuts[p], []
             _forward(model, flat, first, active, a, cuts[p + 1], entries[p], log, kept)
             for t in range(cuts[p + 1] - 1, a - 1, -1):
-                x, e, alpha, scale = kept.pop()
-                if ahead is None:
-                    share = alpha
-                    ahead = e / scale[:, None]
-                else:
+                x, e, alpha, scale = kept.pop()          # not needed again: changed in place
+                if ahead is not None:
                     m = len(ahead)
                     beta = ahead @ back
                     self.step += alpha[:m].T @ ahead
-                    share = alpha * beta if m == len(x) else np.concatenate([alpha[:m] * beta, alpha[m:]])
-                    ahead = e / scale[:, None]
-                    ahead[:m] *= beta
-                self.symbols.append(x)
-                self.shares.append(share)
-                self.held += len(x)
-                if self.held >= GATHER:
-                    self._gather()
+                    alpha[:m] *= beta                    # a text's last alpha is its share as it is
+                    e[:m] *= beta
+                if scale is not None:
+                    e[len(e) - len(scale):] /= scale[:, None]
+                ahead = e
+                self._share(x, alpha)
                 if t == 0:
-                    self.start += share.sum(axis=0)
+                    self.start += alpha.sum(axis=0)
         self.log += float(log.sum())
 
+    def _share(self, x, share):
+        """Holds the state shares of symbols, state by state, until there are
+        enough of them for a sum."""
+        if self.symbols is None or self.held + len(x) > len(self.symbols):
+            self._gather()
+            size = max(GATHER, len(x))
+            if self.symbols is None or len(self.symbols) < size:
+                self.symbols, self.shares = np.empty(size, np.int64), np.empty((share.shape[1], size))
+        to = self.held + len(x)
+        self.symbols[self.held:to] = x
+        self.shares[:, self.held:to] = share.T
+        self.held = to
+
     def _gather(self):
         if self.held:
-            x, share = np.concatenate(self.symbols), np.concatenate(self.shares)
-            for k in range(share.shape[1]):
-                self.emit[:, k] += np.bincount(x, weights=share[:, k], minlength=len(self.emit))
-        self.symbols, self.shares, self.held = [], [], 0
+            x = self.symbols[:self.held]
+            for k, share in enumerate(self.shares):
+                self._emit[k] += np.bincount(x, weights=share[:self.held], minlength=self._emit.shape[1])
+        self.held = 0
 
     def rows(self):
         """(slot, state counts): symbols, then steps, start and log in negative slots."""
@@ -297,18 +354,26 @@ def expected_counts(texts: DataFrame, model: Model):
 
     def run(batches):
         sums, waiting, tokens_waiting = Expected(held.value), [], 0
+
+        def joined():
+            """What waits, as one; the batches it came in are let go."""
+            out = [np.concatenate(a) for a in zip(*waiting)]
+            waiting.clear()
+            return out
         for batch in batches:
             waiting.append(_arrays(batch.column(0)))
             tokens_waiting += len(waiting[-1][0])
+            del batch
             if tokens_waiting >= TOGETHER:
-                sums.add(*map(np.concatenate, zip(*waiting)))
-                waiting, tokens_waiting = [], 0
+                sums.add(*joined())
+                tokens_waiting = 0
         if tokens_waiting:
-            sums.add(*map(np.concatenate, zip(*waiting)))
+            sums.add(*joined())
         slots, counts = sums.rows()
         whole = np.rint(counts * _UNIT).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(slots)] + [pa.array(np.ascontiguousarray(whole[:, j])) for j in range(k)],
                                          names=["slot"] + [f"s{j}" for j in range(k)])
+        _let_go()
     parts = texts.select("symbols").mapInArrow(run, "slot long, " + ", ".join(f"s{j} long" for j in range(k)))
     got = parts.groupBy("slot").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]).toArrow()
     held.destroy()

@@ -10,6 +10,7 @@ from zlib import crc32
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from made import SCHEMA, clashing, documents, items, made_documents, ordered  # noqa: F401
 from pyspark.sql import functions as F
@@ -210,6 +211,60 @@ def test_pieces_and_lanes_change_nothing(monkeypatch):
     assert np.allclose(sums(), whole) and np.allclose(hmm.log_probabilities(model, flat, sizes), logs)
 
 
+def test_scaled_every_few_steps_and_where_texts_end(monkeypatch):
+    """Also for words that no state expects: nothing underflows in between."""
+    r = np.random.default_rng(4)
+    emit = r.random((30, 4))
+    emit[:5] *= 1e-13
+    model = hmm.Model(r.dirichlet(np.ones(4)), r.dirichlet(np.ones(4), 4), emit / emit.sum(axis=0))
+    sizes = np.sort(r.integers(1, 70, 12))[::-1]
+    flat = np.concatenate([np.zeros(sizes[0], np.int64), r.integers(0, 30, sizes[1:].sum())])
+
+    def sums():
+        e = hmm.Expected(model)
+        e.add(flat, sizes)
+        return np.concatenate([e.start, e.step.ravel(), e.emit.ravel(), [e.log], hmm.log_probabilities(model, flat, sizes)])
+    few, kept = sums(), []
+    active = hmm._active(sizes)
+    hmm._forward(model, flat, np.cumsum(sizes) - sizes, active, 0, sizes[0], None, keep=kept)
+    ends = np.append(active, 0)
+    for t, (_, _, alpha, scale) in enumerate(kept):
+        scaled = len(alpha) if (t + 1) % 8 == 0 else ends[t] - ends[t + 1]
+        assert (0 if scale is None else len(scale)) == scaled
+    monkeypatch.setattr(hmm, "SCALED", 1)
+    assert np.allclose(sums(), few, rtol=1e-11, atol=0)
+
+
+ODD_TEXTS = [b" a  b ", b"", None, b"  \n", b"a\x0b\x0cB\x1c\x85c\r\n", "\u00c4a \u2003\u0130 x\x00Y \ud800".encode("utf-8", "surrogatepass"), b"\xff\xfe A", b"b a B" * 9]
+
+
+def test_words_of_many_texts_at_once():
+    for texts in (ODD_TEXTS, ODD_TEXTS[3:4], []):
+        words, sizes = hmm.tokens(pa.array([b"x"] + texts, pa.binary()).slice(1))
+        want = [(t or b"").lower().split() for t in texts]
+        assert sizes.tolist() == [len(ws) for ws in want] and words.to_pylist() == [w for ws in want for w in ws]
+
+
+def test_counts_and_symbols_of_cut_batches(spark, monkeypatch):
+    """Batches are cut by bytes; no cut may lose, move or split a text's words."""
+    texts = [None if t is None else bytearray(t) for t in ODD_TEXTS + [b"rare rare b", b"c"] * 3]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text binary").coalesce(1)
+    n = Counter(w for t in texts for w in bytes(t or b"").lower().split())
+    for split, held in ((4 << 20, 16 << 20), (4, 9)):
+        monkeypatch.setattr(hmm, "SPLIT", split)
+        monkeypatch.setattr(hmm, "HELD", held)
+        assert {bytes(r.word): r.n for r in hmm.word_counts(docs).collect()} == n
+        known = hmm.lexicon(docs, symbols=2)
+        at = {w: i for i, w in enumerate(known.words)}
+        got = sorted(hmm.encoded_texts(docs, known).collect(), key=lambda r: r.doc_id)
+        assert len(got) == len(texts) and 0 < len(at) <= 2
+        for r, t in zip(got, texts):
+            ws = bytes(t or b"").lower().split()
+            assert r.symbols == [at.get(w, len(at)) for w in ws] + [len(at) + 1]
+            assert r.n_known == 1 + sum(w in at for w in ws)
+            assert {bytes(x.word): x.n for x in r.rare} == Counter(w for w in ws if w not in at) and len(r.rare) == len({w for w in ws if w not in at})
+
+
 def plain_base(docs, train):
     n = Counter()
     split = [[w.translate(brute.UP) for w in brute.words(t)] + [None] for _, t in docs]
