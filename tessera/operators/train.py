@@ -12,11 +12,13 @@ from __future__ import annotations
 
 import math
 import time
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression, LogisticRegressionModel,
+                                       RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
@@ -29,7 +31,7 @@ from tessera.operators import evaluate
 from tessera.operators.boosting import Boosting
 from tessera.operators.chartdata import hash_bucket
 from tessera.operators.features import detect_problem_type
-from tessera.session import cut_lineage
+from tessera.session import checkpoint_dir, cut_lineage
 from tessera.operators.split_scale import (ColumnScaler, fit_scaler, fold_labels, model_requires_scaling,
                                            recommend_scaler, split_labels)
 
@@ -131,6 +133,19 @@ def with_vectors(df: DataFrame, features: list[str], scaler: ColumnScaler) -> Da
 # ---------------------------------------------------------------------------
 # M5 / M6 model zoo
 # ---------------------------------------------------------------------------
+def fit(estimator, rows: DataFrame):
+    """The fitted model without its training summary.  A classifier's summary
+    holds the session, which travels to the tasks with the model and cannot,
+    once anything in the session has used an ``Observation``; a model that is
+    read back has none."""
+    model = estimator.fit(rows)
+    if isinstance(model, (LogisticRegressionModel, RandomForestClassificationModel)) and model.hasSummary:
+        path = f"{checkpoint_dir(rows.sparkSession)}/model-{uuid.uuid4().hex}"
+        model.save(path)
+        model = type(model).load(path)
+    return model
+
+
 def regression_estimator(name: str, features_col: str):
     common = dict(featuresCol=features_col, labelCol=LABEL, predictionCol="prediction")
     if name == "Linear Regression":
@@ -180,7 +195,7 @@ class ModelPipeline:
     def fit(self, df: DataFrame) -> "ModelPipeline":
         rows = self._numbers(df)
         self.fitted = fit_scaler(rows, self.features, self.scaler)
-        self.model = self.estimator.fit(with_vectors(rows, self.features, self.fitted))
+        self.model = fit(self.estimator, with_vectors(rows, self.features, self.fitted))
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -222,7 +237,7 @@ def _cv_score(problem_type: str, scored: DataFrame) -> float | None:
 
 def _fold_score(estimator, prep: Prepared, k: int) -> float | None:
     train = prep.train
-    model = estimator.fit(train.where(F.col("fold") != k))
+    model = fit(estimator, train.where(F.col("fold") != k))
     return _cv_score(prep.problem_type, model.transform(train.where(F.col("fold") == k)))
 
 
@@ -339,7 +354,7 @@ def train_all_models(prep: Prepared, *, cv_folds: int = DEFAULT_CV_FOLDS, models
             model, *parts = est.fit_folds(prep.train, "fold", folds)
             scores = [_cv_score(prep.problem_type, m.transform(prep.train.where(F.col("fold") == k))) for k, m in enumerate(parts)]
         else:
-            model = est.fit(prep.train)
+            model = fit(est, prep.train)
         metrics = _score(prep.problem_type, model.transform(test), n_classes)
         return model, metrics, time.time() - t0, scores
 

@@ -1,5 +1,7 @@
 """Model preparation, training, scoring and persistence on small data."""
 
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tessera.operators import evaluate, features, score, train
@@ -56,6 +58,16 @@ def test_classification_with_unseen_category(spark):
     assert {r["predicted_quality"] for r in out} <= {"0", "1"}
 
 
+def test_classifiers_score_after_an_observation(spark):
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 3}
+    rows = train.with_vectors(spark.range(60).select((F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 2).cast("double").alias("label")),
+                              ["x"], train.fit_scaler(spark.range(5).select(F.col("id").cast("double").alias("x")), ["x"], "standard"))
+    for est in (LogisticRegression(featuresCol=train.RAW), RandomForestClassifier(featuresCol=train.RAW, numTrees=2, seed=1)):
+        assert train.fit(est, rows).transform(rows).where("prediction IN (0, 1)").count() == 60
+
+
 def test_publish_writes_tables(spark):
     orders = read_table(spark, SF_SMALL, "orders")
     tables = sinks.dashboard_tables(raw=orders, cleaned=orders)
