@@ -12,6 +12,10 @@ pass replays only the trees since then.
 Several models are grown in the same passes: the final fit and the folds of a
 cross-validation differ in the rows they may use, which is one bit mask a row.
 
+If there are several models and the rows fit in a task's memory
+(:mod:`tessera.operators.held`), they are not passed over by jobs: each model is
+grown by one task, with the same sums and trees.
+
 Two kinds of trees:
 
 * ``newton=True``: second order.  Gain of a split is
@@ -33,6 +37,7 @@ left out; without rows a model is its prior, with one row a constant.
 from __future__ import annotations
 
 import math
+import pickle
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -43,6 +48,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.schema import col
+from tessera.operators import held as held_rows
+from tessera.operators.held import Held, binned, mixed
 from tessera.session import cut_lineage
 
 REFRESH = 10
@@ -89,9 +96,10 @@ class Boosting:
     def fit(self, df: DataFrame) -> "BoostedModel":
         return fit_many(df, self, [F.lit(True)])[0]
 
-    def fit_folds(self, df: DataFrame, fold: str, folds: int) -> list["BoostedModel"]:
-        """The model of all rows, then those of all rows but one fold, all grown in the same passes."""
-        return fit_many(df, self, [F.lit(True)] + [col(fold) != k for k in range(folds)])
+    def fit_folds(self, df: DataFrame, fold: str, folds: int, found: list | None = None) -> list["BoostedModel"]:
+        """The model of all rows, then those of all rows but one fold, all grown in the same passes.
+        ``found``: see ``fit_many``."""
+        return fit_many(df, self, [F.lit(True)] + [col(fold) != k for k in range(folds)], found)
 
 
 @dataclass
@@ -215,29 +223,25 @@ def stopping_round(losses: list[float], patience: int, tolerance: float = 1e-4)
 
 # ---- bins -----------------------------------------------------------------------
 
-def quantile_cuts(df: DataFrame, features: str, n: int, bins: int = 256) -> list[np.ndarray]:
-    """Upper ends of the bins of each of the ``n`` features, the last bin
-    open: quantiles from one mergeable sketch a feature.  A feature with few
-    values has a bin for each."""
+def quantiles(df: DataFrame, features: str, n: int, bins: int = 256) -> list[tuple[np.ndarray, bool]]:
+    """Of each of the ``n`` features the quantiles 0, 1/bins, 2/bins, ... from
+    one mergeable sketch, and whether it has NaN."""
     x = F.posexplode(vector_to_array(col(features))).alias("f", "x")
     shares = F.array(*[F.lit(i / bins) for i in range(bins)])
     number = F.when(~F.isnan("x"), F.col("x"))
     got = (df.select(x).groupBy("f").agg(F.percentile_approx(number, shares, SKETCH).alias("cuts"),
                                          F.max(F.isnan("x")).alias("gaps")).collect())
-    out = [np.empty(0)] * n
+    out = [(np.empty(0), False)] * n
     for r in got:
-        cuts = np.unique(np.array(r["cuts"] or [], float))
-        out[r["f"]] = (np.r_[-np.inf, cuts] if r["gaps"] else cuts)[:bins - 1]      # NaN has a bin of its own
+        out[r["f"]] = np.array(r["cuts"] or [], float), r["gaps"]
     return out
 
 
-def _binned(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
-    """Bins, a line for each feature."""
-    out = np.empty(x.shape[::-1], np.uint8)
-    for f, c in enumerate(cuts):
-        v = np.where(np.isnan(x[:, f]), -np.inf, x[:, f])
-        out[f] = np.searchsorted(c, v, side="left")
-    return out
+def quantile_cuts(df: DataFrame, features: str, n: int, bins: int = 256, found: list | None = None) -> list[np.ndarray]:
+    """Upper ends of the bins of each of the ``n`` features, the last bin
+    open.  A feature with few values has a bin for each."""
+    return [(np.r_[-np.inf, np.unique(q)] if gaps else np.unique(q))[:bins - 1]      # NaN has a bin of its own
+            for q, gaps in found or quantiles(df, features, n, bins)]
 
 
 def labelled_rows(df: DataFrame, s: Boosting, masks: list[Column]) -> DataFrame:
@@ -277,7 +281,7 @@ def packed(rows: DataFrame, cuts: list[np.ndarray], prior: np.ndarray, n: int) -
                 continue
             # a slice of a list column keeps its parent's values: flatten() leaves those out
             x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            lines = [_binned(x, held.value)] + [batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "mask", "val", "draw")]
+            lines = [binned(x, held.value)] + [batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "mask", "val", "draw")]
             at = 0
             while at < batch.num_rows:
                 many = min(size - have, batch.num_rows - at)
@@ -323,10 +327,7 @@ def _drawn(draw: np.ndarray, tree: int, s: Boosting) -> np.ndarray:
     """Rows of this round's sample: a hash of the row and the round."""
     if s.subsample >= 1:
         return np.ones(len(draw), bool)
-    x = draw.view(np.uint64) + np.uint64((tree + 1) * 0x9E3779B97F4A7C15 + s.seed & (1 << 64) - 1)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return (x >> np.uint64(11)).astype(float) / (1 << 53) < s.subsample
+    return mixed(draw, tree, s.seed) < s.subsample
 
 
 @dataclass
@@ -455,8 +456,9 @@ def _leaf(node: np.ndarray, s: Boosting) -> float:
     return s.rate * value * (1.0 if s.newton or s.objective != "softmax" else (s.classes - 1) / s.classes)
 
 
-def fit_many(df: DataFrame, s: Boosting, masks: list[Column]) -> list[BoostedModel]:
-    """One model for each of ``masks`` (the rows it may use), grown together."""
+def fit_many(df: DataFrame, s: Boosting, masks: list[Column], found: list | None = None) -> list[BoostedModel]:
+    """One model for each of ``masks`` (the rows it may use), grown together.
+    ``found``: the ``bins`` quantiles of the features, if they are known."""
     spark = df.sparkSession
     head = df.select(F.size(vector_to_array(col(s.featuresCol))).alias("n")).first()
     features = head["n"] if head else 0
@@ -464,27 +466,35 @@ def fit_many(df: DataFrame, s: Boosting, masks: list[Column]) -> list[BoostedMod
     models, scale, n = _priors(rows, s, features, len(masks))
     if not features or not n:
         return models
-    cuts = quantile_cuts(df, s.featuresCol, features, s.bins)
-    sizes = np.array([len(c) + 1 for c in cuts])
-    first = np.cumsum(sizes) - sizes
+    cuts = quantile_cuts(df, s.featuresCol, features, s.bins, found)
     prior = np.stack([(m.prior - (models[0].prior if s.objective == "squared" else 0)) / scale for m in models]).astype(np.float64)
     unit = float(1 << min(_UNIT_BITS, max(4, 60 - math.ceil(math.log2(n + 1)))))
     centre = float(models[0].prior[0]) if s.objective == "squared" else 0.0
-    data = cut_lineage(packed(rows.withColumn("y", (F.col("y") - centre) / scale), cuts, prior, n)).persist(StorageLevel.MEMORY_AND_DISK)
-    growing, recent = list(range(len(masks))), []
-    tasks = data.rdd.getNumPartitions()
+    rows = rows.withColumn("y", (F.col("y") - centre) / scale)
+    if 1 < len(masks) <= held_rows.MODELS and held_rows.fits(n, features):       # one model alone has all cores by passes
+        return _fit_held(rows, s, models, cuts, scale, prior, unit)
+    source = _Spread(rows, s, cuts, scale, prior, n)
+    _rounds(source, s, models, cuts, scale, prior, unit)
+    source.data.unpersist()
+    return models
+
+
+def _rounds(source, s: Boosting, models: list[BoostedModel], cuts, scale: float, prior: np.ndarray, unit: float) -> None:
+    """Grow the trees of ``models``; ``source`` passes over the rows."""
+    sizes = np.array([len(c) + 1 for c in cuts])
+    first = np.cumsum(sizes) - sizes
+    growing, recent = list(range(len(models))), []
     for r in range(s.rounds):
         if len(recent) >= REFRESH:
-            fresh = _refreshed(data, recent, s, features, prior, scale)
-            data.unpersist()
-            data, recent = fresh, []
-        now = [[Tree.empty(s.depth) for _ in range(s.outputs)] for _ in masks]
-        grown = _grow(data, s, growing, recent, now, first, sizes, cuts, scale, prior, unit, r, features, tasks,
+            source.refresh(recent)
+            recent = []
+        now = [[Tree.empty(s.depth) for _ in range(s.outputs)] for _ in models]
+        grown = _grow(source, s, growing, recent, now, first, sizes, cuts, scale, prior, unit, r,
                       lambda loss: _stop(models, growing, loss, scale, s))
         for m in growing:
             if m in grown:
                 models[m].trees.append(now[m])
-        for m in range(len(masks)):
+        for m in range(len(models)):
             if m not in grown:
                 now[m] = [Tree.empty(0) for _ in range(s.outputs)]
         growing = [m for m in growing if m in grown]
@@ -492,10 +502,99 @@ def fit_many(df: DataFrame, s: Boosting, masks: list[Column]) -> list[BoostedMod
             break
         recent.append(now)
     if s.patience and growing:
-        state = _Growing(s, growing, recent, [[Tree.empty(0)] * s.outputs for _ in masks],
-                         np.full((len(masks), s.outputs, 1), -1, np.int64), 0, first, int(sizes.sum()), scale, prior, unit, s.rounds)
-        _stop(models, growing, _pass(data, state, features, 0, tasks)[1], scale, s)
-    data.unpersist()
+        state = _Growing(s, growing, recent, [[Tree.empty(0)] * s.outputs for _ in models],
+                         np.full((len(models), s.outputs, 1), -1, np.int64), 0, first, int(sizes.sum()), scale, prior, unit, s.rounds)
+        _stop(models, growing, source.passed(state, 0)[1], scale, s)
+
+
+class _Spread:
+    """Rows in blocks on all executors: a pass is a Spark job."""
+
+    def __init__(self, rows: DataFrame, s: Boosting, cuts, scale, prior, n: int):
+        self.s, self.scale, self.prior, self.features = s, scale, prior, len(cuts)
+        self.data = cut_lineage(packed(rows, cuts, prior, n)).persist(StorageLevel.MEMORY_AND_DISK)
+        self.tasks = self.data.rdd.getNumPartitions()
+
+    def passed(self, state: _Growing, level: int):
+        return _pass(self.data, state, self.features, level, self.tasks)
+
+    def refresh(self, recent) -> None:
+        fresh = _refreshed(self.data, recent, self.s, self.features, self.prior, self.scale)
+        self.data.unpersist()
+        self.data = fresh
+
+
+class _Whole:
+    """The rows of one model in this process.  The same sums as of a pass over
+    blocks, but a row's gradient is computed once a round and its node is
+    kept from level to level."""
+
+    def __init__(self, held: Held, model: int, prior: np.ndarray):
+        at = np.flatnonzero(held_rows.of_model(held, model))
+        everything = len(at) == len(held.y)
+        self.held = held
+        self.code = held.code if everything else held.code.take(at, axis=1)
+        self.y, self.val, self.draw = (a if everything else a[at] for a in (held.y, held.val, held.draw))
+        self.margin = np.repeat(prior.reshape(-1, 1), len(at), axis=1)
+        self.trees: list[Tree] = []
+
+    def refresh(self, recent) -> None:
+        """Margins are always those of all whole rounds."""
+
+    def _move(self) -> None:
+        for k, t in enumerate(self.trees):
+            node = np.arange(len(t.feature))
+            leaf = t.feature < 0
+            line, table = held_rows.routes(self.held, t.feature, t.bin, np.where(leaf, node, 2 * node + 1), np.where(leaf, node, 2 * node + 2))
+            self.node[k] = held_rows.moved(self.code, self.node[k], line, table)
+
+    def passed(self, state: _Growing, level: int):
+        s, loss = state.settings, np.zeros((1, 2))
+        self._move()
+        if level == 0:
+            for k, t in enumerate(self.trees):
+                self.margin[k] += t.value.take(self.node[k])
+            self.node = [np.zeros(len(self.y), np.int64) for _ in range(s.outputs)]
+            if s.patience:
+                at = np.flatnonzero(self.val)
+                loss[0] = np.rint(_loss(self.margin[:, at].T, self.y[at], s).sum() * state.unit) / state.unit, len(at)
+            if state.slots:
+                used = ~self.val & _drawn(self.draw, state.round, s)
+                self.used = None if used.all() else used.astype(np.float64)
+                g, h = gradients(self.margin.T, self.y, s)
+                self.g, self.h = (np.rint(a.T * state.unit) for a in (g, h))
+                if self.used is not None:
+                    self.g, self.h = self.g * self.used, self.h * self.used
+        self.trees = state.now[0]
+        sums = np.zeros((3, state.slots, state.total))
+        for k in range(s.outputs):
+            slots = state.open[0, k]
+            lines = np.flatnonzero(slots >= 0)
+            if not len(lines):
+                continue
+            low, many = slots[lines].min(), len(lines)                      # a tree's slots follow one another
+            slot = np.where(slots >= 0, slots - low, many).take(self.node[k])   # rows in leaves: one slot more
+            got = held_rows.sums(self.held, self.code, slot, many + 1, [self.g[k]] + ([] if s.objective == "squared" else [self.h[k]]) + [self.used])
+            got = [a[:many] for a in got]
+            sums[:, low:low + many] = got[0], got[-1] * state.unit if s.objective == "squared" else got[1], got[-1]
+        sums[:2] /= state.unit
+        return sums, loss
+
+
+def _fit_held(rows: DataFrame, s: Boosting, models: list[BoostedModel], cuts, scale, prior, unit) -> list[BoostedModel]:
+    """Each model grown by one task, from the rows held there."""
+    spark = rows.sparkSession
+    held = held_rows.shared(rows, cuts)
+
+    def run(batches):
+        for batch in batches:
+            for m in batch.column("id").to_pylist():
+                own = [models[m]]
+                _rounds(_Whole(held.value, m, prior[m]), s, own, cuts, scale, prior[m:m + 1], unit)
+                yield pa.RecordBatch.from_arrays([pa.array([m]), pa.array([pickle.dumps((own[0].trees, own[0].curve))], pa.binary())], names=["id", "model"])
+    for r in spark.range(0, len(models), 1, len(models)).mapInArrow(run, "id long, model binary").collect():
+        models[r["id"]].trees, models[r["id"]].curve = pickle.loads(r["model"])
+    held.destroy()
     return models
 
 
@@ -547,7 +646,7 @@ def _refreshed(data: DataFrame, recent, s: Boosting, features: int, prior, scale
     return cut_lineage(data.mapInArrow(run, data.schema)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _grow(data, s, growing, recent, now, first, sizes, cuts, scale, prior, unit, r, features, tasks, stop) -> list[int]:
+def _grow(source, s, growing, recent, now, first, sizes, cuts, scale, prior, unit, r, stop) -> list[int]:
     """Grow ``now``, level by level; the models that went on."""
     total = int(sizes.sum())
     own = np.repeat(np.arange(len(first)), sizes)
@@ -560,7 +659,7 @@ def _grow(data, s, growing, recent, now, first, sizes, cuts, scale, prior, unit,
         if not slots:
             break
         state = _Growing(s, growing, recent, now, place, len(slots), first, total, scale, prior, unit, r)
-        sums, loss = _pass(data, state, features, level, tasks)
+        sums, loss = source.passed(state, level)
         if level == 0:
             growing = stop(loss)
         following: dict = {}

@@ -3,7 +3,8 @@
 Layout under ``path`` (any Hadoop-compatible shared folder):
 
 * ``model/``            the Spark ML model wrapped in a ``PipelineModel``, or
-  ``boosted/``          a boosted model as JSON, one row for its head and each round
+  ``boosted/``          a boosted model as JSON, one row for its head and each round, or
+  ``forest/``           a forest held whole, one row for its head and each array
 * ``labels/<i>/``       label-encoding maps (Parquet, written by executors)
 * ``targets/<i>/``      target-encoding maps (Parquet)
 * ``config.json``       small JSON sidecar: names, classes, one-hot values,
@@ -21,6 +22,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
 from tessera.operators.boosting import BoostedModel
+from tessera.operators.forest import ForestModel
 from tessera.operators.features import (EncodingDetail, FeatureModel, LabelEncoding, OneHotEncoding,
                                         TargetEncoding)
 from tessera.operators.score import PredictionConfig
@@ -40,6 +42,10 @@ def save_training_artifacts(cfg: PredictionConfig, path: str) -> str:
         parts = [dict(head, trees=[])] + head["trees"]
         spark.createDataFrame([(i, json.dumps(p)) for i, p in enumerate(parts)], "part int, value string").write.mode(
             "overwrite").parquet(os.path.join(path, "boosted"))
+    elif isinstance(cfg.model, ForestModel):
+        head, arrays = cfg.model.to_parts()
+        spark.createDataFrame([("head", bytearray(json.dumps(head).encode()))] + [(n, bytearray(a)) for n, a in arrays.items()],
+                              "part string, value binary").write.mode("overwrite").parquet(os.path.join(path, "forest"))
     else:
         PipelineModel(stages=[cfg.model]).write().overwrite().save(os.path.join(path, "model"))
     fm = cfg.features
@@ -52,7 +58,7 @@ def save_training_artifacts(cfg: PredictionConfig, path: str) -> str:
         targets[c] = {"dir": str(i), "size": enc.size, "global_mean": enc.global_mean, "smoothing": enc.smoothing}
     config = {
         "target": cfg.target, "problem_type": cfg.problem_type, "model_name": cfg.model_name,
-        "boosted": isinstance(cfg.model, BoostedModel), "classes": cfg.classes, "input_columns": cfg.input_columns, "metrics": cfg.metrics,
+        "boosted": isinstance(cfg.model, BoostedModel), "forest": isinstance(cfg.model, ForestModel), "classes": cfg.classes, "input_columns": cfg.input_columns, "metrics": cfg.metrics,
         "features": {
             "target": fm.target, "date_columns": fm.date_columns, "datetime_features": fm.datetime_features,
             "raw_features": fm.raw_features, "excluded_ids": fm.excluded_ids,
@@ -85,6 +91,9 @@ def load_prediction_config(spark: SparkSession, path: str) -> PredictionConfig:
     if cfg.get("boosted"):
         head, *rounds = [json.loads(r["value"]) for r in spark.read.parquet(os.path.join(path, "boosted")).orderBy("part").collect()]
         model = BoostedModel.from_dict(dict(head, trees=rounds))
+    elif cfg.get("forest"):
+        arrays = {r["part"]: bytes(r["value"]) for r in spark.read.parquet(os.path.join(path, "forest")).collect()}
+        model = ForestModel.from_parts(json.loads(arrays.pop("head")), arrays)
     else:
         model = PipelineModel.load(os.path.join(path, "model")).stages[0]
     return PredictionConfig(cfg["target"], cfg["problem_type"], fm, sc, model, cfg["model_name"],
